@@ -38,6 +38,10 @@ def features_of(text: bytes | None) -> set[bytes]:
     if not text:
         return set()
     own = set(words(text))
+    for w in list(own):
+        if len(w) > 4:
+            letters = w.decode("utf-8", "replace")
+            own.update(f"^{letters[:k]}".encode() for k in (4, 5, 6, 7) if len(letters) > k)
     own.update(b"~" + x for x in set(_END.findall(text)))
     own.add(b"~size %d" % (len(text).bit_length()))
     return own
@@ -68,26 +72,38 @@ def _found(known: dict[bytes, int] | None):
     return find
 
 
-def logistic(rows: list[list[int]], y: np.ndarray, width: int, l2: float = 3.0, rounds: int = 120) -> tuple[np.ndarray, float]:
-    """Weights and intercept of a logistic regression on sets of features, by accelerated gradient steps."""
-    sizes = np.array([len(r) for r in rows])
-    at, of = np.fromiter((f for r in rows for f in r), np.int64, int(sizes.sum())), np.repeat(np.arange(len(rows)), sizes)
+def logistic(rows: list[list[int]], y: np.ndarray, width: int, l2: float = 1.0, rounds: int = 12, inner: int = 25) -> tuple[np.ndarray, float]:
+    """Weights and intercept of a logistic regression on sets of features: Newton's method, its equations by conjugate gradients."""
+    sizes = np.array([len(r) + 1 for r in rows])
+    # the last feature is the intercept, which all rows have and which is hardly held back
+    at, of = np.fromiter((f for r in rows for f in (*r, width)), np.int64, int(sizes.sum())), np.repeat(np.arange(len(rows)), sizes)
     mean = float(np.clip(y.mean(), 1e-3, 1 - 1e-3)) if len(y) else 0.5
-    w, b = np.zeros(width), float(np.log(mean / (1 - mean)))
+    w = np.zeros(width + 1)
+    w[width] = np.log(mean / (1 - mean))
     if not len(y) or y.min() == y.max():
-        return w, b
-    n = len(rows)
-    df = np.bincount(at, minlength=width)
-    step = 1.0 / (0.25 * df * max(1.0, sizes.mean() ** 0.5) + l2)  # by feature: rare ones move as far as frequent ones
-    v, vb = w.copy(), b
-    for t in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(np.bincount(of, v[at], n) + vb, -30, 30)))
-        g = p - y
-        new = v - step * (np.bincount(at, g[of], width) + l2 * v)
-        new_b = vb - g.sum() * 2 / n
-        v, vb = new + t / (t + 3) * (new - w), new_b + t / (t + 3) * (new_b - b)
-        w, b = new, new_b
-    return w, b
+        return w[:width], float(w[width])
+    n, hold = len(rows), np.append(np.full(width, l2), 1e-3)
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(np.bincount(of, w[at], n), -30, 30)))
+        curve = np.maximum(p * (1 - p), 1e-4)
+        residual = -(np.bincount(at, (p - y)[of], width + 1) + hold * w)
+        size = residual @ residual
+        if size < 1e-6:
+            break
+        scale = np.bincount(at, curve[of], width + 1) + hold
+        move, z = np.zeros(width + 1), residual / scale
+        d, rz = z.copy(), residual @ z
+        for _ in range(inner):
+            hd = np.bincount(at, (curve * np.bincount(of, d[at], n))[of], width + 1) + hold * d
+            step = rz / (d @ hd)
+            move, residual = move + step * d, residual - step * hd
+            if residual @ residual < 1e-3 * size:
+                break
+            z = residual / scale
+            rz, before = residual @ z, rz
+            d = z + rz / before * d
+        w = w + move * min(1.0, 5.0 / max(1e-9, np.abs(move).max()))
+    return w[:width], float(w[width])
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, features: int = 4096, least: int = 5) -> Model:
