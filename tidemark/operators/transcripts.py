@@ -61,7 +61,7 @@ def guest_speech(rows: DataFrame, guests: DataFrame, least: int = 4) -> DataFram
 
 def first_usable(candidates: DataFrame, least_words: int = 400) -> DataFrame:
     """Of each episode's candidate pages (episode, ord, words) the first with enough of the guest's words."""
-    return candidates.where(F.col("words") >= least_words).groupBy("episode").agg(F.min_by(F.struct(*[c for c in candidates.columns if c != "episode"]), "ord").alias("c")).select("episode", "c.*")
+    return candidates.where(F.col("words") >= least_words).groupBy("episode").agg(F.min(F.struct("ord", *[c for c in candidates.columns if c not in ("episode", "ord")])).alias("c")).select("episode", "c.*")
 
 
 def is_guest(title: Column, name: Column) -> Column:
