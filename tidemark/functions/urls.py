@@ -7,6 +7,7 @@ from urllib.parse import urljoin
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Prefixes of query parameters that only track.
 TRACKING = ("utm_", "fbclid", "gclid", "mc_cid", "mc_eid", "ref_src", "ref_url")
@@ -52,7 +53,7 @@ def canonical(url: Column) -> Column:
     return F.concat(lower, F.when(rest == "", "/").otherwise(rest), F.when(joined == "", "").otherwise(F.concat(F.lit("?"), joined)))
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def resolved(links: pd.Series, base: pd.Series) -> pd.Series:
     """Links as absolute URLs: dots in relative paths have no expression in Spark."""
 
