@@ -74,7 +74,7 @@ def _found(known: dict[bytes, int] | None):
 
 def logistic(rows: list[list[int]], y: np.ndarray, width: int, l2: float = 1.0, rounds: int = 12, inner: int = 25) -> tuple[np.ndarray, float]:
     """Weights and intercept of a logistic regression on sets of features: Newton's method, its equations by conjugate gradients."""
-    sizes = np.array([len(r) + 1 for r in rows])
+    sizes = np.array([len(r) + 1 for r in rows], np.int64)
     # the last feature is the intercept, which all rows have and which is hardly held back
     at, of = np.fromiter((f for r in rows for f in (*r, width)), np.int64, int(sizes.sum())), np.repeat(np.arange(len(rows)), sizes)
     mean = float(np.clip(y.mean(), 1e-3, 1 - 1e-3)) if len(y) else 0.5
