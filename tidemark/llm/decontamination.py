@@ -27,9 +27,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.llm.common import stored
+
 WINDOW = 13
 #: Characters of patterns in one automaton; it takes some 50 bytes for each.
 BLOCK_CHARS = 2_000_000
+#: Automata that one task goes through.
+STEPS = 4
 
 #: For bytes: digits, lower-case letters and all beyond ASCII stay, A-Z become a-z, the rest spaces.
 _NORMAL = bytes(b if chr(b).isdigit() or chr(b).islower() or b > 127 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
@@ -146,7 +150,9 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = WINDOW, block_
     base = T.StructType([out.schema["doc_id"]])
     state = T.StructType([*base, out.schema["text"], *counts]).add("hits", T.ArrayType(T.IntegerType())).add("items", T.ArrayType(T.StringType()))
     first = True
-    for block in _blocks(items, width, block_chars):
+    for number, block in enumerate(_blocks(items, width, block_chars)):
+        if number and number % STEPS == 0:
+            out = stored(out)  # else all blocks' automata would be in one task at once
         out = out.mapInArrow(_scan(spark.sparkContext.broadcast(block), first), state)
         first = False
     if first:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import decontamination, fingerprints, html_text, language_id, line_dedup, lm_scoring, near_dedup, packing, quality, token_counts
 from tidemark.llm.common import bucket_of, table
+from tidemark.llm.oracles import ORACLE as ORACLE
 
 
 def tokenizer_path(name: str) -> str:
@@ -70,5 +71,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_token_counts, op2_quality, op3_packing, op4_lm_scoring, op5_decontamination, op6_line_dedup, op7_language_id, op8_fingerprints, op9_html_text, op10_near_dedup,
     )
 }
-
-ORACLE: dict[str, str] = {}
