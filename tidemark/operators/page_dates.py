@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import visible_text
-from tidemark.functions.urls import host
+from tidemark.functions.urls import canonical, host
 
 # Readings by rank, what each is trusted by itself, and its family; only another family corroborates.
 RANKS = (("feed", "high", "structured"), ("url", "high", "structured"), ("dateline", "high", "text"), ("jsonld", "medium", "structured"), ("time_tag", "medium", "structured"), ("meta", "medium", "structured"), ("body", "low", "text"))
@@ -99,6 +99,12 @@ def resolved(pages: DataFrame, as_of: str, near: int = 45, far: int = 400) -> Da
     )
 
 
+def with_feed_dates(pages: DataFrame, feeds: DataFrame) -> DataFrame:
+    """``pages`` with the date that a feed (url, d) gives their canonical URL."""
+    own = feeds.select(F.col("url").alias("__url"), F.col("d").alias("feed_date"))
+    return pages.join(own, canonical(F.col("url")) == F.col("__url"), "left").drop("__url")
+
+
 def clustered(docs: DataFrame, threshold: int = 4) -> DataFrame:
     """Documents whose date at least ``threshold`` documents of their host share, URL dates aside, are trusted little."""
     counts = docs.where(F.col("publication_date").isNotNull() & ~F.col("date_source").eqNullSafe("url")).groupBy(host(F.col("canonical_url")).alias("__host"), F.col("publication_date").alias("__d")).agg(F.count("*").alias("__n")).where(F.col("__n") >= threshold)

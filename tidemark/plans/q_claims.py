@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions.text import windows
+from tidemark.functions.text import display_name, slug, windows
 from tidemark.operators import claims as C
 from tidemark.operators import dedupe, page_dates, views
 from tidemark.plans.derived import view, with_sql
@@ -63,6 +63,9 @@ sc as (select *, greatest(-cap, least(cap, rnd)) c1, greatest(-cap, least(cap, c
 CJK = "cast(length(text) - length(regexp_replace(text, '[一-鿿぀-ヿ]', '', 'g')) as integer)"
 
 QUERIES = {
+    "arr1_scored_rows": lambda s, d: C.scored_rows(view(s, d, "t_claims").select("claim_id", F.array(F.struct("axis", "score", F.when(F.col("doc_id") % 2 == 0, F.col("strength")).alias("strength"), F.lit(None).cast("double").alias("confidence"))).alias("axis_scores"))),
+    "str18_slugs": lambda s, d: view(s, d, "part").select("p_partkey", slug(F.concat(F.lit("("), "p_name", F.lit(") #1!"))).alias("slug")),
+    "str17_display_names": lambda s, d: view(s, d, "t_models").select("ord", display_name(F.col("model_version"), F.col("model_group"), F.lit("")).alias("name")),
     "job1_validated_claims": lambda s, d: validated(s, d).select(
         "doc_id", "claim_id", "reject_reason", F.get("scores", 0)["axis"].alias("axis"), F.get("scores", 0)["score"].alias("score"), F.get("scores", 0)["strength"].alias("strength"), F.get("scores", 0)["confidence"].alias("confidence")),
     "agg11_extraction_statistics": lambda s, d: C.statistics(validated(s, d)),
@@ -88,6 +91,9 @@ QUERIES = {
 
 TD = "t_docs"
 ORACLE = {
+    "arr1_scored_rows": with_sql("select claim_id, axis, score, case when doc_id % 2 = 0 then strength else 1.0 end strength, cast(1 as double) confidence from t_claims", "t_claims"),
+    "str18_slugs": "select p_partkey, trim(regexp_replace(lower(concat('(', p_name, ') #1!')), '[^a-z0-9]+', '-', 'g'), '-') slug from part",
+    "str17_display_names": with_sql("select ord, case when model_group <> '' then model_group else regexp_replace(model_version, '_high$', '') end \"name\" from t_models", "t_models"),
     "job1_validated_claims": with_sql("""select doc_id, case when final is null then substr(sha1(concat(doc_id, '|', nq)), 1, 24) end claim_id, final reject_reason, case when item_id % 11 <> 0 then substr('XYZWS', cast(item_id % 5 + 1 as int), 1) end axis,
         cast(case when item_id % 11 <> 0 then case when hedged then greatest(-1, least(1, c1)) else c1 end end as integer) score, cast(case when item_id % 11 <> 0 then case when item_id % 3 = 0 then 0.7 else 0.9 end end as double) strength, cast(case when item_id % 11 <> 0 then 0.7 end as double) confidence from sc""", "t_quotes", more=CHECKED),
     "agg11_extraction_statistics": with_sql("select count(*) returned, count(case when final = 'unverbatim' then 1 end) rejected_unverbatim, count(case when final = 'shape' then 1 end) rejected_shape, count(case when final is null then 1 end) kept, round_even(100.0 * count(case when final = 'unverbatim' then 1 end) / count(*), 1) unverbatim_percent from sc", "t_quotes", more=CHECKED),

@@ -19,9 +19,15 @@ AS_OF = "2024-08-15"
 TERMS = {"X": r"\bthe\b", "Y": r"tion\b", "Z": "eau"}
 
 
+def fed(s: SparkSession, d: str) -> DataFrame:
+    """Dated pages, every tenth with a feed's date."""
+    pages = view(s, d, "t_datedpages")
+    feeds = tables.feed_map(pages.where("page_id % 10 = 0").select(F.col("url").alias("link"), F.lit("2021-03-04").cast("date").alias("d"), F.col("page_id").alias("ord")))
+    return page_dates.with_feed_dates(pages, feeds)
+
+
 def dated(s: SparkSession, d: str) -> DataFrame:
-    pages = view(s, d, "t_datedpages").withColumn("feed_date", F.when(F.col("page_id") % 10 == 0, F.lit("2021-03-04").cast("date")))
-    return page_dates.resolved(pages, AS_OF)
+    return page_dates.resolved(fed(s, d), AS_OF)
 
 
 def log(s: SparkSession, d: str) -> DataFrame:
@@ -69,6 +75,7 @@ OUTCOME = "case when status = 200 then 'live' when status = 403 or robots then '
 
 QUERIES = {
     "dat4_page_dates": lambda s, d: dated(s, d).select("page_id", "d", "precision", "date_source", "date_confidence", "date_note"),
+    "j3_feed_dates": lambda s, d: fed(s, d).select("page_id", "feed_date"),
     "job3_redated": lambda s, d: page_dates.breakdown(page_dates.clustered(dated(s, d).select(F.col("page_id").alias("doc_id"), F.col("url").alias("canonical_url"), F.col("d").alias("publication_date"), "date_source", "date_confidence"))),
     "dat6_year_fallback": lambda s, d: view(s, d, "documents").select("doc_id", year_fallback(F.when(F.col("doc_id") % 3 == 0, F.lit("2022-01-01").cast("date")), F.concat(F.lit("in "), (F.col("doc_id") % 1000 + 1500).cast("string"), F.lit(" "), F.substring("text", 1, 30))).alias("d")),
     "prj2_effective_date": lambda s, d: view(s, d, "t_docs").select("doc_id", effective(F.when(F.col("doc_id") % 2 == 0, F.lit("2020-02-02").cast("date")), F.col("publication_date")).alias("d")),
