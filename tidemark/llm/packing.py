@@ -62,7 +62,7 @@ class Tokens:
     them into pre-tokens, and only pre-tokens not yet seen go through its merges. ``most`` bounds what is remembered.
     """
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 200_000):
         from tokenizers import Tokenizer
 
         self.full, self.most, self.parts, self.words = Tokenizer.from_file(path), most, {}, {}
