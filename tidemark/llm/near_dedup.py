@@ -4,13 +4,13 @@
    it. Its items are the runs of five words, each with its occurrence number. For each of ``bands`` x ``rows`` random orders the two lowest
    items are sampled and hashed in the order of the text; ``rows`` such sketches make the key of a band.
 2. Texts that share a key are a bucket. In each bucket the most central text, the one with the largest buckets over all its keys, is compared with the others: a
-   star instead of all pairs. Buckets whose texts have not all met in one component go on with their next most central texts as leaders, against texts of
-   other components only, until no leader is left: no candidate pair between components stays unchecked.
+   star instead of all pairs, which joins most classes. Where a bucket's texts are still of several components, its pairs of different components go on if their
+   sketches agree as often as those of similar texts do; they are compared inside the join, so only near pairs come out of it, each once.
 3. A pair is verified by the longest common chain of items in text order, whose places may differ by as much as the similarity allows
    (the band). Chain / (items of both - chain) must reach ``similarity``: it counts five-word runs in order, and equals their Jaccard similarity unless passages moved.
 4. Components by alternating stars; a component is a class, named by its lowest document id.
 
-Nothing is capped; pairs are joined by text, and hot texts and buckets are split by Spark's skew joins. Each step's result is a table in the shared folder.
+Texts are told apart by 64-bit hashes. Nothing is capped; pairs are joined by text, and hot texts and buckets are split by Spark's skew joins. Each step's result is a table in the shared folder.
 
 Cases: null and blank texts are equal texts. A text of one to four words has a single item. A null id is replaced by a hash of the text.
 Repeated rows are copies. An empty table gives no rows. Extra columns are ignored.
@@ -25,10 +25,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import stored
+from tidemark.llm.common import small_side, stored
 from tidemark.llm.packing import slices
 
 SHINGLE = 5
@@ -66,8 +66,8 @@ class Sketcher:
         draw = np.random.default_rng(20_240_501)
         self.factors = draw.integers(0, 2**63, bands * rows, np.uint64) * np.uint64(2) + np.uint64(1)
 
-    def keys(self, h: np.ndarray) -> np.ndarray:
-        """One key for each band."""
+    def __call__(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """One key for each band; and 16 bits of each sketch, with its number above them."""
         out = np.empty(len(self.factors), np.uint64)
         most = max(1, 2_000_000 // len(h))
         for at in range(0, len(self.factors), most):
@@ -83,7 +83,12 @@ class Sketcher:
         keys = np.arange(self.bands, dtype=np.uint64)
         for k in range(self.rows):
             keys = _mixed(keys + _MIX + out[k :: self.rows])
-        return keys.view(np.int64)
+        return keys.view(np.int64), (np.arange(len(out)) << 16 | (out >> np.uint64(48)).astype(np.int64)).astype(np.int32)
+
+
+def _lists(rows: list[np.ndarray], kind: type) -> pa.Array:
+    ends = np.concatenate([[0], np.cumsum([len(x) for x in rows])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(rows).astype(kind) if rows else np.zeros(0, kind)))
 
 
 def _sketched(bands: int, rows: int):
@@ -97,21 +102,20 @@ def _sketched(bands: int, rows: int):
                 hashes = np.fromiter((xxhash.xxh32_intdigest(w) for w in distinct), np.uint32, len(distinct))
                 real = np.fromiter(map(len, distinct), np.int64, len(distinct)) > 0
                 codes, ends = coded.indices.to_numpy(), cut.offsets.to_numpy() - cut.offsets[0].as_py()
-                tids, n, words, keys = [], [], [], []
+                tids, n, words, keys, sketches = [], [], [], [], []
                 for k in range(len(texts)):
                     own = codes[ends[k] : ends[k + 1]]
                     own = hashes[own[real[own]]]
                     raw = own.astype("<u4").tobytes()
-                    tids.append(xxhash.xxh3_128_digest(raw))
+                    tids.append(xxhash.xxh3_64_intdigest(raw))
                     words.append(raw)
                     h = items(own) if len(own) else np.zeros(0, np.uint64)
                     n.append(len(h))
-                    keys.append(sketcher.keys(h) if len(h) else np.zeros(0, np.int64))
-                flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
-                offsets = np.concatenate([[0], np.cumsum([len(x) for x in keys])]).astype(np.int32)
+                    for kept, found in zip((keys, sketches), sketcher(h) if len(h) else (np.zeros(0, np.int64), np.zeros(0, np.int32)), strict=True):
+                        kept.append(found)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("id").slice(first, len(texts)), batch.column("th").slice(first, len(texts)), pa.array(tids, pa.binary()), pa.array(n, pa.int32()), pa.array(words, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))],
-                    ["id", "th", "tid", "n", "words", "keys"],
+                    [batch.column("id").slice(first, len(texts)), batch.column("th").slice(first, len(texts)), pa.array(np.array(tids, np.uint64).view(np.int64)), pa.array(n, pa.int32()), pa.array(words, pa.binary()), _lists(keys, np.int64), _lists(sketches, np.int32)],
+                    ["id", "th", "tid", "n", "words", "keys", "sketches"],
                 )
 
     return sketch
@@ -138,7 +142,7 @@ def chain(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> float
 
 def _verified(similarity: float):
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[bytes, np.ndarray] = (b"", np.zeros(0, np.uint64))
+        last: tuple[int | None, np.ndarray] = (None, np.zeros(0, np.uint64))
         for batch in batches:
             good = []
             a_tids, a_words, b_words = (batch.column(c) for c in ("a", "a_words", "b_words"))
@@ -169,12 +173,25 @@ def components(edges: DataFrame) -> DataFrame:
         state = seen
 
 
-def _pairs(members: DataFrame, low: int, high: int, similarity: float) -> DataFrame:
-    """Pairs of leaders (places ``low`` to ``high`` in their bucket) and the texts placed after them, in other components and of like length."""
-    placed = members.withColumn("place", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("central"), "tid")))
-    left = placed.where(F.col("place").between(low, high)).select("key", F.col("tid").alias("a"), F.col("n").alias("a_n"), F.col("root").alias("a_root"), F.col("place").alias("a_place"))
-    both = left.join(placed, "key").where((F.col("place") > F.col("a_place")) & (F.col("root") != F.col("a_root")))
-    return both.where(F.least("n", "a_n") >= similarity * F.greatest("n", "a_n")).select("a", F.col("tid").alias("b")).distinct()
+def _stars(members: DataFrame) -> DataFrame:
+    """In each bucket the most central text with each of the others."""
+    best = members.groupBy("key").agg(F.max_by(F.struct("tid", "n"), F.struct("central", "tid")).alias("a"))
+    both = members.join(best.select("key", F.col("a.tid").alias("a"), F.col("a.n").alias("a_n")), "key").where(F.col("tid") != F.col("a"))
+    return both.select("a", "a_n", F.col("tid").alias("b"), "n")
+
+
+def _rest(members: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """In each bucket that isn't one component the pairs of different components that have ``least`` sketches in common.
+
+    The sketches of two texts of the least similarity agree more often than that, by 3.6 standard deviations. They are compared within the join, and a pair comes out of
+    the first bucket that it shares only, so what leaves the join are the pairs that need their texts.
+    """
+    own = members.join(texts.select("tid", "keys", "sketches"), "tid")
+    a = own.select("key", *[F.col(c).alias(f"a_{c}") for c in ("root", "n", "keys", "sketches")], F.col("tid").alias("a"))
+    alike = F.size(F.array_intersect("sketches", "a_sketches")) >= least
+    first = F.array_min(F.array_intersect("keys", "a_keys")) == F.col("key")
+    both = a.join(own, "key").where((F.col("a") < F.col("tid")) & (F.col("root") != F.col("a_root")) & alike & first)
+    return both.select("a", "a_n", F.col("tid").alias("b"), "n")
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -188,33 +205,30 @@ def _id() -> Column:
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """For each row of ``docs`` (doc_id, text): id, th (hash of the text), tid (equal for equal words), class_id, and the row that stands for its class: rep_id, rep_th."""
-    sketched = stored(_rows(docs).mapInArrow(_sketched(bands, rows), "id bigint, th bigint, tid binary, n int, words binary, keys array<bigint>"))
+    sketched = stored(_rows(docs).mapInArrow(_sketched(bands, rows), "id bigint, th bigint, tid bigint, n int, words binary, keys array<bigint>, sketches array<int>"))
     texts = stored(sketched.groupBy("tid").agg(F.min(F.struct("id", "th")).alias("rep")))
-    each = sketched.select(F.explode("keys").alias("key"), "tid", "n")
-    short = F.xxhash64("tid")  # tells the few texts of one bucket apart; fixed in width, so counted without a sort
-    shared = stored(each.groupBy("key").agg(F.min(short).alias("low"), F.max(short).alias("high")).where("low <> high").select("key"))
-    members = stored(each.join(shared, "key").select("key", "tid", "n").distinct())
+    each = sketched.select(F.explode("keys").alias("key"), "tid")
+    shared = stored(each.groupBy("key").agg(F.min("tid").alias("low"), F.max("tid").alias("high")).where("low <> high").select("key"))
+    members = stored(each.join(shared, "key").distinct())
     sizes = members.groupBy("key").agg(F.count("*").alias("size"))
     central = stored(members.join(sizes, "key").groupBy("tid").agg(F.sum("size").alias("central")))
-    members = stored(members.join(central, "tid").withColumn("root", F.col("tid")))
-    involved = central.join(texts, "tid").select("tid", F.col("rep.id").alias("id"), F.col("rep.th").alias("th"))
-    words = stored(sketched.select("id", "th", "tid", "words").join(involved, ["tid", "id", "th"]).select("tid", "words").dropDuplicates(["tid"]))
-    edges: DataFrame | None = None
-    found: DataFrame | None = None
-    low, high = 1, 1
-    while True:
-        pairs = _pairs(members, low, high, similarity)
-        right = words.select(F.col("tid").alias("b"), F.col("words").alias("b_words"))
-        left = words.select(F.col("tid").alias("a"), F.col("words").alias("a_words"))
-        good = pairs.join(right, "b").join(left, "a").select("a", "b", "a_words", "b_words").mapInArrow(_verified(similarity), "a binary, b binary")
-        edges = stored(good if edges is None else good.unionByName(edges))
-        found = components(edges)
-        rooted = members.drop("root").join(found.select(F.col("node").alias("tid"), "root"), "tid", "left").withColumn("root", F.coalesce("root", "tid"))
-        open_ = rooted.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("size")).where((F.col("r0") != F.col("r1")) & (F.col("size") > high + 1)).select("key")
-        members = stored(rooted.join(open_, "key", "left_semi"))
-        if members.isEmpty():
-            break
-        low, high = high + 1, 64 * high  # buckets of up to 65, 4097, ... texts are through after 2, 3, ... rounds
+    involved = stored(central.join(texts, "tid").select("tid", F.col("rep.id").alias("id"), F.col("rep.th").alias("th")))
+    full = stored(sketched.join(small_side(involved), ["tid", "id", "th"]).select("tid", "n", "words", "keys", "sketches").dropDuplicates(["tid"]))
+    members = stored(members.join(central, "tid").join(full.select("tid", "n"), "tid"))
+
+    def checked(pairs: DataFrame) -> DataFrame:
+        near = pairs.where(F.least("n", "a_n") >= similarity * F.greatest("n", "a_n")).select("a", "b").distinct()
+        right, left = (full.select(F.col("tid").alias(c), F.col("words").alias(f"{c}_words")) for c in ("b", "a"))
+        return near.join(right, "b").join(left, "a").select("a", "b", "a_words", "b_words").mapInArrow(_verified(similarity), "a bigint, b bigint")
+
+    edges = stored(checked(_stars(members)))
+    found = components(edges)
+    rooted = members.select("key", "tid", "n").join(found.select(F.col("node").alias("tid"), "root"), "tid", "left").withColumn("root", F.coalesce("root", "tid"))
+    open_ = rooted.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("size")).where("r0 <> r1 and size > 2").select("key")
+    p, n = similarity**2, bands * rows
+    more = stored(checked(_rest(stored(rooted.join(open_, "key", "left_semi")), full, p * n - 3.6 * (p * (1 - p) * n) ** 0.5)))
+    if not more.isEmpty():
+        found = components(edges.unionByName(more))
     known = texts.join(found.select(F.col("node").alias("tid"), "root"), "tid", "left").withColumn("root", F.coalesce("root", "tid"))
     by_root = known.groupBy("root").agg(F.min("rep").alias("best"))
     named = stored(known.join(by_root, "root").select("tid", F.col("best.id").alias("class_id"), F.col("best.id").alias("rep_id"), F.col("best.th").alias("rep_th")))
