@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import re
 import struct
 import zlib
@@ -202,6 +203,33 @@ def test_lm_scoring(spark, odd, none, docs, head):
     assert lm_scoring.scored(none, lm_scoring.held_out_rows(F.col("doc_id"))).count() == 0
 
 
+def test_every_round_sees_all_training_rows(spark, docs, monkeypatch):
+    rng = np.random.default_rng(6)
+    texts = [rng.integers(0, 12, rng.integers(3, 9)) + 12 * (k % 2) for k in range(1300)]
+    train = spark.createDataFrame([(k, bytearray(np.append(t, 24).astype("<u2").tobytes())) for k, t in enumerate(texts)], "doc_id long, symbols binary")
+    unigram = np.full(25, 1 / 25)
+    leans = {r.doc_id: r.lean for r in train.select("doc_id", F.expr("pmod(xxhash64(symbols, doc_id), 3)").alias("lean")).collect()}
+    emit = np.zeros((3, 25))
+    for k, t in enumerate(texts):
+        emit[leans[k]] += np.bincount(np.append(t, 24), minlength=25)
+    model = lm_scoring.Hmm.from_counts(np.ones(3), np.full((3, 3), 0.2) + np.eye(3) * 20, emit.T, unigram)
+    whole = sorted((np.append(t, 24) for t in texts), key=lambda t: -len(t))
+    for _ in range(3):
+        start, step, emit = np.zeros(3), np.zeros((3, 3)), np.zeros((3, 25))
+        lm_scoring.expected(model, whole, start, step, emit)
+        model = lm_scoring.Hmm.from_counts(start, step, emit.T, unigram)
+    got = lm_scoring.fitted(train, unigram, 3, 3, 0.0)
+    assert np.allclose(got.start, model.start, atol=1e-3) and np.allclose(got.step, model.step, atol=1e-3) and np.allclose(got.emit, model.emit, atol=1e-3)
+    driver, real = os.getpid(), lm_scoring.expected
+
+    def in_tasks(*own):
+        assert os.getpid() != driver
+        return real(*own)
+
+    monkeypatch.setattr(lm_scoring, "expected", in_tasks)
+    assert lm_scoring.scored(docs, lm_scoring.held_out_rows(F.col("doc_id")), rounds=1, start=1).count() == docs.count()
+
+
 def test_probabilities_sum_to_one():
     unigram = np.array([0.5, 0.3, 0.2])
     m = lm_scoring.Hmm.from_counts(np.array([3.0, 1.0]), np.array([[5.0, 1.0], [0.0, 2.0]]), np.array([[4.0, 0.0], [1.0, 1.0], [0.0, 7.0]]), unigram)

@@ -5,9 +5,9 @@ Tokens: A-Z in lower case, cut at ASCII white space, then one end of the text, w
 1. Counts of all words of the training rows, summed by word in Spark. The ``head`` most frequent words are symbols of their own, and so is the end. Each other word
    is one of ``rare`` symbols by the crc32 of its last three bytes; within its symbol it has the share (c + 0.5) / (C + 0.5 (V + 1)), c its count, C and V the symbol's
    training tokens and distinct words. So every text has a probability, whatever its words are.
-2. Baum-Welch: ``start`` rounds on a bounded sample (the ``start_docs`` training rows of the lowest hash) find a starting point only. Then ``rounds`` rounds
-   go over all training rows: each task runs the scaled forward-backward recursion over whole texts and hands out expected counts by symbol,
-   Spark adds them up, and the driver, which holds states x symbols numbers whatever the input, divides.
+2. Baum-Welch over all training rows: at the start each text leans to the state that its hash names, then each round's tasks run the scaled
+   forward-backward recursion over whole texts and hand out expected counts by symbol, Spark adds them up, and the driver, which holds states x symbols numbers
+   whatever the input, divides. The rounds end when one gains less than ``gain`` a token in log-likelihood, or after ``start`` + ``rounds``.
 3. The scaled forward recursion gives each text's exact log-likelihood, summed over all state sequences.
 
 Counts of rare words meet their texts in a shuffled join on the word; no word beyond the head is more than a small share of the rows. Head counts go to the tasks
@@ -39,6 +39,9 @@ RARE = 4096
 STATES = 8
 #: Least weight of the whole corpus' distribution, in tokens, in each state's emissions; besides it weighs one token for each symbol that the state has.
 PRIOR = 200.0
+#: Natural-log likelihood a token that a round must gain for another one to follow, after ``LEAST`` rounds.
+GAIN = 0.001
+LEAST = 5
 
 
 def _words(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
@@ -183,23 +186,23 @@ def forward(model: Hmm, sequences: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def expected(model: Hmm, sequences: list[np.ndarray], start: np.ndarray, step: np.ndarray, emit: np.ndarray) -> None:
-    """Adds the expected counts of the sequences (longest first) to ``start``, ``step`` and ``emit`` (states x symbols)."""
+def expected(model: Hmm, sequences: list[np.ndarray], start: np.ndarray, step: np.ndarray, emit: np.ndarray) -> float:
+    """Adds the expected counts of the sequences (longest first) to ``start``, ``step`` and ``emit`` (states x symbols); their natural-log likelihood."""
     flat, starts = _lockstep(sequences)
     n, times = len(model.start), len(starts) - 1
-    alpha, scales = np.empty((len(flat), n)), np.empty(len(flat))
     b = model.emit[flat]
+    alpha, scales = np.empty((len(flat), n), b.dtype), np.empty(len(flat), b.dtype)
     for t in range(times):
         lo, hi = starts[t], starts[t + 1]
         now = b[lo:hi] * (model.start if t == 0 else alpha[starts[t - 1] : starts[t - 1] + hi - lo] @ model.step)
         scales[lo:hi] = now.sum(1)
         alpha[lo:hi] = now / scales[lo:hi, None]
     gamma = alpha
-    beta = np.zeros((0, n))
+    beta = np.zeros((0, n), b.dtype)
     back = model.step.T.copy()
     for t in range(times - 1, -1, -1):
         lo, hi = starts[t], starts[t + 1]
-        ones = np.ones((hi - lo, n))
+        ones = np.ones((hi - lo, n), b.dtype)
         if len(beta):
             m = len(beta)
             weighed = b[starts[t + 1] : starts[t + 2]] * beta / scales[starts[t + 1] : starts[t + 2], None]
@@ -210,45 +213,84 @@ def expected(model: Hmm, sequences: list[np.ndarray], start: np.ndarray, step: n
     start += gamma[: starts[1]].sum(0)
     for k in range(n):
         emit[k] += np.bincount(flat, gamma[:, k], emit.shape[1])
+    return float(np.log(scales).sum(dtype=float))
 
 
 def _sequences(column: pa.Array) -> list[np.ndarray]:
     return [np.frombuffer(x.as_py(), "<u2") for x in column]
 
 
+def _rows(start: np.ndarray, step: np.ndarray, emit: np.ndarray, log: float) -> pa.RecordBatch:
+    """A task's counts. Rows: symbol, counts by state; -1 - k: steps from state k; -1000: starts; -1001: log-likelihood, then tokens."""
+    n = len(start)
+    used = np.flatnonzero(emit.sum(0) > 1e-6)
+    last = np.zeros(n)
+    last[:2] = log, emit.sum()
+    rows = np.concatenate([emit.T[used], step, start[None], last[None]])
+    numbers = np.concatenate([used, -1 - np.arange(n), [-1000, -1001]])
+    return pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), *(pa.array(rows[:, k].astype(np.float32)) for k in range(n))], ["symbol", *(f"e{k}" for k in range(n))])
+
+
+def _leaned(states: int, size: int):
+    """Symbols of a task's training texts by the state that each text leans to."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        emit = np.zeros((states, size))
+        for batch in batches:
+            own, leans = _sequences(batch.column("symbols")), batch.column("lean").to_numpy()
+            for k in np.unique(leans):
+                emit[k] += np.bincount(np.concatenate([own[j] for j in np.flatnonzero(leans == k)]), minlength=size)
+        yield _rows(np.zeros(states), np.zeros((states, states)), emit, 0.0)
+
+    return count
+
+
 def _expected(shared: Broadcast, size: int):
-    """Expected counts of a task's training texts. Rows: symbol, counts by state; -1 - k: steps from state k; -1000: starts."""
+    """Expected counts of a task's training texts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model: Hmm = shared.value
+        own: Hmm = shared.value
+        model = Hmm(own.start.astype(np.float32), own.step.astype(np.float32), own.emit.astype(np.float32))
         n = len(model.start)
-        start, step, emit = np.zeros(n), np.zeros((n, n)), np.zeros((n, size))
+        start, step, emit, log = np.zeros(n), np.zeros((n, n)), np.zeros((n, size)), 0.0
         for batch in batches:
-            own = _sequences(batch.column("symbols"))
-            for group in _groups(own):
-                expected(model, [own[k] for k in group], start, step, emit)
-        used = np.flatnonzero(emit.sum(0) > 1e-6)
-        rows = np.concatenate([emit.T[used], step, start[None]])
-        numbers = np.concatenate([used, -1 - np.arange(n), [-1000]])
-        yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), *(pa.array(rows[:, k].astype(np.float32)) for k in range(n))], ["symbol", *(f"e{k}" for k in range(n))])
+            texts = _sequences(batch.column("symbols"))
+            for group in _groups(texts):
+                log += expected(model, [texts[k] for k in group], start, step, emit)
+        yield _rows(start, step, emit, log)
 
     return count
 
 
-def _start_model(sample: list[np.ndarray], unigram: np.ndarray, states: int, rounds: int) -> Hmm:
-    """A starting point: each text leans to one state at random, then Baum-Welch on the sample."""
-    draw = np.random.default_rng(17)
-    size = len(unigram)
-    emit = np.zeros((states, size))
-    for s in sample:
-        emit[draw.integers(states)] += np.bincount(s, minlength=size)
-    step = np.full((states, states), 0.2) + np.eye(states) * 20
-    model = Hmm.from_counts(np.ones(states), step, emit.T, unigram)
-    for _ in range(rounds if sample else 0):
-        start, step, emit = np.zeros(states), np.zeros((states, states)), np.zeros((states, size))
-        for group in _groups(sample):
-            expected(model, [sample[k] for k in group], start, step, emit)
-        model = Hmm.from_counts(start, step, emit.T, unigram)
+def _summed(parts: DataFrame, states: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, float, float]:
+    """All tasks' counts: starts, steps, emissions (symbols x states), log-likelihood, tokens."""
+    got = parts.groupBy("symbol").agg(*[F.sum(f"e{k}").alias(f"e{k}") for k in range(states)]).toPandas()
+    numbers, values = got["symbol"].to_numpy(), got[[f"e{k}" for k in range(states)]].to_numpy(float)
+    emit = np.zeros((size, states))
+    emit[numbers[numbers >= 0]] = values[numbers >= 0]
+    step = np.zeros((states, states))
+    steps = (numbers < 0) & (numbers > -1000)
+    step[-1 - numbers[steps]] = values[steps]
+    log, tokens = values[numbers == -1001].sum(0)[:2]
+    return values[numbers == -1000].sum(0), step, emit, log, tokens
+
+
+def fitted(train: DataFrame, unigram: np.ndarray, states: int, rounds: int, gain: float) -> Hmm:
+    """Baum-Welch over all rows of ``train`` (doc_id, symbols): ``rounds`` at most, until one gains less than ``gain`` a token."""
+    spark, size = train.sparkSession, len(unigram)
+    fields = "symbol int, " + ", ".join(f"e{k} float" for k in range(states))
+    lean = train.select("symbols", F.pmod(F.xxhash64("symbols", "doc_id"), F.lit(states)).cast("int").alias("lean"))
+    _, _, emit, _, _ = _summed(lean.mapInArrow(_leaned(states, size), fields), states, size)
+    model = Hmm.from_counts(np.ones(states), np.full((states, states), 0.2) + np.eye(states) * 20, emit, unigram)
+    last = -math.inf
+    for k in range(rounds):
+        shared = spark.sparkContext.broadcast(model)
+        start, step, emit, log, tokens = _summed(train.select("symbols").mapInArrow(_expected(shared, size), fields), states, size)
+        shared.unpersist()
+        model = Hmm.from_counts(start, step, emit, unigram)
+        if k >= LEAST and log - last < gain * tokens:  # the first rounds part states that start alike, which gains little yet
+            break
+        last = log
     return model
 
 
@@ -274,7 +316,7 @@ def _symbol_of(word: Column, rare: int) -> Column:
 
 
 def scored(
-    docs: DataFrame, held_out: Column, head: int = HEAD, rare: int = RARE, states: int = STATES, start_docs: int = 1000, start: int = 12, rounds: int = 2
+    docs: DataFrame, held_out: Column, head: int = HEAD, rare: int = RARE, states: int = STATES, start: int = 12, rounds: int = 2, gain: float = GAIN
 ) -> DataFrame:
     """For each row of ``docs`` (doc_id, text): held_out, n_tokens, n_known, train_tokens, base_score, score. Rows that are ``held_out`` don't train."""
     spark = docs.sparkSession
@@ -311,22 +353,8 @@ def scored(
     less[vocabulary.end + 1 :] = np.log10(c_rare + 0.5 * (v_rare + 1))
     unigram /= unigram.sum()
 
-    train = coded.where(~F.col("held_out"))
-    share = min(1.0, (1.5 * start_docs + 50) / max(1, n_docs))
-    near = train.select("symbols", F.xxhash64("rid", "doc_id").alias("h")).where(F.col("h") / F.lit(2.0**64) + 0.5 < share)
-    sample = [np.frombuffer(bytes(r["symbols"]), "<u2") for r in near.orderBy("h").limit(start_docs).select("symbols").collect()]
-    model = _start_model(sample, unigram, states, start)
-    fields = ", ".join(f"e{k} float" for k in range(states))
-    for _ in range(rounds if n_docs else 0):
-        parts = train.select("symbols").mapInArrow(_expected(spark.sparkContext.broadcast(model), size), f"symbol int, {fields}")
-        got = parts.groupBy("symbol").agg(*[F.sum(f"e{k}").alias(f"e{k}") for k in range(states)]).toPandas()
-        numbers, values = got["symbol"].to_numpy(), got[[f"e{k}" for k in range(states)]].to_numpy(float)
-        emit = np.zeros((size, states))
-        emit[numbers[numbers >= 0]] = values[numbers >= 0]
-        step = np.zeros((states, states))
-        steps = (numbers < 0) & (numbers > -1000)
-        step[-1 - numbers[steps]] = values[steps]
-        model = Hmm.from_counts(values[numbers == -1000].sum(0), step, emit, unigram)
+    train = coded.where(~F.col("held_out")).select("doc_id", "symbols")
+    model = fitted(train, unigram, states, start + rounds if n_docs else 0, gain)
 
     logs = coded.select("rid", "doc_id", "held_out", "n_tokens", "head_known", "head_log", "symbols").mapInArrow(
         _scored(spark.sparkContext.broadcast(model), spark.sparkContext.broadcast(less)), f"rid bigint, doc_id {kind}, held_out boolean, n_tokens bigint, head_known bigint, head_log double, log double"
