@@ -225,6 +225,20 @@ def test_html_text(spark, none):
     assert html_text.extracted(pages.limit(0)).count() == 0
 
 
+def test_html_articles_in_parts(spark):
+    intro, body, end = (" ".join([w] * n) + "." for w, n in (("intro", 33), ("body", 160), ("end", 30)))
+    page = "<html><body><nav>menu</nav>{}<div class='legal'>All rights reserved.</div></body></html>"
+    parts = f"<h1>Title</h1><section class='intro'><p>{intro}</p></section><section class='body'><p>{body}</p></section><section class='outro'><p>{end}</p></section>"
+    table = f"<h1>Title</h1><p>{intro}</p><table><tr><td>{body}</td><td><math><mi>x</mi><annotation>x</annotation></math></td></tr></table><p>{end}</p>"
+    inner = f"<h1>Title</h1><div class='text'><p>{body}</p><p>{body}</p></div>"
+    pages = [f"<article>{parts}</article>", f"<div class='content'>{parts}</div>", f"<article>{table}</article>", f"<div class='content'>{table}</div>", f"<div class='content [&>p]:mt'>{inner}</div>", f"<article><div class='text'><h1>Title</h1><p>{intro}</p></div></article>"]
+    want = ["Title", intro, body, end]
+    got = {r.page_id: r.text.split("\n\n") for r in html_text.extracted(spark.createDataFrame([(k, f"https://h{k}.example", page.format(p)) for k, p in enumerate(pages)], "page_id long, url string, html string")).collect()}
+    assert got[0] == got[1] == want
+    assert got[2] == got[3] == [*want[:3], "x", end]
+    assert got[4] == ["Title", body, body] and got[5] == ["Title", intro]
+
+
 def test_html_pages_of_the_tables(spark):
     import html
 

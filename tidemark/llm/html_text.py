@@ -1,7 +1,8 @@
 """HTML extraction: consensus host paths.
 
-1. Each page's containers are scored by the text of their blocks: a block counts fully for the container it stands in and
-   half for the one around it; link text counts against it. A page votes for the path of its best container.
+1. Each container path of a page is worth all text below it, link text counted against. From the outside in, a page follows a path that keeps
+   nearly all of the worth and the main headings, or the only ``article`` or ``main`` if it keeps most; it votes for the path where it ends. An article is not entered
+   further, so sections and tables of any class stay together.
 2. Spark adds up the votes by host and path. A path is the chain of container tags with their classes, digits
    generalised, so that ``post-17`` and ``post-18`` are one path. Votes are summed within tasks first: a host with a
    third of all pages is a few rows of the shuffle. The path with most votes wins its host, then the higher score, then the shorter one.
@@ -30,6 +31,7 @@ _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _SPACES = re.compile(r"\s+")
 _DIGITS = re.compile(r"\d+")
+_ARTICLE = re.compile(r">(?:article|main)(?:\.|$)")
 
 CONTAINERS = frozenset("html body main article section div td center".split())
 BLOCKS = frozenset(
@@ -38,7 +40,7 @@ BLOCKS = frozenset(
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Content that is no text; the parser skips to the end tag.
-RAW = frozenset("script style noscript template textarea svg math iframe object title select".split())
+RAW = frozenset("script style noscript template textarea svg iframe title select annotation annotation-xml".split())
 DROPPED = frozenset("nav aside footer form button dialog menu head".split())
 #: Words of a class, id or role that mark what is not the article.
 MARKS = frozenset(
@@ -48,6 +50,8 @@ MARKS = frozenset(
 )
 _PART = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"([a-z])([A-Z])")
+#: Share of a container's worth that a path inside must keep to be followed; the only article or main needs ``MOST``.
+NEARLY_ALL, MOST = 0.95, 0.5
 #: Opening one of these ends an open one of the same family.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
@@ -67,6 +71,7 @@ class Block:
     parts: list[str] = field(default_factory=list)
     linked: int = 0
     sealed: bool = False
+    heading: bool = False
 
     def text(self) -> str:
         return _SPACES.sub(" ", entities.unescape("".join(self.parts))).strip()
@@ -104,7 +109,7 @@ def parse(page: str) -> tuple[list[str], list[Block]]:
             text = page[at : m.start()]
             if now is None:
                 if not text.isspace():
-                    blocks.append(now := Block(top.up))
+                    blocks.append(now := Block(top.up, heading=any(e.tag == "h1" for e in stack)))
             if now is not None:
                 now.parts.append(text)
                 now.linked += len(text) if top.linked else 0
@@ -170,19 +175,34 @@ def parse(page: str) -> tuple[list[str], list[Block]]:
     return paths, blocks
 
 
-def scores(paths: list[str], blocks: list[Block]) -> dict[str, float]:
-    """Score by path: a block's text counts for its container, half for the next one out; links against it."""
-    out: dict[str, float] = defaultdict(float)
-    for b in blocks:
-        size = sum(map(len, b.parts))
-        worth = max(0.0, size - 2.0 * b.linked)
-        for share, k in zip((1.0, 0.5), reversed(b.up), strict=False):
-            out[paths[k]] += share * worth
-    return out
-
-
 def best_path(paths: list[str], blocks: list[Block]) -> tuple[str, float]:
-    return min(((p, s) for p, s in scores(paths, blocks).items()), key=lambda x: (-x[1], len(x[0]), x[0]), default=("", 0.0))
+    """The path that holds a page's text, and the worth of all text below it: links count against their block."""
+    worth: dict[str, float] = defaultdict(float)
+    headings: Counter[str] = Counter()
+    inside: dict[str, set[str]] = defaultdict(set)
+    for b in blocks:
+        own = max(0.0, sum(map(len, b.parts)) - 2.0 * b.linked)
+        if not own:
+            continue
+        around = ""
+        for k in b.up:
+            path = paths[k]
+            worth[path] += own
+            headings[path] += b.heading
+            if path != around:
+                inside[around].add(path)
+            around = path
+    at, entered = "", False
+    while inside[at] and not entered:
+        articles = [p for p in inside[at] if _ARTICLE.match(p, len(at))]
+        best = min(inside[at], key=lambda p: (-worth[p], len(p), p))
+        if len(articles) == 1 and worth[articles[0]] > MOST * worth[at]:
+            at, entered = articles[0], True
+        elif worth[best] >= NEARLY_ALL * worth[at] and headings[best] == headings[at]:
+            at, entered = best, best in articles
+        else:
+            break
+    return at, worth[at]
 
 
 def text_of(page: str, winner: str | None) -> str:
