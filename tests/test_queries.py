@@ -44,6 +44,12 @@ def test_runs(spark, name):
     assert QUERIES[name](spark, SF).count() >= 0
 
 
+def test_first_links_takes_the_operators_default(spark, tmp_path):
+    html = "".join(f'<a href="/x{k}">x</a>' for k in range(50))
+    spark.createDataFrame([(1, "https://h.example/", html)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert QUERIES["win10_first_links"](spark, str(tmp_path)).count() == 40
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())

@@ -88,7 +88,7 @@ QUERIES = {
     "str10_hosts": lambda s, d: E.hosts(view(s, d, "pages"), "url"),
     "str11_article_links": lambda s, d: view(s, d, "pages").select("page_id", F.array_join(U.article_links(F.col("html"), F.col("url")), " ").alias("links")),
     "str12_feed_candidates": lambda s, d: view(s, d, "pages").select("page_id", F.size(U.feed_candidates(F.concat(F.lit('<link rel="alternate" type="application/rss+xml" href="/own.xml">'), F.col("html")), F.col("url"))).alias("n"), U.feed_candidates(F.concat(F.lit('<link type="application/rss+xml" href="/own.xml">'), F.col("html")), F.col("url"))[1].alias("second")),
-    "win10_first_links": lambda s, d: D.articles(view(s, d, "pages").withColumn("html", F.regexp_replace("html", 'href="/', 'href="/a/')), 4),
+    "win10_first_links": lambda s, d: D.articles(view(s, d, "pages").withColumn("html", F.regexp_replace("html", 'href="/', 'href="/a/'))),
     "job4_documents": lambda s, d: seeded(s, d).select("doc_id", "person_id", "canonical_url", "date_source", "publication_date", F.length("text").alias("n_chars")),
     "fil6_long_enough": lambda s, d: view(s, d, "documents").select("doc_id", X.long_enough(F.col("text")).alias("keep")),
     "src7_hashed_pages": lambda s, d: tables.hashed_pages(view(s, d, "pages")).select("page_id", "content_hash", "shard"),
