@@ -146,12 +146,45 @@ def test_near_dedup(spark, odd, none, docs):
     made = spark.createDataFrame(chain + star + passage, "doc_id long, text string")
     for df in (docs.select("doc_id", "text"), made):
         texts = {r.doc_id: r.text for r in df.collect()}
-        got = {r.id: r.class_id for r in near_dedup.classes(df).collect()}
-        assert partition(texts, brute_classes(list(texts.values()))) == partition(got, got.values())
-        assert all(min(k for k in got if got[k] == c) == c for c in set(got.values()))
+        want = partition(texts, brute_classes(list(texts.values())))
+        for how in ({}, {"block_texts": 3}, {"block_items": 500}):
+            got = {r.id: r.class_id for r in near_dedup.classes(df, **how).collect()}
+            assert want == partition(got, got.values())
+            assert all(min(k for k in got if got[k] == c) == c for c in set(got.values()))
     out = near_dedup.one_of_each(odd)
     assert out.columns == odd.columns and out.where("doc_id = 5").count() == 2 and out.where("doc_id in (7, 8)").count() == 1 and out.where("doc_id in (1, 2, 3) or text is null").count() == 1
     assert near_dedup.classes(odd).count() == odd.count() and near_dedup.classes(none).count() == 0
+    named = odd.withColumn("doc_id", F.concat(F.lit("d"), "doc_id"))
+    assert {r.class_id for r in near_dedup.classes(named).where("id in ('d7', 'd8')").collect()} == {"d7"}
+
+
+def test_links_of_block_pairs():
+    """A bucket whose texts aren't joined by its star: all links between components that brute force finds, whatever the blocks."""
+    rng = np.random.default_rng(4)
+    texts = []
+    for _ in range(12):
+        base = rng.integers(0, 2**32, 60, np.uint32)
+        for _ in range(6):
+            own = base.copy()
+            own[rng.integers(0, 60, rng.integers(0, 4))] = rng.integers(0, 2**32)
+            texts.append(own.tobytes())
+    roots, sides = list(range(len(texts))), np.array([k % 2 for k in range(len(texts))])
+    found = [near_dedup.items(np.frombuffer(t, "<u4")) for t in texts]
+    common = near_dedup._common(found, 7)
+    assert all(common[a, b] == len(set(found[a]) & set(found[b])) for a in range(72) for b in range(a))
+    for side in (np.zeros(72, int), sides):
+        links = list(near_dedup._joined(roots, side, texts, 0.8))
+        want = [(a, b) for a in range(72) for b in range(a + 1, 72) if near_dedup.chain(found[a], found[b]) >= 0.8 and (not side.any() or side[a] != side[b])]
+        assert set(links) <= set(want) and len(links) < 72
+
+        def classes(pairs):
+            up = list(range(72))
+            for _ in range(72):
+                for a, b in pairs:
+                    up[a] = up[b] = min(up[a], up[b])
+            return up
+
+        assert classes(links) == classes(want)
 
 
 # --- language model -----------------------------------------------------------------------------------------------------------------

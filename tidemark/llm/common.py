@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Rows of a side table up to which it is broadcast; beyond it the join is a shuffled one.
 BROADCAST_ROWS = 100_000
@@ -31,14 +32,58 @@ def shared_dir(spark: SparkSession) -> str:
 
 def stored(df: DataFrame) -> DataFrame:
     """Write ``df`` once into the shared folder and read it back: cuts the lineage, and a lost
-    executor costs no earlier stage. The files go when the session ends."""
+    executor costs no earlier stage. The files go by ``discard``, or when the session ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidemark-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    jvm = spark.sparkContext._jvm
-    there = jvm.org.apache.hadoop.fs.Path(path)
-    there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(there)
-    return spark.read.schema(df.schema).parquet(path)
+    _files(spark, path)[0].deleteOnExit(_files(spark, path)[1])
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def _files(spark: SparkSession, path: str):
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), there
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``stored`` has written, once nothing reads them any more."""
+    for df in tables:
+        files, there = _files(df.sparkSession, df.stored_at)
+        files.delete(there, True)
+
+
+def bounded_batches(df: DataFrame, size: str = "8m") -> DataFrame:
+    """``df`` itself; from now on Arrow batches of its session are cut at ``size`` bytes instead of Spark's 64 MB, so that texts
+    of any length take bounded memory in a Python worker. A setting of the session's own stays."""
+    spark, key = df.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if key not in spark.conf.getAll:
+        spark.conf.set(key, size)
+    return df
+
+
+def apart(docs: DataFrame) -> DataFrame:
+    """``docs`` as doc_id, a struct of all columns but the text, and text: so a text goes to Python once."""
+    rest = [F.col(c) for c in docs.columns if c != "text"]
+    return docs.select(F.struct(*rest).alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def together(out: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of ``docs`` again, from what ``apart`` made."""
+    kind = docs.schema["text"].dataType
+    return out.select(*[F.col("text").cast(kind).alias(c) if c == "text" else F.col("doc_id")[c].alias(c) for c in docs.columns])
+
+
+def id_of(docs: DataFrame) -> Column:
+    """The row's ``doc_id``: a long if it is an integer of any width, else as text; a null id is replaced by a hash of the text."""
+    own = F.xxhash64(F.col("text").cast("string"))
+    kind = "long" if isinstance(docs.schema["doc_id"].dataType, T.IntegralType) else "string"
+    return F.coalesce(F.col("doc_id").cast(kind), own.cast(kind))
+
+
+def id_type(docs: DataFrame) -> str:
+    return "bigint" if isinstance(docs.schema["doc_id"].dataType, T.IntegralType) else "string"
 
 
 def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

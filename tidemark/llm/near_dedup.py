@@ -1,18 +1,25 @@
 """MinHash near-dedup with Order MinHash sketches, verified by banded alignment.
 
-1. A text is its words (A-Z in lower case, cut at ASCII white space); texts of equal words are one text, however many documents have
-   it. Its items are the runs of five words, each with its occurrence number. For each of ``bands`` x ``rows`` random orders the two lowest
-   items are sampled and hashed in the order of the text; ``rows`` such sketches make the key of a band.
-2. Texts that share a key are a bucket. In each bucket the most central text, the one with the largest buckets over all its keys, is compared with the others: a
-   star instead of all pairs, which joins most classes. Where a bucket's texts are still of several components, its pairs of different components go on if their
-   sketches agree as often as those of similar texts do; they are compared inside the join, so only near pairs come out of it, each once.
-3. A pair is verified by the longest common chain of items in text order, whose places may differ by as much as the similarity allows
-   (the band). Chain / (items of both - chain) must reach ``similarity``: it counts five-word runs in order, and equals their Jaccard similarity unless passages moved.
-4. Components by alternating stars; a component is a class, named by its lowest document id.
-
-Texts are told apart by 64-bit hashes. Nothing is capped; pairs are joined by text, and hot texts and buckets are split by Spark's skew joins. Each step's result is a table in the shared folder.
-
-Cases: null and blank texts are equal texts. A text of one to four words has a single item. A null id is replaced by a hash of the text.
+1. A text is its words (A-Z in lower case, cut at ASCII white space); texts of equal words are one text, however many
+   documents have it. Its items are the runs of five words, each with its occurrence number. For each of ``bands`` x ``rows``
+   random orders the two lowest items are sampled and hashed in the order of the text; ``rows`` such sketches make the key of a band.
+2. Texts that share a key are a bucket; of buckets with the same texts one is enough. In each bucket the most central text,
+   the one with the largest buckets over all its keys, is compared with the others: a star, which joins most classes.
+3. A bucket whose texts are still of several components is cut into blocks of bounded size. Each pair of blocks that can hold a pair of
+   different components goes to one group of a task, which counts the items that its texts have in common, all at once, and verifies
+   the pairs that have enough. It returns links that join components, at most one less than the components it has: nothing is
+   missed, and what comes out grows with the texts, not with their pairs.
+4. A pair is verified by the longest common chain of items in text order, whose places may differ by as much as the similarity allows
+   (the band). Chain / (items of both - chain) must reach ``similarity``: it counts five-word runs in order, and equals
+   their Jaccard similarity unless passages moved.
+5. Components by alternating stars; a component is a class, named by its lowest document id.
+
+Texts are told apart by 64-bit hashes. Nothing is capped. A text of a bucket's largest component goes to as many groups as there are
+blocks of the others, and the other way round; hot texts and keys are split by Spark's skew joins.
+Each step's result is a table in the shared folder, deleted when it is done with.
+
+Cases: null and blank texts are equal texts. A text of one to four words has a single item. A null id is replaced by a hash of the text;
+ids that are no integers are compared as text. Ties: of the lowest id's rows the one with the lowest hash of the text stands for the class.
 Repeated rows are copies. An empty table gives no rows. Extra columns are ignored.
 """
 
@@ -28,13 +35,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import small_side, stored
+from tidemark.llm.common import bounded_batches, discard, id_of, id_type, small_side, stored
 from tidemark.llm.packing import slices
 
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS = 40
 ROWS = 3
+#: Texts and items of one block; a group of a task has two blocks.
+BLOCK_TEXTS = 1000
+BLOCK_ITEMS = 500_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -66,8 +76,8 @@ class Sketcher:
         draw = np.random.default_rng(20_240_501)
         self.factors = draw.integers(0, 2**63, bands * rows, np.uint64) * np.uint64(2) + np.uint64(1)
 
-    def __call__(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """One key for each band; and 16 bits of each sketch, with its number above them."""
+    def __call__(self, h: np.ndarray) -> np.ndarray:
+        """One key for each band."""
         out = np.empty(len(self.factors), np.uint64)
         most = max(1, 2_000_000 // len(h))
         for at in range(0, len(self.factors), most):
@@ -83,7 +93,7 @@ class Sketcher:
         keys = np.arange(self.bands, dtype=np.uint64)
         for k in range(self.rows):
             keys = _mixed(keys + _MIX + out[k :: self.rows])
-        return keys.view(np.int64), (np.arange(len(out)) << 16 | (out >> np.uint64(48)).astype(np.int64)).astype(np.int32)
+        return keys.view(np.int64)
 
 
 def _lists(rows: list[np.ndarray], kind: type) -> pa.Array:
@@ -95,14 +105,14 @@ def _sketched(bands: int, rows: int):
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketcher = Sketcher(bands, rows)
         for batch in batches:
-            for first, texts in slices(batch.column("text")):
+            for first, texts in slices(batch.column("text"), 4_000_000):
                 cut = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("")))
                 coded = cut.values.dictionary_encode()
                 distinct = coded.dictionary.cast(pa.binary()).to_pylist()
                 hashes = np.fromiter((xxhash.xxh32_intdigest(w) for w in distinct), np.uint32, len(distinct))
                 real = np.fromiter(map(len, distinct), np.int64, len(distinct)) > 0
                 codes, ends = coded.indices.to_numpy(), cut.offsets.to_numpy() - cut.offsets[0].as_py()
-                tids, n, words, keys, sketches = [], [], [], [], []
+                tids, n, words, keys = [], [], [], []
                 for k in range(len(texts)):
                     own = codes[ends[k] : ends[k + 1]]
                     own = hashes[own[real[own]]]
@@ -111,11 +121,11 @@ def _sketched(bands: int, rows: int):
                     words.append(raw)
                     h = items(own) if len(own) else np.zeros(0, np.uint64)
                     n.append(len(h))
-                    for kept, found in zip((keys, sketches), sketcher(h) if len(h) else (np.zeros(0, np.int64), np.zeros(0, np.int32)), strict=True):
-                        kept.append(found)
+                    keys.append(sketcher(h) if len(h) else np.zeros(0, np.int64))
+                own = [batch.column(c).slice(first, len(texts)) for c in ("id", "th")]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("id").slice(first, len(texts)), batch.column("th").slice(first, len(texts)), pa.array(np.array(tids, np.uint64).view(np.int64)), pa.array(n, pa.int32()), pa.array(words, pa.binary()), _lists(keys, np.int64), _lists(sketches, np.int32)],
-                    ["id", "th", "tid", "n", "words", "keys", "sketches"],
+                    [*own, pa.array(np.array(tids, np.uint64).view(np.int64)), pa.array(n, pa.int32()), pa.array(words, pa.binary()), _lists(keys, np.int64)],
+                    ["id", "th", "tid", "n", "words", "keys"],
                 )
 
     return sketch
@@ -156,8 +166,68 @@ def _verified(similarity: float):
     return verify
 
 
+def _common(own: list[np.ndarray], columns: int = 2048) -> np.ndarray:
+    """How many items each two of the texts have in common: the product of their incidence matrix with itself, ``columns`` items at a time."""
+    values, code, times = np.unique(np.concatenate(own), return_inverse=True, return_counts=True)
+    of = np.repeat(np.arange(len(own)), [len(x) for x in own])
+    number = np.cumsum(times > 1) - 1  # an item of one text has nothing in common
+    of, code = of[times[code] > 1], number[code[times[code] > 1]]
+    by = np.argsort(code, kind="stable")
+    of, code = of[by], code[by]
+    out = np.zeros((len(own), len(own)), np.float32)
+    for at in range(0, int(number[-1]) + 1, columns):
+        a, b = np.searchsorted(code, (at, at + columns))
+        part = np.zeros((len(own), columns), np.float32)
+        part[of[a:b], code[a:b] - at] = 1
+        out += part @ part.T
+    return out
+
+
+def _joined(roots: list[int], sides: np.ndarray, raw: list[bytes], similarity: float) -> Iterator[tuple[int, int]]:
+    """Links between texts of different components and, where there are two, different sides; none that joins what is joined already."""
+    up: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while up.get(x, x) != x:
+            x = up[x]
+        return x
+
+    own = [items(np.frombuffer(w, "<u4")) for w in raw]
+    n, ids = np.array([len(x) for x in own]), np.unique(np.array(roots), return_inverse=True)[1]
+    may = _common(own) >= similarity * (n[:, None] + n[None, :]) / (1 + similarity) - 1e-6
+    may &= ids[:, None] != ids[None, :]
+    if sides.min() != sides.max():
+        may &= sides[:, None] != sides[None, :]
+    for i, j in np.argwhere(np.triu(may, 1)).tolist():
+        a, b = top(roots[i]), top(roots[j])
+        if a != b and chain(own[i], own[j], similarity) >= similarity:
+            up[max(a, b)] = min(a, b)
+            yield roots[i], roots[j]
+
+
+def _linked(similarity: float):
+    """Rows in order of key, low, high: the links (of roots) of each group."""
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, rows = None, []
+
+        def found() -> pa.RecordBatch:
+            links = list(_joined([r[0] for r in rows], np.array([r[1] for r in rows]), [r[2] for r in rows], similarity)) if len(rows) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+        for batch in batches:
+            for group, *row in zip(batch.column("group").to_pylist(), *(batch.column(c).to_pylist() for c in ("root", "block", "words")), strict=True):
+                if group != now:
+                    yield found()
+                    now, rows = group, []
+                rows.append(row)
+        yield found()
+
+    return link
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """Connected components of ``edges`` (a, b) by alternating large and small stars: node, root (its lowest node)."""
+    """Connected components of ``edges`` (a, b) by alternating large and small stars: node, root (its lowest node). A stored table."""
     now = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     state = None
     while True:
@@ -165,11 +235,15 @@ def components(edges: DataFrame) -> DataFrame:
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
-        now = stored(small)
+        ends = F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))
+        small = large.join(low, "u").select(F.explode(ends).alias("e")).select("e.*").where("u <> v").distinct()
+        before, now = now, stored(small)
+        discard(before)
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if seen == state:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            out = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            out.stored_at = now.stored_at
+            return out
         state = seen
 
 
@@ -180,63 +254,76 @@ def _stars(members: DataFrame) -> DataFrame:
     return both.select("a", "a_n", F.col("tid").alias("b"), "n")
 
 
-def _rest(members: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """In each bucket that isn't one component the pairs of different components that have ``least`` sketches in common.
+def _dealt(rooted: DataFrame, texts: int, items_: int) -> DataFrame:
+    """The rows of buckets of several components, once for each pair of blocks that they are in: key, tid, root, block, low, high.
 
-    The sketches of two texts of the least similarity agree more often than that, by 3.6 standard deviations. They are compared within the join, and a pair comes out of
-    the first bucket that it shares only, so what leaves the join are the pairs that need their texts.
+    A bucket's largest component has its own blocks, which are compared with those of the others only.
     """
-    own = members.join(texts.select("tid", "keys", "sketches"), "tid")
-    a = own.select("key", *[F.col(c).alias(f"a_{c}") for c in ("root", "n", "keys", "sketches")], F.col("tid").alias("a"))
-    alike = F.size(F.array_intersect("sketches", "a_sketches")) >= least
-    first = F.array_min(F.array_intersect("keys", "a_keys")) == F.col("key")
-    both = a.join(own, "key").where((F.col("a") < F.col("tid")) & (F.col("root") != F.col("a_root")) & alike & first)
-    return both.select("a", "a_n", F.col("tid").alias("b"), "n")
+    by_root = rooted.groupBy("key", "root").agg(F.count("*").alias("size"), F.sum("n").alias("items"))
+    largest = by_root.groupBy("key").agg(F.max(F.struct("size", "items", "root")).alias("most"), F.sum("size").alias("size"), F.sum("items").alias("items"), F.count("*").alias("roots"))
 
+    def blocks(size: Column, words: Column) -> Column:
+        return F.greatest(F.ceil(size / texts), F.ceil(words / items_)).cast("int")
 
-def _rows(docs: DataFrame) -> DataFrame:
-    text = F.col("text").cast("string")
-    return docs.select(_id().alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
+    open_ = largest.where("roots > 1 and size > 2").select(
+        "key",
+        F.col("most.root").alias("largest"),
+        blocks(F.col("most.size"), F.col("most.items")).alias("own"),
+        blocks(F.col("size") - F.col("most.size"), F.col("items") - F.col("most.items")).alias("others"),
+    )
+    inside = F.col("root") == F.col("largest")
+    block = F.when(inside, F.pmod(F.xxhash64("tid"), "own")).otherwise(F.col("own") + F.pmod(F.xxhash64("tid"), "others")).cast("int")
+    to = F.sequence(F.when(inside, F.col("own")).otherwise(F.lit(0)), F.col("own") + F.col("others") - 1)
+    sent = rooted.join(open_, "key").withColumn("block", block).withColumn("to", F.explode(to))
+    return sent.select("key", "tid", "root", "block", F.least("block", "to").alias("low"), F.greatest("block", "to").alias("high"))
 
 
-def _id() -> Column:
-    return F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string")))
+def _rows(docs: DataFrame) -> DataFrame:
+    text = F.col("text").cast("string")
+    return bounded_batches(docs).select(id_of(docs).alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
 
 
-def classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """For each row of ``docs`` (doc_id, text): id, th (hash of the text), tid (equal for equal words), class_id, and the row that stands for its class: rep_id, rep_th."""
-    sketched = stored(_rows(docs).mapInArrow(_sketched(bands, rows), "id bigint, th bigint, tid bigint, n int, words binary, keys array<bigint>, sketches array<int>"))
+def classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, block_texts: int = BLOCK_TEXTS, block_items: int = BLOCK_ITEMS) -> DataFrame:
+    """For each row of ``docs`` (doc_id, text): id, th (hash of the text), tid (equal for equal words), class_id, and
+    the row that stands for its class: rep_id, rep_th."""
+    sketched = stored(_rows(docs).mapInArrow(_sketched(bands, rows), f"id {id_type(docs)}, th bigint, tid bigint, n int, words binary, keys array<bigint>"))
     texts = stored(sketched.groupBy("tid").agg(F.min(F.struct("id", "th")).alias("rep")))
     each = sketched.select(F.explode("keys").alias("key"), "tid")
     shared = stored(each.groupBy("key").agg(F.min("tid").alias("low"), F.max("tid").alias("high")).where("low <> high").select("key"))
-    members = stored(each.join(shared, "key").distinct())
-    sizes = members.groupBy("key").agg(F.count("*").alias("size"))
-    central = stored(members.join(sizes, "key").groupBy("tid").agg(F.sum("size").alias("central")))
-    involved = stored(central.join(texts, "tid").select("tid", F.col("rep.id").alias("id"), F.col("rep.th").alias("th")))
-    full = stored(sketched.join(small_side(involved), ["tid", "id", "th"]).select("tid", "n", "words", "keys", "sketches").dropDuplicates(["tid"]))
-    members = stored(members.join(central, "tid").join(full.select("tid", "n"), "tid"))
-
-    def checked(pairs: DataFrame) -> DataFrame:
-        near = pairs.where(F.least("n", "a_n") >= similarity * F.greatest("n", "a_n")).select("a", "b").distinct()
-        right, left = (full.select(F.col("tid").alias(c), F.col("words").alias(f"{c}_words")) for c in ("b", "a"))
-        return near.join(right, "b").join(left, "a").select("a", "b", "a_words", "b_words").mapInArrow(_verified(similarity), "a bigint, b bigint")
-
-    edges = stored(checked(_stars(members)))
+    shares = stored(each.join(shared.hint("merge"), "key").distinct())
+    sizes = shares.groupBy("key").agg(F.count("*").alias("size"), F.sum(F.xxhash64("tid").cast("decimal(38,0)")).alias("texts"))
+    buckets = stored(sizes.groupBy("size", "texts").agg(F.min("key").alias("key")))
+    members = stored(shares.join(buckets.select("key", "size"), "key"))
+    central = stored(members.groupBy("tid").agg(F.sum("size").alias("central")).join(texts, "tid").select("tid", "central", F.col("rep.id").alias("id"), F.col("rep.th").alias("th")))
+    full = stored(sketched.join(small_side(central), ["tid", "id", "th"]).select("tid", "n", "words", "central").dropDuplicates(["tid"]))
+    starred = stored(members.join(full.select("tid", "n", "central"), "tid").select("key", "tid", "n", "central"))
+    discard(shared, shares, buckets, members)
+
+    near = _stars(starred).where(F.least("n", "a_n") >= similarity * F.greatest("n", "a_n")).select("a", "b").distinct()
+    pairs = stored(near)
+    right, left = (full.select(F.col("tid").alias(c), F.col("words").alias(f"{c}_words")) for c in ("b", "a"))
+    both = small_side(pairs).join(right, "b").join(left, "a").select("a", "b", "a_words", "b_words")
+    edges = stored(both.mapInArrow(_verified(similarity), "a bigint, b bigint"))
     found = components(edges)
-    rooted = members.select("key", "tid", "n").join(found.select(F.col("node").alias("tid"), "root"), "tid", "left").withColumn("root", F.coalesce("root", "tid"))
-    open_ = rooted.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("size")).where("r0 <> r1 and size > 2").select("key")
-    p, n = similarity**2, bands * rows
-    more = stored(checked(_rest(stored(rooted.join(open_, "key", "left_semi")), full, p * n - 3.6 * (p * (1 - p) * n) ** 0.5)))
-    if not more.isEmpty():
-        found = components(edges.unionByName(more))
+
+    rooted = stored(starred.join(found.select(F.col("node").alias("tid"), "root"), "tid", "left").withColumn("root", F.coalesce("root", "tid")))
+    dealt = stored(_dealt(rooted, block_texts, block_items))
+    group = F.struct("key", "low", "high")
+    sent = small_side(dealt).join(full.select("tid", "words"), "tid").select(group.alias("group"), "root", "block", "words")
+    more = stored(sent.repartition("group").sortWithinPartitions("group").mapInArrow(_linked(similarity), "a bigint, b bigint"))
+    joined = components(more)
     known = texts.join(found.select(F.col("node").alias("tid"), "root"), "tid", "left").withColumn("root", F.coalesce("root", "tid"))
+    again = joined.select(F.col("node").alias("root"), F.col("root").alias("top"))
+    known = known.join(again, "root", "left").withColumn("root", F.coalesce("top", "root"))
     by_root = known.groupBy("root").agg(F.min("rep").alias("best"))
-    named = stored(known.join(by_root, "root").select("tid", F.col("best.id").alias("class_id"), F.col("best.id").alias("rep_id"), F.col("best.th").alias("rep_th")))
-    return sketched.select("id", "th", "tid").join(named, "tid").select("id", "th", "tid", "class_id", "rep_id", "rep_th")
+    named = known.join(by_root, "root").select("tid", F.col("best.id").alias("class_id"), F.col("best.id").alias("rep_id"), F.col("best.th").alias("rep_th"))
+    out = stored(sketched.select("id", "th", "tid").join(named, "tid").select("id", "th", "tid", "class_id", "rep_id", "rep_th"))
+    discard(sketched, texts, central, full, starred, pairs, edges, found, rooted, dealt, more, joined)
+    return out
 
 
 def one_of_each(docs: DataFrame, **how) -> DataFrame:
     """The rows of ``docs`` that stand for their class, one for each, with all their columns."""
-    reps = classes(docs, **how).select(F.col("rep_id").alias("__id"), F.col("rep_th").alias("__th")).distinct()
-    keyed = docs.withColumn("__id", _id()).withColumn("__th", F.xxhash64(F.col("text").cast("string")))
-    return keyed.join(reps, ["__id", "__th"], "left_semi").dropDuplicates(["__id", "__th"]).select(docs.columns)
+    reps = classes(docs, **how).select(F.col("rep_id").alias("id"), F.col("rep_th").alias("th")).distinct()
+    keyed = docs.select(F.struct("*").alias("row"), id_of(docs).alias("id"), F.xxhash64(F.col("text").cast("string")).alias("th"))
+    return keyed.join(reps, ["id", "th"], "left_semi").dropDuplicates(["id", "th"]).select("row.*")
