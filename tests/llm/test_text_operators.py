@@ -99,6 +99,23 @@ def test_packing(spark, odd, none, docs, tokenizer, per_task):
     assert packing.sequences(none, WORD).count() == 0
 
 
+def test_ids_are_the_tokenizers(tokenizer):
+    import random
+
+    import pyarrow as pa
+
+    rng = random.Random(5)
+    pools = ["".join(map(chr, range(1, 0x250))), "abcdefghij'.,! ", "日本語テキスト漢字 ", "ёжикЯ İıſK\u0301 \u0308  \x1c\x85", "αΣςσΩ Ω"]
+    texts = ["".join(rng.choice(rng.choice(pools)) for _ in range(rng.randint(0, 15))) for _ in range(8000)]
+    texts += ["Əli", "Ɓala", "Ɔda", "Ɗan", "<|endoftext|>", "a<|startoftext|>b", "x <|startoftext|> y", None]
+    for path in (WORD, tokenizer_path("byte_bpe_50k.json")):  # the second has tokens that begin with a space
+        tokens = packing.Tokens(path)
+        assert tokens.by_word == (path == WORD)
+        for _ in range(2):  # the second time with what was remembered
+            flat, ends = tokens.encode(pa.array(texts))
+            assert [flat[a:b].tolist() for a, b in zip(ends, ends[1:])] == [tokens.full.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
 def test_small_capacity_merges_up_the_tree(spark, tokenizer):
     df = spark.createDataFrame([(k, "a " * (k % 9)) for k in range(120)], "doc_id long, text string")
     found = packing.sequences(df, WORD, capacity=10, per_task=10, fan_in=2).collect()
@@ -193,6 +210,9 @@ def test_language_id(spark, odd, none):
     edge = {r.doc_id: r for r in language_id.languages(odd, content).collect()}
     assert [edge[k].lang_pred for k in (1, 2, 3, 9)] == ["und"] * 4 and edge[9].rejected
     assert language_id.keep_identified(odd, content).columns == odd.columns
+    assert all(map(language_id.has_letter, ("a", "1ª", "日", "_é"))) and not any(map(language_id.has_letter, ("²½", "①", "Ⅷ", "_ 12", "")))
+    many = spark.createDataFrame([(k, f"word{k % 90} " * 3, f"l{k % 90}") for k in range(180)], "doc_id long, text string, lang string")
+    assert len(language_id.dictionaries(many)) == 90
     assert language_id.languages(none, content).count() == 0
     assert {r.lang_pred for r in language_id.languages(odd, language_id.dictionaries(none)).collect()} == {"und"}
 

@@ -12,14 +12,12 @@ A merge of m partitions has at most m bins of half or less, and only those can j
 enough to send up, from each partition, its m + 1 emptiest bins: any other partner can be swapped for
 one of those. That loses no merge and bounds what a task reads, whatever the lengths are.
 
-Cases: a null or empty text has one piece, the end id. Rows with equal ids are packed as rows of
+Cases: ids may be of any type that sorts. A null or empty text has one piece, the end id. Rows with equal ids are packed as rows of
 their own. An empty table gives no pieces. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
-import re
-import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -30,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import small_side, stored
+from tidemark.llm.common import bounded_batches, small_side, stored
 
 CAPACITY = 4096
 END_ID = 1
@@ -38,62 +36,66 @@ END_ID = 1
 PIECES_PER_TASK = 100_000
 FAN_IN = 16
 
-#: Texts with letters up to here are cut into words by the pattern below; others take the tokenizer's own way.
-_SIMPLE = 0x24F
-_LETTERS = "".join(c for c in map(chr, range(_SIMPLE + 1)) if unicodedata.category(c)[0] == "L")
-_NUMBERS = "".join(c for c in map(chr, range(_SIMPLE + 1)) if unicodedata.category(c)[0] == "N")
-_SPACES = "\t\n\v\f\r \x85\xa0"
-_TOKEN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^{_SPACES}{_LETTERS}{_NUMBERS}]+")
-_OTHER = re.compile(f"[^\x00-{chr(_SIMPLE)}]")
-
-
-def _byte_letters() -> list[str]:
-    """Byte-level BPE's letter for each byte: printable ones stand for themselves, the rest follow from 256 on."""
-    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    rest = iter(range(256, 512))
-    return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
-
-
 class Tokens:
     """Token ids of texts, by a public tokenizer; remembers the ids of words.
 
-    The ids are those of ``encode(text, add_special_tokens=False)``. No token reaches over white space, so a
-    text's ids are those of its words. Arrow numbers the distinct words of a batch, the tokenizer's pattern cuts
-    them into pre-tokens, and only pre-tokens not yet seen go through its merges. ``most`` bounds what is remembered.
+    The ids are those of ``encode(text, add_special_tokens=False)``, by the tokenizer itself. If none of its tokens reaches
+    over white space, which is tried out once, a text's ids are those of its words: Arrow numbers the distinct words of a
+    slice, and the tokenizer gets only those it hasn't seen, many in one string between special tokens, at which it cuts a
+    text before all else. Other tokenizers get whole texts. Words that occur once in a slice are not remembered, and ``most``
+    bounds the others.
     """
 
-    def __init__(self, path: str, most: int = 200_000):
+    def __init__(self, path: str, most: int = 150_000):
         from tokenizers import Tokenizer
 
-        self.full, self.most, self.parts, self.words = Tokenizer.from_file(path), most, {}, {}
-        self.merge, self.letters = self.full.model, _byte_letters()
-
-    def part(self, part: str) -> bytes:
-        ids = np.array([t.id for t in self.merge.tokenize("".join(map(self.letters.__getitem__, part.encode())))], np.uint32).tobytes()
-        if len(part) <= 40:
-            self.parts[part] = ids
-        return ids
-
-    def word(self, word: str) -> bytes:
-        if _OTHER.search(word) or "<|" in word:
-            ids = np.array(self.full.encode(word, add_special_tokens=False).ids, np.uint32).tobytes()
-        else:
-            found = _TOKEN.findall(word.lower() if word.isascii() else unicodedata.normalize("NFC", word).lower())
-            ids = b"".join([self.parts.get(x) or self.part(x) for x in found])
-        if len(word) <= 40:
-            self.words[word] = ids
-        return ids
+        self.full, self.most, self.known = Tokenizer.from_file(path), most, {}
+        special = [(t.content, k) for k, t in self.full.get_added_tokens_decoder().items() if t.special and not (t.lstrip or t.rstrip or t.single_word)]
+        self.between, self.between_id = min(special, key=lambda x: x[1]) if special else ("", -1)
+        tried = "The e\u0301t\u00e9  of 1999,\nit's\tnot \u0130I  \u0301x-y"
+        self.by_word = self._plain([tried])[0] == b"".join(self._plain(tried.split()))
+
+    def _plain(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, np.uint32).tobytes() for e in self.full.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _ids(self, words: list[str], together: int = 64) -> list[bytes]:
+        """The ids of each word."""
+        mark = self.between
+        if not mark:
+            return self._plain(words)
+        alone = [k for k, w in enumerate(words) if mark in w]
+        shown = list(words)
+        for k in alone:
+            shown[k] = ""
+        joined = [mark.join(shown[k : k + together]) + mark for k in range(0, len(shown), together)]
+        out: list[bytes] = []
+        for e in self.full.encode_batch_fast(joined, add_special_tokens=False):
+            ids = np.array(e.ids, np.uint32)
+            ends, raw = (4 * np.flatnonzero(ids == self.between_id)).tolist(), ids.tobytes()
+            out += [raw[a:b] for a, b in zip([0, *[x + 4 for x in ends]], ends)]
+        for k, own in zip(alone, self._plain([words[k] for k in alone])):
+            out[k] = own
+        return out
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and where each text's ids begin and end."""
-        for held in (self.parts, self.words):
-            if len(held) > self.most:
-                held.clear()
-        cut = pc.ascii_split_whitespace(texts.fill_null(""))
+        texts = texts.fill_null("")
+        if not self.by_word:
+            ids = [np.frombuffer(x, np.uint32) for x in self._plain(texts.to_pylist())]
+            return np.concatenate([*ids, np.zeros(0, np.uint32)]), np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int64)
+        cut = pc.ascii_split_whitespace(texts)
         coded = cut.values.dictionary_encode()
-        known = self.words.get
-        ids = [known(w) or self.word(w) for w in coded.dictionary.to_pylist()]
-        sizes, codes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4, coded.indices.to_numpy()
+        codes, words = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        ids = list(map(self.known.get, words))
+        new = [k for k, x in enumerate(ids) if x is None]
+        if len(self.known) > self.most:
+            self.known.clear()
+        often = np.bincount(codes, minlength=len(words)) > 1
+        for k, own in zip(new, self._ids([words[k] for k in new]), strict=True):
+            ids[k] = own
+            if often[k] and len(words[k]) <= 40:
+                self.known[words[k]] = own
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         flat = np.frombuffer(b"".join(ids), np.uint32)
         of_word = sizes[codes]
         ends = np.concatenate([[0], np.cumsum(of_word)])
@@ -112,16 +114,13 @@ def slices(texts: pa.Array, most: int = 8_000_000) -> Iterator[tuple[int, pa.Arr
         at = to
 
 
-_tokens: dict[str, Tokens] = {}
-
-
 def _pieces(path: str, capacity: int):
     end = np.array([END_ID], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = _tokens.get(path) or _tokens.setdefault(path, Tokens(path))
+        tokens = Tokens(path)  # goes with the partition: workers are reused, and would hold its words
         for batch in batches:
-            for first, texts in slices(batch.column("text")):
+            for first, texts in slices(batch.column("text"), 4_000_000):
                 took, piece, start, length, crc = [], [], [], [], []
                 flat, ends = tokens.encode(texts)
                 for k in range(len(texts)):
@@ -143,8 +142,9 @@ def _pieces(path: str, capacity: int):
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
     """Pieces of at most ``capacity`` tokens: doc_id, piece, start, length, ids_crc32."""
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return own.mapInArrow(_pieces(tokenizer, capacity), "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
+    own = bounded_batches(docs.select("doc_id", F.col("text").cast("string").alias("text")))
+    kind = own.schema["doc_id"].dataType.simpleString()
+    return own.mapInArrow(_pieces(tokenizer, capacity), f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint")
 
 
 def best_fit(lengths: np.ndarray, capacity: int) -> np.ndarray:
