@@ -17,7 +17,6 @@ repeated documents are separate rows. Extra columns are ignored. No items: nothi
 from __future__ import annotations
 
 import re
-import uuid
 from collections.abc import Iterator
 
 import ahocorasick
@@ -27,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import stored
+from tidemark.llm.common import apart, bounded_batches, stored, together
 
 WINDOW = 13
 #: Characters of patterns in one automaton; it takes some 50 bytes for each.
@@ -71,27 +70,19 @@ def _blocks(items: DataFrame, width: int, block_chars: int) -> Iterator[list[tup
         yield block
 
 
-#: The last automaton that this worker process has built, by the name of its block.
-_built: dict[str, ahocorasick.Automaton] = {}
-
-
-def _automaton(name: str, patterns: Broadcast) -> ahocorasick.Automaton:
-    if name not in _built:
-        made = ahocorasick.Automaton()
-        for pattern, n, items in patterns.value:
-            made.add_word(f" {pattern} ", (n, items))
-        made.make_automaton()
-        _built.clear()
-        _built[name] = made
-    return _built[name]
+def _automaton(patterns: Broadcast) -> ahocorasick.Automaton:
+    made = ahocorasick.Automaton()
+    for pattern, n, items in patterns.value:
+        made.add_word(f" {pattern} ", (n, items))
+    made.make_automaton()
+    return made
 
 
 def _scan(patterns: Broadcast, first: bool):
     """Adds the hits of one block of patterns to those of the blocks before."""
-    name = uuid.uuid4().hex
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = _automaton(name, patterns)
+        find = _automaton(patterns)
         for batch in batches:
             texts, n_words, hits, found = batch.column("text").cast(pa.binary()).to_pylist(), [], [], []
             before = [([], [])] * len(texts) if first else zip(batch.column("hits").to_pylist(), batch.column("items").to_pylist(), strict=True)
@@ -141,25 +132,26 @@ def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def contamination(docs: DataFrame, items: DataFrame, width: int = WINDOW, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """For each row of ``docs`` (doc_id of any type, text): n_words, n_hit, items (ids of the items with
-    windows in it, sorted as strings) and spans (places of the hit words in the text, in code points)."""
-    spark = docs.sparkSession
-    out = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    counts = T.StructType().add("n_words", "long")
-    base = T.StructType([out.schema["doc_id"]])
-    state = T.StructType([*base, out.schema["text"], *counts]).add("hits", T.ArrayType(T.IntegerType())).add("items", T.ArrayType(T.StringType()))
+def _scanned(own: DataFrame, items: DataFrame, width: int, block_chars: int) -> DataFrame:
+    """``own`` (doc_id of any type, text) with n_words, hits (numbers of the hit words) and items."""
+    spark, out = own.sparkSession, bounded_batches(own)
+    state = T.StructType([*own.schema]).add("n_words", "long").add("hits", T.ArrayType(T.IntegerType())).add("items", T.ArrayType(T.StringType()))
     first = True
     for number, block in enumerate(_blocks(items, width, block_chars)):
         if number and number % STEPS == 0:
             out = stored(out)  # else all blocks' automata would be in one task at once
         out = out.mapInArrow(_scan(spark.sparkContext.broadcast(block), first), state)
         first = False
-    if first:
-        out = out.mapInArrow(_scan(spark.sparkContext.broadcast([]), True), state)
+    return out.mapInArrow(_scan(spark.sparkContext.broadcast([]), True), state) if first else out
+
+
+def contamination(docs: DataFrame, items: DataFrame, width: int = WINDOW, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """For each row of ``docs`` (doc_id of any type, text): n_words, n_hit, items (ids of the items with
+    windows in it, sorted as strings) and spans (places of the hit words in the text, in code points)."""
+    own = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     span = T.StructType().add("start", "integer").add("end", "integer")
-    found = T.StructType([*base, *counts]).add("n_hit", "long").add("items", T.ArrayType(T.StringType())).add("spans", T.ArrayType(span))
-    return out.mapInArrow(_placed, found)
+    found = T.StructType([own.schema["doc_id"]]).add("n_words", "long").add("n_hit", "long").add("items", T.ArrayType(T.StringType())).add("spans", T.ArrayType(span))
+    return _scanned(own, items, width, block_chars).mapInArrow(_placed, found)
 
 
 def is_contaminated(n_hit: Column, n_words: Column, share_of: int = 20) -> Column:
@@ -174,7 +166,7 @@ def digest(found: DataFrame) -> DataFrame:
     )
 
 
-def keep_clean(docs: DataFrame, items: DataFrame) -> DataFrame:
+def keep_clean(docs: DataFrame, items: DataFrame, width: int = WINDOW, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The rows of ``docs`` that are not contaminated, with all their columns; no shuffle."""
-    found = contamination(docs.select(F.struct("*").alias("doc_id"), "text"), items)
-    return found.where(~is_contaminated(F.col("n_hit"), F.col("n_words"))).select("doc_id.*")
+    found = _scanned(apart(docs), items, width, block_chars)
+    return together(found.where(~is_contaminated(F.size("hits"), F.col("n_words"))), docs)

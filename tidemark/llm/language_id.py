@@ -1,16 +1,16 @@
 """Language ID by compression: a zstandard raw-content dictionary for each language; the language
 whose dictionary encodes a text in the fewest bytes is its language.
 
-Learning takes a bounded sample: of each language the ``per_language`` labelled rows with the lowest hash
-of id and text, at most ``sample_chars`` characters of each. The rows hashed below a language's own
-threshold are enough for that, so no language is sorted as a whole. At most ``languages`` languages are
-learned, the most frequent ones. Texts are in lower case, with one space for each run of anything but letters. A prediction
+Learning takes a bounded sample: of each language the ``per_language`` labelled rows with the lowest hash of id and text, and of
+each of those the ``sample_chars`` characters from a hashed place on. The rows hashed below a language's own threshold are
+enough for that, so no language is sorted as a whole. Every label is learned; a language costs 0.1 MB of dictionary.
+Texts are in lower case, with one space for each run of anything but letters. A prediction
 reads the whole text, in blocks of ``block`` bytes that see only the dictionaries, and nothing but the text.
 
 The score is p = 1 / (1 + 2^-d), rescaled to 0..1, where d is by how many bits the best encoding of a block
 beats the second on average. A prediction is rejected if the encodings differ by less than ``margin`` of the second's size.
 
-Cases: null texts and texts without a letter are ``und``, score 0, rejected. Ties go to the language with more
+Cases: null texts and texts without a letter (of a Unicode category L) are ``und``, score 0, rejected. Ties go to the language with more
 labelled rows and score 0. Rows without a language teach nothing. With nothing to learn from, all rows are
 ``und``. Repeated rows are predicted each for itself; extra columns are ignored.
 """
@@ -27,7 +27,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.llm.common import apart, bounded_batches, together
+
 UND = "und"
+#: Python's letters here include numbers such as ½ and ①; isalpha holds for the categories L alone.
 _LETTER = re.compile(r"[^\W\d_]")
 _REST = re.compile(r"[\W\d_]+")
 
@@ -36,17 +39,23 @@ def normal(text: str) -> bytes:
     return _REST.sub(" ", text.lower()).encode("utf-8", "replace")
 
 
-def dictionaries(labelled: DataFrame, per_language: int = 96, sample_chars: int = 1200, languages: int = 64) -> dict[str, bytes]:
+def has_letter(text: str) -> bool:
+    return any(m[0].isalpha() for m in _LETTER.finditer(text))
+
+
+def dictionaries(labelled: DataFrame, per_language: int = 96, sample_chars: int = 1200) -> dict[str, bytes]:
     """Raw content of a dictionary for each language of ``labelled`` (doc_id, text, lang), the most frequent language first."""
-    rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), F.xxhash64("doc_id", "text").alias("h"))
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
+    lang, text = (F.col(c).cast("string") for c in ("lang", "text"))
+    rows = labelled.where(lang.isNotNull() & text.isNotNull()).select(lang.alias("lang"), text.alias("text"), F.xxhash64("doc_id", "text").alias("h"))
+    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()
     if not sizes:
         return {}
     # twice the expected share and some more: the lowest hashes are among these
-    share = F.coalesce(*[F.when(F.col("lang") == r["lang"], F.lit(min(1.0, (2.0 * per_language + 32) / r["count"]))) for r in sizes])
-    near = rows.where((F.col("h") / F.lit(2.0**64) + 0.5) < share)
+    counts = labelled.sparkSession.createDataFrame([(r["lang"], min(1.0, (2.0 * per_language + 32) / r["count"])) for r in sizes], "lang string, share double")
+    near = rows.join(F.broadcast(counts), "lang").where((F.col("h") / F.lit(2.0**64) + 0.5) < F.col("share"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
-    best = near.withColumn("place", place).where(F.col("place") <= per_language).select("lang", "place", F.substring("text", 1, sample_chars).alias("text")).collect()
+    start = F.pmod(F.xxhash64("h"), F.greatest(F.length("text") - sample_chars, F.lit(0)) + 1).cast("int") + 1
+    best = near.withColumn("place", place).where(F.col("place") <= per_language).select("lang", "place", F.substr("text", start, F.lit(sample_chars)).alias("text")).collect()
     out: dict[str, list[str]] = {}
     for r in sorted(best, key=lambda r: -r["place"]):
         out.setdefault(r["lang"], []).append(r["text"])
@@ -62,7 +71,7 @@ class Encoders:
             self.by[lang] = zstandard.ZstdCompressor(level=level, dict_data=known, write_content_size=False, write_checksum=False, write_dict_id=False)
 
     def __call__(self, text: str | None, margin: float) -> tuple[str, float, bool]:
-        if text is None or not self.by or not _LETTER.search(text):
+        if text is None or not self.by or not has_letter(text):
             return UND, 0.0, True
         raw = normal(text)
         blocks = [raw[i : i + self.block] for i in range(0, len(raw), self.block)]
@@ -79,20 +88,24 @@ def _predict(content: Broadcast, level: int, block: int, margin: float):
         encoders = Encoders(content.value, level, block)
         for batch in batches:
             said = [encoders(t.as_py(), margin) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), *(pa.array([s[k] for s in said], kind) for k, kind in enumerate((pa.string(), pa.float64(), pa.bool_())))], ["doc_id", "lang_pred", "score", "rejected"]
-            )
+            new = [pa.array([s[k] for s in said], kind) for k, kind in enumerate((pa.string(), pa.float64(), pa.bool_()))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), *new], ["doc_id", "text", "lang_pred", "score", "rejected"])
 
     return predict
 
 
+def _predicted(own: DataFrame, content: dict[str, bytes], level: int, block: int, margin: float) -> DataFrame:
+    """``own`` (doc_id of any type, text) with lang_pred, score and rejected."""
+    schema = T.StructType([*own.schema]).add("lang_pred", "string").add("score", "double").add("rejected", "boolean")
+    return bounded_batches(own).mapInArrow(_predict(own.sparkSession.sparkContext.broadcast(content), level, block, margin), schema)
+
+
 def languages(docs: DataFrame, content: dict[str, bytes], level: int = 7, block: int = 512, margin: float = 0.01) -> DataFrame:
     """lang_pred, score and rejected for each row of ``docs`` (doc_id of any type, text)."""
-    own = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    schema = T.StructType([own.schema["doc_id"]]).add("lang_pred", "string").add("score", "double").add("rejected", "boolean")
-    return own.mapInArrow(_predict(docs.sparkSession.sparkContext.broadcast(content), level, block, margin), schema)
+    return _predicted(docs.select("doc_id", F.col("text").cast("string").alias("text")), content, level, block, margin).drop("text")
 
 
-def keep_identified(docs: DataFrame, content: dict[str, bytes], **how) -> DataFrame:
+def keep_identified(docs: DataFrame, content: dict[str, bytes], level: int = 7, block: int = 512, margin: float = 0.01) -> DataFrame:
     """The rows of ``docs`` whose language is not rejected, with all their columns; no shuffle."""
-    return languages(docs.select(F.struct("*").alias("doc_id"), "text"), content, **how).where(~F.col("rejected")).select("doc_id.*")
+    said = _predicted(apart(docs), content, level, block, margin)
+    return together(said.where(~F.col("rejected")), docs)
