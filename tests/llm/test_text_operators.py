@@ -259,6 +259,56 @@ def test_html_articles_in_parts(spark):
     assert got[4] == ["Title", body, body] and got[5] == ["Title", intro]
 
 
+def test_html_keeps_the_article():
+    """Pages whose article is intact, though scripts, names and forms around it look like something else."""
+    long = " ".join(["text"] * 80) + "."
+    article = f"<article><h1>Title</h1><p>{long}</p></article>"
+    want = f"Title\n\n{long}"
+    for page in (
+        f"<body><script>for(var i=0;i<n;i++){{f(i)}}</script>{article}</body>",
+        f"<body><script>if (a<b) {{ s = \"don't\" }}</script>{article}</body>",
+        f"<body><script><!-- x </script>{article}</body>",
+        f"<body><SCRIPT>x='</scripts>'</Script >{article}</body>",
+        f"<body><div class='content has-sidebar'>{article}<div class='sidebar'>links</div></div></body>",
+        f"<body><div id='search-engines-explained'>{article}</div></body>",
+        f"<body><div class='post tag-advertising category-social'>{article}</div></body>",
+        f"<body><div class='newsletter'>{article}</div><p>x</p></body>",
+        f"<body><form id=aspnetForm><nav>menu</nav>{article}<div class=ad>buy</div></form></body>",
+        f"<body><p title=don't></p>{article}</body>",
+        f"<body>{article}<div class=comments><p>{long}</p><p>{long}</p><p>{long}</p></div></body>",
+        f"<body>{article}<form><p>Name</p></form><div style='display: none'>{long}</div></body>",
+    ):
+        assert html_text.text_of(page, None) == want, page
+    two = f"<body><div class=first><h1>Title</h1><p>{long}</p></div><div class=second><p>{long}</p></div></body>"
+    assert html_text.text_of(two, None) == f"{want}\n\n{long}"
+    beside = f"<body>{article}<div class=part><p>{long}</p></div></body>"
+    assert html_text.text_of(beside, None) == f"{want}\n\n{long}"
+
+
+def test_html_votes_decide(spark):
+    """Pages without article or main: most pages of a host show its path, which then also holds for a page where another container is
+    larger; the votes are those of a count over single pages."""
+    from collections import Counter
+
+    def page(text, extra):
+        return f"<html><body><div class='top'>site</div><div class='box-{len(text)}'><p>{text}</p></div><div class='about'><p>{extra}</p></div></body></html>"
+
+    made = [(k, "https://a.example/x", page("word " * (140 + k), "about " * 2)) for k in range(8)] + [(8, "https://a.example/y", page("word " * 30, "about " * 20)), (9, "https://b.example/y", page("word " * 30, "about " * 20))]
+    pages = spark.createDataFrame(made, "page_id long, url string, html string")
+    votes = {}
+    for _, url, html in made:
+        path, worth = html_text.best_path(*html_text.parse(html))
+        own = votes.setdefault(url.split("/")[2], (Counter(), Counter()))
+        own[0][path] += 1
+        own[1][path] += worth
+    want = {h: max(c, key=lambda p: (c[p], round(w[p]), -len(p), p)) for h, (c, w) in votes.items()}
+    assert {r.host: r.path for r in html_text.host_paths(pages).collect()} == want
+    assert want["a.example"].endswith(">div.box-N") and not want["b.example"].endswith("N")
+    got = {r.page_id: r.text for r in html_text.extracted(pages).collect()}
+    assert got[8] == ("word " * 30).strip() and got[0] == ("word " * 140).strip()
+    assert "about" in got[9] and "word" in got[9]
+
+
 def test_html_pages_of_the_tables(spark):
     import html
 
