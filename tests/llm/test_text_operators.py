@@ -172,28 +172,68 @@ def test_decontamination(spark, odd, none, docs, block):
 # --- line dedup ---------------------------------------------------------------------------------------------------------------------
 
 
-def template(line):
-    own = ["<*>" if re.search(r"[0-9@]|://", w) else w for w in re.split("[ \t\r\x0b\f]+", line) if w]
-    return tuple(own) if len(own) >= 5 else None
+def masked(line):
+    return tuple("<*>" if re.search(r"[0-9@]|://", w) else w for w in re.split("[ \t\r\x0b\f]+", line) if w)
+
+
+def line_templates(lines, depth=3):
+    """Each line's template: the lowest of the lines that it is joined with."""
+    top = {t: t for t in map(masked, lines)}
+    nodes = defaultdict(list)
+    for t in top:
+        if len(t) >= 5:
+            nodes[len(t), t[:depth]].append(t)
+    for own in nodes.values():
+        for _ in own:
+            for a in own:
+                for b in own:
+                    if 5 * sum(x != y for x, y in zip(a, b)) <= len(a):
+                        top[a] = top[b] = min(top[a], top[b])
+    return top
+
+
+def kept_lines(own, depth=3):
+    top = line_templates({x for _, text in own for x in (text or "").split("\n")}, depth)
+    docs = defaultdict(set)
+    for doc, text in own:
+        for line in (text or "").split("\n"):
+            docs[top[masked(line)]].add(doc)
+    stays = lambda doc, t: not t or len(docs[top[t]]) < (2 if len(t) >= 5 else 10) or min(docs[top[t]]) == doc
+    return Counter((doc, None if text is None else "\n".join(x for x in text.split("\n") if stays(doc, masked(x)))) for doc, text in own)
 
 
 def test_line_dedup(spark, odd, none, docs):
     for df in (odd.where("doc_id is not null"), docs):
-        own = df.select("doc_id", "text").collect()
-        first = {}
-        for r in own:
-            for line in (r.text or "").split("\n"):
-                if t := template(line):
-                    first[t] = min(first.get(t, r.doc_id), r.doc_id)
-        want = Counter()
-        for r in own:
-            kept = [x for x in (r.text or "").split("\n") if template(x) is None or first[template(x)] == r.doc_id]
-            want[r.doc_id, None if r.text is None else "\n".join(kept)] += 1
+        own = [tuple(r) for r in df.select("doc_id", "text").collect()]
         got = line_dedup.deduplicated(df)
-        assert Counter((r.doc_id, r.text) for r in got.collect()) == want
+        assert Counter((r.doc_id, r.text) for r in got.collect()) == kept_lines(own)
     out = line_dedup.without_recurring(odd)
     assert out.columns == odd.columns and "own line" in [r.text for r in out.where("doc_id = 13").collect()] and [r.text for r in out.where("doc_id = 14").collect()] == ["unique rest of it"]
     assert out.where("text is null").count() == 2 and line_dedup.without_recurring(none).count() == 0
+    clash = odd.withColumns({"__lines": F.lit("mine"), "doc": F.lit(1), "row": F.lit(2)})
+    assert line_dedup.without_recurring(clash).columns == clash.columns and line_dedup.deduplicated(clash).count() == odd.count()
+    named = odd.withColumn("doc_id", F.concat(F.lit("d"), "doc_id"))
+    assert {r.text for r in line_dedup.deduplicated(named).where("doc_id = 'd5'").collect()} == {r.text for r in line_dedup.deduplicated(odd).where("doc_id = 5").collect()}
+
+
+def test_lines_with_variable_words(spark):
+    """Leaves of one node are generalised, over any number of partitions; the depth of the tree decides which lines meet."""
+    users = ["alice", "bobby", "carol", "dan", "erin"]
+    made = [(k, f"User {u} logged in from home today\nonly {u} has this very line of text") for k, u in enumerate(users)]
+    passage = [f"p{chr(97 + j)}" for j in range(26)] * 3
+    made += [(10 + k, " ".join([*passage[: 9 + k], f"swap{'abcde'[k]}", *passage[10 + k :]])) for k in range(5)]
+    made += [(20 + k, f"All rights reserved.\nbody of {'xyzuvwabcdef'[k]} alone") for k in range(12)]
+    made += [(40, "a b c d e f g h i k"), (41, "a b c d e f g h x y"), (42, "a b c d e z w h x y"), (43, "a b c q r s t h x y")]
+    df = spark.createDataFrame(made, "doc_id long, text string").repartition(7)
+    for depth in (1, 3):
+        got = line_dedup.deduplicated(df, depth=depth).persist()
+        assert Counter((r.doc_id, r.text) for r in got.collect()) == kept_lines(made, depth)
+        got = {r.doc_id: r.text for r in got.collect()}
+        assert got[0] == made[0][1] and got[1] == (made[1][1] if depth == 3 else "")  # the varying word is in the head of depth 3
+    assert got[10] and not any(got[10 + k] for k in range(1, 5))
+    assert got[20].startswith("All rights") and got[25] == "body of w alone" and got[41] == got[42] == "" and got[43]
+    said = {tuple(r.words) for r in line_dedup.templates(df.where("doc_id < 10"), depth=1).collect()}
+    assert said == {("<*>", "logged", "in", "from", "home", "today"), ("<*>", "has", "this", "very", "line", "of", "text")}
 
 
 # --- language ID --------------------------------------------------------------------------------------------------------------------

@@ -75,6 +75,27 @@ def together(out: DataFrame, docs: DataFrame) -> DataFrame:
     return out.select(*[F.col("text").cast(kind).alias(c) if c == "text" else F.col("doc_id")[c].alias(c) for c in docs.columns])
 
 
+def freeing(task):
+    """``task`` (a function of batches, for mapInArrow), after which the worker gives back the memory that its allocators hold: Spark
+    uses workers again, and what one stage has freed would stay beside what the next one takes."""
+
+    def run(batches):
+        try:
+            yield from task(batches)
+        finally:
+            import ctypes
+            import gc
+
+            import pyarrow as pa
+
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+                libc.malloc_trim(0)
+
+    return run
+
+
 def id_of(docs: DataFrame) -> Column:
     """The row's ``doc_id``: a long if it is an integer of any width, else as text; a null id is replaced by a hash of the text."""
     own = F.xxhash64(F.col("text").cast("string"))

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import apart, bounded_batches, stored, together
+from tidemark.llm.common import apart, bounded_batches, freeing, stored, together
 
 WINDOW = 13
 #: Characters of patterns in one automaton; it takes some 50 bytes for each.
@@ -140,7 +140,7 @@ def _scanned(own: DataFrame, items: DataFrame, width: int, block_chars: int) ->
     for number, block in enumerate(_blocks(items, width, block_chars)):
         if number and number % STEPS == 0:
             out = stored(out)  # else all blocks' automata would be in one task at once
-        out = out.mapInArrow(_scan(spark.sparkContext.broadcast(block), first), state)
+        out = out.mapInArrow(freeing(_scan(spark.sparkContext.broadcast(block), first)), state)
         first = False
     return out.mapInArrow(_scan(spark.sparkContext.broadcast([]), True), state) if first else out
 

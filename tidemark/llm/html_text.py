@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bounded_batches, small_side, stored
+from tidemark.llm.common import bounded_batches, freeing, small_side, stored
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+)>", re.S)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
@@ -315,7 +315,7 @@ def host_of(url):
 def host_paths(pages: DataFrame) -> DataFrame:
     """The winning path of each host: host, path, votes, score."""
     own = bounded_batches(pages).select(host_of(F.col("url")).alias("host"), F.col("html").cast("string").alias("html"))
-    votes = own.mapInArrow(_votes, "host string, path string, votes bigint, score double").groupBy("host", "path").agg(F.sum("votes").alias("votes"), F.sum("score").alias("score"))
+    votes = own.mapInArrow(freeing(_votes), "host string, path string, votes bigint, score double").groupBy("host", "path").agg(F.sum("votes").alias("votes"), F.sum("score").alias("score"))
     rank = F.struct("votes", F.round("score").alias("worth"), (-F.length("path")).alias("shorter"), "path")
     return votes.groupBy("host").agg(F.max(rank).alias("best")).select("host", "best.path", "best.votes")
 
@@ -325,4 +325,4 @@ def extracted(pages: DataFrame) -> DataFrame:
     own = pages.select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), host_of(F.col("url")).alias("host"))
     winners = stored(host_paths(pages).select("host", "path"))
     joined = own.join(small_side(winners), "host", "left").select("page_id", "url", "html", "path")
-    return joined.mapInArrow(_extracted, f"page_id {joined.schema['page_id'].dataType.simpleString()}, url string, path string, text string")
+    return joined.mapInArrow(freeing(_extracted), f"page_id {joined.schema['page_id'].dataType.simpleString()}, url string, path string, text string")

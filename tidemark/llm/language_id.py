@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import apart, bounded_batches, together
+from tidemark.llm.common import apart, bounded_batches, freeing, together
 
 UND = "und"
 #: Python's letters here include numbers such as ½ and ①; isalpha holds for the categories L alone.
@@ -97,7 +97,7 @@ def _predict(content: Broadcast, level: int, block: int, margin: float):
 def _predicted(own: DataFrame, content: dict[str, bytes], level: int, block: int, margin: float) -> DataFrame:
     """``own`` (doc_id of any type, text) with lang_pred, score and rejected."""
     schema = T.StructType([*own.schema]).add("lang_pred", "string").add("score", "double").add("rejected", "boolean")
-    return bounded_batches(own).mapInArrow(_predict(own.sparkSession.sparkContext.broadcast(content), level, block, margin), schema)
+    return bounded_batches(own).mapInArrow(freeing(_predict(own.sparkSession.sparkContext.broadcast(content), level, block, margin)), schema)
 
 
 def languages(docs: DataFrame, content: dict[str, bytes], level: int = 7, block: int = 512, margin: float = 0.01) -> DataFrame:

@@ -1,16 +1,22 @@
 """Line dedup: a log-template tree over all lines; templates that recur across documents are dropped.
 
-A line's tokens are its runs without white space. A token with a digit, or one with ``@`` or ``://``, is a variable
-field and becomes ``<*>``. The tree has a fixed depth: the number of tokens, then the first ``depth`` tokens, then a leaf whose template
-is the rest of the line with its fields generalised. The path and the leaf are hashed to 64 bits each, so two lines meet if they
-have one template. A template that at least ``min_docs`` documents have stays in the first of them by id, and is
-dropped from all others. Lines of fewer than ``min_tokens`` tokens recur by chance and are left alone.
-
-Only hashes are shuffled, once for each template of a document, and counted map-side first. A template that a third of all
-documents share is one key of a join that Spark splits.
-
-Cases: null texts stay null. Rows with one id are one document; rows with null ids are told apart by their text. The line break is \\n;
-a text that loses no line stays as it is, one that loses some is its other lines joined by \\n. Extra columns are kept.
+1. A line's tokens are its runs without white space. A token with a digit, or one with ``@`` or ``://``, is a variable field and
+   becomes ``<*>``. The tree has a fixed depth: a node is the number of tokens and the first ``depth`` of them, its leaves are the
+   different rests of its lines.
+2. Leaves of one node are one template if they differ in at most one of ``per_field`` tokens (a fifth by default); so are leaves joined
+   by a row of such pairs. The places in which the lines of a template differ are its variable fields, whatever words stand there.
+   Leaves that differ in k places of k + 1 pieces have a piece in common: leaves that share a piece are a bucket, in which they are
+   compared as in ``links``, stars first and then blocks, and the components are the templates. Only nodes of several leaves
+   take part.
+3. A template that at least ``min_docs`` documents have stays in the first of them by id, and is dropped from all others. A line of
+   fewer than ``short`` tokens recurs by chance more easily: it has no variable words, and ``short_docs`` documents must have it.
+
+Only hashes are shuffled, once for each template of a document, and counted map-side first; the words of leaves only in nodes that have several.
+A template that a third of all documents share is one row that is broadcast, or one key of a join that Spark splits.
+
+Cases: null texts stay null. Rows with one id are one document; rows with null ids are told apart by their text, ids that are no
+integers are compared as text. The line break is \\n; blank lines stay. A text that loses no line stays as it is, one that loses
+some is its other lines joined by \\n. Ties can't be: the first document is the lowest id. Extra columns are kept.
 """
 
 from __future__ import annotations
@@ -18,18 +24,22 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import stored
+from tidemark.llm.common import bounded_batches, discard, freeing, id_of, id_type, small_side, stored
+from tidemark.llm.links import by_group, joining, linked, shared_keys
 
 FIELD = "<*>"
+DEPTH, PER_FIELD = 3, 5
+MIN_DOCS, SHORT, SHORT_DOCS = 2, 5, 10
 _VARIABLE = re.compile(rb"[0-9@]|://")
 
 
-def template(line: bytes, depth: int = 3) -> tuple[int, list[bytes], list[bytes]]:
+def template(line: bytes, depth: int = DEPTH) -> tuple[int, list[bytes], list[bytes]]:
     """Number of tokens, the leading ones and the leaf's, fields generalised."""
     tokens = line.split()
     if _VARIABLE.search(line):
@@ -41,52 +51,161 @@ def _signed(h: int) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def _parsed(min_tokens: int, depth: int):
+def _parsed(depth: int, short: int):
+    """One row for each document and leaf; the leaf's words once for each batch, and not of short lines."""
+
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            docs, paths, leaves, lines = [], [], [], []
+            docs, nodes, leaves, sizes, lines, words, told = [], [], [], [], [], [], set()
             for doc, text in zip(batch.column("doc").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
                 own: dict[tuple[int, int], list[int]] = {}
                 for k, line in enumerate((text or b"").split(b"\n")):
                     n, head, leaf = template(line, depth)
-                    if n >= min_tokens:
-                        path = xxhash.xxh3_64_intdigest(b"%d %s" % (n, b" ".join(head)))
-                        own.setdefault((_signed(path), _signed(xxhash.xxh3_64_intdigest(b" ".join(leaf)))), []).append(k)
-                for (path, leaf), at in own.items():
+                    if n:
+                        node, rest = xxhash.xxh3_64_intdigest(b"%d %s" % (n, b" ".join(head))), b" ".join(leaf)
+                        at = own.setdefault((node, xxhash.xxh3_64_intdigest(rest)), [])
+                        if not at:
+                            sizes.append(n)
+                            words.append(rest if n >= short and (node, rest) not in told else None)
+                            told.add((node, rest))
+                        at.append(k)
+                for (node, leaf), at in own.items():
                     docs.append(doc)
-                    paths.append(path)
-                    leaves.append(leaf)
+                    nodes.append(_signed(node))
+                    leaves.append(_signed(leaf))
                     lines.append(at)
-            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(paths, pa.int64()), pa.array(leaves, pa.int64()), pa.array(lines, pa.list_(pa.int32()))], ["doc", "path", "leaf", "lines"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(docs, batch.schema.field("doc").type), pa.array(nodes, pa.int64()), pa.array(leaves, pa.int64()), pa.array(sizes, pa.int32()), pa.array(lines, pa.list_(pa.int32())), pa.array(words, pa.binary())],
+                ["doc", "node", "leaf", "n", "lines", "words"],
+            )
 
     return parse
 
 
-def _document() -> Column:
-    return F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))
+def pieces(hashes: np.ndarray, n: int, per_field: int = PER_FIELD) -> list[np.ndarray]:
+    """A leaf's words in one piece more than the places in which it may differ."""
+    return np.array_split(hashes, n // per_field + 1)
 
 
-def recurring(docs: DataFrame, min_docs: int = 2, min_tokens: int = 5, depth: int = 3) -> DataFrame:
-    """The lines to drop: doc (id, or hash of the text) and the array ``drop`` of line numbers from 0."""
-    rows = docs.select(_document().alias("doc"), F.col("text").cast("string").alias("text"))
-    parsed = stored(rows.mapInArrow(_parsed(min_tokens, depth), "doc bigint, path bigint, leaf bigint, lines array<int>"))
-    seen = parsed.groupBy("path", "leaf").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.count("*").alias("n_docs"))
-    again = seen.where((F.col("n_docs") >= min_docs) & (F.col("first") != F.col("last"))).select("path", "leaf", "first")
-    hits = parsed.join(again, ["path", "leaf"]).where(F.col("doc") != F.col("first"))
-    return hits.groupBy("doc").agg(F.flatten(F.collect_set("lines")).alias("drop"))
+def _keyed(per_field: int):
+    """tid, n, the leaf's data (n, then its words as hashes) and a key for each piece."""
+
+    def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, data = [], []
+            for node, n, words in zip(batch.column("node").to_pylist(), batch.column("n").to_pylist(), batch.column("words").to_pylist(), strict=True):
+                own = np.array([xxhash.xxh32_intdigest(w) for w in words.split()], "<u4")
+                data.append(np.append(n, own).astype("<u4").tobytes())
+                keys.append([_signed(xxhash.xxh3_64_intdigest(b"%d %d %s" % (node, k, p.tobytes()))) for k, p in enumerate(pieces(own, n, per_field))])
+            yield pa.RecordBatch.from_arrays([batch.column("tid"), batch.column("n"), pa.array(data, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["tid", "n", "data", "keys"])
+
+    return key
+
+
+def _differing(a: bytes, b: bytes) -> int:
+    return int((np.frombuffer(a, "<u4") != np.frombuffer(b, "<u4")).sum())
+
+
+def _alike(per_field: int):
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = zip(batch.column("a_data").to_pylist(), batch.column("b_data").to_pylist(), strict=True)
+            good = [len(a) == len(b) and _differing(a[4:], b[4:]) * per_field <= int.from_bytes(a[:4], "little") for a, b in both]
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    return check
+
+
+def _links(per_field: int):
+    def links(rows: list) -> Iterator[tuple[int, int]]:
+        """Links between the leaves (root, block, n and words) of a group; all of one node, so of one length."""
+        words = np.frombuffer(b"".join(r[2] for r in rows), "<u4").reshape(len(rows), -1)
+        differ = np.zeros((len(rows), len(rows)), np.int32)
+        for at in range(1, words.shape[1]):
+            differ += words[:, at, None] != words[None, :, at]
+        sides, roots = np.array([r[1] for r in rows]), np.unique([r[0] for r in rows], return_inverse=True)[1]
+        may = (differ * per_field <= int(words[0, 0])) & (roots[:, None] != roots[None, :])
+        if sides.min() != sides.max():
+            may &= sides[:, None] != sides[None, :]
+        return joining(rows, np.argwhere(np.triu(may, 1)).tolist())
+
+    return links
+
+
+def parsed_lines(docs: DataFrame, depth: int = DEPTH, short: int = SHORT) -> DataFrame:
+    """doc, node, leaf, tid (of both), n, lines (their numbers from 0) and words for each document and leaf. Stored."""
+    rows = bounded_batches(docs).select(id_of(docs).alias("doc"), F.col("text").cast("string").alias("text"))
+    kind = f"doc {id_type(docs)}, node bigint, leaf bigint, n int, lines array<int>, words binary"
+    return stored(rows.mapInArrow(freeing(_parsed(depth, short)), kind).withColumn("tid", F.xxhash64("node", "leaf")))
+
+
+def merged_leaves(parsed: DataFrame, short: int = SHORT, per_field: int = PER_FIELD) -> DataFrame:
+    """The leaves that are of a template with others: node (the leaf's tid), root (the template's). Stored."""
+    long = parsed.where((F.col("n") >= short) & (F.col("n") >= per_field))
+    several = stored(long.groupBy("node").agg(F.min("leaf").alias("low"), F.max("leaf").alias("high")).where("low <> high").select("node"))
+    said = long.where(F.col("words").isNotNull()).join(small_side(several), "node").select("tid", "node", "n", "words")
+    leaves = said.groupBy("tid").agg(F.first("node").alias("node"), F.first("n").alias("n"), F.first("words").alias("words"))
+    keyed = stored(leaves.mapInArrow(_keyed(per_field), "tid bigint, n int, data binary, keys array<bigint>"))
+    members = shared_keys(keyed.select(F.explode("keys").alias("key"), "tid"))
+    starred = stored(members.join(members.groupBy("tid").agg(F.sum("size").alias("central")), "tid").join(keyed.select("tid", "n"), "tid").select("key", "tid", "n", "central"))
+    found = linked(starred, keyed.select("tid", "data"), F.col("n") == F.col("a_n"), _alike(per_field), by_group(_links(per_field)))
+    discard(several, keyed, members, starred)
+    return found
+
+
+def recurring(docs: DataFrame, min_docs: int = MIN_DOCS, short: int = SHORT, short_docs: int = SHORT_DOCS, depth: int = DEPTH, per_field: int = PER_FIELD) -> DataFrame:
+    """The lines to drop: doc (id, or hash of the text) and the array ``drop`` of line numbers from 0. Stored."""
+    parsed = parsed_lines(docs, depth, short)
+    merged = merged_leaves(parsed, short, per_field)
+    to = small_side(merged.select(F.col("node").alias("tid"), "root"))
+    lines = parsed.select("doc", "tid", "n", "lines").join(to, "tid", "left").select("doc", F.coalesce("root", "tid").alias("tid"), "n", "lines")
+
+    def seen(rows: DataFrame, least: int) -> DataFrame:
+        if least <= 2:
+            return rows.groupBy("tid").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where(F.lit(least < 2) | (F.col("first") != F.col("last"))).select("tid", "first")
+        once = rows.select("tid", "doc").distinct()
+        return once.groupBy("tid").agg(F.min("doc").alias("first"), F.count("*").alias("docs")).where(F.col("docs") >= least).select("tid", "first")
+
+    again = stored(seen(lines.where(F.col("n") >= short), min_docs).unionByName(seen(lines.where(F.col("n") < short), short_docs)))
+    hits = lines.join(small_side(again), "tid").where(F.col("doc") != F.col("first"))
+    out = stored(hits.groupBy("doc").agg(F.flatten(F.collect_list("lines")).alias("drop")))
+    discard(parsed, merged, again)
+    return out
+
+
+def _without(docs: DataFrame, **how) -> DataFrame:
+    """row (all columns), text (what is left of it), lines and dropped (how many it had and lost)."""
+    text = F.col("text").cast("string")
+    keyed = docs.select(F.struct("*").alias("row"), text.alias("text"), id_of(docs).alias("doc"))
+    joined = keyed.join(recurring(docs, **how), "doc", "left")
+    lines = F.split("text", "\n", -1)
+    kept = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("drop", i)), "\n")
+    left = F.when(F.col("drop").isNull(), F.col("text")).otherwise(kept)
+    return joined.select("row", left.alias("text"), F.size(lines).alias("lines"), F.coalesce(F.size("drop"), F.lit(0)).alias("dropped"))
+
+
+def _columns(docs: DataFrame) -> list:
+    kind = docs.schema["text"].dataType
+    return [F.col("text").cast(kind).alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns]
 
 
 def deduplicated(docs: DataFrame, **how) -> DataFrame:
     """``docs`` (doc_id, text and more) with its recurring lines gone, and __lines and __dropped, how many it had and lost."""
-    keyed = docs.withColumn("__doc", _document())
-    drops = recurring(docs, **how).withColumnRenamed("doc", "__doc").withColumnRenamed("drop", "__drop")
-    joined = keyed.join(drops, "__doc", "left")
-    lines = F.split(F.col("text").cast("string"), "\n", -1)
-    kept = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("__drop", i)), "\n")
-    return joined.withColumn("__lines", F.size(lines)).withColumn("__dropped", F.coalesce(F.size("__drop"), F.lit(0))).withColumn("text", F.when(F.col("__drop").isNull(), F.col("text")).otherwise(kept)).drop("__doc", "__drop")
+    own = [c for c in docs.columns if c not in ("__lines", "__dropped")]
+    return _without(docs, **how).select(*_columns(docs.select(own)), F.col("lines").alias("__lines"), F.col("dropped").alias("__dropped"))
 
 
 def without_recurring(docs: DataFrame, **how) -> DataFrame:
     """The rows and columns of ``docs`` without recurring lines; a text of which nothing but white space is left goes."""
-    out = deduplicated(docs, **how)
-    return out.where((F.col("__dropped") == 0) | F.col("text").rlike("\\S")).select(docs.columns)
+    return _without(docs, **how).where((F.col("dropped") == 0) | F.col("text").rlike("\\S")).select(*_columns(docs))
+
+
+def templates(docs: DataFrame, depth: int = DEPTH, short: int = SHORT, per_field: int = PER_FIELD) -> DataFrame:
+    """The templates of several leaves: tid, n (tokens), leaves, and the leaf of each as array ``words`` in which ``<*>`` stands where they differ."""
+    parsed = parsed_lines(docs, depth, short)
+    merged = merged_leaves(parsed, short, per_field)
+    own = parsed.where(F.col("words").isNotNull()).join(small_side(merged.select(F.col("node").alias("tid"), F.col("root"))), "tid")
+    each = own.select("root", "tid", "n", F.posexplode(F.split(F.col("words").cast("string"), " ")).alias("at", "word"))
+    places = each.groupBy("root", "at").agg(F.min("word").alias("low"), F.max("word").alias("high"), F.max("n").alias("n"), F.count_distinct("tid").alias("leaves"))
+    word = F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(F.lit(FIELD))
+    return places.groupBy("root").agg(F.max("n").alias("n"), F.max("leaves").alias("leaves"), F.array_sort(F.collect_list(F.struct("at", word.alias("word")))).alias("w")).select(F.col("root").alias("tid"), "n", "leaves", F.col("w.word").alias("words"))

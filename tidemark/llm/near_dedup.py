@@ -27,24 +27,23 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bounded_batches, discard, id_of, id_type, small_side, stored
+from tidemark.llm.common import bounded_batches, discard, freeing, id_of, id_type, small_side, stored
+from tidemark.llm.links import BLOCK_SIZE, BLOCK_THINGS, by_group, joining, linked, shared_keys
 from tidemark.llm.packing import slices
 
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS = 40
 ROWS = 3
-#: Texts and items of one block; a group of a task has two blocks.
-BLOCK_TEXTS = 1000
-BLOCK_ITEMS = 500_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -155,7 +154,7 @@ def _verified(similarity: float):
         last: tuple[int | None, np.ndarray] = (None, np.zeros(0, np.uint64))
         for batch in batches:
             good = []
-            a_tids, a_words, b_words = (batch.column(c) for c in ("a", "a_words", "b_words"))
+            a_tids, a_words, b_words = (batch.column(c) for c in ("a", "a_data", "b_data"))
             for k in range(batch.num_rows):
                 tid = a_tids[k].as_py()
                 if tid != last[0]:
@@ -183,99 +182,15 @@ def _common(own: list[np.ndarray], columns: int = 2048) -> np.ndarray:
     return out
 
 
-def _joined(roots: list[int], sides: np.ndarray, raw: list[bytes], similarity: float) -> Iterator[tuple[int, int]]:
-    """Links between texts of different components and, where there are two, different sides; none that joins what is joined already."""
-    up: dict[int, int] = {}
-
-    def top(x: int) -> int:
-        while up.get(x, x) != x:
-            x = up[x]
-        return x
-
-    own = [items(np.frombuffer(w, "<u4")) for w in raw]
-    n, ids = np.array([len(x) for x in own]), np.unique(np.array(roots), return_inverse=True)[1]
+def _joined(rows: list, similarity: float) -> Iterator[tuple[int, int]]:
+    """Links between the texts (root, block, words) of a group."""
+    own = [items(np.frombuffer(r[2], "<u4")) for r in rows]
+    n, sides, roots = np.array([len(x) for x in own]), np.array([r[1] for r in rows]), np.unique([r[0] for r in rows], return_inverse=True)[1]
     may = _common(own) >= similarity * (n[:, None] + n[None, :]) / (1 + similarity) - 1e-6
-    may &= ids[:, None] != ids[None, :]
+    may &= roots[:, None] != roots[None, :]
     if sides.min() != sides.max():
         may &= sides[:, None] != sides[None, :]
-    for i, j in np.argwhere(np.triu(may, 1)).tolist():
-        a, b = top(roots[i]), top(roots[j])
-        if a != b and chain(own[i], own[j], similarity) >= similarity:
-            up[max(a, b)] = min(a, b)
-            yield roots[i], roots[j]
-
-
-def _linked(similarity: float):
-    """Rows in order of key, low, high: the links (of roots) of each group."""
-
-    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, rows = None, []
-
-        def found() -> pa.RecordBatch:
-            links = list(_joined([r[0] for r in rows], np.array([r[1] for r in rows]), [r[2] for r in rows], similarity)) if len(rows) > 1 else []
-            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["a", "b"])
-
-        for batch in batches:
-            for group, *row in zip(batch.column("group").to_pylist(), *(batch.column(c).to_pylist() for c in ("root", "block", "words")), strict=True):
-                if group != now:
-                    yield found()
-                    now, rows = group, []
-                rows.append(row)
-        yield found()
-
-    return link
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """Connected components of ``edges`` (a, b) by alternating large and small stars: node, root (its lowest node). A stored table."""
-    now = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    state = None
-    while True:
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        ends = F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))
-        small = large.join(low, "u").select(F.explode(ends).alias("e")).select("e.*").where("u <> v").distinct()
-        before, now = now, stored(small)
-        discard(before)
-        seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if seen == state:
-            out = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-            out.stored_at = now.stored_at
-            return out
-        state = seen
-
-
-def _stars(members: DataFrame) -> DataFrame:
-    """In each bucket the most central text with each of the others."""
-    best = members.groupBy("key").agg(F.max_by(F.struct("tid", "n"), F.struct("central", "tid")).alias("a"))
-    both = members.join(best.select("key", F.col("a.tid").alias("a"), F.col("a.n").alias("a_n")), "key").where(F.col("tid") != F.col("a"))
-    return both.select("a", "a_n", F.col("tid").alias("b"), "n")
-
-
-def _dealt(rooted: DataFrame, texts: int, items_: int) -> DataFrame:
-    """The rows of buckets of several components, once for each pair of blocks that they are in: key, tid, root, block, low, high.
-
-    A bucket's largest component has its own blocks, which are compared with those of the others only.
-    """
-    by_root = rooted.groupBy("key", "root").agg(F.count("*").alias("size"), F.sum("n").alias("items"))
-    largest = by_root.groupBy("key").agg(F.max(F.struct("size", "items", "root")).alias("most"), F.sum("size").alias("size"), F.sum("items").alias("items"), F.count("*").alias("roots"))
-
-    def blocks(size: Column, words: Column) -> Column:
-        return F.greatest(F.ceil(size / texts), F.ceil(words / items_)).cast("int")
-
-    open_ = largest.where("roots > 1 and size > 2").select(
-        "key",
-        F.col("most.root").alias("largest"),
-        blocks(F.col("most.size"), F.col("most.items")).alias("own"),
-        blocks(F.col("size") - F.col("most.size"), F.col("items") - F.col("most.items")).alias("others"),
-    )
-    inside = F.col("root") == F.col("largest")
-    block = F.when(inside, F.pmod(F.xxhash64("tid"), "own")).otherwise(F.col("own") + F.pmod(F.xxhash64("tid"), "others")).cast("int")
-    to = F.sequence(F.when(inside, F.col("own")).otherwise(F.lit(0)), F.col("own") + F.col("others") - 1)
-    sent = rooted.join(open_, "key").withColumn("block", block).withColumn("to", F.explode(to))
-    return sent.select("key", "tid", "root", "block", F.least("block", "to").alias("low"), F.greatest("block", "to").alias("high"))
+    return joining(rows, np.argwhere(np.triu(may, 1)).tolist(), lambda i, j: chain(own[i], own[j], similarity) >= similarity)
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -283,42 +198,24 @@ def _rows(docs: DataFrame) -> DataFrame:
     return bounded_batches(docs).select(id_of(docs).alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
 
 
-def classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, block_texts: int = BLOCK_TEXTS, block_items: int = BLOCK_ITEMS) -> DataFrame:
+def classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, block_texts: int = BLOCK_THINGS, block_items: int = BLOCK_SIZE) -> DataFrame:
     """For each row of ``docs`` (doc_id, text): id, th (hash of the text), tid (equal for equal words), class_id, and
     the row that stands for its class: rep_id, rep_th."""
-    sketched = stored(_rows(docs).mapInArrow(_sketched(bands, rows), f"id {id_type(docs)}, th bigint, tid bigint, n int, words binary, keys array<bigint>"))
+    sketched = stored(_rows(docs).mapInArrow(freeing(_sketched(bands, rows)), f"id {id_type(docs)}, th bigint, tid bigint, n int, words binary, keys array<bigint>"))
     texts = stored(sketched.groupBy("tid").agg(F.min(F.struct("id", "th")).alias("rep")))
-    each = sketched.select(F.explode("keys").alias("key"), "tid")
-    shared = stored(each.groupBy("key").agg(F.min("tid").alias("low"), F.max("tid").alias("high")).where("low <> high").select("key"))
-    shares = stored(each.join(shared.hint("merge"), "key").distinct())
-    sizes = shares.groupBy("key").agg(F.count("*").alias("size"), F.sum(F.xxhash64("tid").cast("decimal(38,0)")).alias("texts"))
-    buckets = stored(sizes.groupBy("size", "texts").agg(F.min("key").alias("key")))
-    members = stored(shares.join(buckets.select("key", "size"), "key"))
+    members = shared_keys(sketched.select(F.explode("keys").alias("key"), "tid"))
     central = stored(members.groupBy("tid").agg(F.sum("size").alias("central")).join(texts, "tid").select("tid", "central", F.col("rep.id").alias("id"), F.col("rep.th").alias("th")))
-    full = stored(sketched.join(small_side(central), ["tid", "id", "th"]).select("tid", "n", "words", "central").dropDuplicates(["tid"]))
+    full = stored(sketched.join(small_side(central), ["tid", "id", "th"]).select("tid", "n", F.col("words").alias("data"), "central").dropDuplicates(["tid"]))
     starred = stored(members.join(full.select("tid", "n", "central"), "tid").select("key", "tid", "n", "central"))
-    discard(shared, shares, buckets, members)
-
-    near = _stars(starred).where(F.least("n", "a_n") >= similarity * F.greatest("n", "a_n")).select("a", "b").distinct()
-    pairs = stored(near)
-    right, left = (full.select(F.col("tid").alias(c), F.col("words").alias(f"{c}_words")) for c in ("b", "a"))
-    both = small_side(pairs).join(right, "b").join(left, "a").select("a", "b", "a_words", "b_words")
-    edges = stored(both.mapInArrow(_verified(similarity), "a bigint, b bigint"))
-    found = components(edges)
-
-    rooted = stored(starred.join(found.select(F.col("node").alias("tid"), "root"), "tid", "left").withColumn("root", F.coalesce("root", "tid")))
-    dealt = stored(_dealt(rooted, block_texts, block_items))
-    group = F.struct("key", "low", "high")
-    sent = small_side(dealt).join(full.select("tid", "words"), "tid").select(group.alias("group"), "root", "block", "words")
-    more = stored(sent.repartition("group").sortWithinPartitions("group").mapInArrow(_linked(similarity), "a bigint, b bigint"))
-    joined = components(more)
+    discard(members, central)
+
+    near = F.least("n", "a_n") >= similarity * F.greatest("n", "a_n")
+    found = linked(starred, full, near, _verified(similarity), by_group(partial(_joined, similarity=similarity)), block_texts, block_items)
     known = texts.join(found.select(F.col("node").alias("tid"), "root"), "tid", "left").withColumn("root", F.coalesce("root", "tid"))
-    again = joined.select(F.col("node").alias("root"), F.col("root").alias("top"))
-    known = known.join(again, "root", "left").withColumn("root", F.coalesce("top", "root"))
     by_root = known.groupBy("root").agg(F.min("rep").alias("best"))
     named = known.join(by_root, "root").select("tid", F.col("best.id").alias("class_id"), F.col("best.id").alias("rep_id"), F.col("best.th").alias("rep_th"))
     out = stored(sketched.select("id", "th", "tid").join(named, "tid").select("id", "th", "tid", "class_id", "rep_id", "rep_th"))
-    discard(sketched, texts, central, full, starred, pairs, edges, found, rooted, dealt, more, joined)
+    discard(sketched, texts, full, starred, found)
     return out
 
 

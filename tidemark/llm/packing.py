@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bounded_batches, small_side, stored
+from tidemark.llm.common import bounded_batches, freeing, small_side, stored
 
 CAPACITY = 4096
 END_ID = 1
@@ -144,7 +144,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFra
     """Pieces of at most ``capacity`` tokens: doc_id, piece, start, length, ids_crc32."""
     own = bounded_batches(docs.select("doc_id", F.col("text").cast("string").alias("text")))
     kind = own.schema["doc_id"].dataType.simpleString()
-    return own.mapInArrow(_pieces(tokenizer, capacity), f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint")
+    return own.mapInArrow(freeing(_pieces(tokenizer, capacity)), f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint")
 
 
 def best_fit(lengths: np.ndarray, capacity: int) -> np.ndarray:
