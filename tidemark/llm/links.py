@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import discard, small_side, stored
 
 #: Things of one block, and their size (items, tokens) together; a group of a task has two blocks.
-BLOCK_THINGS = 1000
+BLOCK_THINGS = 400
 BLOCK_SIZE = 500_000
 
 
@@ -62,14 +62,12 @@ def _dealt(rooted: DataFrame, things: int, total: int) -> DataFrame:
     def blocks(count: Column, size: Column) -> Column:
         return F.greatest(F.ceil(count / things), F.ceil(size / total)).cast("int")
 
-    open_ = largest.where("roots > 1 and size > 2").select(
-        "key",
-        F.col("most.root").alias("largest"),
-        blocks(F.col("most.size"), F.col("most.total")).alias("own"),
-        blocks(F.col("size") - F.col("most.size"), F.col("total") - F.col("most.total")).alias("others"),
-    )
-    inside = F.col("root") == F.col("largest")
-    block = F.when(inside, F.pmod(F.xxhash64("tid"), "own")).otherwise(F.col("own") + F.pmod(F.xxhash64("tid"), "others")).cast("int")
+    apart = F.col("most.size") * 4 >= F.col("size")  # else it is one of many, and not worth blocks of its own
+    own = F.when(apart, blocks(F.col("most.size"), F.col("most.total"))).otherwise(0)
+    rest = [F.col(c) - F.when(apart, F.col(f"most.{c}")).otherwise(0) for c in ("size", "total")]
+    open_ = largest.where("roots > 1 and size > 2").select("key", F.col("most.root").alias("largest"), own.alias("own"), blocks(*rest).alias("others"))
+    inside = (F.col("root") == F.col("largest")) & (F.col("own") > 0)
+    block = F.when(inside, F.expr("pmod(xxhash64(tid), greatest(own, 1))")).otherwise(F.col("own") + F.pmod(F.xxhash64("tid"), "others")).cast("int")
     to = F.sequence(F.when(inside, F.col("own")).otherwise(F.lit(0)), F.col("own") + F.col("others") - 1)
     sent = rooted.join(open_, "key").withColumn("block", block).withColumn("to", F.explode(to))
     return sent.select("key", "tid", "root", "block", F.least("block", "to").alias("low"), F.greatest("block", "to").alias("high"))
