@@ -107,7 +107,7 @@ def _sketched(bands: int, rows: int):
             for first, texts in slices(batch.column("text"), 4_000_000):
                 cut = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("")))
                 coded = cut.values.dictionary_encode()
-                distinct = coded.dictionary.cast(pa.binary()).to_pylist()
+                distinct = coded.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
                 hashes = np.fromiter((xxhash.xxh32_intdigest(w) for w in distinct), np.uint32, len(distinct))
                 real = np.fromiter(map(len, distinct), np.int64, len(distinct)) > 0
                 codes, ends = coded.indices.to_numpy(), cut.offsets.to_numpy() - cut.offsets[0].as_py()

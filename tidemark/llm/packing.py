@@ -18,6 +18,7 @@ their own. An empty table gives no pieces. Extra columns are ignored.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -35,73 +36,94 @@ END_ID = 1
 #: Pieces that one task packs in the first round.
 PIECES_PER_TASK = 100_000
 FAN_IN = 16
+SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 class Tokens:
     """Token ids of texts, by a public tokenizer; remembers the ids of words.
 
     The ids are those of ``encode(text, add_special_tokens=False)``, by the tokenizer itself. If none of its tokens reaches
     over white space, which is tried out once, a text's ids are those of its words: Arrow numbers the distinct words of a
-    slice, and the tokenizer gets only those it hasn't seen, many in one string between special tokens, at which it cuts a
-    text before all else. Other tokenizers get whole texts. Words that occur once in a slice are not remembered, and ``most``
-    bounds the others.
+    slice, and the tokenizer gets only those it hasn't seen. Other tokenizers get whole texts.
+
+    Words of letters go many in one string. A tokenizer that marks word ends gives each of them at least one end, so if there are as
+    many ends as words, each has one, and the ends say which ids are whose. Words of letters with signs after them go alike, with two ends each,
+    if after the first end each has its signs' own ids. Where that doesn't hold, words go one by one, as all others do.
+    ``most`` bounds the words remembered, ``at_once`` those that the tokenizer gets in one call.
     """
 
-    def __init__(self, path: str, most: int = 150_000):
+    def __init__(self, path: str, most: int = 300_000, at_once: int = 4096):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
-        self.full, self.most, self.known = Tokenizer.from_file(path), most, {}
-        special = [(t.content, k) for k, t in self.full.get_added_tokens_decoder().items() if t.special and not (t.lstrip or t.rstrip or t.single_word)]
-        self.between, self.between_id = min(special, key=lambda x: x[1]) if special else ("", -1)
+        self.full, self.most, self.at_once, self.known = Tokenizer.from_file(path), most, at_once, {}
         tried = "The e\u0301t\u00e9  of 1999,\nit's\tnot \u0130I  \u0301x-y"
         self.by_word = self._plain([tried])[0] == b"".join(self._plain(tried.split()))
+        suffix = getattr(self.full.model, "end_of_word_suffix", None)
+        self.is_end = np.zeros(self.full.get_vocab_size(), bool)
+        for token, k in self.full.get_vocab(with_added_tokens=False).items():
+            self.is_end[k] = bool(suffix) and token.endswith(suffix)
+        self.marks_ends, self.signs = bool(self.is_end.any()), {}
 
     def _plain(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, np.uint32).tobytes() for e in self.full.encode_batch_fast(texts, add_special_tokens=False)]
+        return [np.array(e.ids, "<u4").tobytes() for e in self.full.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _ids(self, words: list[str], together: int = 64) -> list[bytes]:
-        """The ids of each word."""
-        mark = self.between
-        if not mark:
-            return self._plain(words)
-        alone = [k for k, w in enumerate(words) if mark in w]
-        shown = list(words)
-        for k in alone:
-            shown[k] = ""
-        joined = [mark.join(shown[k : k + together]) + mark for k in range(0, len(shown), together)]
+    def _joined(self, words: list[str], ends_each: int, together: int = 64) -> list[bytes]:
+        """Words of letters, with (two ends) or without (one) signs after them."""
+        joined = [words[k : k + together] for k in range(0, len(words), together)]
         out: list[bytes] = []
-        for e in self.full.encode_batch_fast(joined, add_special_tokens=False):
-            ids = np.array(e.ids, np.uint32)
-            ends, raw = (4 * np.flatnonzero(ids == self.between_id)).tolist(), ids.tobytes()
-            out += [raw[a:b] for a, b in zip([0, *[x + 4 for x in ends]], ends)]
-        for k, own in zip(alone, self._plain([words[k] for k in alone])):
-            out[k] = own
+        for own, e in zip(joined, self.full.encode_batch_fast([" ".join(x) for x in joined], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            ends = (4 * np.flatnonzero(self.is_end[ids]) + 4).tolist()
+            raw = ids.tobytes()
+            good = len(ends) == ends_each * len(own) and ends[-1] == len(raw)
+            if good and ends_each == 2:  # what follows a word's first end are its signs' ids, and nothing else
+                good = all(raw[a:b] == self._of_signs(w) for w, a, b in zip(own, ends[::2], ends[1::2], strict=True))
+            last = ends[ends_each - 1 :: ends_each]
+            out += [raw[a:b] for a, b in zip([0, *last], last)] if good else self._plain(own)
+        return out
+
+    def _of_signs(self, word: str) -> bytes:
+        signs = word[len(word.rstrip(SIGNS)) :]
+        if signs not in self.signs:
+            if len(self.signs) > 10_000:
+                self.signs.clear()
+            self.signs[signs] = self._plain([signs])[0]
+        return self.signs[signs]
+
+    def _ids(self, words: list[str]) -> list[bytes]:
+        """The ids of each word."""
+        out: list[bytes] = [b""] * len(words)
+        kinds: tuple[list[int], list[int], list[int]] = ([], [], [])
+        for k, w in enumerate(words):
+            kinds[(1 if w.isalpha() else 2 if w.rstrip(SIGNS).isalpha() else 0) if self.marks_ends else 0].append(k)
+        for kind, own in enumerate(kinds):
+            for at in range(0, len(own), self.at_once):
+                some = own[at : at + self.at_once]
+                found = [words[k] for k in some]
+                for k, ids in zip(some, self._joined(found, kind) if kind else self._plain(found), strict=True):
+                    out[k] = ids
         return out
 
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts in a row, and where each text's ids begin and end."""
+    def encode(self, texts: pa.Array) -> Iterator[bytes]:
+        """The ids of each text, four bytes each."""
         texts = texts.fill_null("")
         if not self.by_word:
-            ids = [np.frombuffer(x, np.uint32) for x in self._plain(texts.to_pylist())]
-            return np.concatenate([*ids, np.zeros(0, np.uint32)]), np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int64)
+            yield from (self._plain([x])[0] for x in texts.to_pylist())
+            return
         cut = pc.ascii_split_whitespace(texts)
         coded = cut.values.dictionary_encode()
-        codes, words = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()  # many times faster than to_pylist
         ids = list(map(self.known.get, words))
         new = [k for k, x in enumerate(ids) if x is None]
         if len(self.known) > self.most:
             self.known.clear()
-        often = np.bincount(codes, minlength=len(words)) > 1
         for k, own in zip(new, self._ids([words[k] for k in new]), strict=True):
             ids[k] = own
-            if often[k] and len(words[k]) <= 40:
+            if len(words[k]) <= 24:
                 self.known[words[k]] = own
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        flat = np.frombuffer(b"".join(ids), np.uint32)
-        of_word = sizes[codes]
-        ends = np.concatenate([[0], np.cumsum(of_word)])
-        begins = np.cumsum(sizes) - sizes
-        at = np.repeat(begins[codes] - ends[:-1], of_word) + np.arange(ends[-1])
-        return flat[at], ends[cut.offsets.to_numpy() - cut.offsets[0].as_py()]
+        codes, ends = coded.indices.to_numpy(), cut.offsets.to_numpy() - cut.offsets[0].as_py()
+        for a, b in zip(ends[:-1], ends[1:], strict=True):
+            yield b"".join([ids[c] for c in codes[a:b].tolist()])
 
 
 def slices(texts: pa.Array, most: int = 8_000_000) -> Iterator[tuple[int, pa.Array]]:
@@ -120,11 +142,10 @@ def _pieces(path: str, capacity: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = Tokens(path)  # goes with the partition: workers are reused, and would hold its words
         for batch in batches:
-            for first, texts in slices(batch.column("text"), 4_000_000):
+            for first, texts in slices(batch.column("text")):
                 took, piece, start, length, crc = [], [], [], [], []
-                flat, ends = tokens.encode(texts)
-                for k in range(len(texts)):
-                    ids = flat[ends[k] : ends[k + 1]].astype("<u4").tobytes() + end
+                for k, ids in enumerate(tokens.encode(texts)):
+                    ids += end
                     for n, at in enumerate(range(0, len(ids), 4 * capacity)):
                         own = ids[at : at + 4 * capacity]
                         took.append(first + k)

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.llm.common import bounded_batches
 from tidemark.llm.packing import slices
 
 MARK = "▁"
@@ -84,8 +85,9 @@ def _counted(scores: Broadcast, nodes: int):
             for _, texts in slices(batch.column("text")):
                 cut = pc.ascii_split_whitespace(texts.fill_null(""))
                 coded = cut.values.dictionary_encode()
-                n = np.array([trie.tokens(MARK + w) if w else 0 for w in coded.dictionary.to_pylist()], np.int64)
-                real = np.array([bool(w) for w in coded.dictionary.to_pylist()], bool)
+                distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+                n = np.array([trie.tokens(MARK + w) if w else 0 for w in distinct], np.int64)
+                real = np.array([bool(w) for w in distinct], bool)
                 codes, ends = coded.indices.to_numpy(), cut.offsets.to_numpy() - cut.offsets[0].as_py()
                 for out, each in ((words, real), (tokens, n)):
                     sums = np.concatenate([[0], np.cumsum(each[codes], dtype=np.int64)]) if len(each) else np.zeros(1, np.int64)
@@ -99,6 +101,6 @@ def _counted(scores: Broadcast, nodes: int):
 
 def token_counts(docs: DataFrame, scores: dict[str, float], nodes: int = 600_000) -> DataFrame:
     """n_pretokens and n_tokens for each row of ``docs`` (doc_id of any type, text)."""
-    own = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    own = bounded_batches(docs.select("doc_id", F.col("text").cast("string").alias("text")))
     schema = T.StructType([own.schema["doc_id"]]).add("n_pretokens", "long").add("n_tokens", "long")
     return own.mapInArrow(_counted(docs.sparkSession.sparkContext.broadcast(scores), nodes), schema)
