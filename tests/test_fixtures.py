@@ -168,3 +168,48 @@ def test_streams_end_where_batches_do(spark, tmp_path):
     assert {r.canonical_url: r.status for r in logs.latest(spark, target).collect()} == {"u": 200, "v": 200}
     assert {r.canonical_url: r.seq for r in logs.held(spark, str(tmp_path / "kept")).collect()} == {"u": 1, "v": 2}
     assert logs.hourly(spark.readStream.schema(schema).json(source)).isStreaming
+
+
+@pytest.mark.parametrize("answer, want", [('```\n{"a": "1"}\n```', "1"), ('so {"a": "2"} it is', "2"), ('[{"a": "3"}]', None), ("{broken", None), ("none", None)])
+def test_recovered_object(spark, answer, want):
+    assert one(spark, F.get_json_object(text.recovered_object(F.col("t")), "$.a"), t=answer) == want
+
+
+def test_two_keys_against_insertion_in_order(spark):
+    import random
+
+    rng = random.Random(8)
+    rows = [(k, rng.choice([None, *range(40)]), rng.choice([None, *"abcdefghijklmnopqrstuvwxyz"])) for k in range(300)]
+    seen_a, seen_b, want = set(), set(), []
+    for k, a, b in rows:
+        if (a is None or a not in seen_a) and (b is None or b not in seen_b):
+            want.append(k)
+            seen_a.add(a)
+            seen_b.add(b)
+    got = dedupe.first_by_two_keys(spark.createDataFrame(rows, "ord int, a int, b string"), "a", "b", "ord")
+    assert sorted(r.ord for r in got.collect()) == want
+
+
+def test_guests_with_long_and_one_word_names(spark):
+    people = spark.createDataFrame([("p1", "Al", 1), ("p2", "Alexandra " + "x" * 80, 2), ("p3", "Bo Li", 3)], "person_id string, display_name string, ord int")
+    titles = [(1, "#12 - Alexandra " + "X" * 80 + " returns"), (2, "Bo Linden on food"), (3, "About Bo Li"), (4, "alfred"), (5, "17: bo li")]
+    got = transcripts.episode_guests(spark.createDataFrame(titles, "episode int, title string"), people)
+    assert sorted((r.episode, r.person_id) for r in got.collect()) == [(1, "p1"), (2, "p3"), (4, "p1"), (5, "p3")]
+
+
+def test_positions_of_some_months_are_those_of_all(spark):
+    from tidemark.operators.positions import positions
+
+    own = [("p", "X", f"c{k}", k // 2, date(2020 + k % 5, 1 + k % 12, 1 + k % 28), k % 7 - 3, 1.0, 0.8, 1 + k % 3) for k in range(60)]
+    df = spark.createDataFrame(own, "person_id string, axis string, claim_id string, doc_id int, d date, score int, strength double, confidence double, tier int")
+    everything = {r.month_end: r for r in positions(df).collect()}
+    some = positions(df, ends=("2022-02-01", "2022-04-30")).collect()
+    assert {r.month_end for r in some} == {date(2022, 2, 28), date(2022, 3, 31), date(2022, 4, 30)}
+    assert all(r == everything[r.month_end] for r in some)
+    assert positions(df, at="2022-03-31").first() == everything[date(2022, 3, 31)]
+
+
+def test_typed_rows(spark):
+    rows = spark.createDataFrame([("2021-01-01", "1.5"), ("2016-12-31", "1"), ("2021-01", "1"), (None, "1"), ("2020-02-02", "n/a")], "d string, x string")
+    assert sorted((str(r.d), r.x) for r in model_track.typed(rows, ("x",)).collect() if r.x) == [("2021-01-01", 1.5)]
+    assert model_track.typed(rows, ("x",)).count() == 2

@@ -34,8 +34,9 @@ def squeezed(text: Column) -> Column:
 
 
 def normalized(text: Column) -> Column:
-    """What quotes are compared by: NFKC, straight quotes, plain dashes and spaces, lower case."""
-    return F.lower(squeezed(F.translate(nfkc(text), "’‘“”—– ", "''\"\"-- ")))
+    """What quotes are compared by: NFKC, straight quotes, plain dashes and spaces, lower case. Only texts beyond ASCII go to Python."""
+    composed = F.coalesce(nfkc(F.when(~text.rlike(r"^[\x00-\x7F]*$"), text)), text)
+    return F.lower(squeezed(F.translate(composed, "’‘“”—– ", "''\"\"-- ")))
 
 
 def cjk_count(text: Column) -> Column:
@@ -98,10 +99,27 @@ def listed(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
+# The fence that models put around JSON.
+FENCE = r"(?s)```(?:json)?\s*(.*?)```"
+
+
+def _between(text: Column, opener: str, closer: str) -> Column:
+    """From the first opener to the last closer; null if there is none."""
+    first, last = F.locate(opener, text), F.length(text) - F.locate(closer, F.reverse(text)) + 1
+    return F.when((first > 0) & F.contains(text, F.lit(closer)) & (last > first), F.substring(text, first, last - first + 1))
+
+
+def _unfenced(answer: Column) -> Column:
+    return F.when(answer.rlike(FENCE), F.regexp_extract(answer, FENCE, 1)).otherwise(answer)
+
+
 def recovered_array(answer: Column) -> Column:
     """The JSON array in a model's answer, fenced or in prose, as an array of JSON texts; null if there is none."""
-    fenced = F.regexp_extract(answer, r"(?s)```(?:json)?\s*(.*?)```", 1)
-    body = F.when(answer.rlike(r"(?s)```(?:json)?\s*(.*?)```"), fenced).otherwise(answer)
-    first, last = F.locate("[", body), F.length(body) - F.locate("]", F.reverse(body)) + 1
-    inside = F.when((first > 0) & F.contains(body, F.lit("]")) & (last > first), F.substring(body, first, last - first + 1))
-    return F.from_json(inside, "array<string>")
+    return F.from_json(_between(_unfenced(answer), "[", "]"), "array<string>")
+
+
+def recovered_object(answer: Column) -> Column:
+    """The outermost JSON object of an answer that has no array, as JSON text; null if there is none that can be read."""
+    own = _between(_unfenced(answer), "{", "}")
+    reads = F.from_json(own, "map<string,string>").isNotNull()
+    return F.when(recovered_array(answer).isNull() & reads, own)

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.scores import clamp
 from tidemark.functions.text import normalized, quote_too_long, recovered_array, squeezed_ends
 
 AXES = ("X", "Y", "Z", "W", "S")
+#: Characters of a claim in other words.
+CLAIM_CHARS = 400
 ITEM = "supporting_text string, normalized_claim string, topics array<string>, axis_scores array<struct<axis:string,score:string,strength:string,confidence:string>>, hedged boolean, timeline_years double"
 
 
@@ -16,14 +18,24 @@ def claim_id(doc_id: Column, quote: Column) -> Column:
     return F.substring(F.sha1(F.concat_ws("|", doc_id.cast("string"), normalized(quote))), 1, 24)
 
 
-def checked(rows: DataFrame) -> DataFrame:
-    """``rows`` (quote, document_text) with reject_reason: unverbatim before shape, null if neither."""
+def checked(rows: DataFrame, norm: str | None = None) -> DataFrame:
+    """``rows`` (quote, document_text) with reject_reason: unverbatim before shape, null if neither.
+
+    ``norm`` names a column that has the document's text normalized already.
+    """
     quote = squeezed_ends(F.col("quote"))
-    verbatim = (quote != "") & F.contains(normalized(F.col("document_text")), normalized(quote))
+    text = F.col(norm) if norm else normalized(F.col("document_text"))
+    verbatim = (quote != "") & F.contains(text, normalized(quote))
     reason = F.when(~F.coalesce(verbatim, F.lit(False)), "unverbatim").when(quote_too_long(quote), "shape")
     return rows.withColumn("quote", quote).withColumn("reject_reason", reason)
 
 
+def with_documents(rows: DataFrame, docs: DataFrame, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``docs`` (doc_id, document_text, source_tier), whose text is normalized once for each document, before the join, as __norm."""
+    once = docs.withColumn("__norm", normalized(F.col("document_text"))).drop("document_text")
+    return rows.join(once, "doc_id", how)
+
+
 def _scores(rounded: bool, default: float, zero_too: bool):
     """Clean axis scores of one item; ``rounded``: half-even, else the fraction is cut off."""
 
@@ -51,19 +63,19 @@ def responses(answers: DataFrame) -> DataFrame:
 
 def validated(answers: DataFrame, docs: DataFrame) -> DataFrame:
     """Claims of model answers (doc_id, response) over ``docs`` (doc_id, document_text, source_tier): every item with its reject_reason, null if kept."""
-    rows = responses(answers).join(docs, "doc_id").withColumn("quote", F.coalesce("item.supporting_text", F.lit("")))
+    rows = with_documents(responses(answers), docs).withColumn("quote", F.coalesce("item.supporting_text", F.lit("")))
     hedged = F.coalesce("item.hedged", F.lit(False))
-    rows = checked(rows).withColumn("hedged", hedged).withColumn("scores", _scores(True, 0.7, True)(F.col("item.axis_scores"), F.col("source_tier"), hedged))
+    rows = checked(rows, "__norm").withColumn("hedged", hedged).withColumn("scores", _scores(True, 0.7, True)(F.col("item.axis_scores"), F.col("source_tier"), hedged))
     reason = F.when(F.col("item").isNull(), "shape").otherwise(F.coalesce("reject_reason", F.when(F.size("scores") == 0, "shape")))
     return rows.select(
-        "doc_id", F.when(reason.isNull(), claim_id(F.col("doc_id"), F.col("quote"))).alias("claim_id"), "quote", F.substring(F.coalesce("item.normalized_claim", F.lit("")), 1, 400).alias("normalized_claim"),
+        "doc_id", F.when(reason.isNull(), claim_id(F.col("doc_id"), F.col("quote"))).alias("claim_id"), "quote", F.substring(F.coalesce("item.normalized_claim", F.lit("")), 1, CLAIM_CHARS).alias("normalized_claim"),
         F.coalesce("item.topics", F.array().cast("array<string>")).alias("topics"), "scores", "hedged", F.col("item.timeline_years").alias("timeline_years"), reason.alias("reject_reason"),
     )
 
 
 def ingested(records: DataFrame, docs: DataFrame) -> DataFrame:
     """Claims of hand-made records (doc_id, quote, axis_scores, hedged): unknown documents and bad axes are rejected with a reason, no score is no reason."""
-    rows = checked(records.join(docs, "doc_id", "left").withColumn("known", F.col("document_text").isNotNull()))
+    rows = checked(with_documents(records, docs, "left").withColumn("known", F.col("__norm").isNotNull()), "__norm")
     hedged = F.coalesce("hedged", F.lit(False))
     clean = _scores(False, 0.8, False)(F.col("axis_scores"), F.col("source_tier"), hedged)
     bad = F.size(clean) < F.size(F.coalesce("axis_scores", F.array().cast("array<struct<axis:string,score:string,strength:string,confidence:string>>")))
@@ -82,7 +94,9 @@ def statistics(rows: DataFrame) -> DataFrame:
 
 
 def first_of_each(rows: DataFrame, key: str, order: str) -> DataFrame:
-    return rows.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(order))).where("__n = 1").drop("__n")
+    """The first row of each key, by a grouping that combines map-side."""
+    rest = [c for c in rows.columns if c != key]
+    return rows.groupBy(key).agg(F.min_by(F.struct(*rest), F.col(order)).alias("__r")).select(*[F.col(key) if c == key else F.col("__r")[c].alias(c) for c in rows.columns])
 
 
 def new_rows(rows: DataFrame, existing: DataFrame, key: str, order: str) -> DataFrame:
@@ -90,6 +104,11 @@ def new_rows(rows: DataFrame, existing: DataFrame, key: str, order: str) -> Data
     return first_of_each(rows, key, order).join(existing.select(key), key, "left_anti")
 
 
+def saved(rows: DataFrame, existing: DataFrame) -> DataFrame:
+    """The claims of ``validated`` or ``ingested`` that a store with ``existing`` (claim_id) takes: each id once, though windows overlap or quotes repeat."""
+    return new_rows(rows.where("reject_reason is null"), existing, "claim_id", "quote")
+
+
 def scored_rows(claims: DataFrame) -> DataFrame:
     """One row for each axis score of a claim; strength and confidence are 1 where they aren't given."""
     rows = claims.withColumn("s", F.explode("axis_scores")).drop("axis_scores")
@@ -109,6 +128,30 @@ def by_person(claims: DataFrame) -> DataFrame:
     )
 
 
+def people_by_claims(claims: DataFrame) -> DataFrame:
+    """People with claims, those with most first: person_id, n, axes."""
+    axes = F.array_join(F.array_sort(F.collect_set("axis")), "")
+    return claims.groupBy("person_id").agg(F.count("*").alias("n"), axes.alias("axes")).orderBy(F.desc("n"), "person_id")
+
+
+#: What an exported claim holds: JSON name and column.
+CLAIM_FIELDS = {
+    "id": "claim_id", "date": "date", "precision": "date_precision", "quote": "supporting_text", "claim": "normalized_claim", "topics": "topics", "scores": "axis_scores",
+    "hedged": "hedged", "timeline_years": "timeline_years", "reviewed": "human_reviewed", "extractor": "extractor_model",
+}
+SOURCE_FIELDS = {"url": "canonical_url", "title": "title", "publisher": "publisher", "type": "source_type", "tier": "source_tier", "language": "language"}
+
+
+def exported(claims: DataFrame, docs: DataFrame) -> DataFrame:
+    """Each person's claims of trusted documents, newest first, as they are shown: person_id and the array ``claims`` of JSON texts with their source."""
+    rows = of_trusted_documents(claims, docs).withColumn("date", F.date_format("d", "yyyy-MM-dd"))
+    source = F.struct(*[F.col(c).alias(k) for k, c in SOURCE_FIELDS.items()]).alias("source")
+    one = F.struct(*[F.coalesce(F.col(c), F.lit(False)).alias(k) if k in ("hedged", "reviewed") else F.col(c).alias(k) for k, c in CLAIM_FIELDS.items()], source)
+    place = F.struct((-F.datediff("d", F.lit("1970-01-01").cast("date"))).alias("newest"), F.col("claim_id"))
+    nested = rows.groupBy("person_id").agg(F.array_sort(F.collect_list(F.struct(place.alias("at"), F.to_json(one).alias("json")))).alias("c"))
+    return nested.select("person_id", F.transform("c", lambda x: x["json"]).alias("claims"))
+
+
 def nested_positions(dense: DataFrame) -> DataFrame:
     """One row for each person: axis to its cells in month order, each value, dispersion, claims, status letter and age, or null."""
     cell = F.when(F.col("value").isNotNull(), F.struct(F.bround("value", 2).alias("value"), F.bround("dispersion", 2).alias("dispersion"), "n_claims", F.substring("status", 1, 1).alias("status"), F.bround("newest_age_months", 0).cast("int").alias("age")))

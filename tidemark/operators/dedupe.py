@@ -2,26 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def first_by_two_keys(rows: DataFrame, a: str, b: str, order: str) -> DataFrame:
-    """What inserting rows in order and ignoring those that break either of two unique keys would keep.
+def first_by_two_keys(rows: DataFrame, a: str, b: str, order: str, most_rounds: int = 200) -> DataFrame:
+    """What inserting rows in order and ignoring those that break either of two unique keys would keep. A null key clashes with none.
 
     In rounds: a row that is first of both its keys among the undecided is kept, and all that share a key with it go. Each round decides at
-    least the first undecided row of every connected set, and shrinks the rest; each is written to the checkpoint folder, so a lost executor costs one round.
+    least the first undecided row of every connected set, and shrinks the rest; each is written to the checkpoint folder, so a lost
+    executor costs one round. Firsts come from groupings, which combine map-side. More than ``most_rounds`` rounds are an error.
     """
-    from tidemark.sources.tables import stored
+    from tidemark.sources.tables import discard, stored
 
     left, kept = stored(rows), None
-    while True:
-        firsts = left.withColumn("__a", F.min(order).over(Window.partitionBy(a))).withColumn("__b", F.min(order).over(Window.partitionBy(b)))
-        won = stored(firsts.where((F.col(order) == F.col("__a")) & (F.col(order) == F.col("__b"))).drop("__a", "__b"))
+    for _ in range(most_rounds):
+        first_a, first_b = (left.where(F.col(k).isNotNull()).groupBy(k).agg(F.min(order).alias(f"__{n}")) for k, n in ((a, "a"), (b, "b")))
+        firsts = left.join(first_a, a, "left").join(first_b, b, "left")
+        is_first = (F.col(a).isNull() | (F.col(order) == F.col("__a"))) & (F.col(b).isNull() | (F.col(order) == F.col("__b")))
+        won = stored(firsts.where(is_first).select(rows.columns))
         kept = won if kept is None else kept.unionByName(won)
-        left = stored(left.join(won.select(a).distinct(), a, "left_anti").join(won.select(b).distinct(), b, "left_anti").select(rows.columns))
+        before, left = left, stored(left.join(won.select(a).distinct(), a, "left_anti").join(won.select(b).distinct(), b, "left_anti").join(won.select(order), order, "left_anti").select(rows.columns))
+        discard(before)
         if left.isEmpty():
             return kept
+    raise RuntimeError(f"rows are undecided after {most_rounds} rounds: is {order} unique?")
 
 
 def first_links(pages: DataFrame, per_page: int) -> DataFrame:

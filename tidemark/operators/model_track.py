@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import json
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.scores import flag, open_weights, rescaled, web_link
-from tidemark.functions.text import display_name, listed
+from tidemark.functions.scores import flag, number, open_weights, rescaled, web_link
+from tidemark.functions.text import display_name, listed, slug
 
 START = "2017-01-01"
 # The domains that make a model a foundation model, and those that the matrix shows.
@@ -14,6 +16,12 @@ FOUNDATION = ("Language", "Multimodal", "Vision", "Image generation", "Video", "
 DOMAINS = ("Language", "Vision", "Multimodal", "Image generation", "Video", "Speech", "Audio", "Biology", "Games", "Robotics")
 
 
+def typed(rows: DataFrame, numbers: tuple[str, ...], date: str = "d", start: str | None = START) -> DataFrame:
+    """Rows of a CSV, all strings: those with a date, which becomes one, and the ``numbers``, null where they are none."""
+    own = dated(rows, date, start)
+    return own.withColumns({date: F.to_date(date, "yyyy-MM-dd"), **{c: number(F.col(c)) for c in numbers}})
+
+
 def dated(rows: DataFrame, column: str, start: str | None = START) -> DataFrame:
     """Rows whose date is written YYYY-MM-DD and not before ``start``."""
     ok = F.col(column).rlike(r"^\d{4}-\d{2}-\d{2}$")
@@ -25,11 +33,24 @@ def last_of_each(rows: DataFrame, key: str, order: str) -> DataFrame:
     return rows.groupBy(key).agg(F.max_by(F.struct(*[c for c in rows.columns if c != key]), F.col(order)).alias("r")).select(key, "r.*")
 
 
+#: Names of labs up to which they are one map in the expression; beyond it they are joined.
+LABS = 500
+
+
 def with_lab(rows: DataFrame, labs: DataFrame, order: str) -> DataFrame:
-    """``lab`` of the first listed organisation that is a tracked lab, else 'other'; ``org``, the first one listed."""
+    """``lab`` of the first listed organisation that is a tracked lab, else 'other'; ``org``, the first one listed.
+
+    The registry of labs is small: its names become one map, looked up in place without a shuffle. A registry of more than ``LABS`` names is joined.
+    """
+    out = rows.withColumn("org", F.trim(F.split("organization", ",")[0]))
+    known = labs.select("match", "lab").distinct().limit(LABS + 1).collect()
+    if len(known) <= LABS:
+        names = F.from_json(F.lit(json.dumps({r["match"]: r["lab"] for r in sorted(known, key=lambda r: (r["match"], r["lab"]), reverse=True)})), "map<string,string>")
+        found = F.filter(F.transform(F.split("organization", ","), lambda x: F.try_element_at(names, F.lower(F.trim(x)))), lambda x: x.isNotNull())
+        return out.withColumn("lab", F.coalesce(F.get(found, 0), F.lit("other")))
     parts = rows.select(order, F.posexplode(F.split("organization", ",")).alias("at", "part")).withColumn("match", F.lower(F.trim("part")))
     found = parts.join(labs, "match").groupBy(order).agg(F.min_by("lab", "at").alias("lab"))
-    return rows.join(found, order, "left").withColumn("lab", F.coalesce("lab", F.lit("other"))).withColumn("org", F.trim(F.split("organization", ",")[0]))
+    return out.join(found, order, "left").withColumn("lab", F.coalesce("lab", F.lit("other")))
 
 
 def points(scores: DataFrame, specs: DataFrame, models: DataFrame, labs: DataFrame, least: int = 3) -> DataFrame:
@@ -44,16 +65,11 @@ def points(scores: DataFrame, specs: DataFrame, models: DataFrame, labs: DataFra
     rows = scores.where(F.col("raw").isNotNull() & (F.col("d") >= F.lit(START).cast("date"))).join(scaled, "benchmark").join(own, "model_version", "left")
     raw = F.col("raw") * F.col("scale")
     rows = rows.select("benchmark", display_name(F.col("model_version"), F.col("model_group"), F.lit("")).alias("model"), "organization", "d", "ord", F.bround(raw, 4).alias("s"), rescaled(raw, F.col("baseline"), F.col("ceiling")).alias("n"), open_weights(F.col("accessibility")).alias("open"))
-    best = rows.groupBy("benchmark", "model").agg(F.max_by(F.struct("organization", "d", "s", "n", "open", "ord"), F.struct("s", _descending("ord"))).alias("b")).select("benchmark", "model", "b.*")
+    best = rows.groupBy("benchmark", "model").agg(F.min_by(F.struct("organization", "d", "s", "n", "open", "ord"), F.struct(-F.col("s"), F.col("ord"))).alias("b")).select("benchmark", "model", "b.*")
     count = F.count("*").over(Window.partitionBy("benchmark"))
     return with_lab(best.withColumn("count", count).where(F.col("count") >= least).drop("count"), labs, "ord")
 
 
-def _descending(column: str) -> Column:
-    """A key that is larger for a text that sorts earlier."""
-    return F.transform(F.split(column, ""), lambda c: -F.ascii(c))
-
-
 def frontier(rows: DataFrame) -> DataFrame:
     """The points that beat all before them, in order of date and score."""
     before = Window.partitionBy("benchmark").orderBy("d", "s", "ord").rowsBetween(Window.unboundedPreceding, -1)
@@ -130,3 +146,27 @@ def headline(index: DataFrame, front: DataFrame, horizon: DataFrame, rows: DataF
 def latest_releases(rows: DataFrame, cutoff: str, most: int = 5) -> DataFrame:
     own = rows.where((F.col("d") <= F.lit(cutoff).cast("date")) & (F.col("frontier") | (F.col("lab") != "other")))
     return own.orderBy(F.desc("d"), F.desc("ord")).limit(most)
+
+
+def horizons(rows: DataFrame) -> DataFrame:
+    """The longest horizon of each model (model, minutes, ord, more); the first of equal ones."""
+    rest = [c for c in rows.columns if c != "model"]
+    return rows.groupBy("model").agg(F.max_by(F.struct(*rest), F.struct("minutes", -F.col("ord"))).alias("r")).select("model", "r.*")
+
+
+def in_order(rows: DataFrame) -> DataFrame:
+    """As exported: by date, rows of one day as they came."""
+    return rows.orderBy("d", "ord")
+
+
+def benchmarks_export(rows: DataFrame, specs: DataFrame) -> DataFrame:
+    """A row for each benchmark of ``points``: its id, name, baseline and ceiling, its points in order of date and score, and its frontier."""
+    point = F.struct(F.col("model").alias("m"), "lab", "org", F.date_format("d", "yyyy-MM-dd").alias("d"), "s", "n", "open")
+    place = F.struct("d", "s", "ord")
+
+    def nested(own: DataFrame, name: str) -> DataFrame:
+        each = own.groupBy("benchmark").agg(F.array_sort(F.collect_list(F.struct(place.alias("at"), point.alias("p")))).alias("l"))
+        return each.select("benchmark", F.transform("l", lambda x: x["p"]).alias(name))
+
+    out = nested(rows, "points").join(nested(frontier(rows), "frontier"), "benchmark").join(specs, "benchmark")
+    return out.select(slug(F.col("benchmark")).alias("id"), F.col("benchmark").alias("name"), "baseline", "ceiling", "points", "frontier")

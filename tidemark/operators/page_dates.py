@@ -10,7 +10,7 @@ from tidemark.functions.urls import canonical, host
 
 # Readings by rank, what each is trusted by itself, and its family; only another family corroborates.
 RANKS = (("feed", "high", "structured"), ("url", "high", "structured"), ("dateline", "high", "text"), ("jsonld", "medium", "structured"), ("time_tag", "medium", "structured"), ("meta", "medium", "structured"), ("body", "low", "text"))
-# Where dates are read.
+# Where dates are read; and what the note says.
 URL_DATE = r"/(20[0-2]\d)[/-](0?[1-9]|1[0-2])(?:[/-](0?[1-9]|[12]\d|3[01]))?(?:/|$|-)"
 JSON_LD = r'"date[Pp]ublished"\s*:\s*"([^"]{4,40})"'
 TIME_TAG = r"""(?i)<time[^>]+datetime=["']([^"']{4,40})["']"""
@@ -122,5 +122,14 @@ def updated(docs: DataFrame, found: DataFrame) -> DataFrame:
     return rows.select(*[F.col(f"__new_{c}").alias(c) if c in ("publication_date", "date_confidence", "date_source") else F.col(c) for c in docs.columns])
 
 
+def redated(docs: DataFrame, pages: DataFrame, feeds: DataFrame, as_of: str, threshold: int = 4) -> DataFrame:
+    """The whole job: all ``docs`` (doc_id, canonical_url, publication_date, date_source, date_confidence) but those dated by a feed or a seed get their date
+    from their page (doc_id, html) and the feeds (url, d), then dates that many share on a host are trusted little."""
+    own = docs.where(~F.coalesce("date_source", F.lit("")).isin("rss", "seed")).select("doc_id", F.col("canonical_url").alias("url"))
+    html = own.join(pages.select("doc_id", "html"), "doc_id", "left").withColumn("html", F.coalesce("html", F.lit("")))
+    found = resolved(with_feed_dates(html, feeds), as_of).select("doc_id", "d", "date_source", "date_confidence")
+    return clustered(updated(docs, found), threshold)
+
+
 def breakdown(docs: DataFrame) -> DataFrame:
     return docs.groupBy("date_confidence", "date_source").agg(F.count("*").alias("n")).orderBy(F.desc("n"))

@@ -19,10 +19,18 @@ DOC_CAP = 3.0
 KEY = ["person_id", "axis"]
 
 
-def _reach(rows: DataFrame) -> DataFrame:
-    """Each row at every month end at which it is 0 to 36 months old."""
-    at = rows.withColumn("month_end", F.explode(month_ends(F.col("d"), F.add_months("d", REACH))))
-    return at.withColumn("age", months_between(F.col("d"), F.col("month_end"))).where(F.col("age").between(0, REACH))
+def _reach(rows: DataFrame, ends: tuple[str, str] | None = None, at: str | None = None) -> DataFrame:
+    """Each row at every month end at which it is 0 to 36 months old; only those from ``ends``' first month to its last, or just the day ``at``."""
+    if at:
+        rows = rows.withColumn("month_end", F.lit(at).cast("date"))
+    else:
+        first, last = F.col("d"), F.add_months("d", REACH)
+        if ends:  # rows that reach none of the months go before they are expanded
+            since, until = (F.lit(x).cast("date") for x in ends)
+            rows = rows.where(F.col("d").between(F.add_months(F.trunc(since, "MM"), -REACH - 1), F.last_day(until)))
+            first, last = F.greatest(first, since), F.least(last, until)
+        rows = rows.withColumn("month_end", F.explode(F.when(F.trunc(first, "MM") <= F.trunc(last, "MM"), month_ends(first, last))))
+    return rows.withColumn("age", months_between(F.col("d"), F.col("month_end"))).where(F.col("age").between(0, REACH))
 
 
 def _chosen(docs_in: dict[int, Column], base: Column) -> Column:
@@ -55,8 +63,8 @@ def _result(sums: DataFrame, digits: tuple[int, int, int, int] = DIGITS) -> Data
     )
 
 
-def positions(claims: DataFrame, digits: tuple[int, int, int, int] = DIGITS) -> DataFrame:
-    """Positions where every document has one date and tier for each person and axis, as claims written from documents have.
+def positions(claims: DataFrame, digits: tuple[int, int, int, int] = DIGITS, ends: tuple[str, str] | None = None, at: str | None = None) -> DataFrame:
+    """Positions at all month ends, or those from ``ends``' first to its last, or just on the day ``at``; where every document has one date and tier for each person and axis, as claims written from documents have.
 
     Claims are collapsed to documents first, then documents are expanded to months, and one grouping adds up all four windows: age
     decay relative to the newest claim is a common factor, so it is applied to the sums. Both groupings combine map-side, so
@@ -66,7 +74,7 @@ def positions(claims: DataFrame, digits: tuple[int, int, int, int] = DIGITS) ->
     docs = claims.groupBy(*KEY, "doc_id", "d").agg(F.count("*").alias("n"), F.sum(w).alias("w0"), F.sum(F.col("score") * w).alias("w1"), F.sum(F.col("score") * F.col("score") * w).alias("w2"))
     # the cap is the same as at most three mean weights: 3 / n of the document's total
     docs = docs.withColumn("cap", F.least(F.lit(1.0), DOC_CAP / F.col("n")))
-    at = _reach(docs).withColumn("rate", decay_rate(F.year("month_end"))).withColumn("f", F.exp(-F.col("rate") * F.col("age")) * F.col("cap"))
+    rows = _reach(docs, ends, at).withColumn("rate", decay_rate(F.year("month_end"))).withColumn("f", F.exp(-F.col("rate") * F.col("age")) * F.col("cap"))
     weighs = F.col("w0") > 0
     sums: list[Column] = [F.min("age").alias("newest"), F.min("rate").alias("rate")]
     for win in WINDOWS:
@@ -75,7 +83,7 @@ def positions(claims: DataFrame, digits: tuple[int, int, int, int] = DIGITS) ->
         sums.append(F.count(F.when(inside & weighs, 1)).alias(f"docs_{win}"))
         sums.append(F.sum(F.when(inside & weighs, F.col("n")).otherwise(0)).alias(f"n_{win}"))
         sums += [F.sum(F.when(inside & weighs, F.col(f"w{k}") * F.col("f")).otherwise(0.0)).alias(f"m{k}_{win}") for k in (0, 1, 2)]
-    by = at.groupBy(*KEY, "month_end").agg(*sums)
+    by = rows.groupBy(*KEY, "month_end").agg(*sums)
     by = by.withColumn("window", _chosen({w: F.col(f"all_{w}") for w in WINDOWS}, lookback(F.col("month_end"))))
     rebase = F.exp(F.col("rate") * F.col("newest"))
     picked = {}
@@ -179,8 +187,40 @@ def explained(claims: DataFrame, at: str, rate: float = 0.12) -> DataFrame:
     return own.withColumn("weight", w)
 
 
+def explained_beside(claims: DataFrame, at: str, digits: tuple[int, int, int, int] = DIGITS) -> DataFrame:
+    """The plain weighted means at the start of a month beside the positions on that day: person_id, axis, counts, plain_mean, value, status, evidence_mass, dispersion."""
+    day = f"{at[:8]}01"
+    aggregate = positions(claims, digits, at=day).drop("month_end", "n_claims")
+    return explained_means(explained(claims, at)).join(aggregate, KEY, "left").withColumn("status", F.coalesce("status", F.lit("insufficient")))
+
+
 def explained_means(rows: DataFrame) -> DataFrame:
     """The plain weighted mean by person and axis; null where no weight is inside."""
     return rows.groupBy(*KEY).agg(F.count("*").alias("n_claims"), F.count_if("inside").alias("n_inside"), F.sum("weight").alias("w"), F.sum(F.col("score") * F.col("weight")).alias("sw")).select(
         *KEY, "n_claims", "n_inside", F.bround(F.when(F.col("w") > 0, F.col("sw") / F.col("w")), 3).alias("plain_mean")
     )
+
+
+def people_export(people: DataFrame, claims: DataFrame, first: str, last: str, digits: tuple[int, int, int, int] = DIGITS) -> DataFrame:
+    """The whole build, a row for each person: who it is, the axes allowed, each axis' cells in month order (value, dispersion, claims, letter
+    of the status, age; null without a value), the month of entry and how many contradictions. ``diagnostics`` and the timeline are its other parts."""
+    at = dense(people, positions(claims, digits, ends=(first, last)), first, last)
+    cell = F.when(
+        F.col("value").isNotNull(),
+        F.struct(F.bround("value", 2).alias("value"), F.bround("dispersion", 2).alias("dispersion"), "n_claims", F.substring("status", 1, 1).alias("status"), F.bround("newest_age_months", 0).cast("int").alias("age")),
+    )
+    series = at.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("month_end", cell.alias("cell")))).alias("s"))
+    axes = series.groupBy("person_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("axis", F.transform("s", lambda x: x["cell"]))))).alias("axes"), F.min(F.get(F.filter("s", lambda x: x["cell"].isNotNull()), 0)["month_end"]).alias("entry"))
+    n = contradiction_counts(contradictions(claims), people)
+    who = people.select(
+        F.col("person_id").alias("id"), F.col("display_name").alias("name"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("entity_kind", F.lit("person")).alias("kind"), F.coalesce("headline", F.lit(False)).alias("headline"),
+        F.coalesce("axes_allowed", F.array(*[F.lit(a) for a in "XYZWS"])).alias("axes_allowed"),
+    )
+    out = who.join(axes, who["id"] == axes["person_id"], "left").drop("person_id").join(n, who["id"] == n["person_id"], "left").drop("person_id")
+    return out.withColumn("enters_at", F.date_format("entry", "yyyy-MM")).drop("entry")
+
+
+def diagnostics(people: DataFrame, claims: DataFrame, last: str, digits: tuple[int, int, int, int] = DIGITS) -> tuple[DataFrame, DataFrame]:
+    """Of the last month: variance by axis and correlation by pair of axes."""
+    latest = dense(people, positions(claims, digits, ends=(last, last)), last, last)
+    return axis_variance(latest), axis_correlation(latest)

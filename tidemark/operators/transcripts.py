@@ -73,18 +73,36 @@ def is_guest(title: Column, name: Column) -> Column:
 def episode_guests(episodes: DataFrame, people: DataFrame) -> DataFrame:
     """Episodes (episode, title) with the first person (person_id, display_name, ord) who is their guest.
 
-    A guest's name begins the title, so its first word does: titles and people meet by that word, not each with each.
+    A guest's name begins the title: titles and people meet by a beginning as long as the name, not each with each. A title has one such
+    beginning for each length that any name has.
     """
     head = F.lower(F.trim(F.regexp_replace("title", r"^#?\d+\s*[-–—:]?\s*", "")))
-    # the name may end inside a word of the title, so its last word is no key unless it is the only one
-    many = people.where(F.contains("display_name", F.lit(" "))).withColumn("__word", F.split(F.lower("display_name"), " ")[0])
-    rows = episodes.withColumn("__word", F.split(head, " ")[0]).join(many, "__word").where(is_guest(F.col("title"), F.col("display_name")))
-    single = people.where(~F.contains("display_name", F.lit(" "))).withColumn("__start", F.lower("display_name"))
-    starts = episodes.withColumn("__start", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.lit(60), F.length(head)))), lambda k: F.substring(head, F.lit(1), k)))).join(single, "__start")
-    both = rows.select("episode", "person_id", "ord").unionByName(starts.select("episode", "person_id", "ord"))
+    names = people.select("person_id", "ord", F.lower("display_name").alias("__start")).where("__start <> ''")
+    sizes = sorted(r[0] for r in names.select(F.length("__start")).distinct().collect())  # a few dozen: of a name, not of the people
+    starts = F.transform(F.filter(F.array(*[F.lit(n) for n in sizes]).cast("array<int>"), lambda n: n <= F.length(head)), lambda n: F.substring(head, F.lit(1), n))
+    both = episodes.withColumn("__start", F.explode(starts)).join(names, "__start")
     return both.groupBy("episode").agg(F.min_by("person_id", "ord").alias("person_id"))
 
 
+def podcast_documents(entries: DataFrame, people: DataFrame, texts: DataFrame, least: int = 4, least_words: int = 400, most: int = 8) -> DataFrame:
+    """Feed entries into documents of what their guests say: feed → guest → labels → first usable page → at most ``most`` for each person.
+
+    Entries (episode, feed, pos, title, link, d), people (person_id, display_name, ord), texts (url, ord, body: a page's text). Of an episode's page
+    and its ``-transcript`` sibling the first counts whose guest says ``least_words`` words.
+    """
+    own = entries.where("link is not null").join(episode_guests(entries.select("episode", "title"), people), "episode").join(people.select("person_id", "display_name"), "person_id")
+    clean = F.split(canonical(F.col("link")), r"\?")[0]
+    tried = own.withColumn("url", F.explode(F.array(F.struct(F.lit(0).alias("at"), clean.alias("url")), F.struct(F.lit(1).alias("at"), F.concat(F.rtrim(clean, F.lit("/")), F.lit("-transcript")).alias("url")))))
+    tried = tried.select("episode", "display_name", F.col("url.at").alias("at"), F.col("url.url").alias("url")).join(texts, "url")
+    doc = F.concat_ws(":", F.col("episode").cast("string"), F.col("at").cast("string"))
+    rows = lines(tried.select(doc.alias("doc"), "ord", "body"))
+    guests = tried.select(doc.alias("doc"), F.col("display_name").alias("guest")).distinct()
+    where = tried.select(doc.alias("doc"), "episode", F.col("at").alias("ord"), "url").distinct()
+    said = guest_speech(rows, guests, least).join(where, "doc").select("episode", "ord", "url", "label", "speech", "words")
+    usable = own.drop("display_name").join(first_usable(said, least_words).drop("ord"), "episode").where("d is not null")
+    return first_per_person(usable, most).withColumn("title", F.substring("title", 1, 300)).drop("n")
+
+
 def first_per_person(usable: DataFrame, most: int = 8) -> DataFrame:
     """At most ``most`` usable episodes of a person, in feed order."""
     own = Window.partitionBy("person_id").orderBy("feed", "pos")

@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 BASE = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "benchmark", "conversations")
 
+#: A month's name, of an order's date and so much.
+_MONTH = "rtrim(substr('January   February  March     April     May       June      July      August    September October   November  December  ', cast(month(cast(o.o_orderdate + {} as date)) as int) * 10 - 9, 10))"
+
 SQL: dict[str, str] = {
     # claims: one document has one person, one date, one tier
     "t_claims": """
@@ -54,9 +57,13 @@ SQL: dict[str, str] = {
     "t_quotes": """
         select d.doc_id, b.item_id, case when d.doc_id % 2 = 0 then substr(d.text, 5, 80) else b.text end quote, d.text document_text, cast(d.doc_id % 5 as int) tier, d.doc_id % 7 = 0 hedged
         from documents d join benchmark b on d.doc_id % 40 = b.item_id % 40""",
-    "t_datedpages": """
+    # pages that say a date in a meta tag, some in their URL, and some in a line of text: near the meta tag's, far off, or a month only
+    "t_datedpages": f"""
         select p.page_id, concat(p.url, case when p.page_id % 3 = 0 then concat('/', cast(year(o.o_orderdate) + 23 as string), '/05/17/') else '' end) url,
-               concat('<meta property="article:published_time" content="', cast(cast(o.o_orderdate + interval '276' month as date) as string), '">', p.html) html
+               concat('<meta property="article:published_time" content="', cast(cast(o.o_orderdate + interval '276' month as date) as string), '">',
+                      case p.page_id % 5 when 1 then concat('<p>Posted ', {_MONTH.format("interval '276' month + interval '20' day")}, ' ', cast(day(cast(o.o_orderdate + interval '276' month + interval '20' day as date)) as string), ', ', cast(year(cast(o.o_orderdate + interval '276' month + interval '20' day as date)) as string), '</p>')
+                                         when 2 then concat('<p>Posted ', {_MONTH.format("interval '300' month")}, ' 3, ', cast(year(o.o_orderdate) + 25 as string), '</p>')
+                                         when 3 then concat('<p>', {_MONTH.format("interval '276' month")}, ' ', cast(year(o.o_orderdate) + 23 as string), '</p>') else '' end, p.html) html
         from pages p join orders o on p.page_id = o.o_orderkey""",
     # transcript lines: a label line before each turn's lines
     "t_transcript": "select conv_id, turn, concat(upper(substr(role, 1, 1)), substr(role, 2), case when turn % 2 = 0 then ' 00:01:07' else '' end, chr(10), text) body from conversations where text is not null and role is not null",

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions.text import display_name, slug, windows
+from tidemark.functions.text import cjk_count, display_name, recovered_array, recovered_object, slug, windows
 from tidemark.operators import claims as C
 from tidemark.operators import dedupe, page_dates, views
 from tidemark.plans.derived import view, with_sql
@@ -51,6 +53,47 @@ def _rules(s: SparkSession, d: str) -> DataFrame:
     return C.refused(own.select("claim_id", quote.alias("quote"), (F.col("score") + F.when(F.col("doc_id") % 7 == 0, 2).otherwise(0)).alias("score"), (F.col("tier") - 1).alias("n_sources"), (F.col("tier") + F.col("doc_id") % 3).alias("importance")))
 
 
+def _existing(s: SparkSession, d: str) -> DataFrame:
+    """Claims that a store holds already: those of the hedged quotes."""
+    held = view(s, d, "t_quotes").where("hedged")
+    return held.select(C.claim_id(F.col("doc_id"), F.col("quote")).alias("claim_id")).distinct()
+
+
+def _answer():
+    """Answers with an array in a fence or in prose, with an object only, or with none."""
+    item = F.col("item_id").cast("string")
+    return (
+        F.when(F.col("item_id") % 4 == 0, F.concat(F.lit('So:\n```json\n["a'), item, F.lit('", {"b": 1}]\n```\nDone [sic].'))).when(F.col("item_id") % 4 == 1, F.concat(F.lit('I think ["a'), item, F.lit('"] it is.')))
+        .when(F.col("item_id") % 4 == 2, F.concat(F.lit('```\n{"item": "'), item, F.lit('"}\n```'))).otherwise("No idea } or { so.")
+    )
+
+
+def long_answers(s: SparkSession, d: str) -> DataFrame:
+    """One quote of each document, said again in other words at length."""
+    own = view(s, d, "documents").select("doc_id", F.to_json(F.array(F.struct(F.substring("text", 5, 80).alias("supporting_text"), F.repeat(F.concat(F.lit("claim "), F.col("doc_id").cast("string"), F.lit(" ")), 60).alias("normalized_claim"), F.array().cast(SCORE).alias("axis_scores")))).alias("response"))
+    return own
+
+
+CLAIM = "id string, date string, precision string, quote string, claim string, topics array<string>, scores array<struct<axis:string,score:int,strength:double,confidence:double>>, hedged boolean, timeline_years double, reviewed boolean, extractor string, source struct<url:string,title:string,publisher:string,type:string,tier:int,language:string>"
+
+
+def exported(s: SparkSession, d: str) -> DataFrame:
+    """The export of claims, written as JSON lines, read back and laid flat."""
+    score = F.struct("axis", "score", F.col("strength").cast("double").alias("strength"), F.col("confidence").cast("double").alias("confidence"))
+    own = view(s, d, "t_claims").select(
+        "person_id", "doc_id", "claim_id", "d", F.lit("day").alias("date_precision"), F.concat(F.lit("said \"so\" in "), "claim_id").alias("supporting_text"), F.when(F.col("doc_id") % 3 == 0, F.lit("c")).alias("normalized_claim"), F.array("axis").alias("topics"), F.array(score).alias("axis_scores"),
+        F.when(F.col("doc_id") % 2 == 0, F.col("score") > 0).alias("hedged"), F.lit(None).cast("double").alias("timeline_years"), F.lit(None).cast("boolean").alias("human_reviewed"), F.lit("m").alias("extractor_model"),
+    )
+    about = view(s, d, "t_docs").select("doc_id", "canonical_url", "title", F.lit("h").alias("publisher"), F.col("collector").alias("source_type"), "source_tier", F.lit("en").alias("language"), "date_confidence")
+    path = f"{tables.shared_dir(s)}/claims-{uuid.uuid4().hex}"
+    tables.write_nested(C.exported(own, about), path)
+    rows = s.read.schema("person_id string, claims array<string>").json(path).select("person_id", F.posexplode("claims").alias("place", "c")).withColumn("c", F.from_json("c", CLAIM))
+    return rows.select(
+        "person_id", "place", "c.id", "c.date", "c.precision", "c.quote", "c.claim", F.col("c.topics")[0].alias("topic"), F.col("c.scores")[0]["score"].alias("score"), F.bround(F.col("c.scores")[0]["strength"], 4).alias("strength"), "c.hedged", "c.timeline_years", "c.reviewed", "c.extractor",
+        "c.source.url", "c.source.title", "c.source.publisher", "c.source.type", "c.source.tier", "c.source.language",
+    )
+
+
 FLAT = "regexp_replace({}, '[\\s\\x{{00a0}}]+', ' ', 'g')"
 NORM = "lower(trim(regexp_replace(translate({}, '’‘“”—–' || chr(160), '''''\"\"-- '), '\\s+', ' ', 'g')))"
 CHECKED = f"""
@@ -73,10 +116,15 @@ QUERIES = {
     "j14_verbatim": lambda s, d: C.checked(view(s, d, "t_quotes")).select("doc_id", "item_id", "reject_reason"),
     "prj3_refused_rows": lambda s, d: _rules(s, d).groupBy("reject_reason").agg(F.count("*").alias("n")),
     "str4_windows": lambda s, d: view(s, d, "documents").select("doc_id", F.explode(windows(F.col("text"))).alias("w")).select("doc_id", "w.start", F.length("w.chunk").alias("n"), F.md5("w.chunk").alias("md5")),
-    "str2_cjk_count": lambda s, d: view(s, d, "documents").select("doc_id", F.length(F.regexp_replace("text", "[^一-鿿぀-ヿ]", "")).alias("n")),
+    "str2_cjk_count": lambda s, d: view(s, d, "documents").select("doc_id", cjk_count(F.col("text")).alias("n")),
+    "str20_cut_claims": lambda s, d: C.validated(long_answers(s, d), source(s, d)).select("doc_id", "normalized_claim"),
     "src3_trusted_claims": lambda s, d: C.of_trusted_documents(view(s, d, "t_claims"), docs(s, d).select("doc_id", "date_confidence", "canonical_url")).groupBy("person_id", "axis").agg(F.count("*").alias("n"), F.count_distinct("canonical_url").alias("urls")),
     "agg10_claims_by_person": lambda s, d: C.by_person(view(s, d, "t_claims")).select("person_id", "n", "axes"),
-    "snk2_claims_nested": lambda s, d: C.by_person(view(s, d, "t_claims")).select("person_id", F.to_json("claims").alias("claims")),
+    "snk2_claims_nested": lambda s, d: exported(s, d),
+    "srt3_people_by_claims": lambda s, d: C.people_by_claims(view(s, d, "t_claims")).select("person_id", "n", "axes"),
+    "job1_saved_claims": lambda s, d: C.saved(validated(s, d), _existing(s, d)).select("doc_id", "claim_id"),
+    "job2_saved_claims": lambda s, d: C.saved(C.ingested(records(s, d), source(s, d)), _existing(s, d)).select("doc_id", "claim_id"),
+    "jsn1_recovered": lambda s, d: view(s, d, "t_quotes").select("doc_id", "item_id", F.get(recovered_array(_answer()), 0).alias("first"), F.get_json_object(recovered_object(_answer()), "$.item").alias("item")),
     "agg21_totals": lambda s, d: views.totals(view(s, d, "t_claims")),
     "src2_documents": lambda s, d: tables.documents(docs(s, d), trusted=True, authored=True, collector="audio").select("doc_id", "person_id", "publication_date", "source_tier"),
     "srt1_newest_documents": lambda s, d: tables.documents(docs(s, d), trusted=True, newest=20).select("doc_id", "publication_date"),
@@ -116,4 +164,12 @@ ORACLE = {
     "agg9_clustered": with_sql("select case when coalesce(date_source, '') <> 'url' and n >= 4 then 'low' else date_confidence end date_confidence, date_source, count(*) n from (select *, count(case when coalesce(date_source, '') <> 'url' then 1 end) over (partition by split_part(canonical_url, '/', 3), publication_date) n from t_docs) group by 1, 2", TD),
     "snk5_updated_dates": with_sql("select doc_id, case when f then publication_date + 3 else publication_date end publication_date, case when f then 'meta' else date_source end date_source, case when f then 'medium' else date_confidence end date_confidence from (select *, doc_id % 2 = 0 and coalesce(date_source, '') not in ('rss', 'seed') f from t_docs)", TD),
     "j15_person_cards": with_sql("select person_id, display_name, coalesce(np, 0) n_positions, case when headline then 'cc by' end licence, coalesce(nc, 0) n_claims from t_people left join (select person_id, count(case when score > 0 then 1 end) np, count(*) nc from t_claims group by 1) using (person_id)", "t_claims", "t_people"),
+    "snk2_claims_nested": with_sql("""select person_id, cast(row_number() over (partition by person_id order by d desc, claim_id) - 1 as integer) place, claim_id id, strftime(d, '%Y-%m-%d') "date", 'day' "precision", concat('said "so" in ', claim_id) quote, case when doc_id % 3 = 0 then 'c' end claim,
+        axis topic, score, round_even(cast(strength as double), 4) strength, coalesce(doc_id % 2 = 0 and score > 0, false) hedged, cast(null as double) timeline_years, false reviewed, 'm' extractor, canonical_url url, title, 'h' publisher, collector "type", source_tier tier, 'en' "language"
+        from t_claims c join (select doc_id, canonical_url, title, collector, source_tier, date_confidence from t_docs) t using (doc_id) where date_confidence in ('high', 'medium')""", "t_claims", TD),
+    "srt3_people_by_claims": with_sql("select person_id, count(*) n, array_to_string(list_sort(list_distinct(list(axis))), '') axes from t_claims group by 1 order by n desc, person_id", "t_claims"),
+    "job1_saved_claims": with_sql("select distinct doc_id, substr(sha1(concat(doc_id, '|', nq)), 1, 24) claim_id from sc where final is null and not hedged", "t_quotes", more=CHECKED),
+    "job2_saved_claims": with_sql("select distinct doc_id, substr(sha1(concat(doc_id, '|', nq)), 1, 24) claim_id from sc where doc_id % 9 <> 0 and reason is null and item_id % 11 <> 0 and not hedged", "t_quotes", more=CHECKED),
+    "jsn1_recovered": with_sql("select doc_id, item_id, case when item_id % 4 < 2 then concat('a', item_id) end \"first\", case when item_id % 4 = 2 then cast(item_id as varchar) end item from t_quotes", "t_quotes"),
+    "str20_cut_claims": "select doc_id, substr(repeat(concat('claim ', doc_id, ' '), 60), 1, 400) normalized_claim from documents",
 }

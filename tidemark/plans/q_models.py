@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from tidemark.functions.dates import duration
 from tidemark.functions.scores import number
 from tidemark.operators import model_track as M
 from tidemark.plans.derived import view, with_sql
+from tidemark.sources import tables
 
 CUT = "2023-06-30"
 DOMAINS = ("BUILDING", "MACHINERY", "HOUSEHOLD", "FURNITURE", "1-URGENT")
@@ -27,17 +30,47 @@ def releases(s: SparkSession, d: str) -> DataFrame:
 
 
 def index(s: SparkSession, d: str) -> DataFrame:
-    return releases(s, d).select("ord", "model", "lab", "org", "d", F.col("params").alias("v"))
+    return releases(s, d).select("ord", "model", "lab", "org", "d", F.col("params").alias("v"), "frontier")
 
 
 def horizon(s: SparkSession, d: str) -> DataFrame:
     """The longest horizon of each model, in minutes; the first of equal ones."""
     rows = releases(s, d).select("ord", "model", "d", F.bround(F.col("params") / 100, 3).alias("minutes"))
-    return rows.groupBy("model").agg(F.max_by(F.struct("ord", "d", "minutes"), F.struct("minutes", -F.col("ord"))).alias("r")).select("model", "r.*")
+    return M.horizons(rows)
 
 
 def cadence(s: SparkSession, d: str) -> DataFrame:
-    return M.cadence(index(s, d).where(F.col("ord") % 5 == 0), releases(s, d), DOMAINS[:2])
+    return M.cadence(index(s, d).where(F.col("frontier")), releases(s, d), DOMAINS[:2])
+
+
+def from_csv(s: SparkSession, d: str) -> DataFrame:
+    """Points of score tables that are written as CSV, all strings, and read back."""
+
+    def there(name: str) -> DataFrame:
+        path = f"{tables.shared_dir(s)}/{name}-{uuid.uuid4().hex}"
+        view(s, d, name).write.option("header", True).option("escape", '"').csv(path)
+        return tables.csv(s, path)
+
+    scores = M.typed(there("t_scores"), ("raw",))
+    specs = there("t_specs").withColumns({"has_file": F.col("has_file").cast("boolean"), "baseline": number(F.col("baseline")), "ceiling": number(F.col("ceiling"))})
+    models = there("t_models").withColumn("ord", F.col("ord").cast("long"))
+    return M.points(scores, specs, models, there("t_labs"))
+
+
+def _loose(s: SparkSession, d: str) -> DataFrame:
+    """Releases as strings, some with a month only, an early date or no number."""
+    date = F.when(F.col("ord") % 5 == 0, F.date_format("d", "yyyy-MM")).when(F.col("ord") % 5 == 1, "2016-12-31").otherwise(F.col("d").cast("string"))
+    return view(s, d, "t_releases").select("ord", date.alias("d"), F.when(F.col("ord") % 3 == 0, "n/a").otherwise(F.col("params").cast("string")).alias("params"))
+
+
+def exported(s: SparkSession, d: str) -> DataFrame:
+    """The benchmarks' export, written as JSON lines, read back and laid flat."""
+    path = f"{tables.shared_dir(s)}/track-{uuid.uuid4().hex}"
+    specs = view(s, d, "t_specs").withColumns({c: F.col(c).cast("double") for c in ("baseline", "ceiling")})
+    tables.write_nested(M.benchmarks_export(points(s, d), specs), path)
+    point = "array<struct<m:string,lab:string,org:string,d:string,s:double,n:double,open:boolean>>"
+    rows = s.read.schema(f"id string, name string, baseline double, ceiling double, points {point}, frontier {point}").json(path)
+    return rows.select("id", "name", "baseline", "ceiling", F.size("frontier").alias("n_frontier"), F.posexplode("points").alias("place", "p")).select("id", "name", "baseline", "ceiling", "n_frontier", "place", "p.*")
 
 
 POINTS = """
@@ -56,7 +89,7 @@ RELEASES = """
 rel as (select r.ord, model, coalesce(l.lab, 'other') lab, trim(string_split(organization, ',')[1]) org, d, list_filter(list_transform(string_split(domain, ','), lambda x: trim(x)), lambda x: x <> '') domains, params, lower(trim(frontier)) in ('true', 'yes', 'checked', '1') frontier,
         case when starts_with(link, 'http') then link end link from t_releases r left join t_labs l on lower(trim(string_split(organization, ',')[1])) = l.match where d >= date '2017-01-01'),
 hz as (select model, ord, d, minutes from (select *, round_even(params / 100, 3) as minutes from rel) qualify row_number() over (partition by model order by minutes desc, ord) = 1),
-cad as (select org, d, arg_min(lab, feed * 1e12 + ord) lab, list(model order by feed, ord) names from (select 0 feed, * from rel where ord % 5 = 0 union all select 1 feed, * from rel where list_has_any(domains, ['BUILDING', 'MACHINERY'])) group by 1, 2)
+cad as (select org, d, arg_min(lab, feed * 1e12 + ord) lab, list(model order by feed, ord) names from (select 0 feed, * from rel where frontier union all select 1 feed, * from rel where list_has_any(domains, ['BUILDING', 'MACHINERY'])) group by 1, 2)
 """
 P_ = ("t_scores", "t_specs", "t_models", "t_labs")
 R_ = ("t_releases", "t_labs")
@@ -79,7 +112,10 @@ QUERIES = {
     "srt5_latest_releases": lambda s, d: M.latest_releases(releases(s, d), CUT).select("ord", "model", "d"),
     "fil13_as_of": lambda s, d: points(s, d).where(F.col("d") <= F.last_day(F.lit("2021-02-01").cast("date"))).groupBy("benchmark").agg(F.count("*").alias("n")),
     "fil14_lab_focus": lambda s, d: releases(s, d).where("lab = 'lab2'").groupBy("lab", "frontier").agg(F.count("*").alias("n")),
-    "snk3_model_track": lambda s, d: points(s, d).groupBy("benchmark").agg(F.to_json(F.array_sort(F.collect_list(F.struct("d", "s", "ord", "model", "n")))).alias("points")),
+    "snk3_model_track": lambda s, d: exported(s, d),
+    "job10_from_csv": lambda s, d: from_csv(s, d).select("benchmark", "model", "lab", "org", "d", "s", "n", "open"),
+    "fil12_dated_rows": lambda s, d: M.typed(_loose(s, d), ("params",)).select("ord", "d", "params"),
+    "srt4_releases_in_order": lambda s, d: M.in_order(releases(s, d)).select("ord", "model", "d"),
     "mth1_numbers": lambda s, d: view(s, d, "t_releases").select("ord", number(F.when(F.col("ord") % 3 == 0, "n/a").when(F.col("ord") % 3 == 1, "NaN").otherwise(F.col("params").cast("string"))).alias("x")),
 }
 
@@ -104,4 +140,9 @@ ORACLE = {
     "fil13_as_of": with_sql("select benchmark, count(*) n from pts where d <= date '2021-02-28' group by 1", *P_, more=POINTS),
     "fil14_lab_focus": with_sql("select lab, frontier, count(*) n from rel where lab = 'lab2' group by 1, 2", *R_, more=RELEASES),
     "mth1_numbers": with_sql("select ord, case when ord % 3 = 2 then params end x from t_releases", "t_releases"),
+    "snk3_model_track": with_sql("""select trim(regexp_replace(lower(benchmark), '[^a-z0-9]+', '-', 'g'), '-') id, benchmark "name", cast(baseline as double) baseline, cast(ceiling as double) ceiling, cast((select count(*) from fr where fr.benchmark = pts.benchmark) as integer) n_frontier, cast(row_number() over (partition by benchmark order by d, s, ord) - 1 as integer) place,
+        model m, lab, org, strftime(d, '%Y-%m-%d') d, s, n, "open" from pts join (select benchmark, baseline, ceiling from t_specs) using (benchmark)""", *P_, more=POINTS),
+    "job10_from_csv": with_sql('select benchmark, model, lab, org, d, s, n, "open" from pts', *P_, more=POINTS),
+    "fil12_dated_rows": with_sql("select ord, d, case when ord % 3 <> 0 then params end params from t_releases where ord % 5 > 1 and d >= date '2017-01-01'", "t_releases"),
+    "srt4_releases_in_order": with_sql("select ord, model, d from rel order by d, ord", *R_, more=RELEASES),
 }

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from tidemark.operators import claims as claim_ops
 from tidemark.operators import positions as P
 from tidemark.operators import views
 from tidemark.plans.derived import view, with_sql
+from tidemark.sources import tables
 
 FIRST, LAST = "2018-01-01", "2024-08-31"
 #: The mass with all its decimals: sums of products of decimals are ties at the fourth.
@@ -29,7 +32,32 @@ def dense(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def latest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dense(spark, sf_dir).where(F.col("month_end") == F.lit(LAST).cast("date"))
+    """The last month only: claims that can't reach it are left out before they are expanded."""
+    return P.dense(people(spark, sf_dir), P.positions(claims(spark, sf_dir), FINE, ends=(LAST, LAST)), LAST, LAST)
+
+
+NESTED = "map<string,array<struct<value:double,dispersion:double,n_claims:bigint,status:string,age:int>>>"
+
+
+def _cells(rows: DataFrame, *keys: str) -> DataFrame:
+    """Nested axes (as JSON text) laid flat: the cells that aren't null."""
+    axes = rows.select(*keys, F.explode(F.from_json("axes", NESTED)).alias("axis", "s"))
+    return axes.select(*keys, "axis", F.posexplode("s").alias("place", "c")).where("c is not null").select(*keys, "axis", "place", "c.*")
+
+
+def exported(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole build, written as JSON lines, read back, and its cells summed up by axis."""
+    who = people(spark, sf_dir).withColumn("notes", F.lit(""))
+    path = f"{tables.shared_dir(spark)}/people-{uuid.uuid4().hex}"
+    tables.write_nested(P.people_export(who, claims(spark, sf_dir), FIRST, LAST, FINE), path)
+    kind = f"id string, name string, role string, kind string, headline boolean, axes_allowed array<string>, axes {NESTED}, enters_at string, contradictions bigint"
+    rows = spark.read.schema(kind).json(path).withColumn("axis", F.explode("axes_allowed")).withColumn("own", F.filter(F.col("axes")[F.col("axis")], lambda c: c.isNotNull()))
+    return rows.select("id", "name", "role", "kind", "headline", "enters_at", "contradictions", "axis", F.size(F.col("axes")[F.col("axis")]).alias("months"), F.size("own").alias("cells"), F.aggregate("own", F.lit(0).cast("bigint"), lambda a, c: a + c["n_claims"]).alias("claims"))
+
+
+def _diagnosed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    variance, correlation = P.diagnostics(people(spark, sf_dir), claims(spark, sf_dir), LAST, FINE)
+    return variance.select("axis", F.col("n_scoreable").alias("n"), F.col("variance").alias("x")).unionByName(correlation.select(F.col("pair").alias("axis"), "n", F.col("correlation").alias("x")))
 
 
 # AGG1 restated claim by claim; the queries below reuse it
@@ -78,7 +106,11 @@ QUERIES = {
     "agg25_drawable": lambda s, d: P.drawable(dense(s, d), LAST),
     "job8_explained": lambda s, d: P.explained_means(P.explained(claims(s, d), "2022-06-15")),
     "job8_explained_claims": lambda s, d: P.explained(claims(s, d), "2022-06-15").select("claim_id", "inside", F.bround("age", 3).alias("age"), F.bround("weight", 4).alias("weight")),
-    "snk1_positions_nested": lambda s, d: claim_ops.nested_positions(dense(s, d)),
+    "job8_explained_beside": lambda s, d: P.explained_beside(claims(s, d), "2022-06-15", FINE),
+    "snk1_positions_nested": lambda s, d: _cells(claim_ops.nested_positions(dense(s, d)), "person_id"),
+    "job7_people_export": exported,
+    "job7_diagnostics": _diagnosed,
+    "agg1_positions_default_digits": lambda s, d: P.positions(claims(s, d)).drop("evidence_mass"),
     "job11_map_xyz": lambda s, d: views.placed(latest(s, d), people(s, d), ("X", "Y", "Z"), P.entry_months(dense(s, d)), LAST[:7]),
     "job11_map_zw": lambda s, d: views.placed(latest(s, d), people(s, d), ("Z", "W"), P.entry_months(dense(s, d)), LAST[:7]),
     "job12_first_placed": lambda s, d: views.first_placed(dense(s, d), ("X", "Y", "Z")),
@@ -109,6 +141,15 @@ VISIBLE = """
 vis as (select person_id, month_end, count("value") >= 2 v, row_number() over (partition by person_id order by month_end) idx from full_ where axis in ('X', 'Y', 'Z') group by 1, 2)
 """
 
+AT_DAY = POSITIONS.replace("last_day(cast(date_trunc('month', d) + to_months(cast(k as integer)) as date)) month_end from x, (select unnest(generate_series(0, 36)) k)", "date '2022-06-01' month_end from x")
+
+
+def _half(x: str) -> str:
+    """A number of three decimals to two, ties to the even one, without binary fractions."""
+    k = f"cast(round(abs({x}) * 1000) as bigint)"
+    return f"case when {x} is not null then sign({x}) * (case when {k} % 10 > 5 or ({k} % 10 = 5 and ({k} // 10) % 2 = 1) then {k} // 10 + 1 else {k} // 10 end) / 100.0 end"
+
+
 ORACLE = {
     "agg1_positions": with_sql("select * from pos", "t_claims", more=POSITIONS),
     "agg1_positions_of_claims": with_sql("select * from pos", "t_claims", more=POSITIONS),
@@ -133,6 +174,18 @@ ORACLE = {
     "fil15_headline_search": with_sql("select person_id, display_name from t_people where headline and contains(lower(display_name), '7')", "t_people"),
     "srt6_search_hits": with_sql("select person_id, display_name from t_people where contains(lower(display_name), '00') order by display_name, person_id limit 6", "t_people"),
     "dat7_timeline_place": with_sql("select claim_id, round_even(greatest(0.0, least(1.0, ((year(d) - 2019) * 12 + month(d) - 1) / 59)), 6) \"at\" from t_claims", "t_claims"),
+    "job8_explained_beside": with_sql("""select person_id, axis, n_claims_all n_claims, n_inside, plain_mean, "value", coalesce(evidence_mass, null) evidence_mass, dispersion, coalesce(status, 'insufficient') status, window_months, newest_age_months from (select person_id, axis, count(*) n_claims_all, count(case when inside then 1 end) n_inside,
+        round_even(case when sum(weight) > 0 then sum(score * weight) / sum(weight) end, 3) plain_mean from e group by 1, 2) left join (select * exclude (n_claims, month_end) from pos) using (person_id, axis)""", "t_claims", more=AT_DAY + """,
+        g as (select *, (2022 - year(d)) * 12 + 6 - month(d) + (1 - day(d)) / cast(30.44 as double) age from t_claims),
+        e as (select *, age between 0 and 12 inside, case when age between 0 and 12 then strength * confidence * case tier when 1 then 1.0 when 2 then 1.0 when 3 then 0.6 else 0.0 end * exp(-0.12 * age) else 0.0 end weight from g)"""),
+    "snk1_positions_nested": _on_grid(f"""select person_id, axis, cast(datediff('month', date '2018-01-31', month_end) as integer) place, {_half('"value"')} "value", {_half('dispersion')} dispersion, n_claims, substr(status, 1, 1) status, cast(round_even(newest_age_months, 0) as integer) age from full_ where "value" is not null"""),
+    "job7_people_export": _on_grid("""select p.person_id id, display_name "name", role, coalesce(entity_kind, 'person') kind, headline, enters_at, coalesce(c.n, 0) contradictions, f.axis, 80 as "months", f.cells, f.claims from t_people p
+        join (select person_id, axis, cast(count("value") as integer) cells, cast(coalesce(sum(case when "value" is not null then n_claims end), 0) as bigint) claims from full_ group by 1, 2) f using (person_id)
+        left join (select person_id, min(strftime(month_end, '%Y-%m')) enters_at from full_ where "value" is not null group by 1) using (person_id)
+        left join (select person_id, cast(sum(n) as bigint) n from (select person_id, unnest(string_split(axes, '')) axis from t_people) join (select person_id, axis, count(*) n from pairs group by 1, 2) using (person_id, axis) group by 1) c using (person_id)""").replace("latest as", PAIRS.strip() + ",\nlatest as", 1),
+    "job7_diagnostics": _on_grid("""select axis, count(*) n, case when count(*) > 1 then round_even(var_pop("value"), 3) else 0.0 end x from latest where "value" is not null group by 1
+        union all select concat(a.axis, '-', b.axis), count(*), round_even(corr(a."value", b."value"), 3) from latest a join latest b on a.person_id = b.person_id and instr('XYZWS', a.axis) < instr('XYZWS', b.axis) where a."value" is not null and b."value" is not null group by 1 having count(*) > 2 and var_pop(a."value") > 0 and var_pop(b."value") > 0"""),
+    "agg1_positions_default_digits": with_sql("select * exclude (evidence_mass) from pos", "t_claims", more=POSITIONS),
 }
 # a body that begins with a comma goes on with the table expressions
 ORACLE = {k: v.replace(") , ", "), ").replace(")\n , ", "), ") for k, v in ORACLE.items()}

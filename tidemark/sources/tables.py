@@ -12,18 +12,38 @@ from pyspark.sql import types as T
 from tidemark.functions.urls import canonical
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` written once to the folder that ``spark.checkpoint.dir`` names, and read back."""
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names; one of our own only where it is unset and Spark runs in one process."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         named = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", named)
-    path = f"{named.rstrip('/')}/table-{uuid.uuid4().hex}"
+    return named.rstrip("/")
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written once to the shared folder, and read back."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _files(spark, path)[0].deleteOnExit(_files(spark, path)[1])
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def _files(spark: SparkSession, path: str):
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), there
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``stored`` has written, once nothing reads them any more."""
+    for df in tables:
+        files, there = _files(df.sparkSession, df.stored_at)
+        files.delete(there, True)
 
 
 def csv(spark: SparkSession, path: str) -> DataFrame:
@@ -55,13 +75,22 @@ def seeds(registry: DataFrame) -> DataFrame:
     return own.where(~F.col("status").eqNullSafe("dead"))
 
 
-FEED_ITEM = T.StructType([T.StructField(n, T.StringType()) for n in ("title", "link", "pubDate", "published", "updated")])
+_LINK = T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in ("_VALUE", "_href", "_rel")]))
+_ENCLOSURE = T.ArrayType(T.StructType([T.StructField("_url", T.StringType())]))
+FEED_ITEM = T.StructType([T.StructField(n, T.StringType()) for n in ("title", "pubDate", "published", "updated")]).add("link", _LINK).add("enclosure", _ENCLOSURE)
 
 
 def feed_items(spark: SparkSession, path: str, row_tag: str = "item") -> DataFrame:
-    """Entries of RSS feeds: title, link and the day of publication, else of the last update."""
+    """Entries of feeds, RSS (``item``) or Atom (``entry``): title, link of the page, audio (the enclosure) and the day of publication, else of the last update.
+
+    RSS writes a link as text, Atom as attributes; of several the page's own has no rel or ``alternate``.
+    """
     rows = spark.read.format("xml").option("rowTag", row_tag).schema(FEED_ITEM).load(path)
-    return dated_entries(rows)
+    target = lambda x: F.coalesce(F.nullif(F.trim(x["_VALUE"]), F.lit("")), x["_href"])
+    page = F.filter("link", lambda x: F.coalesce(x["_rel"], F.lit("alternate")) == "alternate")
+    audio = F.coalesce(F.get(F.filter("link", lambda x: x["_rel"] == "enclosure"), 0)["_href"], F.get("enclosure", 0)["_url"])
+    own = rows.select("title", target(F.get(page, 0)).alias("link"), audio.alias("audio"), "pubDate", "published", "updated")
+    return dated_entries(own)
 
 
 def dated_entries(rows: DataFrame) -> DataFrame:
@@ -72,7 +101,17 @@ def dated_entries(rows: DataFrame) -> DataFrame:
         mail = F.coalesce(F.try_to_timestamp(text, F.lit("d MMM yyyy HH:mm:ss Z")), F.try_to_timestamp(text, F.lit("d MMM yyyy HH:mm:ss z")))
         return F.coalesce(F.to_date(mail), F.substring(text, 1, 10).try_cast("date"))
 
-    return rows.select("title", "link", F.coalesce(day("pubDate"), day("published"), day("updated")).alias("d"))
+    kept = [c for c in rows.columns if c not in ("pubDate", "published", "updated")]
+    return rows.select(*kept, F.coalesce(day("pubDate"), day("published"), day("updated")).alias("d"))
+
+
+def union_of_feeds(*feeds: DataFrame) -> DataFrame:
+    """Entries (link, d, ord) of several feeds, in the order of the feeds and then their own: link, d, ord."""
+    each = [f.select("link", "d", F.struct(F.lit(k).alias("feed"), F.col("ord").alias("at")).alias("ord")) for k, f in enumerate(feeds)]
+    out = each[0]
+    for more in each[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 def feed_map(entries: DataFrame, order: str = "ord") -> DataFrame:
