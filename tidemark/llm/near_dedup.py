@@ -78,7 +78,7 @@ class Sketcher:
     def __call__(self, h: np.ndarray) -> np.ndarray:
         """One key for each band."""
         out = np.empty(len(self.factors), np.uint64)
-        most = max(1, 2_000_000 // len(h))
+        most = max(1, 400_000 // len(h))
         for at in range(0, len(self.factors), most):
             by = h[None, :] * self.factors[at : at + most, None]
             each = np.arange(len(by))
