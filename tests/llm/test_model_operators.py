@@ -214,6 +214,28 @@ def test_forward_and_counts_against_all_paths():
     assert np.allclose(start, w_start) and np.allclose(step, w_step) and np.allclose(emit, w_emit)
 
 
+def test_long_sequences_in_blocks():
+    rng = np.random.default_rng(5)
+    model = lm_scoring.Hmm(rng.dirichlet(np.ones(3)), rng.dirichlet(np.ones(3), 3), rng.dirichlet(np.ones(5), 3).T)
+    s = rng.integers(0, 5, 101)
+    whole = [np.zeros(3), np.zeros((3, 3)), np.zeros((3, 5))]
+    log = lm_scoring.expected(model, [s], *whole)
+    for block in (1, 7, 100, 101, 500):
+        own = [np.zeros(3), np.zeros((3, 3)), np.zeros((3, 5))]
+        assert lm_scoring.expected_in_blocks(model, s, *own, block) == pytest.approx(log)
+        assert all(np.allclose(a, b) for a, b in zip(own, whole))
+
+
+def test_most_frequent_words(spark):
+    rng = np.random.default_rng(7)
+    counts = {b"w%d" % k: int(rng.zipf(1.3)) % 10_000 + 1 for k in range(3000)}
+    df = spark.createDataFrame([(bytearray(w), c) for w, c in counts.items()], "word binary, c long")
+    want = sorted(counts.items(), key=lambda r: (-r[1], r[0]))
+    for most in (1, 50, 2999, 3000, 5000):
+        assert lm_scoring._most_frequent(df, most) == want[:most]
+    assert lm_scoring._most_frequent(df.limit(0), 5) == []
+
+
 @pytest.mark.parametrize("head", [40_000, 300])
 def test_lm_scoring(spark, odd, none, docs, head):
     for df in (docs, odd):

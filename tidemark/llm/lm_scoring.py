@@ -31,7 +31,7 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bucket_of, stored
+from tidemark.llm.common import bounded_batches, bucket_of, stored
 from tidemark.llm.packing import slices
 
 HEAD = 40_000
@@ -41,6 +41,8 @@ STATES = 8
 PRIOR = 200.0
 #: Natural-log likelihood a token that a round must gain for another one to follow, after ``LEAST`` rounds.
 GAIN = 0.001
+#: Symbols of one group of texts; longer texts go in blocks of a quarter.
+LONG = 400_000
 LEAST = 5
 
 
@@ -48,7 +50,7 @@ def _words(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """Distinct words, each token's number in them, and where each text's tokens begin and end. No empty words."""
     cut = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("")))
     coded = cut.values.dictionary_encode()
-    distinct = coded.dictionary.cast(pa.binary()).to_pylist()
+    distinct = coded.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
     codes, ends = coded.indices.to_numpy(), cut.offsets.to_numpy() - cut.offsets[0].as_py()
     real = np.fromiter(map(len, distinct), np.int64, len(distinct)) > 0
     if not real.all():
@@ -147,7 +149,7 @@ class Hmm:
         return cls((start + 0.1) / (start + 0.1).sum(), (step + 0.1) / (step + 0.1).sum(1, keepdims=True), emit / emit.sum(0))
 
 
-def _groups(sequences: list[np.ndarray], most: int = 400_000) -> Iterator[list[int]]:
+def _groups(sequences: list[np.ndarray], most: int = LONG) -> Iterator[list[int]]:
     """Sequences of like length together, about ``most`` symbols at a time."""
     order = sorted(range(len(sequences)), key=lambda k: -len(sequences[k]))
     group, held = [], 0
@@ -216,6 +218,45 @@ def expected(model: Hmm, sequences: list[np.ndarray], start: np.ndarray, step: n
     return float(np.log(scales).sum(dtype=float))
 
 
+def expected_in_blocks(model: Hmm, sequence: np.ndarray, start: np.ndarray, step: np.ndarray, emit: np.ndarray, block: int) -> float:
+    """The same for one long sequence: forward once, keeping the states' shares where each block begins, then block by block from the end, so
+    that memory is that of one block."""
+    n = len(model.start)
+    cuts = [*range(0, len(sequence), block), len(sequence)]
+
+    def forward_over(k: int, before: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        b = model.emit[sequence[cuts[k] : cuts[k + 1]]]
+        alpha, scales, now = np.empty_like(b), np.empty(len(b), b.dtype), before
+        for t in range(len(b)):
+            now = b[t] * (model.start if now is None else now @ model.step)
+            scales[t] = now.sum()
+            now = alpha[t] = now / scales[t]
+        return b, alpha, scales
+
+    entry: list[np.ndarray | None] = [None]
+    log = 0.0
+    for k in range(len(cuts) - 1):
+        _, alpha, scales = forward_over(k, entry[k])
+        entry.append(alpha[-1].copy())
+        log += float(np.log(scales).sum(dtype=float))
+    weighed: np.ndarray | None = None  # what the next place adds: its emission times its beta, by its scale
+    for k in range(len(cuts) - 2, -1, -1):
+        b, alpha, scales = forward_over(k, entry[k])
+        counts = np.zeros((n, n))
+        for t in range(len(b) - 1, -1, -1):
+            beta = np.ones(n, b.dtype)
+            if weighed is not None:
+                counts += np.outer(alpha[t], weighed)
+                beta = model.step @ weighed
+            weighed = b[t] * beta / scales[t]
+            alpha[t] *= beta
+        step += model.step * counts
+        for j in range(n):
+            emit[j] += np.bincount(sequence[cuts[k] : cuts[k + 1]], alpha[:, j], emit.shape[1])
+    start += alpha[0]
+    return log
+
+
 def _sequences(column: pa.Array) -> list[np.ndarray]:
     return [np.frombuffer(x.as_py(), "<u2") for x in column]
 
@@ -256,7 +297,10 @@ def _expected(shared: Broadcast, size: int):
         for batch in batches:
             texts = _sequences(batch.column("symbols"))
             for group in _groups(texts):
-                log += expected(model, [texts[k] for k in group], start, step, emit)
+                if len(texts[group[0]]) > LONG:  # such a text is a group of its own
+                    log += expected_in_blocks(model, texts[group[0]], start, step, emit, LONG // 4)
+                else:
+                    log += expected(model, [texts[k] for k in group], start, step, emit)
         yield _rows(start, step, emit, log)
 
     return count
@@ -315,18 +359,36 @@ def _symbol_of(word: Column, rare: int) -> Column:
     return (F.crc32(F.substring(word, -3, 3)) % rare).cast("int")
 
 
+def _most_frequent(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
+    """The ``most`` most frequent words with their counts. Only about so many go to the driver: a histogram of counts (a few hundred rows) says from which on they are enough."""
+    step = F.floor(F.log2("c") * 8).cast("int")
+    enough, at = 0, None
+    for r in sorted(counts.groupBy(step.alias("s")).count().collect(), key=lambda r: -r["s"]):
+        enough, at = enough + r["count"], r["s"]
+        if enough >= most:
+            break
+    if at is None:
+        return []
+    near = counts.where(step >= at)
+    if enough > 3 * most:  # many words of one count: the first of them by name
+        near = near.orderBy(F.desc("c"), "word").limit(most)
+    rows = [(bytes(r["word"]), r["c"]) for r in near.collect()]
+    return sorted(rows, key=lambda r: (-r[1], r[0]))[:most]
+
+
 def scored(
     docs: DataFrame, held_out: Column, head: int = HEAD, rare: int = RARE, states: int = STATES, start: int = 12, rounds: int = 2, gain: float = GAIN
 ) -> DataFrame:
     """For each row of ``docs`` (doc_id, text): held_out, n_tokens, n_known, train_tokens, base_score, score. Rows that are ``held_out`` don't train."""
     spark = docs.sparkSession
     own = docs.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col("text").cast("string").alias("text"))
+    own = bounded_batches(own)
     kind = own.schema["doc_id"].dataType.simpleString()
     training = own.where(~F.col("held_out"))
     counts = stored(training.select("text").mapInArrow(_counted, "word binary, c bigint").groupBy("word").agg(F.sum("c").alias("c")))
     n_docs = training.count()
     sums = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
-    top = [(bytes(r["word"]), r["c"]) for r in counts.orderBy(F.desc("c"), "word").limit(head).collect()]
+    top = _most_frequent(counts, head)
     vocabulary = Vocabulary({w: (k, c) for k, (w, c) in enumerate(top)}, rare, (sums["n"] or 0) + n_docs, sums["v"] + (n_docs > 0), n_docs)
     lowest = top[-1] if len(top) == head else None
     beyond = counts.where((F.col("c") < lowest[1]) | (F.col("c") == lowest[1]) & (F.col("word") > F.lit(bytearray(lowest[0])))) if lowest else counts.where(F.lit(False))
