@@ -324,6 +324,48 @@ def test_sparse_sites_shrink_to_their_host(spark):
     assert got[900].p_quality == got[901].p_quality == 0.5 and got[900].quality > 0.5 > got[901].quality
 
 
+def test_posteriors_against_brute_force(spark):
+    """Every posterior, row by row, from plain sums over hosts and paths."""
+    rng = np.random.default_rng(12)
+    model = quality.Model({b"good": (2.0, -1.0), b"bad": (-2.5, 0.5), b"ugly": (-0.5, 3.0)}, (0.2, -2.0))
+    rows = []
+    for k in range(300):
+        host = rng.choice(["a", "b", "c"], p=[0.6, 0.3, 0.1])
+        rows.append((k, " ".join(rng.choice(["good", "bad", "ugly", "x"], 3, p=[0.5, 0.2, 0.1, 0.2])), None if k % 29 == 0 else str(host), f"{host}/{k % 4}"))
+    got = {r.doc_id: r for r in quality.judged(spark.createDataFrame(rows, "doc_id long, text string, host string, path string"), model).collect()}
+    sigmoid = lambda x: 1 / (1 + math.exp(-x))
+    for t, name in enumerate(quality.TARGETS):
+        p = {d: sigmoid(model.bias[t] + sum(w[t] for f, w in model.weights.items() if f.decode() in text.split())) for d, text, _, _ in rows}
+        base = sum(p.values()) / len(p)
+
+        def sites(key):
+            out = {}
+            for r in rows:
+                n, s = out.get(key(r), (0, 0.0))
+                out[key(r)] = n + 1, s + p[r[0]]
+            return out
+
+        def weight(groups, prior):
+            n, mean = sum(a for a, _ in groups.values()), sum(b for _, b in groups.values()) / sum(a for a, _ in groups.values())
+            spread = max(0.0, sum(a * (b / a - prior(k)) ** 2 for k, (a, b) in groups.items()) - len(groups) * mean * (1 - mean)) / n
+            return min(10_000.0, max(1.0, mean * (1 - mean) / max(spread, 1e-9)))
+
+        hosts, paths = sites(lambda r: r[2]), sites(lambda r: r[2:])
+        k_host, k_path = weight(hosts, lambda k: base), weight(paths, lambda k: hosts[k[0]][1] / hosts[k[0]][0])
+        for d, _, h, path in rows:
+            (n_h, s_h), (n_p, s_p) = hosts[h], paths[h, path]
+            of_host = (k_host * base + s_h - p[d]) / (k_host + n_h - 1)
+            site = min(1 - 1e-4, max(1e-4, (k_path * of_host + s_p - p[d]) / (k_path + n_p - 1)))
+            odds = p[d] / (1 - p[d]) * site / (1 - site) * (1 - base) / base
+            assert got[d][f"p_{name}"] == pytest.approx(p[d]) and got[d][f"site_{name}"] == pytest.approx(site) and got[d][name] == pytest.approx(odds / (1 + odds))
+    assert all(r.keep == (r.quality >= 0.5 and r.toxic < 0.5) for r in got.values())
+
+
+def test_fit_without_documents(spark, none):
+    model = quality.fit(none, spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int"))
+    assert model.weights == {} and model.bias == (0.0, 0.0)
+
+
 def test_logistic_matches_plain_newton():
     rng = np.random.default_rng(3)
     x = (rng.random((400, 6)) < 0.4).astype(float)

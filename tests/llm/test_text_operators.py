@@ -257,6 +257,27 @@ def test_language_id(spark, odd, none):
     assert {r.lang_pred for r in language_id.languages(odd, language_id.dictionaries(none)).collect()} == {"und"}
 
 
+def test_languages_against_plain_compression(spark, odd, docs):
+    """The whole query's columns, row by row, from dictionaries that are not prepared and blocks cut by hand."""
+    import zstandard
+
+    content = language_id.dictionaries(docs.where(bucket_of(F.col("doc_id")) != 0))
+    rank = {k: n for n, k in enumerate(content)}
+    how = {"write_content_size": False, "write_checksum": False, "write_dict_id": False}
+    packers = {k: zstandard.ZstdCompressor(level=7, dict_data=zstandard.ZstdCompressionDict(v, dict_type=zstandard.DICT_TYPE_RAWCONTENT), **how) for k, v in content.items()}
+    for df in (docs.limit(60), odd):
+        for r in language_id.languages(df.select(F.col("text").alias("doc_id"), "text"), content).collect():
+            if r.doc_id is None or not any(c.isalpha() for c in r.doc_id):
+                assert (r.lang_pred, r.score, r.rejected) == ("und", 0.0, True)
+                continue
+            raw = re.sub(r"[\W\d_]+", " ", r.doc_id.lower()).encode()
+            blocks = [raw[k : k + 512] for k in range(0, len(raw), 512)]
+            sizes = sorted((sum(len(z.compress(b)) for b in blocks), rank[k], k) for k, z in packers.items())
+            bits = 8 * (sizes[1][0] - sizes[0][0]) / len(blocks)
+            assert (r.lang_pred, r.rejected) == (sizes[0][2], sizes[1][0] - sizes[0][0] < 0.01 * sizes[1][0])
+            assert r.score == pytest.approx(2 / (1 + 2 ** -min(bits, 60)) - 1)
+
+
 def test_sizes_are_those_of_plain_compression():
     import zstandard
 

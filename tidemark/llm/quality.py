@@ -10,7 +10,7 @@
 3. The posterior odds of a document are its classifier's odds times its site's prior odds over the global ones.
    ``keep``: quality at least ``keep_quality`` and toxicity under ``keep_toxic``.
 
-Cases: null texts have no features. Null hosts and paths are sites of their own. Repeated labels of a document: the worst counts. Without labels both
+Cases: null texts have no features. Null hosts and paths are sites of their own. Repeated labels of a document: the worst counts; of rows with one id the lowest text teaches. Without labels both
 models are even (0.5), so quality is kept and toxicity not found. Repeated rows are judged each for itself. Extra columns are ignored.
 """
 
@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import small_side, stored
+from tidemark.llm.common import bounded_batches, small_side, stored
 from tidemark.llm.decontamination import words
 
 TARGETS = ("quality", "toxic")
@@ -111,7 +111,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, features: int
     own = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic")).where("quality is not null and toxic is not null")
     share = min(1.0, (1.2 * sample + 100) / max(1, own.count()))
     chosen = own.withColumn("h", F.xxhash64("doc_id")).where(F.col("h") / F.lit(2.0**64) + 0.5 < share).orderBy("h").limit(sample).drop("h")
-    rows = stored(docs.select("doc_id", F.col("text").cast("string").alias("text")).join(small_side(stored(chosen)), "doc_id").select(*[F.col(t).cast("int").alias(t) for t in TARGETS], "text"))
+    labelled = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(small_side(stored(chosen)), "doc_id")
+    first = labelled.groupBy("doc_id").agg(F.min(F.struct("text", *[F.col(t).cast("int").alias(t) for t in TARGETS])).alias("r"))  # of repeated ids one text
+    rows = stored(first.select(*[F.col(f"r.{t}").alias(t) for t in TARGETS], "r.text"))
     labels_schema = T.StructType([T.StructField(t, T.IntegerType()) for t in TARGETS])
     one = rows.mapInArrow(_found(None), T.StructType([*labels_schema]).add("features", T.ArrayType(T.BinaryType()))).select(*TARGETS, F.explode("features").alias("f"))
     counts = one.groupBy("f").agg(F.count("*").alias("n"), *[F.sum(t).alias(t) for t in TARGETS]).where(F.col("n") >= least)
@@ -122,7 +124,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, features: int
         z = F.abs(F.col(t) - F.col("n") * rate) / F.sqrt(F.col("n") * max(1e-9, rate * (1 - rate)))
         for r in counts.orderBy(F.desc(z), "f").limit(features // 2).select("f").collect():
             known.setdefault(bytes(r["f"]), len(known))
-    taken = rows.mapInArrow(_found(known), T.StructType([*labels_schema]).add("features", T.ArrayType(T.IntegerType()))).limit(sample).collect()
+    taken = rows.mapInArrow(_found(known), T.StructType([*labels_schema]).add("features", T.ArrayType(T.IntegerType()))).collect()
     fitted = [logistic([r["features"] for r in taken], np.array([r[t] for r in taken], float), len(known)) for t in TARGETS]
     bias = tuple(b for _, b in fitted) if taken else (0.0, 0.0)
     return Model({f: (float(fitted[0][0][k]), float(fitted[1][0][k])) for f, k in known.items()}, bias)
@@ -161,7 +163,7 @@ def _weight(means: DataFrame, t: str) -> float:
 
 def judged(docs: DataFrame, model: Model, keep_quality: float = 0.5, keep_toxic: float = 0.5) -> DataFrame:
     """For each row of ``docs`` (doc_id, text, host, path): p_quality and p_toxic of the text alone, the posteriors quality and toxic, keep."""
-    own = docs.select("doc_id", F.col("text").cast("string").alias("text"), *[F.col(c).cast("string").alias(c) for c in ("host", "path")])
+    own = bounded_batches(docs.select("doc_id", F.col("text").cast("string").alias("text"), *[F.col(c).cast("string").alias(c) for c in ("host", "path")]))
     schema = T.StructType([own.schema[c] for c in ("doc_id", "host", "path")])
     for t in TARGETS:
         schema = schema.add(f"logit_{t}", "double")
