@@ -177,7 +177,7 @@ def _without(docs: DataFrame, **how) -> DataFrame:
     """row (all columns), text (what is left of it), lines and dropped (how many it had and lost)."""
     text = F.col("text").cast("string")
     keyed = docs.select(F.struct("*").alias("row"), text.alias("text"), id_of(docs).alias("doc"))
-    joined = keyed.join(recurring(docs, **how), "doc", "left")
+    joined = keyed.join(recurring(docs, **how).hint("merge"), "doc", "left")  # shuffled at any size
     lines = F.split("text", "\n", -1)
     kept = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("drop", i)), "\n")
     left = F.when(F.col("drop").isNull(), F.col("text")).otherwise(kept)
