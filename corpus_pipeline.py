@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before kept; its result is written as Parquet and read
 again as the next one's docs. All but the last return the columns of the documents.
+
+Cases: a null, empty or letterless text has no language and goes in the first stage; a text of which line dedup leaves nothing goes there.
+A null id is replaced by a hash of the text wherever rows are told apart. Of copies and near copies the row with the lowest id stays, of equal
+ids the one with the lowest hash of the text; rows that are equal in both are one. An empty table gives an empty one. Extra columns are kept.
 """
 
 from __future__ import annotations
@@ -57,5 +61,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
-#: Compression, alignment and byte-pair merges have no SQL; tests/llm hold every stage against brute force.
+#: Compression, alignment and byte-pair merges have no SQL; tests/llm hold run() and every stage against brute force.
 ORACLE_SQL = None
