@@ -167,7 +167,26 @@ def test_streams_end_where_batches_do(spark, tmp_path):
         logs.insert_or_ignore(spark.readStream.schema(schema).json(source), "canonical_url", "seq", str(tmp_path / "kept"), str(tmp_path / "c2")).awaitTermination()
     assert {r.canonical_url: r.status for r in logs.latest(spark, target).collect()} == {"u": 200, "v": 200}
     assert {r.canonical_url: r.seq for r in logs.held(spark, str(tmp_path / "kept")).collect()} == {"u": 1, "v": 2}
-    assert logs.hourly(spark.readStream.schema(schema).json(source)).isStreaming
+    counted = logs.hourly(spark.readStream.schema(schema).json(source)).writeStream.format("memory").queryName("hours").outputMode("complete").trigger(availableNow=True).start()
+    counted.awaitTermination()
+    assert {(r.status, r.n) for r in spark.table("hours").collect()} == {(500, 1), (200, 2)}
+
+
+def test_streams_of_many_batches(spark, tmp_path):
+    """Batch by batch against the whole: the last record, and the first, of each URL; old versions of parts are deleted."""
+    import random
+
+    rng, source, target = random.Random(4), str(tmp_path / "log"), str(tmp_path / "table")
+    schema, rows = "canonical_url string, status int, seq long", []
+    for k in range(6):
+        part = [(f"u{rng.randrange(40)}", rng.choice([200, 404, 500]), 100 * k + j) for j in range(25)]
+        rows += part
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").json(source)
+        logs.replay(spark.readStream.schema(schema).json(source), target, str(tmp_path / "c1")).awaitTermination()
+        logs.insert_or_ignore(spark.readStream.schema(schema).json(source), "canonical_url", "seq", str(tmp_path / "kept"), str(tmp_path / "c2")).awaitTermination()
+    assert {r.canonical_url: (r.status, r.seq) for r in logs.latest(spark, target).collect()} == {u: (status, seq) for u, status, seq in rows}
+    assert {r.canonical_url: r.seq for r in logs.held(spark, str(tmp_path / "kept")).collect()} == {u: seq for u, _, seq in reversed(rows)}
+    assert all(len(v) <= 2 for v in logs._parts(spark, target, None).values())
 
 
 @pytest.mark.parametrize("answer, want", [('```\n{"a": "1"}\n```', "1"), ('so {"a": "2"} it is', "2"), ('[{"a": "3"}]', None), ("{broken", None), ("none", None)])

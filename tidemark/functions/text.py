@@ -66,6 +66,7 @@ def long_enough(text: Column, words: int = 120, cjk: int = 400) -> Column:
     return (word_count(text) >= words) | (F.length(F.regexp_replace(text, "[^一-鿿]", "")) >= cjk)
 
 
+# Elements whose content is not visible, and tags.
 def visible_text(html: Column) -> Column:
     out = F.regexp_replace(html, r"(?is)<(script|style|noscript|svg)\b.*?</\1>", " ")
     out = F.regexp_replace(out, r"<[^>]+>", " ")
@@ -84,6 +85,7 @@ def axis_tags(sentence: Column, terms: dict[str, str] = AXIS_TERMS) -> Column:
     return F.concat(*[F.when(sentence.rlike(f"(?i){p}"), axis).otherwise("") for axis, p in terms.items()])
 
 
+# The effort suffixes of a model's version.
 def display_name(version: Column, group: Column, name: Column) -> Column:
     """The model's group, else its name, else its version without the effort suffix."""
     bare = F.regexp_replace(version, r"(?i)_(max|xhigh|high|medium|low|minimal|none|unknown|\d+k?)$", "")

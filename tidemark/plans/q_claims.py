@@ -113,7 +113,7 @@ QUERIES = {
         "doc_id", "claim_id", "reject_reason", F.get("scores", 0)["axis"].alias("axis"), F.get("scores", 0)["score"].alias("score"), F.get("scores", 0)["strength"].alias("strength"), F.get("scores", 0)["confidence"].alias("confidence")),
     "agg11_extraction_statistics": lambda s, d: C.statistics(validated(s, d)),
     "job2_ingested_claims": lambda s, d: C.ingested(records(s, d), source(s, d)).select("doc_id", "claim_id", "reject_reason", F.get("scores", 0)["score"].alias("score"), F.get("scores", 0)["strength"].alias("strength"), F.get("scores", 0)["confidence"].alias("confidence")),
-    "j14_verbatim": lambda s, d: C.checked(view(s, d, "t_quotes")).select("doc_id", "item_id", "reject_reason"),
+    "j14_verbatim": lambda s, d: C.checked(C.with_documents(view(s, d, "t_quotes").select("doc_id", "item_id", "quote"), source(s, d)), "__norm").select("doc_id", "item_id", "reject_reason"),
     "prj3_refused_rows": lambda s, d: _rules(s, d).groupBy("reject_reason").agg(F.count("*").alias("n")),
     "str4_windows": lambda s, d: view(s, d, "documents").select("doc_id", F.explode(windows(F.col("text"))).alias("w")).select("doc_id", "w.start", F.length("w.chunk").alias("n"), F.md5("w.chunk").alias("md5")),
     "str2_cjk_count": lambda s, d: view(s, d, "documents").select("doc_id", cjk_count(F.col("text")).alias("n")),

@@ -2,61 +2,89 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 
+#: Parts of a kept table by hash of the key; a batch touches only those that its keys fall into.
+SHARDS = 64
+
+
+def _shard(key: str) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(SHARDS)).cast("int")
+
+
+def _touched(batch: DataFrame, key: str) -> list[int]:
+    """The parts that a batch changes: at most ``SHARDS`` numbers."""
+    return [r[0] for r in batch.select(_shard(key)).distinct().collect()]
+
+
+def _parts(spark: SparkSession, target: str, before: int | None) -> dict[int, list[tuple[int, str]]]:
+    """Of each part its versions (numbers of batches) before a batch, and their folders, the newest last."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(target)
+    files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out: dict[int, list[tuple[int, str]]] = {}
+    for folder in files.listStatus(root) if files.exists(root) else []:
+        name = folder.getPath().getName()
+        if name.startswith("batch=") and (before is None or int(name[6:]) < before):
+            for part in files.listStatus(folder.getPath()):
+                own = part.getPath()
+                if own.getName().startswith("shard="):
+                    out.setdefault(int(own.getName()[6:]), []).append((int(name[6:]), own.toString()))
+    return {k: sorted(v) for k, v in out.items()}
+
+
 def replay(log: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
-    """Keeps the last record of each URL of a streamed log: each batch is reduced, merged with what is there, and written as a new
-    version; readers take the version of the last batch that was committed. A batch that runs again writes the same version."""
+    """Keeps the last record of each URL of a streamed log: each batch is reduced, merged with those parts of the table that its keys fall into, and only
+    these are written anew, as the batch's versions. Of each part the last two versions stay; a batch that runs again writes the same ones."""
 
     def upsert(batch: DataFrame, number: int) -> None:
         from tidemark.sources.tables import replayed
 
-        before = latest(batch.sparkSession, target, number)
-        rows = batch if before is None else before.unionByName(batch)
-        replayed(rows).write.mode("overwrite").parquet(f"{target}/version={number}")
+        spark, rows = batch.sparkSession, batch.persist()
+        touched = _touched(rows, "canonical_url")
+        parts = _parts(spark, target, number)
+        before = [parts[k][-1][1] for k in touched if k in parts]
+        both = rows.unionByName(spark.read.schema(batch.schema).parquet(*before)) if before else rows
+        replayed(both).withColumn("shard", _shard("canonical_url")).write.mode("overwrite").partitionBy("shard").parquet(f"{target}/batch={number}")
+        for k in touched:
+            for _, old in parts.get(k, [])[:-1]:
+                path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(old)
+                path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        rows.unpersist()
 
     return log.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def latest(spark, target: str, before: int | None = None) -> DataFrame | None:
-    """The newest version of a replayed table, or the newest before a batch."""
-    jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(target)
-    files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not files.exists(root):
-        return None
-    numbers = [int(s.getPath().getName().split("=")[1]) for s in files.listStatus(root) if s.getPath().getName().startswith("version=")]
-    done = [n for n in numbers if before is None or n < before]
-    return spark.read.parquet(f"{target}/version={max(done)}") if done else None
+def latest(spark: SparkSession, target: str, before: int | None = None) -> DataFrame | None:
+    """A replayed table: the newest version of each part, or the newest before a batch."""
+    paths = [v[-1][1] for v in _parts(spark, target, before).values()]
+    return spark.read.parquet(*paths) if paths else None
 
 
 def insert_or_ignore(rows: DataFrame, key: str, order: str, target: str, checkpoint: str) -> StreamingQuery:
-    """Appends streamed rows whose key isn't there yet; of a batch's rows with one key the first. A batch is a folder of its own, so one that runs again replaces itself."""
+    """Appends streamed rows whose key isn't there yet; of a batch's rows with one key the first. A batch is a folder of its own, so one that runs
+    again replaces itself; of earlier batches only the keys of the parts that it touches are read."""
 
     def append(batch: DataFrame, number: int) -> None:
         from tidemark.operators.claims import first_of_each
 
-        spark = batch.sparkSession
-        new = first_of_each(batch, key, order)
-        there = held(spark, target, number)
-        new = new if there is None else new.join(there.select(key), key, "left_anti")
-        new.write.mode("overwrite").parquet(f"{target}/batch={number}")
+        spark, new = batch.sparkSession, first_of_each(batch, key, order).persist()
+        parts = _parts(spark, target, number)
+        paths = [path for k in _touched(new, key) for _, path in parts.get(k, [])]
+        left = new.join(spark.read.schema(batch.schema).parquet(*paths).select(key), key, "left_anti") if paths else new
+        left.withColumn("shard", _shard(key)).write.mode("overwrite").partitionBy("shard").parquet(f"{target}/batch={number}")
+        new.unpersist()
 
     return rows.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def held(spark, target: str, before: int | None = None) -> DataFrame | None:
+def held(spark: SparkSession, target: str, before: int | None = None) -> DataFrame | None:
     """All rows appended so far, or before a batch."""
-    jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(target)
-    files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not files.exists(root):
-        return None
-    out = [s.getPath().toString() for s in files.listStatus(root) if s.getPath().getName().startswith("batch=") and (before is None or int(s.getPath().getName().split("=")[1]) < before)]
-    return spark.read.parquet(*out) if out else None
+    paths = [path for v in _parts(spark, target, before).values() for _, path in v]
+    return spark.read.parquet(*paths) if paths else None
 
 
 def hourly(log: DataFrame, late: str = "10 minutes") -> DataFrame:
