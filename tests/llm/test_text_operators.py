@@ -340,6 +340,9 @@ def test_html_keeps_the_article():
         f"<body>{article}<form><p>Name</p></form><div style='display: none'>{long}</div></body>",
     ):
         assert html_text.text_of(page, None) == want, page
+    deep = "<div>" * 60_000 + f"<p>{long}</p>" + "</div>" * 60_000
+    assert html_text.text_of(deep, None) == long
+    assert html_text.text_of(f"<b><i>{long}" * 3000, None) == long * 3000
     two = f"<body><div class=first><h1>Title</h1><p>{long}</p></div><div class=second><p>{long}</p></div></body>"
     assert html_text.text_of(two, None) == f"{want}\n\n{long}"
     beside = f"<body>{article}<div class=part><p>{long}</p></div></body>"

@@ -66,6 +66,8 @@ NEARLY_ALL, MOST = 0.95, 0.5
 ALIKE = 0.5
 #: Share of a page's worth that must be left without an element that is told by its name.
 LEFT = 0.25
+#: Elements within elements; what opens beyond counts as text of the deepest one, as in browsers.
+DEPTH = 512
 #: Opening one of these ends an open one of the same family.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
@@ -192,6 +194,8 @@ def parse(page: str) -> tuple[list[str], list[Block]]:
                     break
                 if stack[k].tag in ("ul", "ol", "dl", "table", "select") or stack[k].tag in ("div", "section", "article"):
                     break
+        if len(stack) > DEPTH:
+            continue
         top = stack[-1]
         own = _attributes(m[3])
         around = top.outs
