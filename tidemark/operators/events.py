@@ -62,5 +62,6 @@ def portrayed(people: DataFrame) -> DataFrame:
 def usable_licence(licence: Column) -> Column:
     """Free with attribution; non-commercial, no-derivatives and unfree ones aren't, nor is an unknown one."""
     own = F.lower(F.coalesce(licence, F.lit("")))
+    # Parts of licence names, refused and accepted.
     refused = own.rlike("nc|nd|fair use|non-free")
     return (own != "") & ~refused & own.rlike("cc by|cc-by|cc0|cc zero|public domain|pd-|attribution")
