@@ -12,7 +12,8 @@ from tidemark.plans.queries import QUERIES
 
 #: Positions and what is built on them, frontiers, quotes, pages: one of each kind of plan.
 HEADLINE = (
-    "agg1_positions", "j4_dense_grid", "j6_contradictions", "agg5_axis_correlation", "job8_explained", "job10_points", "win1_frontier", "agg17_cadence", "job1_validated_claims", "str8_passages",
+    "agg1_positions", "j4_dense_grid", "j6_contradictions", "agg5_axis_correlation", "job8_explained", "job10_points", "win1_frontier",
+    "agg17_cadence", "job1_validated_claims", "str8_passages",
     "dat4_page_dates", "job9_verified_events", "win6_turns", "agg9_clustered",
 )
 
@@ -20,7 +21,9 @@ HEADLINE = (
 def main() -> None:
     sf_dir, cpus = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1"), os.environ.get("BENCH_CPUS", "8")
     spark = (
-        SparkSession.builder.master(f"local[{cpus}]").appName("bench").config("spark.sql.shuffle.partitions", cpus).config("spark.driver.memory", "16g").config("spark.ui.enabled", "false")
+        SparkSession.builder.master(f"local[{cpus}]").appName("bench").config(
+            "spark.sql.shuffle.partitions", cpus
+        ).config("spark.driver.memory", "16g").config("spark.ui.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC").config("spark.ui.showConsoleProgress", "false").getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

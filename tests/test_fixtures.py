@@ -34,7 +34,10 @@ def test_quote_too_long(spark):
 
 @pytest.mark.parametrize(
     "answer, want",
-    [('Sure:\n```json\n[{"a": 1}, 2]\n```', ['{"a": 1}', "2"]), ('x [ {"a":1} ] y', ['{"a":1}']), ("no json", None), ('```\n{"a":1}\n```', None), ("[broken", None)],
+    [
+        ('Sure:\n```json\n[{"a": 1}, 2]\n```', ['{"a": 1}', "2"]), ('x [ {"a":1} ] y', ['{"a":1}']), ("no json", None), ('```\n{"a":1}\n```', None),
+        ("[broken", None)
+    ],
 )
 def test_recovered_array(spark, answer, want):
     got = one(spark, text.recovered_array(F.col("t")), t=answer)
@@ -58,7 +61,8 @@ def test_clamp(spark):
 @pytest.mark.parametrize(
     "url, want",
     [
-        ("HTTP://a.example/x/?utm_source=q&b=1&c=#frag", "http://a.example/x?b=1"), ("https://a.example", "https://a.example/"), ("https://a.example/x;v=1?q=a%20b&fbclid=z", "https://a.example/x?q=a+b"),
+        ("HTTP://a.example/x/?utm_source=q&b=1&c=#frag", "http://a.example/x?b=1"), ("https://a.example", "https://a.example/"),
+        ("https://a.example/x;v=1?q=a%20b&fbclid=z", "https://a.example/x?q=a+b"),
         ("https://a.example:8/y//", "https://a.example:8/y"),
     ],
 )
@@ -74,13 +78,28 @@ def test_article_links(spark):
 PAGES = [
     (1, "https://h.example/2021/05/17/x", "<p>none</p>", None, (date(2021, 5, 17), "day", "url", "high", "")),
     (2, "https://h.example/x", "<h1>T</h1><p>October 2024</p>", None, (date(2024, 10, 1), "month", "dateline", "high", "")),
-    (3, "https://h.example/x", '<script>{"datePublished": "2015-01-02"}</script><p>March 3, 2020</p>', None, (date(2020, 3, 3), "day", "dateline", "low", "conflicts with jsonld (2015-01-02) by 1887d")),
-    (4, "https://h.example/x", '<time datetime="2020-03-10T08:00:00Z">x</time><p>March 3, 2020</p>', None, (date(2020, 3, 3), "day", "dateline", "high", "corroborated by time_tag")),
+    (
+        3, "https://h.example/x", '<script>{"datePublished": "2015-01-02"}</script><p>March 3, 2020</p>', None,
+        (date(2020, 3, 3), "day", "dateline", "low", "conflicts with jsonld (2015-01-02) by 1887d")
+    ),
+    (
+        4, "https://h.example/x", '<time datetime="2020-03-10T08:00:00Z">x</time><p>March 3, 2020</p>', None,
+        (date(2020, 3, 3), "day", "dateline", "high", "corroborated by time_tag")
+    ),
     (5, "https://h.example/x", "<p>nothing</p>", None, (None, "quarter", "none", "none", "")),
-    (6, "https://h.example/x", "<p>August 2, 2024</p>", None, (date(2024, 8, 2), "day", "dateline", "low", "resolves to current month, likely site furniture")),
+    (
+        6, "https://h.example/x", "<p>August 2, 2024</p>", None,
+        (date(2024, 8, 2), "day", "dateline", "low", "resolves to current month, likely site furniture")
+    ),
     (7, "https://h.example/x", "<p>2020-02-03</p>", date(2020, 2, 1), (date(2020, 2, 1), "day", "feed", "high", "corroborated by dateline")),
-    (8, "https://h.example/x", '<meta property="article:published_time" content="2019-07-08">' + "<p>" + "x " * 400 + "July 2019</p>", None, (date(2019, 7, 8), "day", "meta", "high", "corroborated by body")),
-    (9, "https://h.example/x", '<script>"datePublished": "1901-01-01" "datePublished": "2018-01-02"</script>', None, (date(2018, 1, 2), "day", "jsonld", "medium", "")),
+    (
+        8, "https://h.example/x", '<meta property="article:published_time" content="2019-07-08">' + "<p>" + "x " * 400 + "July 2019</p>", None,
+        (date(2019, 7, 8), "day", "meta", "high", "corroborated by body")
+    ),
+    (
+        9, "https://h.example/x", '<script>"datePublished": "1901-01-01" "datePublished": "2018-01-02"</script>', None,
+        (date(2018, 1, 2), "day", "jsonld", "medium", "")
+    ),
 ]
 
 
@@ -106,19 +125,28 @@ def test_guest_speech(spark):
 
 
 def test_episode_guests(spark):
-    titles = spark.createDataFrame([(1, "#12 – Kai Fu Lee on things"), (2, "The Lee of war"), (3, "Madonnaesque"), (4, "About Kai Fu Lee")], "episode int, title string")
+    titles = spark.createDataFrame(
+        [(1, "#12 – Kai Fu Lee on things"), (2, "The Lee of war"), (3, "Madonnaesque"), (4, "About Kai Fu Lee")], "episode int, title string"
+    )
     people = spark.createDataFrame([("k", "Kai Fu Lee", 1), ("m", "Madonna", 2)], "person_id string, display_name string, ord int")
     assert {r.episode: r.person_id for r in transcripts.episode_guests(titles, people).collect()} == {1: "k", 3: "m"}
 
 
 def test_two_key_dedupe(spark):
-    rows = spark.createDataFrame([(1, "d1", "u1"), (2, "d2", "u1"), (3, "d2", "u3"), (4, "d3", "u3"), (5, "d3", "u4")], "ord int, doc string, url string")
+    rows = spark.createDataFrame(
+        [(1, "d1", "u1"), (2, "d2", "u1"), (3, "d2", "u3"), (4, "d3", "u3"), (5, "d3", "u4")], "ord int, doc string, url string"
+    )
     assert sorted(r.ord for r in dedupe.first_by_two_keys(rows, "doc", "url", "ord").collect()) == [1, 3, 5]
 
 
 def test_licences(spark):
-    df = spark.createDataFrame([("CC BY-SA 4.0",), ("CC BY-NC 4.0",), ("CC BY-ND",), ("",), (None,), ("Public domain",), ("Fair use",), ("CC0",), ("all rights",)], "l string")
-    assert [r.x for r in df.select(events.usable_licence(F.col("l")).alias("x")).collect()] == [True, False, False, False, False, True, False, True, False]
+    df = spark.createDataFrame(
+        [("CC BY-SA 4.0",), ("CC BY-NC 4.0",), ("CC BY-ND",), ("",), (None,), ("Public domain",), ("Fair use",), ("CC0",), ("all rights",)],
+        "l string"
+    )
+    assert [
+        r.x for r in df.select(events.usable_licence(F.col("l")).alias("x")).collect()
+    ] == [True, False, False, False, False, True, False, True, False]
 
 
 def test_licence_tokens_are_plain_substrings(spark):
@@ -145,10 +173,14 @@ def test_dated_rows(spark):
 def test_sources(spark, tmp_path):
     (tmp_path / "a.csv").write_text('x,y\n1,"two\nlines"\n')
     assert tables.csv(spark, str(tmp_path / "a.csv")).first().y == "two\nlines"
-    (tmp_path / "f.xml").write_text("<rss><channel><item><title>t</title><link>https://h.example/a?utm_x=1</link><pubDate>Tue, 04 Mar 2025 10:00:00 +0000</pubDate></item><item><title>u</title><link>https://h.example/b</link><updated>2024-02-03T00:00:00Z</updated></item></channel></rss>")
+    (tmp_path / "f.xml").write_text(
+        "<rss><channel><item><title>t</title><link>https://h.example/a?utm_x=1</link><pubDate>Tue, 04 Mar 2025 10:00:00 +0000</pubDate></item><item><title>u</title><link>https://h.example/b</link><updated>2024-02-03T00:00:00Z</updated></item></channel></rss>"
+    )
     items = tables.feed_items(spark, str(tmp_path / "f.xml"))
     assert {r.title: r.d for r in items.collect()} == {"t": date(2025, 3, 4), "u": date(2024, 2, 3)}
-    assert {r.url: r.d for r in tables.feed_map(items.withColumn("ord", F.lit(1))).collect()} == {"https://h.example/a": date(2025, 3, 4), "https://h.example/b": date(2024, 2, 3)}
+    assert {
+        r.url: r.d for r in tables.feed_map(items.withColumn("ord", F.lit(1))).collect()
+    } == {"https://h.example/a": date(2025, 3, 4), "https://h.example/b": date(2024, 2, 3)}
     (tmp_path / "l.jsonl").write_text('{"canonical_url":"u","status":500,"seq":1}\n{"canonical_url":"u","status":200,"seq":2}\n')
     assert tables.fetch_log(spark, str(tmp_path / "l.jsonl")).first().status == 200
     pages = spark.createDataFrame([(1, "<p>")], "page_id int, html string")
@@ -162,12 +194,18 @@ def test_streams_end_where_batches_do(spark, tmp_path):
     schema = "canonical_url string, status int, seq long, fetched_at timestamp"
     source, target = str(tmp_path / "log"), str(tmp_path / "table")
     for part in ([("u", 500, 1), ("v", 200, 2)], [("u", 200, 3)]):
-        spark.createDataFrame(part, "canonical_url string, status int, seq long").withColumn("fetched_at", F.timestamp_seconds("seq")).coalesce(1).write.mode("append").json(source)
+        spark.createDataFrame(
+            part, "canonical_url string, status int, seq long"
+        ).withColumn("fetched_at", F.timestamp_seconds("seq")).coalesce(1).write.mode("append").json(source)
         logs.replay(spark.readStream.schema(schema).json(source), target, str(tmp_path / "c1")).awaitTermination()
-        logs.insert_or_ignore(spark.readStream.schema(schema).json(source), "canonical_url", "seq", str(tmp_path / "kept"), str(tmp_path / "c2")).awaitTermination()
+        logs.insert_or_ignore(
+            spark.readStream.schema(schema).json(source), "canonical_url", "seq", str(tmp_path / "kept"), str(tmp_path / "c2")
+        ).awaitTermination()
     assert {r.canonical_url: r.status for r in logs.latest(spark, target).collect()} == {"u": 200, "v": 200}
     assert {r.canonical_url: r.seq for r in logs.held(spark, str(tmp_path / "kept")).collect()} == {"u": 1, "v": 2}
-    counted = logs.hourly(spark.readStream.schema(schema).json(source)).writeStream.format("memory").queryName("hours").outputMode("complete").trigger(availableNow=True).start()
+    counted = logs.hourly(
+        spark.readStream.schema(schema).json(source)
+    ).writeStream.format("memory").queryName("hours").outputMode("complete").trigger(availableNow=True).start()
     counted.awaitTermination()
     assert {(r.status, r.n) for r in spark.table("hours").collect()} == {(500, 1), (200, 2)}
 
@@ -183,13 +221,17 @@ def test_streams_of_many_batches(spark, tmp_path):
         rows += part
         spark.createDataFrame(part, schema).coalesce(1).write.mode("append").json(source)
         logs.replay(spark.readStream.schema(schema).json(source), target, str(tmp_path / "c1")).awaitTermination()
-        logs.insert_or_ignore(spark.readStream.schema(schema).json(source), "canonical_url", "seq", str(tmp_path / "kept"), str(tmp_path / "c2")).awaitTermination()
+        logs.insert_or_ignore(
+            spark.readStream.schema(schema).json(source), "canonical_url", "seq", str(tmp_path / "kept"), str(tmp_path / "c2")
+        ).awaitTermination()
     assert {r.canonical_url: (r.status, r.seq) for r in logs.latest(spark, target).collect()} == {u: (status, seq) for u, status, seq in rows}
     assert {r.canonical_url: r.seq for r in logs.held(spark, str(tmp_path / "kept")).collect()} == {u: seq for u, _, seq in reversed(rows)}
     assert all(len(v) <= 2 for v in logs._parts(spark, target, None).values())
 
 
-@pytest.mark.parametrize("answer, want", [('```\n{"a": "1"}\n```', "1"), ('so {"a": "2"} it is', "2"), ('[{"a": "3"}]', None), ("{broken", None), ("none", None)])
+@pytest.mark.parametrize(
+    "answer, want", [('```\n{"a": "1"}\n```', "1"), ('so {"a": "2"} it is', "2"), ('[{"a": "3"}]', None), ("{broken", None), ("none", None)]
+)
 def test_recovered_object(spark, answer, want):
     assert one(spark, F.get_json_object(text.recovered_object(F.col("t")), "$.a"), t=answer) == want
 
@@ -210,7 +252,9 @@ def test_two_keys_against_insertion_in_order(spark):
 
 
 def test_guests_with_long_and_one_word_names(spark):
-    people = spark.createDataFrame([("p1", "Al", 1), ("p2", "Alexandra " + "x" * 80, 2), ("p3", "Bo Li", 3)], "person_id string, display_name string, ord int")
+    people = spark.createDataFrame(
+        [("p1", "Al", 1), ("p2", "Alexandra " + "x" * 80, 2), ("p3", "Bo Li", 3)], "person_id string, display_name string, ord int"
+    )
     titles = [(1, "#12 - Alexandra " + "X" * 80 + " returns"), (2, "Bo Linden on food"), (3, "About Bo Li"), (4, "alfred"), (5, "17: bo li")]
     got = transcripts.episode_guests(spark.createDataFrame(titles, "episode int, title string"), people)
     assert sorted((r.episode, r.person_id) for r in got.collect()) == [(1, "p1"), (2, "p3"), (4, "p1"), (5, "p3")]
@@ -220,7 +264,9 @@ def test_positions_of_some_months_are_those_of_all(spark):
     from tidemark.operators.positions import positions
 
     own = [("p", "X", f"c{k}", k // 2, date(2020 + k % 5, 1 + k % 12, 1 + k % 28), k % 7 - 3, 1.0, 0.8, 1 + k % 3) for k in range(60)]
-    df = spark.createDataFrame(own, "person_id string, axis string, claim_id string, doc_id int, d date, score int, strength double, confidence double, tier int")
+    df = spark.createDataFrame(
+        own, "person_id string, axis string, claim_id string, doc_id int, d date, score int, strength double, confidence double, tier int"
+    )
     everything = {r.month_end: r for r in positions(df).collect()}
     some = positions(df, ends=("2022-02-01", "2022-04-30")).collect()
     assert {r.month_end for r in some} == {date(2022, 2, 28), date(2022, 3, 31), date(2022, 4, 30)}
@@ -229,6 +275,8 @@ def test_positions_of_some_months_are_those_of_all(spark):
 
 
 def test_typed_rows(spark):
-    rows = spark.createDataFrame([("2021-01-01", "1.5"), ("2016-12-31", "1"), ("2021-01", "1"), (None, "1"), ("2020-02-02", "n/a")], "d string, x string")
+    rows = spark.createDataFrame(
+        [("2021-01-01", "1.5"), ("2016-12-31", "1"), ("2021-01", "1"), (None, "1"), ("2020-02-02", "n/a")], "d string, x string"
+    )
     assert sorted((str(r.d), r.x) for r in model_track.typed(rows, ("x",)).collect() if r.x) == [("2021-01-01", 1.5)]
     assert model_track.typed(rows, ("x",)).count() == 2

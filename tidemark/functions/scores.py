@@ -52,7 +52,9 @@ def rescaled(raw: Column, baseline: Column, ceiling: Column) -> Column:
     return F.bround(F.greatest(F.lit(0.0), F.least(F.lit(1.0), share)), 4)
 
 
-def evidence_status(n: Column, docs: Column, mass: Column, newest: Column, least_mass: float = 0.35, sparse_mass: float = 1.2, stale: float = 18.0) -> Column:
+def evidence_status(
+    n: Column, docs: Column, mass: Column, newest: Column, least_mass: float = 0.35, sparse_mass: float = 1.2, stale: float = 18.0
+) -> Column:
     insufficient = (n < 2) | (docs < 2) | (mass < least_mass)
     return F.when(insufficient, "insufficient").when((mass < sparse_mass) | (newest > stale), "sparse").otherwise("well_evidenced")
 

@@ -47,7 +47,10 @@ def canonical(url: Column) -> Column:
         tracked = name.rlike("^(" + "|".join(TRACKING) + ")")
         return F.contains(p, F.lit("=")) & (F.regexp_replace(p, "^[^=]*=", "") != "") & ~tracked
 
-    pairs = F.transform(F.filter(F.split(query, "&"), kept), lambda p: F.concat(_encoded(F.regexp_extract(p, "^([^=]*)=", 1)), F.lit("="), _encoded(F.regexp_replace(p, "^[^=]*=", ""))))
+    pairs = F.transform(
+        F.filter(F.split(query, "&"), kept),
+        lambda p: F.concat(_encoded(F.regexp_extract(p, "^([^=]*)=", 1)), F.lit("="), _encoded(F.regexp_replace(p, "^[^=]*=", "")))
+    )
     joined = F.array_join(pairs, "&")
     lower = F.concat(F.lower(F.regexp_extract(base, "^([^:]*)", 1)), F.regexp_extract(base, "^[^:]*(:.*)$", 1))
     return F.concat(lower, F.when(rest == "", "/").otherwise(rest), F.when(joined == "", "").otherwise(F.concat(F.lit("?"), joined)))

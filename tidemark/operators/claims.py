@@ -47,9 +47,15 @@ def _scores(rounded: bool, default: float, zero_too: bool):
         def one(s: Column) -> Column:
             raw = s["score"].try_cast("double")
             whole = (F.bround(raw, 0) if rounded else F.when(raw < 0, F.ceil(raw)).otherwise(F.floor(raw))).try_cast("int")
-            return F.struct(F.upper(s["axis"]).alias("axis"), clamp(whole, tier, hedged).alias("score"), weight(s["strength"]).alias("strength"), weight(s["confidence"]).alias("confidence"))
-
-        kept = F.filter(F.coalesce(scores, F.array().cast("array<struct<axis:string,score:string,strength:string,confidence:string>>")), lambda s: F.upper(s["axis"]).isin(*AXES) & s["score"].try_cast("double").isNotNull() & ~F.isnan(s["score"].try_cast("double")))
+            return F.struct(
+                F.upper(s["axis"]).alias("axis"), clamp(whole, tier, hedged).alias("score"), weight(s["strength"]).alias("strength"),
+                weight(s["confidence"]).alias("confidence")
+            )
+
+        kept = F.filter(
+            F.coalesce(scores, F.array().cast("array<struct<axis:string,score:string,strength:string,confidence:string>>")),
+            lambda s: F.upper(s["axis"]).isin(*AXES) & s["score"].try_cast("double").isNotNull() & ~F.isnan(s["score"].try_cast("double"))
+        )
         return F.transform(kept, one)
 
     return clean
@@ -65,11 +71,15 @@ def validated(answers: DataFrame, docs: DataFrame) -> DataFrame:
     """Claims of model answers (doc_id, response) over ``docs`` (doc_id, document_text, source_tier): every item with its reject_reason, null if kept."""
     rows = with_documents(responses(answers), docs).withColumn("quote", F.coalesce("item.supporting_text", F.lit("")))
     hedged = F.coalesce("item.hedged", F.lit(False))
-    rows = checked(rows, "__norm").withColumn("hedged", hedged).withColumn("scores", _scores(True, 0.7, True)(F.col("item.axis_scores"), F.col("source_tier"), hedged))
+    rows = checked(rows, "__norm").withColumn("hedged", hedged).withColumn(
+        "scores", _scores(True, 0.7, True)(F.col("item.axis_scores"), F.col("source_tier"), hedged)
+    )
     reason = F.when(F.col("item").isNull(), "shape").otherwise(F.coalesce("reject_reason", F.when(F.size("scores") == 0, "shape")))
     return rows.select(
-        "doc_id", F.when(reason.isNull(), claim_id(F.col("doc_id"), F.col("quote"))).alias("claim_id"), "quote", F.substring(F.coalesce("item.normalized_claim", F.lit("")), 1, CLAIM_CHARS).alias("normalized_claim"),
-        F.coalesce("item.topics", F.array().cast("array<string>")).alias("topics"), "scores", "hedged", F.col("item.timeline_years").alias("timeline_years"), reason.alias("reject_reason"),
+        "doc_id", F.when(reason.isNull(), claim_id(F.col("doc_id"), F.col("quote"))).alias("claim_id"), "quote",
+        F.substring(F.coalesce("item.normalized_claim", F.lit("")), 1, CLAIM_CHARS).alias("normalized_claim"),
+        F.coalesce("item.topics", F.array().cast("array<string>")).alias("topics"), "scores", "hedged",
+        F.col("item.timeline_years").alias("timeline_years"), reason.alias("reject_reason"),
     )
 
 
@@ -78,9 +88,14 @@ def ingested(records: DataFrame, docs: DataFrame) -> DataFrame:
     rows = checked(with_documents(records, docs, "left").withColumn("known", F.col("__norm").isNotNull()), "__norm")
     hedged = F.coalesce("hedged", F.lit(False))
     clean = _scores(False, 0.8, False)(F.col("axis_scores"), F.col("source_tier"), hedged)
-    bad = F.size(clean) < F.size(F.coalesce("axis_scores", F.array().cast("array<struct<axis:string,score:string,strength:string,confidence:string>>")))
+    bad = F.size(clean) < F.size(
+        F.coalesce("axis_scores", F.array().cast("array<struct<axis:string,score:string,strength:string,confidence:string>>"))
+    )
     reason = F.when(~F.col("known"), "unknown document").otherwise(F.coalesce("reject_reason", F.when(bad, "bad score")))
-    return rows.select("doc_id", F.when(reason.isNull(), claim_id(F.col("doc_id"), F.col("quote"))).alias("claim_id"), "quote", clean.alias("scores"), hedged.alias("hedged"), reason.alias("reject_reason"))
+    return rows.select(
+        "doc_id", F.when(reason.isNull(), claim_id(F.col("doc_id"), F.col("quote"))).alias("claim_id"), "quote", clean.alias("scores"),
+        hedged.alias("hedged"), reason.alias("reject_reason")
+    )
 
 
 def statistics(rows: DataFrame) -> DataFrame:
@@ -88,15 +103,19 @@ def statistics(rows: DataFrame) -> DataFrame:
     n = F.count("*")
     unverbatim = F.count_if(F.col("reject_reason") == "unverbatim")
     return rows.agg(
-        n.alias("returned"), F.coalesce(unverbatim, F.lit(0)).alias("rejected_unverbatim"), F.coalesce(F.count_if(F.col("reject_reason") == "shape"), F.lit(0)).alias("rejected_shape"),
-        F.coalesce(F.count_if(F.col("reject_reason").isNull()), F.lit(0)).alias("kept"), F.bround(F.try_divide(F.lit(100.0) * unverbatim, n), 1).alias("unverbatim_percent"),
+        n.alias("returned"), F.coalesce(unverbatim, F.lit(0)).alias("rejected_unverbatim"),
+        F.coalesce(F.count_if(F.col("reject_reason") == "shape"), F.lit(0)).alias("rejected_shape"),
+        F.coalesce(F.count_if(F.col("reject_reason").isNull()), F.lit(0)).alias("kept"),
+        F.bround(F.try_divide(F.lit(100.0) * unverbatim, n), 1).alias("unverbatim_percent"),
     )
 
 
 def first_of_each(rows: DataFrame, key: str, order: str) -> DataFrame:
     """The first row of each key, by a grouping that combines map-side."""
     rest = [c for c in rows.columns if c != key]
-    return rows.groupBy(key).agg(F.min_by(F.struct(*rest), F.col(order)).alias("__r")).select(*[F.col(key) if c == key else F.col("__r")[c].alias(c) for c in rows.columns])
+    return rows.groupBy(key).agg(F.min_by(F.struct(*rest), F.col(order)).alias("__r")).select(
+        *[F.col(key) if c == key else F.col("__r")[c].alias(c) for c in rows.columns]
+    )
 
 
 def new_rows(rows: DataFrame, existing: DataFrame, key: str, order: str) -> DataFrame:
@@ -112,7 +131,10 @@ def saved(rows: DataFrame, existing: DataFrame) -> DataFrame:
 def scored_rows(claims: DataFrame) -> DataFrame:
     """One row for each axis score of a claim; strength and confidence are 1 where they aren't given."""
     rows = claims.withColumn("s", F.explode("axis_scores")).drop("axis_scores")
-    return rows.select(*[c for c in rows.columns if c != "s"], F.col("s.axis").alias("axis"), F.col("s.score").cast("int").alias("score"), F.coalesce("s.strength", F.lit(1.0)).alias("strength"), F.coalesce("s.confidence", F.lit(1.0)).alias("confidence"))
+    return rows.select(
+        *[c for c in rows.columns if c != "s"], F.col("s.axis").alias("axis"), F.col("s.score").cast("int").alias("score"),
+        F.coalesce("s.strength", F.lit(1.0)).alias("strength"), F.coalesce("s.confidence", F.lit(1.0)).alias("confidence")
+    )
 
 
 def of_trusted_documents(claims: DataFrame, docs: DataFrame) -> DataFrame:
@@ -122,9 +144,16 @@ def of_trusted_documents(claims: DataFrame, docs: DataFrame) -> DataFrame:
 
 def by_person(claims: DataFrame) -> DataFrame:
     """A row for each person with claims, newest first, nested; and how many there are, on which axes."""
-    own = F.struct((-F.datediff("d", F.lit("1970-01-01").cast("date"))).alias("o"), "claim_id", "axis", F.col("d").cast("string").alias("date"), "score")
-    return claims.groupBy("person_id").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("axis")), "").alias("axes"), F.array_sort(F.collect_list(own)).alias("rows")).select(
-        "person_id", "n", "axes", F.transform("rows", lambda r: F.struct(r["claim_id"].alias("id"), r["date"].alias("date"), r["axis"].alias("axis"), r["score"].alias("score"))).alias("claims")
+    own = F.struct(
+        (-F.datediff("d", F.lit("1970-01-01").cast("date"))).alias("o"), "claim_id", "axis", F.col("d").cast("string").alias("date"), "score"
+    )
+    return claims.groupBy("person_id").agg(
+        F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("axis")), "").alias("axes"), F.array_sort(F.collect_list(own)).alias("rows")
+    ).select(
+        "person_id", "n", "axes",
+        F.transform(
+            "rows", lambda r: F.struct(r["claim_id"].alias("id"), r["date"].alias("date"), r["axis"].alias("axis"), r["score"].alias("score"))
+        ).alias("claims")
     )
 
 
@@ -136,17 +165,22 @@ def people_by_claims(claims: DataFrame) -> DataFrame:
 
 #: What an exported claim holds: JSON name and column.
 CLAIM_FIELDS = {
-    "id": "claim_id", "date": "date", "precision": "date_precision", "quote": "supporting_text", "claim": "normalized_claim", "topics": "topics", "scores": "axis_scores",
+    "id": "claim_id", "date": "date", "precision": "date_precision", "quote": "supporting_text", "claim": "normalized_claim", "topics": "topics",
+    "scores": "axis_scores",
     "hedged": "hedged", "timeline_years": "timeline_years", "reviewed": "human_reviewed", "extractor": "extractor_model",
 }
-SOURCE_FIELDS = {"url": "canonical_url", "title": "title", "publisher": "publisher", "type": "source_type", "tier": "source_tier", "language": "language"}
+SOURCE_FIELDS = {
+    "url": "canonical_url", "title": "title", "publisher": "publisher", "type": "source_type", "tier": "source_tier", "language": "language"
+}
 
 
 def exported(claims: DataFrame, docs: DataFrame) -> DataFrame:
     """Each person's claims of trusted documents, newest first, as they are shown: person_id and the array ``claims`` of JSON texts with their source."""
     rows = of_trusted_documents(claims, docs).withColumn("date", F.date_format("d", "yyyy-MM-dd"))
     source = F.struct(*[F.col(c).alias(k) for k, c in SOURCE_FIELDS.items()]).alias("source")
-    one = F.struct(*[F.coalesce(F.col(c), F.lit(False)).alias(k) if k in ("hedged", "reviewed") else F.col(c).alias(k) for k, c in CLAIM_FIELDS.items()], source)
+    one = F.struct(
+        *[F.coalesce(F.col(c), F.lit(False)).alias(k) if k in ("hedged", "reviewed") else F.col(c).alias(k) for k, c in CLAIM_FIELDS.items()], source
+    )
     place = F.struct((-F.datediff("d", F.lit("1970-01-01").cast("date"))).alias("newest"), F.col("claim_id"))
     nested = rows.groupBy("person_id").agg(F.array_sort(F.collect_list(F.struct(place.alias("at"), F.to_json(one).alias("json")))).alias("c"))
     return nested.select("person_id", F.transform("c", lambda x: x["json"]).alias("claims"))
@@ -154,15 +188,25 @@ def exported(claims: DataFrame, docs: DataFrame) -> DataFrame:
 
 def nested_positions(dense: DataFrame) -> DataFrame:
     """One row for each person: axis to its cells in month order, each value, dispersion, claims, status letter and age, or null."""
-    cell = F.when(F.col("value").isNotNull(), F.struct(F.bround("value", 2).alias("value"), F.bround("dispersion", 2).alias("dispersion"), "n_claims", F.substring("status", 1, 1).alias("status"), F.bround("newest_age_months", 0).cast("int").alias("age")))
+    cell = F.when(
+        F.col("value").isNotNull(),
+        F.struct(
+            F.bround("value", 2).alias("value"), F.bround("dispersion", 2).alias("dispersion"), "n_claims",
+            F.substring("status", 1, 1).alias("status"), F.bround("newest_age_months", 0).cast("int").alias("age")
+        )
+    )
     series = dense.groupBy("person_id", "axis").agg(F.array_sort(F.collect_list(F.struct("month_end", cell.alias("cell")))).alias("s"))
-    return series.groupBy("person_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("axis", F.transform("s", lambda x: x["cell"]))))).alias("axes")).select("person_id", F.to_json("axes").alias("axes"))
+    return series.groupBy("person_id").agg(
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("axis", F.transform("s", lambda x: x["cell"]))))).alias("axes")
+    ).select("person_id", F.to_json("axes").alias("axes"))
 
 
 def refused(rows: DataFrame) -> DataFrame:
     """Claims, events and scores that break a rule, with the rule: no quote, quote too long, score out of range, too few sources, importance out of range."""
     reason = (
-        F.when(F.coalesce(F.trim("quote"), F.lit("")) == "", "no quote").when(F.size(F.split(F.trim("quote"), r"\s+")) > 50, "quote too long").when(~F.col("score").between(-3, 3), "score out of range")
+        F.when(F.coalesce(F.trim("quote"), F.lit("")) == "", "no quote").when(
+            F.size(F.split(F.trim("quote"), r"\s+")) > 50, "quote too long"
+        ).when(~F.col("score").between(-3, 3), "score out of range")
         .when(F.col("n_sources") < 2, "too few sources").when(~F.col("importance").between(1, 5), "importance out of range")
     )
     return rows.withColumn("reject_reason", reason)

@@ -22,7 +22,11 @@ def first_by_two_keys(rows: DataFrame, a: str, b: str, order: str, most_rounds:
         is_first = (F.col(a).isNull() | (F.col(order) == F.col("__a"))) & (F.col(b).isNull() | (F.col(order) == F.col("__b")))
         won = stored(firsts.where(is_first).select(rows.columns))
         kept = won if kept is None else kept.unionByName(won)
-        before, left = left, stored(left.join(won.select(a).distinct(), a, "left_anti").join(won.select(b).distinct(), b, "left_anti").join(won.select(order), order, "left_anti").select(rows.columns))
+        before, left = left, stored(
+            left.join(
+                won.select(a).distinct(), a, "left_anti"
+            ).join(won.select(b).distinct(), b, "left_anti").join(won.select(order), order, "left_anti").select(rows.columns)
+        )
         discard(before)
         if left.isEmpty():
             return kept

@@ -18,10 +18,17 @@ def crawled(pages: DataFrame, seeds: DataFrame, per_page: int = 40, words: int =
     (url, kind, person_id, tier, language, authored_by_subject, date, ord)."""
     own = pages.withColumn("__url", canonical(F.col("url")))
     seeded = seeds.withColumn("__url", canonical(F.col("url")))
-    index = own.join(seeded.where(~F.col("kind").eqNullSafe("article")).select("__url", "ord"), "__url").select(F.col("ord").alias("page_id"), "url", "html")
+    index = own.join(
+        seeded.where(~F.col("kind").eqNullSafe("article")).select("__url", "ord"), "__url"
+    ).select(F.col("ord").alias("page_id"), "url", "html")
     linked = articles(index, per_page).select(F.col("url").alias("__url"), F.col("page_id").alias("ord"))
     wanted = linked.unionByName(seeded.where(F.col("kind") == "article").select("__url", "ord")).groupBy("__url").agg(F.min("ord").alias("ord"))
-    return _made(own.join(wanted, "__url").join(seeds.drop("url", "kind"), "ord").drop("__url", "ord").withColumnRenamed("date", "seed_date").withColumn("host", host(F.col("url"))), words)
+    return _made(
+        own.join(wanted, "__url").join(
+            seeds.drop("url", "kind"), "ord"
+        ).drop("__url", "ord").withColumnRenamed("date", "seed_date").withColumn("host", host(F.col("url"))),
+        words
+    )
 
 
 def articles(index_pages: DataFrame, per_page: int = 40) -> DataFrame:
@@ -37,7 +44,10 @@ def documents(pages: DataFrame, seeds: DataFrame, words: int = 120) -> DataFrame
     A document's id is the sha256 of its bytes; of rows with one id or one URL the first stays.
     """
     kind = F.coalesce("source_type", F.lit("essay")) if "source_type" in seeds.columns else F.lit("essay")
-    of = seeds.select(host(F.col("url")).alias("host"), "person_id", kind.alias("source_type"), "tier", "language", "authored_by_subject", F.col("date").alias("seed_date"))
+    of = seeds.select(
+        host(F.col("url")).alias("host"), "person_id", kind.alias("source_type"), "tier", "language", "authored_by_subject",
+        F.col("date").alias("seed_date")
+    )
     return _made(pages.withColumn("host", host(F.col("url"))).join(of, "host"), words)
 
 
@@ -48,8 +58,13 @@ def _made(found: DataFrame, words: int) -> DataFrame:
         found = found.withColumn("source_type", F.lit("essay"))
     rows = found.withColumn("text", visible_text(F.col("html"))).where(long_enough(F.col("text"), words))
     own = rows.select(
-        F.sha2(F.col("html").cast("binary"), 256).alias("doc_id"), "person_id", F.substring(F.trim(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1)), 1, TITLE_CHARS).alias("title"), "source_type", F.col("url").alias("source_url"), canonical(F.col("url")).alias("canonical_url"), F.col("tier").alias("source_tier"), F.col("host").alias("publisher"),
-        "authored_by_subject", F.col("seed_date").alias("publication_date"), F.when(F.col("seed_date").isNotNull(), "day").otherwise("quarter").alias("date_precision"), "language", "text",
-        F.when(F.col("seed_date").isNotNull(), "seed").otherwise("").alias("date_source"), F.when(F.col("seed_date").isNotNull(), "high").otherwise("none").alias("date_confidence"), "page_id",
+        F.sha2(F.col("html").cast("binary"), 256).alias("doc_id"), "person_id",
+        F.substring(F.trim(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1)), 1, TITLE_CHARS).alias("title"), "source_type",
+        F.col("url").alias("source_url"), canonical(F.col("url")).alias("canonical_url"), F.col("tier").alias("source_tier"),
+        F.col("host").alias("publisher"),
+        "authored_by_subject", F.col("seed_date").alias("publication_date"),
+        F.when(F.col("seed_date").isNotNull(), "day").otherwise("quarter").alias("date_precision"), "language", "text",
+        F.when(F.col("seed_date").isNotNull(), "seed").otherwise("").alias("date_source"),
+        F.when(F.col("seed_date").isNotNull(), "high").otherwise("none").alias("date_confidence"), "page_id",
     )
     return first_by_two_keys(own, "doc_id", "canonical_url", "page_id")

@@ -11,16 +11,21 @@ from tidemark.functions.urls import host
 
 def outcome(ok: Column, status: Column, error: Column) -> Column:
     """live, blocked (a reader may still get it), dead or unreachable."""
-    return F.when(ok, "live").when(status.isin(401, 403, 429) | F.contains(F.coalesce(error, F.lit("")), F.lit("robots")), "blocked").when(status == 404, "dead").otherwise("unreachable")
+    return F.when(ok, "live").when(
+        status.isin(401, 403, 429) | F.contains(F.coalesce(error, F.lit("")), F.lit("robots")), "blocked"
+    ).when(status == 404, "dead").otherwise("unreachable")
 
 
 def verified(sources: DataFrame, log: DataFrame) -> DataFrame:
     """By event (timeline_id, source): live, blocked and dead sources; verified with one live and two that a reader can reach."""
-    rows = sources.join(log.withColumnRenamed("canonical_url", "source"), "source", "left").withColumn("outcome", outcome(F.coalesce("ok", F.lit(False)), F.col("status"), F.col("error")))
+    rows = sources.join(log.withColumnRenamed("canonical_url", "source"), "source", "left").withColumn(
+        "outcome", outcome(F.coalesce("ok", F.lit(False)), F.col("status"), F.col("error"))
+    )
     kind = lambda *names: F.col("outcome").isin(*names)
     out = rows.groupBy("timeline_id").agg(
         F.count_if(kind("live")).alias("live"), F.count_if(kind("blocked")).alias("blocked"), F.count_if(kind("dead", "unreachable")).alias("dead"),
-        F.array_sort(F.collect_set(F.when(kind("blocked"), F.col("source")))).alias("blocked_sources"), F.array_sort(F.collect_set(F.when(kind("dead", "unreachable"), F.col("source")))).alias("dead_sources"),
+        F.array_sort(F.collect_set(F.when(kind("blocked"), F.col("source")))).alias("blocked_sources"),
+        F.array_sort(F.collect_set(F.when(kind("dead", "unreachable"), F.col("source")))).alias("dead_sources"),
     )
     return out.withColumn("verified", (F.col("live") >= 1) & (F.col("live") + F.col("blocked") >= 2))
 
@@ -47,7 +52,10 @@ def reachability(seeds: DataFrame, log: DataFrame) -> DataFrame:
     """How many seeds answered, of how many, and the bytes they gave."""
     rows = seeds.join(log, "canonical_url", "left")
     ok = F.coalesce("ok", F.lit(False))
-    return rows.agg(F.count_if(ok).alias("reachable"), F.count("*").alias("total"), F.bround(F.coalesce(F.sum(F.when(ok, F.col("bytes"))), F.lit(0.0)), 2).alias("bytes"))
+    return rows.agg(
+        F.count_if(ok).alias("reachable"), F.count("*").alias("total"),
+        F.bround(F.coalesce(F.sum(F.when(ok, F.col("bytes"))), F.lit(0.0)), 2).alias("bytes")
+    )
 
 
 def persons(people: DataFrame) -> DataFrame:

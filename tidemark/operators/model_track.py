@@ -45,7 +45,9 @@ def with_lab(rows: DataFrame, labs: DataFrame, order: str) -> DataFrame:
     out = rows.withColumn("org", F.trim(F.split("organization", ",")[0]))
     known = labs.select("match", "lab").distinct().limit(LABS + 1).collect()
     if len(known) <= LABS:
-        names = F.from_json(F.lit(json.dumps({r["match"]: r["lab"] for r in sorted(known, key=lambda r: (r["match"], r["lab"]), reverse=True)})), "map<string,string>")
+        names = F.from_json(
+            F.lit(json.dumps({r["match"]: r["lab"] for r in sorted(known, key=lambda r: (r["match"], r["lab"]), reverse=True)})), "map<string,string>"
+        )
         found = F.filter(F.transform(F.split("organization", ","), lambda x: F.try_element_at(names, F.lower(F.trim(x)))), lambda x: x.isNotNull())
         return out.withColumn("lab", F.coalesce(F.get(found, 0), F.lit("other")))
     parts = rows.select(order, F.posexplode(F.split("organization", ",")).alias("at", "part")).withColumn("match", F.lower(F.trim("part")))
@@ -62,10 +64,17 @@ def points(scores: DataFrame, specs: DataFrame, models: DataFrame, labs: DataFra
     top = scores.groupBy("benchmark").agg(F.max("raw").alias("most")).join(specs, "benchmark")
     scaled = top.withColumn("scale", F.when(F.col("has_file") & (F.col("most") > 1.5), 0.01).otherwise(1.0)).drop("most")
     own = last_of_each(models, "model_version", "ord").select("model_version", "model_group", "accessibility")
-    rows = scores.where(F.col("raw").isNotNull() & (F.col("d") >= F.lit(START).cast("date"))).join(scaled, "benchmark").join(own, "model_version", "left")
+    rows = scores.where(
+        F.col("raw").isNotNull() & (F.col("d") >= F.lit(START).cast("date"))
+    ).join(scaled, "benchmark").join(own, "model_version", "left")
     raw = F.col("raw") * F.col("scale")
-    rows = rows.select("benchmark", display_name(F.col("model_version"), F.col("model_group"), F.lit("")).alias("model"), "organization", "d", "ord", F.bround(raw, 4).alias("s"), rescaled(raw, F.col("baseline"), F.col("ceiling")).alias("n"), open_weights(F.col("accessibility")).alias("open"))
-    best = rows.groupBy("benchmark", "model").agg(F.min_by(F.struct("organization", "d", "s", "n", "open", "ord"), F.struct(-F.col("s"), F.col("ord"))).alias("b")).select("benchmark", "model", "b.*")
+    rows = rows.select(
+        "benchmark", display_name(F.col("model_version"), F.col("model_group"), F.lit("")).alias("model"), "organization", "d", "ord",
+        F.bround(raw, 4).alias("s"), rescaled(raw, F.col("baseline"), F.col("ceiling")).alias("n"), open_weights(F.col("accessibility")).alias("open")
+    )
+    best = rows.groupBy("benchmark", "model").agg(
+        F.min_by(F.struct("organization", "d", "s", "n", "open", "ord"), F.struct(-F.col("s"), F.col("ord"))).alias("b")
+    ).select("benchmark", "model", "b.*")
     count = F.count("*").over(Window.partitionBy("benchmark"))
     return with_lab(best.withColumn("count", count).where(F.col("count") >= least).drop("count"), labs, "ord")
 
@@ -80,7 +89,9 @@ def frontier_intervals(front: DataFrame, cutoff: str, start: str = "2019-06-01")
     """From when until when each frontier point is the best as of ``cutoff``; empty spans go, the start is clipped."""
     to = F.lit(cutoff).cast("date")
     own = Window.partitionBy("benchmark").orderBy("d", "s", "ord")
-    rows = front.where(F.col("d") <= to).withColumn("until", F.coalesce(F.lead("d").over(own), to)).withColumn("since", F.greatest("d", F.lit(start).cast("date")))
+    rows = front.where(F.col("d") <= to).withColumn("until", F.coalesce(F.lead("d").over(own), to)).withColumn(
+        "since", F.greatest("d", F.lit(start).cast("date"))
+    )
     return rows.where(F.col("until") > F.col("since"))
 
 
@@ -103,16 +114,24 @@ def records(rows: DataFrame, value: str, by: list[str] | None = None) -> DataFra
 def releases(rows: DataFrame, labs: DataFrame) -> DataFrame:
     """Notable models with their domains as an array, flags as booleans and links that are links."""
     own = rows.where(F.col("d") >= F.lit(START).cast("date")).withColumnRenamed("organization", "organization")
-    return with_lab(own, labs, "ord").select("ord", "model", "lab", "org", "d", listed(F.col("domain")).alias("domains"), "params", flag(F.col("frontier")).alias("frontier"), web_link(F.col("link")).alias("link"))
+    return with_lab(own, labs, "ord").select(
+        "ord", "model", "lab", "org", "d", listed(F.col("domain")).alias("domains"), "params", flag(F.col("frontier")).alias("frontier"),
+        web_link(F.col("link")).alias("link")
+    )
 
 
 def cadence(index: DataFrame, rows: DataFrame, foundation: tuple[str, ...] = FOUNDATION) -> DataFrame:
     """One release for each organisation and day, of the index and of releases in the ``foundation`` domains: the names in order, each once, and the first row's lab."""
     both = index.select(F.lit(0).alias("feed"), "ord", "org", "lab", "d", "model").unionByName(
-        rows.where(F.arrays_overlap("domains", F.array(*[F.lit(x) for x in foundation]))).select(F.lit(1).alias("feed"), "ord", "org", "lab", "d", "model")
+        rows.where(
+            F.arrays_overlap("domains", F.array(*[F.lit(x) for x in foundation]))
+        ).select(F.lit(1).alias("feed"), "ord", "org", "lab", "d", "model")
     )
     order = F.struct("feed", "ord")
-    return both.groupBy("org", "d").agg(F.min_by("lab", order).alias("lab"), F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("feed", "ord", "model"))), lambda x: x["model"])).alias("names"))
+    return both.groupBy("org", "d").agg(
+        F.min_by("lab", order).alias("lab"),
+        F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("feed", "ord", "model"))), lambda x: x["model"])).alias("names")
+    )
 
 
 def yearly_cadence(days: DataFrame, cutoff: str, focus: str | None = None) -> DataFrame:
@@ -123,7 +142,9 @@ def yearly_cadence(days: DataFrame, cutoff: str, focus: str | None = None) -> Da
     first, after = F.make_date("year", F.lit(1), F.lit(1)), F.make_date(F.col("year") + 1, F.lit(1), F.lit(1))
     to = F.least(after, F.date_add(F.lit(cutoff[:8] + "28").cast("date"), 3))
     rows = years.join(n, "year", "left").withColumn("n", F.coalesce("n", F.lit(0))).withColumn("days", F.greatest(F.lit(1), F.datediff(to, first)))
-    return rows.select("year", "n", "days", F.when(F.col("n") > 0, F.bround(F.col("days") / F.col("n"), 4)).alias("every"), (to < after).alias("partial"))
+    return rows.select(
+        "year", "n", "days", F.when(F.col("n") > 0, F.bround(F.col("days") / F.col("n"), 4)).alias("every"), (to < after).alias("partial")
+    )
 
 
 def domain_matrix(rows: DataFrame, cutoff: str, domains: tuple[str, ...] = DOMAINS, focus: str | None = None, last: int = 5) -> DataFrame:
@@ -132,15 +153,22 @@ def domain_matrix(rows: DataFrame, cutoff: str, domains: tuple[str, ...] = DOMAI
     own = (own.where(F.col("lab") == focus) if focus else own).withColumn("domain", F.explode("domains")).where(F.col("domain").isin(*domains))
     cell = Window.partitionBy("domain", F.year("d")).orderBy(F.desc("d"), F.desc("ord"))
     late = own.withColumn("at", F.row_number().over(cell))
-    return late.groupBy("domain", F.year("d").alias("year")).agg(F.count("*").alias("n"), F.transform(F.array_sort(F.collect_list(F.when(F.col("at") <= last, F.struct("at", "model")))), lambda x: x["model"]).alias("latest"))
+    return late.groupBy("domain", F.year("d").alias("year")).agg(
+        F.count("*").alias("n"),
+        F.transform(F.array_sort(F.collect_list(F.when(F.col("at") <= last, F.struct("at", "model")))), lambda x: x["model"]).alias("latest")
+    )
 
 
 def headline(index: DataFrame, front: DataFrame, horizon: DataFrame, rows: DataFrame, cutoff: str) -> DataFrame:
     """As of ``cutoff``: the top of the index, live and nearly solved benchmarks, the longest horizon, the number of releases."""
     to = F.lit(cutoff).cast("date")
     first_best = lambda df, v: df.where(F.col("d") <= to).agg(F.max_by("model", F.struct(F.col(v), -F.col("ord"))).alias(f"top_{v}"), F.max(v).alias(v))
-    live = front.where(F.col("d") <= to).groupBy("benchmark").agg(F.max_by("n", F.struct("d", "s")).alias("n")).agg(F.count("*").alias("live"), F.count_if(F.col("n") >= 0.9).alias("solved"))
-    return first_best(index, "v").crossJoin(live).crossJoin(first_best(horizon, "minutes")).crossJoin(rows.where(F.col("d") <= to).agg(F.count("*").alias("releases")))
+    live = front.where(F.col("d") <= to).groupBy("benchmark").agg(F.max_by("n", F.struct("d", "s")).alias("n")).agg(
+        F.count("*").alias("live"), F.count_if(F.col("n") >= 0.9).alias("solved")
+    )
+    return first_best(index, "v").crossJoin(live).crossJoin(first_best(horizon, "minutes")).crossJoin(
+        rows.where(F.col("d") <= to).agg(F.count("*").alias("releases"))
+    )
 
 
 def latest_releases(rows: DataFrame, cutoff: str, most: int = 5) -> DataFrame:

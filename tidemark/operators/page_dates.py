@@ -9,7 +9,10 @@ from tidemark.functions.text import visible_text
 from tidemark.functions.urls import canonical, host
 
 # Readings by rank, what each is trusted by itself, and its family; only another family corroborates.
-RANKS = (("feed", "high", "structured"), ("url", "high", "structured"), ("dateline", "high", "text"), ("jsonld", "medium", "structured"), ("time_tag", "medium", "structured"), ("meta", "medium", "structured"), ("body", "low", "text"))
+RANKS = (
+    ("feed", "high", "structured"), ("url", "high", "structured"), ("dateline", "high", "text"), ("jsonld", "medium", "structured"),
+    ("time_tag", "medium", "structured"), ("meta", "medium", "structured"), ("body", "low", "text")
+)
 # Where dates are read; and what the note says.
 URL_DATE = r"/(20[0-2]\d)[/-](0?[1-9]|1[0-2])(?:[/-](0?[1-9]|[12]\d|3[01]))?(?:/|$|-)"
 JSON_LD = r'"date[Pp]ublished"\s*:\s*"([^"]{4,40})"'
@@ -33,13 +36,18 @@ def parsed(text: Column) -> Column:
 
 def _candidate(source: str, d: Column, precision: Column) -> Column:
     rank = next(k for k, r in enumerate(RANKS) if r[0] == source)
-    return F.when(d.isNotNull(), F.struct(F.lit(rank).alias("rank"), d.alias("d"), precision.alias("precision"), F.lit(source).alias("source")).cast(_CANDIDATE))
+    return F.when(
+        d.isNotNull(), F.struct(F.lit(rank).alias("rank"), d.alias("d"), precision.alias("precision"), F.lit(source).alias("source")).cast(_CANDIDATE)
+    )
 
 
 def _in_words(text: Column, source: str) -> tuple[Column, Column]:
     """The first date with a month's name, and whether there is one; without a day it is the first of the month."""
     whole, day = F.regexp_extract(text, MONTH_YEAR, 0), F.regexp_extract(text, MONTH_YEAR, 2)
-    plain = F.concat(F.regexp_extract(text, MONTH_YEAR, 1), F.lit(" "), F.when(day == "", "1").otherwise(F.regexp_extract(day, r"(\d+)", 1)), F.lit(", "), F.regexp_extract(text, MONTH_YEAR, 3))
+    plain = F.concat(
+        F.regexp_extract(text, MONTH_YEAR, 1), F.lit(" "), F.when(day == "", "1").otherwise(F.regexp_extract(day, r"(\d+)", 1)), F.lit(", "),
+        F.regexp_extract(text, MONTH_YEAR, 3)
+    )
     return _candidate(source, F.when(whole != "", parsed(plain)), F.when(day == "", "month").otherwise("day")), whole != ""
 
 
@@ -56,8 +64,10 @@ def readings(html: Column, url: Column, feed: Column, text: Column) -> Column:
     words, has_words = _in_words(F.substring(text, 1, 700), "dateline")
     iso = _candidate("dateline", parsed(F.regexp_extract(F.substring(text, 1, 700), ISO_DAY, 1)), F.lit("day"))
     found = F.array(
-        _candidate("feed", feed, F.lit("day")), _candidate("url", F.when(y != "", of_url), F.when(d == "", "month").otherwise("day")), F.when(has_words, words).otherwise(iso),
-        _listed(html, JSON_LD, "jsonld"), _listed(html, TIME_TAG, "time_tag"), _listed(html, META, "meta"), _in_words(F.substring(text, 1, 6000), "body")[0],
+        _candidate("feed", feed, F.lit("day")), _candidate("url", F.when(y != "", of_url), F.when(d == "", "month").otherwise("day")),
+        F.when(has_words, words).otherwise(iso),
+        _listed(html, JSON_LD, "jsonld"), _listed(html, TIME_TAG, "time_tag"), _listed(html, META, "meta"),
+        _in_words(F.substring(text, 1, 6000), "body")[0],
     )
     return F.array_sort(F.filter(found, lambda c: c.isNotNull()))
 
@@ -75,12 +85,20 @@ def resolved(pages: DataFrame, as_of: str, near: int = 45, far: int = 400) -> Da
     The best-ranked reading counts. One of the other family at most ``near`` days off makes it high; if all of them are more than ``far`` days off, high becomes low.
     A month has day 1. A date in the month of ``as_of`` that nothing corroborates, and that is not of the URL or feed, is low.
     """
-    rows = pages.withColumn("__text", visible_text(F.col("html"))).withColumn("__all", readings(F.col("html"), F.col("url"), F.col("feed_date"), F.col("__text")))
+    rows = pages.withColumn("__text", visible_text(F.col("html"))).withColumn(
+        "__all", readings(F.col("html"), F.col("url"), F.col("feed_date"), F.col("__text"))
+    )
     rows = rows.withColumn("__best", F.get("__all", 0))
     family = _lookup(F.col("__best.source"), 2)
     others = F.filter(F.slice("__all", 2, len(RANKS)), lambda c: _lookup(c["source"], 2) != F.col("__family"))
     rows = rows.withColumn("__family", family).withColumn("__others", others)
-    rows = rows.withColumn("__gaps", F.transform("__others", lambda c: F.struct(F.abs(F.datediff(F.col("__best.d"), c["d"])).alias("gap"), c["rank"].alias("rank"), c["source"].alias("source"))))
+    rows = rows.withColumn(
+        "__gaps",
+        F.transform(
+            "__others",
+            lambda c: F.struct(F.abs(F.datediff(F.col("__best.d"), c["d"])).alias("gap"), c["rank"].alias("rank"), c["source"].alias("source"))
+        )
+    )
     least = F.array_min("__gaps")
     rows = rows.withColumn("__least", least)
     base, gap = _lookup(F.col("__best.source"), 1), F.col("__least.gap")
@@ -90,12 +108,17 @@ def resolved(pages: DataFrame, as_of: str, near: int = 45, far: int = 400) -> Da
         gap > far, F.format_string("conflicts with %s (%s) by %dd", first["source"], first["d"].cast("string"), gap)
     ).otherwise("")
     day = F.when(F.col("__best.precision") == "month", F.trunc("__best.d", "MM")).otherwise(F.col("__best.d"))
-    furniture = (F.trunc(day, "MM") == F.trunc(F.lit(as_of).cast("date"), "MM")) & ~F.coalesce(gap <= near, F.lit(False)) & ~F.col("__best.source").isin("url", "feed")
+    furniture = (
+        F.trunc(day, "MM") == F.trunc(F.lit(as_of).cast("date"), "MM")
+    ) & ~F.coalesce(gap <= near, F.lit(False)) & ~F.col("__best.source").isin("url", "feed")
     said = "resolves to current month, likely site furniture"
     return rows.select(
-        *pages.columns, day.alias("d"), F.coalesce("__best.precision", F.lit("quarter")).alias("precision"), F.coalesce("__best.source", F.lit("none")).alias("date_source"),
+        *pages.columns, day.alias("d"), F.coalesce("__best.precision", F.lit("quarter")).alias("precision"),
+        F.coalesce("__best.source", F.lit("none")).alias("date_source"),
         F.when(F.col("__best").isNull(), "none").when(furniture, "low").otherwise(by_gap).alias("date_confidence"),
-        F.coalesce(F.when(furniture, F.when(note == "", said).otherwise(F.concat(note, F.lit("; " + said)))).otherwise(note), F.lit("")).alias("date_note"),
+        F.coalesce(
+            F.when(furniture, F.when(note == "", said).otherwise(F.concat(note, F.lit("; " + said)))).otherwise(note), F.lit("")
+        ).alias("date_note"),
     )
 
 
@@ -107,9 +130,13 @@ def with_feed_dates(pages: DataFrame, feeds: DataFrame) -> DataFrame:
 
 def clustered(docs: DataFrame, threshold: int = 4) -> DataFrame:
     """Documents whose date at least ``threshold`` documents of their host share, URL dates aside, are trusted little."""
-    counts = docs.where(F.col("publication_date").isNotNull() & ~F.col("date_source").eqNullSafe("url")).groupBy(host(F.col("canonical_url")).alias("__host"), F.col("publication_date").alias("__d")).agg(F.count("*").alias("__n")).where(F.col("__n") >= threshold)
+    counts = docs.where(F.col("publication_date").isNotNull() & ~F.col("date_source").eqNullSafe("url")).groupBy(
+        host(F.col("canonical_url")).alias("__host"), F.col("publication_date").alias("__d")
+    ).agg(F.count("*").alias("__n")).where(F.col("__n") >= threshold)
     same = (host(F.col("canonical_url")) == F.col("__host")) & (F.col("publication_date") == F.col("__d")) & ~F.col("date_source").eqNullSafe("url")
-    return docs.join(counts, same, "left").withColumn("date_confidence", F.when(F.col("__n").isNotNull(), "low").otherwise(F.col("date_confidence"))).drop("__host", "__d", "__n")
+    return docs.join(counts, same, "left").withColumn(
+        "date_confidence", F.when(F.col("__n").isNotNull(), "low").otherwise(F.col("date_confidence"))
+    ).drop("__host", "__d", "__n")
 
 
 def updated(docs: DataFrame, found: DataFrame) -> DataFrame:
@@ -119,7 +146,9 @@ def updated(docs: DataFrame, found: DataFrame) -> DataFrame:
     rows = docs.join(own, "doc_id", "left")
     for column, new in (("publication_date", "__d"), ("date_confidence", "__c"), ("date_source", "__s")):
         rows = rows.withColumn(f"__new_{column}", F.when(free, F.col(new)).otherwise(F.col(column)))
-    return rows.select(*[F.col(f"__new_{c}").alias(c) if c in ("publication_date", "date_confidence", "date_source") else F.col(c) for c in docs.columns])
+    return rows.select(
+        *[F.col(f"__new_{c}").alias(c) if c in ("publication_date", "date_confidence", "date_source") else F.col(c) for c in docs.columns]
+    )
 
 
 def redated(docs: DataFrame, pages: DataFrame, feeds: DataFrame, as_of: str, threshold: int = 4) -> DataFrame:

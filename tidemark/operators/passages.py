@@ -26,4 +26,7 @@ def passages(docs: DataFrame, terms: dict[str, str] = AXIS_TERMS, context: int =
     rows = rows.withColumn("hits", F.filter(tagged, lambda h: h["axes"] != ""))
     rows = rows.withColumn("taken", _taken(F.col("hits"), context, most)).select("doc_id", "s", F.posexplode("taken").alias("place", "h"))
     first = F.greatest(F.lit(0), F.col("h.idx") - context)
-    return rows.select("doc_id", "place", F.col("h.axes").alias("axes"), F.array_join(F.slice("s", first + 1, F.col("h.idx") + context + 1 - first), " ").alias("passage"))
+    return rows.select(
+        "doc_id", "place", F.col("h.axes").alias("axes"),
+        F.array_join(F.slice("s", first + 1, F.col("h.idx") + context + 1 - first), " ").alias("passage")
+    )

@@ -71,10 +71,14 @@ def positions(claims: DataFrame, digits: tuple[int, int, int, int] = DIGITS, end
     a key with many claims is no hot task.
     """
     w = F.col("strength") * F.col("confidence") * tier_weight(F.col("tier"))
-    docs = claims.groupBy(*KEY, "doc_id", "d").agg(F.count("*").alias("n"), F.sum(w).alias("w0"), F.sum(F.col("score") * w).alias("w1"), F.sum(F.col("score") * F.col("score") * w).alias("w2"))
+    docs = claims.groupBy(*KEY, "doc_id", "d").agg(
+        F.count("*").alias("n"), F.sum(w).alias("w0"), F.sum(F.col("score") * w).alias("w1"), F.sum(F.col("score") * F.col("score") * w).alias("w2")
+    )
     # the cap is the same as at most three mean weights: 3 / n of the document's total
     docs = docs.withColumn("cap", F.least(F.lit(1.0), DOC_CAP / F.col("n")))
-    rows = _reach(docs, ends, at).withColumn("rate", decay_rate(F.year("month_end"))).withColumn("f", F.exp(-F.col("rate") * F.col("age")) * F.col("cap"))
+    rows = _reach(docs, ends, at).withColumn("rate", decay_rate(F.year("month_end"))).withColumn(
+        "f", F.exp(-F.col("rate") * F.col("age")) * F.col("cap")
+    )
     weighs = F.col("w0") > 0
     sums: list[Column] = [F.min("age").alias("newest"), F.min("rate").alias("rate")]
     for win in WINDOWS:
@@ -100,17 +104,21 @@ def positions_of_claims(claims: DataFrame, digits: tuple[int, int, int, int] = D
     w = F.col("strength") * F.col("confidence") * tier_weight(F.col("tier"))
     at = _reach(claims.withColumn("w0", w))
     doc = at.groupBy(*KEY, "month_end", "doc_id").agg(F.min("age").alias("age"))
-    win = doc.groupBy(*KEY, "month_end").agg(F.min("age").alias("newest"), *[F.count(F.when(F.col("age") <= x, 1)).alias(f"all_{x}") for x in WINDOWS])
+    win = doc.groupBy(*KEY, "month_end").agg(
+        F.min("age").alias("newest"), *[F.count(F.when(F.col("age") <= x, 1)).alias(f"all_{x}") for x in WINDOWS]
+    )
     win = win.select(*KEY, "month_end", "newest", _chosen({x: F.col(f"all_{x}") for x in WINDOWS}, lookback(F.col("month_end"))).alias("window"))
     inside = at.join(win, [*KEY, "month_end"]).where(F.col("age") <= F.col("window"))
     wt = F.col("w0") * F.exp(-decay_rate(F.year("month_end")) * (F.col("age") - F.col("newest")))
     by_doc = inside.withColumn("wt", wt).groupBy(*KEY, "month_end", "doc_id").agg(
-        F.first("newest").alias("newest"), F.first("window").alias("window"), F.count("*").alias("n"), F.sum("wt").alias("t0"), F.sum(F.col("score") * F.col("wt")).alias("t1"), F.sum(F.col("score") * F.col("score") * F.col("wt")).alias("t2")
+        F.first("newest").alias("newest"), F.first("window").alias("window"), F.count("*").alias("n"), F.sum("wt").alias("t0"),
+        F.sum(F.col("score") * F.col("wt")).alias("t1"), F.sum(F.col("score") * F.col("score") * F.col("wt")).alias("t2")
     )
     cap = F.least(F.lit(1.0), DOC_CAP / F.col("n"))
     counts = F.col("t0") > 0
     sums = by_doc.groupBy(*KEY, "month_end").agg(
-        F.min("newest").alias("newest"), F.min("window").alias("window"), F.count(F.when(counts, 1)).alias("docs"), F.sum(F.when(counts, F.col("n")).otherwise(0)).alias("n"),
+        F.min("newest").alias("newest"), F.min("window").alias("window"), F.count(F.when(counts, 1)).alias("docs"),
+        F.sum(F.when(counts, F.col("n")).otherwise(0)).alias("n"),
         *[F.sum(F.when(counts, F.col(f"t{k}") * cap).otherwise(0.0)).alias(f"m{k}") for k in (0, 1, 2)],
     )
     return _result(sums, digits)
@@ -127,8 +135,10 @@ def dense(people: DataFrame, at: DataFrame, first: str, last: str) -> DataFrame:
     """Positions on the whole grid: where there are no claims the value is null and the widest window is said."""
     out = grid(people, first, last).join(at, [*KEY, "month_end"], "left")
     return out.select(
-        *KEY, "month_end", "value", F.coalesce("n_claims", F.lit(0)).alias("n_claims"), F.coalesce("evidence_mass", F.lit(0.0)).alias("evidence_mass"), F.coalesce("dispersion", F.lit(0.0)).alias("dispersion"),
-        F.coalesce("status", F.lit("insufficient")).alias("status"), F.coalesce("window_months", F.lit(REACH)).alias("window_months"), F.coalesce("newest_age_months", F.lit(0.0)).alias("newest_age_months"),
+        *KEY, "month_end", "value", F.coalesce("n_claims", F.lit(0)).alias("n_claims"),
+        F.coalesce("evidence_mass", F.lit(0.0)).alias("evidence_mass"), F.coalesce("dispersion", F.lit(0.0)).alias("dispersion"),
+        F.coalesce("status", F.lit("insufficient")).alias("status"), F.coalesce("window_months", F.lit(REACH)).alias("window_months"),
+        F.coalesce("newest_age_months", F.lit(0.0)).alias("newest_age_months"),
     )
 
 
@@ -140,11 +150,15 @@ def contradictions(claims: DataFrame, span_days: int = 90, min_gap: int = 3) ->
     days = F.datediff("d", F.lit("1970-01-01").cast("date"))
     own = claims.select(*KEY, "claim_id", "d", "score", F.floor(days / (span_days + 1)).alias("period"))
     a = own.select(*KEY, "period", F.col("claim_id").alias("first_claim"), F.col("d").alias("first_date"), F.col("score").alias("first_score"))
-    b = own.withColumn("period", F.explode(F.array(F.col("period"), F.col("period") - 1))).select(*KEY, "period", F.col("claim_id").alias("second_claim"), F.col("d").alias("second_date"), F.col("score").alias("second_score"))
+    b = own.withColumn("period", F.explode(F.array(F.col("period"), F.col("period") - 1))).select(
+        *KEY, "period", F.col("claim_id").alias("second_claim"), F.col("d").alias("second_date"), F.col("score").alias("second_score")
+    )
     later = F.struct("second_date", "second_claim") > F.struct("first_date", "first_claim")
     near = F.datediff("second_date", "first_date") <= span_days
     gap = F.abs(F.col("first_score") - F.col("second_score"))
-    return a.join(b, [*KEY, "period"]).where(later & near & (gap >= min_gap)).select(*KEY, "first_claim", "second_claim", "first_date", "second_date", gap.alias("gap"))
+    return a.join(b, [*KEY, "period"]).where(later & near & (gap >= min_gap)).select(
+        *KEY, "first_claim", "second_claim", "first_date", "second_date", gap.alias("gap")
+    )
 
 
 def contradiction_counts(pairs: DataFrame, people: DataFrame) -> DataFrame:
@@ -157,16 +171,22 @@ def contradiction_counts(pairs: DataFrame, people: DataFrame) -> DataFrame:
 
 def axis_variance(latest: DataFrame) -> DataFrame:
     """By axis: how many people have a value, and the population variance of their values (0 for one or none)."""
-    return latest.where("value is not null").groupBy("axis").agg(F.count("*").alias("n_scoreable"), F.when(F.count("*") > 1, F.bround(F.var_pop("value"), 3)).otherwise(0.0).alias("variance"))
+    return latest.where("value is not null").groupBy("axis").agg(
+        F.count("*").alias("n_scoreable"), F.when(F.count("*") > 1, F.bround(F.var_pop("value"), 3)).otherwise(0.0).alias("variance")
+    )
 
 
 def axis_correlation(latest: DataFrame) -> DataFrame:
     """Pearson correlation of each pair of axes over the people that have both; more than two people, neither axis constant."""
     wide = latest.groupBy("person_id").pivot("axis", list("XYZWS")).agg(F.first("value"))
     pairs = [(a, b) for i, a in enumerate("XYZWS") for b in "XYZWS"[i + 1 :]]
-    long = wide.select(F.explode(F.array(*[F.struct(F.lit(f"{a}-{b}").alias("pair"), F.col(a).alias("a"), F.col(b).alias("b")) for a, b in pairs])).alias("p")).select("p.*").where("a is not null and b is not null")
+    long = wide.select(
+        F.explode(F.array(*[F.struct(F.lit(f"{a}-{b}").alias("pair"), F.col(a).alias("a"), F.col(b).alias("b")) for a, b in pairs])).alias("p")
+    ).select("p.*").where("a is not null and b is not null")
     sums = long.groupBy("pair").agg(F.count("*").alias("n"), F.var_pop("a").alias("va"), F.var_pop("b").alias("vb"), F.covar_pop("a", "b").alias("c"))
-    return sums.where("n > 2 and va > 0 and vb > 0").select("pair", "n", F.bround(F.col("c") / F.sqrt(F.col("va") * F.col("vb")), 3).alias("correlation"))
+    return sums.where("n > 2 and va > 0 and vb > 0").select(
+        "pair", "n", F.bround(F.col("c") / F.sqrt(F.col("va") * F.col("vb")), 3).alias("correlation")
+    )
 
 
 def entry_months(at: DataFrame) -> DataFrame:
@@ -196,7 +216,10 @@ def explained_beside(claims: DataFrame, at: str, digits: tuple[int, int, int, in
 
 def explained_means(rows: DataFrame) -> DataFrame:
     """The plain weighted mean by person and axis; null where no weight is inside."""
-    return rows.groupBy(*KEY).agg(F.count("*").alias("n_claims"), F.count_if("inside").alias("n_inside"), F.sum("weight").alias("w"), F.sum(F.col("score") * F.col("weight")).alias("sw")).select(
+    return rows.groupBy(*KEY).agg(
+        F.count("*").alias("n_claims"), F.count_if("inside").alias("n_inside"), F.sum("weight").alias("w"),
+        F.sum(F.col("score") * F.col("weight")).alias("sw")
+    ).select(
         *KEY, "n_claims", "n_inside", F.bround(F.when(F.col("w") > 0, F.col("sw") / F.col("w")), 3).alias("plain_mean")
     )
 
@@ -207,13 +230,20 @@ def people_export(people: DataFrame, claims: DataFrame, first: str, last: str, d
     at = dense(people, positions(claims, digits, ends=(first, last)), first, last)
     cell = F.when(
         F.col("value").isNotNull(),
-        F.struct(F.bround("value", 2).alias("value"), F.bround("dispersion", 2).alias("dispersion"), "n_claims", F.substring("status", 1, 1).alias("status"), F.bround("newest_age_months", 0).cast("int").alias("age")),
+        F.struct(
+            F.bround("value", 2).alias("value"), F.bround("dispersion", 2).alias("dispersion"), "n_claims",
+            F.substring("status", 1, 1).alias("status"), F.bround("newest_age_months", 0).cast("int").alias("age")
+        ),
     )
     series = at.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("month_end", cell.alias("cell")))).alias("s"))
-    axes = series.groupBy("person_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("axis", F.transform("s", lambda x: x["cell"]))))).alias("axes"), F.min(F.get(F.filter("s", lambda x: x["cell"].isNotNull()), 0)["month_end"]).alias("entry"))
+    axes = series.groupBy("person_id").agg(
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("axis", F.transform("s", lambda x: x["cell"]))))).alias("axes"),
+        F.min(F.get(F.filter("s", lambda x: x["cell"].isNotNull()), 0)["month_end"]).alias("entry")
+    )
     n = contradiction_counts(contradictions(claims), people)
     who = people.select(
-        F.col("person_id").alias("id"), F.col("display_name").alias("name"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("entity_kind", F.lit("person")).alias("kind"), F.coalesce("headline", F.lit(False)).alias("headline"),
+        F.col("person_id").alias("id"), F.col("display_name").alias("name"), F.coalesce("role", F.lit("")).alias("role"),
+        F.coalesce("entity_kind", F.lit("person")).alias("kind"), F.coalesce("headline", F.lit(False)).alias("headline"),
         F.coalesce("axes_allowed", F.array(*[F.lit(a) for a in "XYZWS"])).alias("axes_allowed"),
     )
     out = who.join(axes, who["id"] == axes["person_id"], "left").drop("person_id").join(n, who["id"] == n["person_id"], "left").drop("person_id")

@@ -21,7 +21,9 @@ def may_be_label(line: Column) -> Column:
     """Short, few words, begins with a capital, ends no sentence, is no time."""
     own = label(line)
     first = F.substring(line, 1, 1)
-    return (F.length(own) > 3) & (F.length(own) < 40) & (F.length(own) - F.length(F.replace(own, F.lit(" "), F.lit(""))) <= 3) & first.rlike(r"^\p{Lu}") & ~own.rlike(r"[.?!:]$") & ~line.rlike(TIME)
+    return (F.length(own) > 3) & (F.length(own) < 40) & (
+        F.length(own) - F.length(F.replace(own, F.lit(" "), F.lit(""))) <= 3
+    ) & first.rlike(r"^\p{Lu}") & ~own.rlike(r"[.?!:]$") & ~line.rlike(TIME)
 
 
 def lines(texts: DataFrame) -> DataFrame:
@@ -32,13 +34,17 @@ def lines(texts: DataFrame) -> DataFrame:
 
 def speaker_labels(rows: DataFrame, least: int = 4) -> DataFrame:
     """Labels that stand ``least`` times in a document, with how often and where first."""
-    return rows.where(may_be_label(F.col("line"))).groupBy("doc", label(F.col("line")).alias("label")).agg(F.count("*").alias("n"), F.min(F.struct("ord", "pos")).alias("first")).where(F.col("n") >= least)
+    return rows.where(may_be_label(F.col("line"))).groupBy("doc", label(F.col("line")).alias("label")).agg(
+        F.count("*").alias("n"), F.min(F.struct("ord", "pos")).alias("first")
+    ).where(F.col("n") >= least)
 
 
 def turns(rows: DataFrame, least: int = 4) -> DataFrame:
     """Each line with the speaker whose label came last; label lines go."""
     labels = speaker_labels(rows, least).select("doc", "label")
-    marked = rows.withColumn("own", label(F.col("line"))).join(labels.withColumnRenamed("label", "own").withColumn("is_label", F.lit(True)), ["doc", "own"], "left")
+    marked = rows.withColumn("own", label(F.col("line"))).join(
+        labels.withColumnRenamed("label", "own").withColumn("is_label", F.lit(True)), ["doc", "own"], "left"
+    )
     spoken = F.last(F.when(F.col("is_label"), F.col("own")), ignorenulls=True).over(Window.partitionBy("doc").orderBy("ord", "pos"))
     return marked.withColumn("speaker", spoken).where(F.col("is_label").isNull()).select("doc", "ord", "pos", "speaker", "line")
 
@@ -56,12 +62,16 @@ def guest_speech(rows: DataFrame, guests: DataFrame, least: int = 4) -> DataFram
     who = guest_label(speaker_labels(rows, least), guests)
     own = turns(rows, least).join(who, "doc").where((F.col("speaker") == F.col("label")) & ~F.col("line").rlike(TIME))
     said = own.groupBy("doc", "label").agg(F.array_sort(F.collect_list(F.struct("ord", "pos", "line"))).alias("l"))
-    return said.select("doc", "label", F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("speech")).withColumn("words", word_count(F.col("speech")))
+    return said.select(
+        "doc", "label", F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("speech")
+    ).withColumn("words", word_count(F.col("speech")))
 
 
 def first_usable(candidates: DataFrame, least_words: int = 400) -> DataFrame:
     """Of each episode's candidate pages (episode, ord, words) the first with enough of the guest's words."""
-    return candidates.where(F.col("words") >= least_words).groupBy("episode").agg(F.min(F.struct("ord", *[c for c in candidates.columns if c not in ("episode", "ord")])).alias("c")).select("episode", "c.*")
+    return candidates.where(F.col("words") >= least_words).groupBy("episode").agg(
+        F.min(F.struct("ord", *[c for c in candidates.columns if c not in ("episode", "ord")])).alias("c")
+    ).select("episode", "c.*")
 
 
 def is_guest(title: Column, name: Column) -> Column:
@@ -79,7 +89,9 @@ def episode_guests(episodes: DataFrame, people: DataFrame) -> DataFrame:
     head = F.lower(F.trim(F.regexp_replace("title", r"^#?\d+\s*[-–—:]?\s*", "")))
     names = people.select("person_id", "ord", F.lower("display_name").alias("__start")).where("__start <> ''")
     sizes = sorted(r[0] for r in names.select(F.length("__start")).distinct().collect())  # a few dozen: of a name, not of the people
-    starts = F.transform(F.filter(F.array(*[F.lit(n) for n in sizes]).cast("array<int>"), lambda n: n <= F.length(head)), lambda n: F.substring(head, F.lit(1), n))
+    starts = F.transform(
+        F.filter(F.array(*[F.lit(n) for n in sizes]).cast("array<int>"), lambda n: n <= F.length(head)), lambda n: F.substring(head, F.lit(1), n)
+    )
     both = episodes.withColumn("__start", F.explode(starts)).join(names, "__start")
     return both.groupBy("episode").agg(F.min_by("person_id", "ord").alias("person_id"))
 
@@ -90,9 +102,19 @@ def podcast_documents(entries: DataFrame, people: DataFrame, texts: DataFrame, l
     Entries (episode, feed, pos, title, link, d), people (person_id, display_name, ord), texts (url, ord, body: a page's text). Of an episode's page
     and its ``-transcript`` sibling the first counts whose guest says ``least_words`` words.
     """
-    own = entries.where("link is not null").join(episode_guests(entries.select("episode", "title"), people), "episode").join(people.select("person_id", "display_name"), "person_id")
+    own = entries.where("link is not null").join(
+        episode_guests(entries.select("episode", "title"), people), "episode"
+    ).join(people.select("person_id", "display_name"), "person_id")
     clean = F.split(canonical(F.col("link")), r"\?")[0]
-    tried = own.withColumn("url", F.explode(F.array(F.struct(F.lit(0).alias("at"), clean.alias("url")), F.struct(F.lit(1).alias("at"), F.concat(F.rtrim(clean, F.lit("/")), F.lit("-transcript")).alias("url")))))
+    tried = own.withColumn(
+        "url",
+        F.explode(
+            F.array(
+                F.struct(F.lit(0).alias("at"), clean.alias("url")),
+                F.struct(F.lit(1).alias("at"), F.concat(F.rtrim(clean, F.lit("/")), F.lit("-transcript")).alias("url"))
+            )
+        )
+    )
     tried = tried.select("episode", "display_name", F.col("url.at").alias("at"), F.col("url.url").alias("url")).join(texts, "url")
     doc = F.concat_ws(":", F.col("episode").cast("string"), F.col("at").cast("string"))
     rows = lines(tried.select(doc.alias("doc"), "ord", "body"))
@@ -112,6 +134,10 @@ def first_per_person(usable: DataFrame, most: int = 8) -> DataFrame:
 def backlog(episodes: DataFrame, docs: DataFrame, most: int | None = None) -> DataFrame:
     """Episodes (person_id, audio_url, d, feed, pos) that are held neither by audio URL nor, from a podcast or audio collector, by person and day."""
     key = F.split(canonical(F.col("audio_url")), r"\?")[0]
-    held = docs.where(F.col("collector").like("podcasts%") | F.col("collector").like("audio%")).select("person_id", F.col("publication_date").alias("d")).distinct()
-    left = episodes.withColumn("canonical_url", key).join(docs.select("canonical_url").distinct(), "canonical_url", "left_anti").join(held, ["person_id", "d"], "left_anti")
+    held = docs.where(
+        F.col("collector").like("podcasts%") | F.col("collector").like("audio%")
+    ).select("person_id", F.col("publication_date").alias("d")).distinct()
+    left = episodes.withColumn("canonical_url", key).join(
+        docs.select("canonical_url").distinct(), "canonical_url", "left_anti"
+    ).join(held, ["person_id", "d"], "left_anti")
     return left.orderBy("feed", "pos").limit(most) if most else left

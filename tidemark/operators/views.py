@@ -20,12 +20,15 @@ def _known(axes: tuple[str, ...]) -> Column:
 def placed(latest: DataFrame, people: DataFrame, axes: tuple[str, ...], entry: DataFrame, month: str) -> DataFrame:
     """Headline people at one month in one view: placed if two of the view's axes are known, unknown ones are free and at 0; else the
     allowed axes that are missing, and whether the month is before the person's first."""
-    rows = people.where("headline").select("person_id", "axes_allowed").join(_wide(latest, ["person_id"], axes), "person_id", "left").join(entry, "person_id", "left")
+    rows = people.where("headline").select("person_id", "axes_allowed").join(
+        _wide(latest, ["person_id"], axes), "person_id", "left"
+    ).join(entry, "person_id", "left")
     ok = _known(axes) >= 2
     free = F.concat(*[F.when(F.col(a).isNull(), a).otherwise("") for a in axes])
     missing = F.concat(*[F.when(F.col(a).isNull() & F.array_contains("axes_allowed", a), a).otherwise("") for a in axes])
     return rows.select(
-        "person_id", *[F.when(ok, F.bround(F.coalesce(a, F.lit(0.0)) * SCALE, 4)).alias(f"c{k}") for k, a in enumerate(axes)], ok.alias("placed"), F.when(ok, free).alias("free_axes"),
+        "person_id", *[F.when(ok, F.bround(F.coalesce(a, F.lit(0.0)) * SCALE, 4)).alias(f"c{k}") for k, a in enumerate(axes)], ok.alias("placed"),
+        F.when(ok, free).alias("free_axes"),
         F.when(~ok, missing).alias("missing_axes"), F.when(~ok, F.coalesce(F.lit(month) < F.col("enters_at"), F.lit(False))).alias("before_entry"),
     )
 
@@ -44,9 +47,14 @@ def nearest_visible(at: DataFrame, axes: tuple[str, ...]) -> DataFrame:
     own = Window.partitionBy("person_id").orderBy("month_end")
     rows = visible(at, axes).withColumn("idx", F.row_number().over(own))
     shown = F.when(F.col("visible"), F.struct("idx", "month_end"))
-    rows = rows.withColumn("after", F.first(shown, True).over(own.rowsBetween(1, Window.unboundedFollowing))).withColumn("before", F.last(shown, True).over(own.rowsBetween(Window.unboundedPreceding, -1)))
+    rows = rows.withColumn("after", F.first(shown, True).over(own.rowsBetween(1, Window.unboundedFollowing))).withColumn(
+        "before", F.last(shown, True).over(own.rowsBetween(Window.unboundedPreceding, -1))
+    )
     later = F.col("before").isNull() | (F.col("after.idx") - F.col("idx") <= F.col("idx") - F.col("before.idx"))
-    return rows.select("person_id", "month_end", F.when(later & F.col("after").isNotNull(), F.col("after.month_end")).otherwise(F.col("before.month_end")).alias("nearest"))
+    return rows.select(
+        "person_id", "month_end",
+        F.when(later & F.col("after").isNotNull(), F.col("after.month_end")).otherwise(F.col("before.month_end")).alias("nearest")
+    )
 
 
 def trail(at: DataFrame, axis: str, months: int) -> DataFrame:
@@ -63,7 +71,8 @@ def panel(latest: DataFrame, people: DataFrame, stale: int = 12, blurry: float =
     has = F.col("value").isNotNull()
     state = F.when(~F.array_contains("axes_allowed", F.col("axis")), "not applicable").when(~has, "no evidence").otherwise("value")
     return rows.select(
-        "person_id", "axis", state.alias("state"), "value", ((F.bround("newest_age_months", 0) > stale) & has).alias("stale"), ((F.col("dispersion") > blurry) & has).alias("blurry"),
+        "person_id", "axis", state.alias("state"), "value", ((F.bround("newest_age_months", 0) > stale) & has).alias("stale"),
+        ((F.col("dispersion") > blurry) & has).alias("blurry"),
         ((F.col("status") == "sparse") & has).alias("sparse"), F.bround((F.col("value") + 3) / 6 * 100, 6).alias("bar"),
     )
 

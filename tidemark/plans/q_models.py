@@ -52,7 +52,9 @@ def from_csv(s: SparkSession, d: str) -> DataFrame:
         return tables.csv(s, path)
 
     scores = M.typed(there("t_scores"), ("raw",))
-    specs = there("t_specs").withColumns({"has_file": F.col("has_file").cast("boolean"), "baseline": number(F.col("baseline")), "ceiling": number(F.col("ceiling"))})
+    specs = there("t_specs").withColumns(
+        {"has_file": F.col("has_file").cast("boolean"), "baseline": number(F.col("baseline")), "ceiling": number(F.col("ceiling"))}
+    )
     models = there("t_models").withColumn("ord", F.col("ord").cast("long"))
     return M.points(scores, specs, models, there("t_labs"))
 
@@ -60,7 +62,9 @@ def from_csv(s: SparkSession, d: str) -> DataFrame:
 def _loose(s: SparkSession, d: str) -> DataFrame:
     """Releases as strings, some with a month only, an early date or no number."""
     date = F.when(F.col("ord") % 5 == 0, F.date_format("d", "yyyy-MM")).when(F.col("ord") % 5 == 1, "2016-12-31").otherwise(F.col("d").cast("string"))
-    return view(s, d, "t_releases").select("ord", date.alias("d"), F.when(F.col("ord") % 3 == 0, "n/a").otherwise(F.col("params").cast("string")).alias("params"))
+    return view(s, d, "t_releases").select(
+        "ord", date.alias("d"), F.when(F.col("ord") % 3 == 0, "n/a").otherwise(F.col("params").cast("string")).alias("params")
+    )
 
 
 def exported(s: SparkSession, d: str) -> DataFrame:
@@ -70,7 +74,9 @@ def exported(s: SparkSession, d: str) -> DataFrame:
     tables.write_nested(M.benchmarks_export(points(s, d), specs), path)
     point = "array<struct<m:string,lab:string,org:string,d:string,s:double,n:double,open:boolean>>"
     rows = s.read.schema(f"id string, name string, baseline double, ceiling double, points {point}, frontier {point}").json(path)
-    return rows.select("id", "name", "baseline", "ceiling", F.size("frontier").alias("n_frontier"), F.posexplode("points").alias("place", "p")).select("id", "name", "baseline", "ceiling", "n_frontier", "place", "p.*")
+    return rows.select(
+        "id", "name", "baseline", "ceiling", F.size("frontier").alias("n_frontier"), F.posexplode("points").alias("place", "p")
+    ).select("id", "name", "baseline", "ceiling", "n_frontier", "place", "p.*")
 
 
 POINTS = """
@@ -101,48 +107,89 @@ QUERIES = {
     "win2_index_records": lambda s, d: M.records(index(s, d), "v").select("ord", "model", "d", "v"),
     "win2_horizon_records": lambda s, d: M.records(horizon(s, d), "minutes").select("ord", "model", "d", "minutes"),
     "agg14_horizon": lambda s, d: horizon(s, d).select("model", "d", "minutes", duration(F.col("minutes") * 10).alias("text")),
-    "job10_releases": lambda s, d: releases(s, d).select("ord", "model", "lab", "org", "d", F.array_join("domains", "|").alias("domains"), "params", "frontier", "link"),
+    "job10_releases": lambda s, d: releases(s, d).select(
+        "ord", "model", "lab", "org", "d", F.array_join("domains", "|").alias("domains"), "params", "frontier", "link"
+    ),
     "agg17_cadence": lambda s, d: cadence(s, d).select("org", "d", "lab", F.array_join("names", "|").alias("names")),
     "agg18_yearly_cadence": lambda s, d: M.yearly_cadence(cadence(s, d), "2023-02-28"),
-    "agg19_domain_matrix": lambda s, d: M.domain_matrix(releases(s, d), CUT, DOMAINS).select("domain", "year", "n", F.array_join("latest", "|").alias("latest")),
+    "agg19_domain_matrix": lambda s, d: M.domain_matrix(releases(s, d), CUT, DOMAINS).select(
+        "domain", "year", "n", F.array_join("latest", "|").alias("latest")
+    ),
     "agg20_headline": lambda s, d: M.headline(index(s, d), M.frontier(points(s, d)), horizon(s, d), releases(s, d), CUT),
     "agg22_timeline_end": lambda s, d: index(s, d).agg(F.last_day(F.max("d")).alias("end")),
-    "agg26_first_year": lambda s, d: points(s, d).groupBy(F.substring("benchmark", 7, 1).alias("direction")).agg(F.trunc(F.min("d"), "YEAR").alias("first")),
-    "agg27_registry_counts": lambda s, d: points(s, d).agg(F.count_distinct("benchmark").alias("benchmarks"), F.count("*").alias("scores")).crossJoin(releases(s, d).agg(F.count("*").alias("releases"))).crossJoin(horizon(s, d).agg(F.count("*").alias("horizons"))),
+    "agg26_first_year": lambda s, d: points(s, d).groupBy(
+        F.substring("benchmark", 7, 1).alias("direction")
+    ).agg(F.trunc(F.min("d"), "YEAR").alias("first")),
+    "agg27_registry_counts": lambda s, d: points(s, d).agg(
+        F.count_distinct("benchmark").alias("benchmarks"), F.count("*").alias("scores")
+    ).crossJoin(releases(s, d).agg(F.count("*").alias("releases"))).crossJoin(horizon(s, d).agg(F.count("*").alias("horizons"))),
     "srt5_latest_releases": lambda s, d: M.latest_releases(releases(s, d), CUT).select("ord", "model", "d"),
-    "fil13_as_of": lambda s, d: points(s, d).where(F.col("d") <= F.last_day(F.lit("2021-02-01").cast("date"))).groupBy("benchmark").agg(F.count("*").alias("n")),
+    "fil13_as_of": lambda s, d: points(s, d).where(
+        F.col("d") <= F.last_day(F.lit("2021-02-01").cast("date"))
+    ).groupBy("benchmark").agg(F.count("*").alias("n")),
     "fil14_lab_focus": lambda s, d: releases(s, d).where("lab = 'lab2'").groupBy("lab", "frontier").agg(F.count("*").alias("n")),
     "snk3_model_track": lambda s, d: exported(s, d),
     "job10_from_csv": lambda s, d: from_csv(s, d).select("benchmark", "model", "lab", "org", "d", "s", "n", "open"),
     "fil12_dated_rows": lambda s, d: M.typed(_loose(s, d), ("params",)).select("ord", "d", "params"),
     "srt4_releases_in_order": lambda s, d: M.in_order(releases(s, d)).select("ord", "model", "d"),
-    "mth1_numbers": lambda s, d: view(s, d, "t_releases").select("ord", number(F.when(F.col("ord") % 3 == 0, "n/a").when(F.col("ord") % 3 == 1, "NaN").otherwise(F.col("params").cast("string"))).alias("x")),
+    "mth1_numbers": lambda s, d: view(s, d, "t_releases").select(
+        "ord", number(F.when(F.col("ord") % 3 == 0, "n/a").when(F.col("ord") % 3 == 1, "NaN").otherwise(F.col("params").cast("string"))).alias("x")
+    ),
 }
 
 ORACLE = {
     "job10_points": with_sql('select benchmark, model, lab, org, d, s, n, "open" from pts', *P_, more=POINTS),
     "win1_frontier": with_sql("select benchmark, model, d, s, n from fr", *P_, more=POINTS),
-    "win3_frontier_intervals": with_sql(f"select benchmark, model, since, until, s from (select *, greatest(d, date '2019-06-01') since, coalesce(lead(d) over (partition by benchmark order by d, s, ord), date '{CUT}') until from fr where d <= date '{CUT}') where until > since", *P_, more=POINTS),
-    "win2_index_records": with_sql("select ord, model, d, params v from (select *, max(params) over (order by d, ord rows between unbounded preceding and 1 preceding) prev from rel) where prev is null or params > prev", *R_, more=RELEASES),
-    "win2_horizon_records": with_sql("select ord, model, d, minutes from (select *, max(minutes) over (order by d, ord rows between unbounded preceding and 1 preceding) prev from hz) where prev is null or minutes > prev", *R_, more=RELEASES),
-    "agg14_horizon": with_sql("""select model, d, minutes, case when m < 1 then printf('%d sec', cast(round(m * 60) as int)) when m < 60 then printf('%d min', cast(round(m) as int)) when m < 600 then printf('%.1f hr', m / 60) when m < 1440 then printf('%.0f hr', m / 60) else printf('%.1f days', m / 1440) end "text" from (select *, minutes * 10 m from hz)""", *R_, more=RELEASES),
-    "job10_releases": with_sql("select ord, model, lab, org, d, array_to_string(domains, '|') domains, params, frontier, link from rel", *R_, more=RELEASES),
-    "agg17_cadence": with_sql("select org, d, lab, array_to_string(list_filter(names, lambda x, i: list_position(names, x) = i), '|') names from cad", *R_, more=RELEASES),
+    "win3_frontier_intervals": with_sql(
+        f"select benchmark, model, since, until, s from (select *, greatest(d, date '2019-06-01') since, coalesce(lead(d) over (partition by benchmark order by d, s, ord), date '{CUT}') until from fr where d <= date '{CUT}') where until > since",
+        *P_, more=POINTS
+    ),
+    "win2_index_records": with_sql(
+        "select ord, model, d, params v from (select *, max(params) over (order by d, ord rows between unbounded preceding and 1 preceding) prev from rel) where prev is null or params > prev",
+        *R_, more=RELEASES
+    ),
+    "win2_horizon_records": with_sql(
+        "select ord, model, d, minutes from (select *, max(minutes) over (order by d, ord rows between unbounded preceding and 1 preceding) prev from hz) where prev is null or minutes > prev",
+        *R_, more=RELEASES
+    ),
+    "agg14_horizon": with_sql(
+        """select model, d, minutes, case when m < 1 then printf('%d sec', cast(round(m * 60) as int)) when m < 60 then printf('%d min', cast(round(m) as int)) when m < 600 then printf('%.1f hr', m / 60) when m < 1440 then printf('%.0f hr', m / 60) else printf('%.1f days', m / 1440) end "text" from (select *, minutes * 10 m from hz)""",
+        *R_, more=RELEASES
+    ),
+    "job10_releases": with_sql(
+        "select ord, model, lab, org, d, array_to_string(domains, '|') domains, params, frontier, link from rel", *R_, more=RELEASES
+    ),
+    "agg17_cadence": with_sql(
+        "select org, d, lab, array_to_string(list_filter(names, lambda x, i: list_position(names, x) = i), '|') names from cad", *R_, more=RELEASES
+    ),
     "agg18_yearly_cadence": with_sql("""select cast(y as integer) "year", coalesce(n, 0) n, cast(dd as integer) as "days", case when n > 0 then round_even(dd / n, 4) end every, to_ < after_ partial from (select y, make_date(y, 1, 1) first_, make_date(y + 1, 1, 1) after_, least(make_date(y + 1, 1, 1), date '2023-03-03') to_,
         greatest(1, date_diff('day', make_date(y, 1, 1), least(make_date(y + 1, 1, 1), date '2023-03-03'))) dd from (select unnest(generate_series(2017, 2023)) y)) left join (select year(d) y, count(*) n from cad where d <= date '2023-02-28' and lab <> 'other' group by 1) using (y)""", *R_, more=RELEASES),
-    "agg19_domain_matrix": with_sql(f"""select domain, "year", count(*) n, array_to_string(list(model order by rn) filter (where rn <= 5), '|') latest from (select *, row_number() over (partition by domain, "year" order by d desc, ord desc) rn from (select unnest(domains) domain, cast(year(d) as integer) "year", model, d, ord from rel where d <= date '{CUT}')) where domain in {DOMAINS} group by 1, 2""", *R_, more=RELEASES),
+    "agg19_domain_matrix": with_sql(
+        f"""select domain, "year", count(*) n, array_to_string(list(model order by rn) filter (where rn <= 5), '|') latest from (select *, row_number() over (partition by domain, "year" order by d desc, ord desc) rn from (select unnest(domains) domain, cast(year(d) as integer) "year", model, d, ord from rel where d <= date '{CUT}')) where domain in {DOMAINS} group by 1, 2""",
+        *R_, more=RELEASES
+    ),
     "agg20_headline": with_sql(f"""select (select model from rel where d <= date '{CUT}' order by params desc, ord limit 1) top_v, (select max(params) from rel where d <= date '{CUT}') v, (select count(distinct benchmark) from fr where d <= date '{CUT}') live,
         (select count(*) from (select benchmark, arg_max(n, s) n from fr where d <= date '{CUT}' group by 1) where n >= 0.9) solved, (select model from hz where d <= date '{CUT}' order by minutes desc, ord limit 1) top_minutes, (select max(minutes) from hz where d <= date '{CUT}') as minutes, (select count(*) from rel where d <= date '{CUT}') releases""", *P_, "t_releases", more=POINTS + "," + RELEASES),
     "agg22_timeline_end": with_sql('select last_day(max(d)) "end" from rel', *R_, more=RELEASES),
-    "agg26_first_year": with_sql("select substr(benchmark, 7, 1) direction, cast(date_trunc('year', min(d)) as date) \"first\" from pts group by 1", *P_, more=POINTS),
-    "agg27_registry_counts": with_sql("select (select count(distinct benchmark) from pts) benchmarks, (select count(*) from pts) scores, (select count(*) from rel) releases, (select count(*) from hz) horizons", *P_, "t_releases", more=POINTS + "," + RELEASES),
-    "srt5_latest_releases": with_sql(f"select ord, model, d from rel where d <= date '{CUT}' and (frontier or lab <> 'other') order by d desc, ord desc limit 5", *R_, more=RELEASES),
+    "agg26_first_year": with_sql(
+        "select substr(benchmark, 7, 1) direction, cast(date_trunc('year', min(d)) as date) \"first\" from pts group by 1", *P_, more=POINTS
+    ),
+    "agg27_registry_counts": with_sql(
+        "select (select count(distinct benchmark) from pts) benchmarks, (select count(*) from pts) scores, (select count(*) from rel) releases, (select count(*) from hz) horizons",
+        *P_, "t_releases", more=POINTS + "," + RELEASES
+    ),
+    "srt5_latest_releases": with_sql(
+        f"select ord, model, d from rel where d <= date '{CUT}' and (frontier or lab <> 'other') order by d desc, ord desc limit 5", *R_,
+        more=RELEASES
+    ),
     "fil13_as_of": with_sql("select benchmark, count(*) n from pts where d <= date '2021-02-28' group by 1", *P_, more=POINTS),
     "fil14_lab_focus": with_sql("select lab, frontier, count(*) n from rel where lab = 'lab2' group by 1, 2", *R_, more=RELEASES),
     "mth1_numbers": with_sql("select ord, case when ord % 3 = 2 then params end x from t_releases", "t_releases"),
     "snk3_model_track": with_sql("""select trim(regexp_replace(lower(benchmark), '[^a-z0-9]+', '-', 'g'), '-') id, benchmark "name", cast(baseline as double) baseline, cast(ceiling as double) ceiling, cast((select count(*) from fr where fr.benchmark = pts.benchmark) as integer) n_frontier, cast(row_number() over (partition by benchmark order by d, s, ord) - 1 as integer) place,
         model m, lab, org, strftime(d, '%Y-%m-%d') d, s, n, "open" from pts join (select benchmark, baseline, ceiling from t_specs) using (benchmark)""", *P_, more=POINTS),
     "job10_from_csv": with_sql('select benchmark, model, lab, org, d, s, n, "open" from pts', *P_, more=POINTS),
-    "fil12_dated_rows": with_sql("select ord, d, case when ord % 3 <> 0 then params end params from t_releases where ord % 5 > 1 and d >= date '2017-01-01'", "t_releases"),
+    "fil12_dated_rows": with_sql(
+        "select ord, d, case when ord % 3 <> 0 then params end params from t_releases where ord % 5 > 1 and d >= date '2017-01-01'", "t_releases"
+    ),
     "srt4_releases_in_order": with_sql("select ord, model, d from rel order by d, ord", *R_, more=RELEASES),
 }

@@ -47,8 +47,15 @@ def dated(visible: str, as_of: str) -> str:
     one = "{{'rank': {}, 'd': {}, 'p': {}, 's': '{}'}}".format
     listed = [
         one(0, "feed", "'day'", "feed"),
-        one(1, f"case when {url[1]} <> '' then try_cast(concat({url[1]}, '-', lpad({url[2]}, 2, '0'), '-', case when {url[3]} = '' then '01' else lpad({url[3]}, 2, '0') end) as date) end", f"case when {url[3]} = '' then 'month' else 'day' end", "url"),
-        one(2, f"case when wl is not null then wl.d else try_cast(regexp_extract(substr(txt, 1, 700), '{ISO_DAY}', 1) as date) end", "coalesce(wl.p, 'day')", "dateline"),
+        one(
+            1,
+            f"case when {url[1]} <> '' then try_cast(concat({url[1]}, '-', lpad({url[2]}, 2, '0'), '-', case when {url[3]} = '' then '01' else lpad({url[3]}, 2, '0') end) as date) end",
+            f"case when {url[3]} = '' then 'month' else 'day' end", "url"
+        ),
+        one(
+            2, f"case when wl is not null then wl.d else try_cast(regexp_extract(substr(txt, 1, 700), '{ISO_DAY}', 1) as date) end",
+            "coalesce(wl.p, 'day')", "dateline"
+        ),
         one(5, f"try_cast(regexp_extract(html, '{meta}', 1) as date)", "'day'", "meta"),
         one(6, "wb.d", "wb.p", "body"),
     ]

@@ -51,7 +51,10 @@ def csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
 
 
-def documents(docs: DataFrame, *, trusted: bool = False, authored: bool = False, person: str | None = None, collector: str | None = None, newest: int | None = None) -> DataFrame:
+def documents(
+    docs: DataFrame, *, trusted: bool = False, authored: bool = False, person: str | None = None, collector: str | None = None,
+    newest: int | None = None
+) -> DataFrame:
     """Documents by date confidence, author, person and collector prefix, the newest first if a number is given."""
     out = docs
     if trusted:
@@ -67,17 +70,24 @@ def documents(docs: DataFrame, *, trusted: bool = False, authored: bool = False,
 
 def seeds(registry: DataFrame) -> DataFrame:
     """Registry rows (person_id, tier, language, authored_by_subject, seeds) flattened: what a seed says goes before what its source says, dead seeds go."""
-    rows = registry.select("person_id", F.posexplode("seeds").alias("place", "s"), F.col("tier").alias("t"), F.col("language").alias("l"), F.col("authored_by_subject").alias("a"))
+    rows = registry.select(
+        "person_id", F.posexplode("seeds").alias("place", "s"), F.col("tier").alias("t"), F.col("language").alias("l"),
+        F.col("authored_by_subject").alias("a")
+    )
     own = rows.select(
-        "person_id", "place", F.col("s.url").alias("url"), F.col("s.kind").alias("kind"), F.col("s.status").alias("status"), F.coalesce("s.source_type", F.lit("essay")).alias("source_type"), F.coalesce("s.tier", "t", F.lit(1)).alias("tier"),
-        F.coalesce("s.language", "l", F.lit("en")).alias("language"), F.coalesce("s.authored_by_subject", "a", F.lit(True)).alias("authored_by_subject"), F.col("s.date").try_cast("date").alias("date"),
+        "person_id", "place", F.col("s.url").alias("url"), F.col("s.kind").alias("kind"), F.col("s.status").alias("status"),
+        F.coalesce("s.source_type", F.lit("essay")).alias("source_type"), F.coalesce("s.tier", "t", F.lit(1)).alias("tier"),
+        F.coalesce("s.language", "l", F.lit("en")).alias("language"),
+        F.coalesce("s.authored_by_subject", "a", F.lit(True)).alias("authored_by_subject"), F.col("s.date").try_cast("date").alias("date"),
     )
     return own.where(~F.col("status").eqNullSafe("dead"))
 
 
 _LINK = T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in ("_VALUE", "_href", "_rel")]))
 _ENCLOSURE = T.ArrayType(T.StructType([T.StructField("_url", T.StringType())]))
-FEED_ITEM = T.StructType([T.StructField(n, T.StringType()) for n in ("title", "pubDate", "published", "updated")]).add("link", _LINK).add("enclosure", _ENCLOSURE)
+FEED_ITEM = T.StructType(
+    [T.StructField(n, T.StringType()) for n in ("title", "pubDate", "published", "updated")]
+).add("link", _LINK).add("enclosure", _ENCLOSURE)
 
 
 def feed_items(spark: SparkSession, path: str, row_tag: str = "item") -> DataFrame:
@@ -125,7 +135,10 @@ def replayed(log: DataFrame) -> DataFrame:
     return log.groupBy("canonical_url").agg(F.max_by(F.struct(*rest), "seq").alias("r")).select("canonical_url", "r.*")
 
 
-def fetch_log(spark: SparkSession, path: str, schema: str = "canonical_url string, ok boolean, status int, content_hash string, fetched_at timestamp, error string, seq bigint") -> DataFrame:
+def fetch_log(
+    spark: SparkSession, path: str,
+    schema: str = "canonical_url string, ok boolean, status int, content_hash string, fetched_at timestamp, error string, seq bigint"
+) -> DataFrame:
     return replayed(spark.read.schema(schema).json(path))
 
 
