@@ -18,9 +18,12 @@ def odd(spark):
     words = ["alpha", "beta", "gamma", "delta", "été", "日本", "naïve", "OMEGA", "x1", "don't", "end."]
     long = " ".join(rng.choice(words) for _ in range(9000))
     rows = [
-        row(1, None), row(2, ""), row(3, "  \n\t "), row(4, "alpha"), row(5, "alpha beta gamma delta été end."), row(5, "alpha beta gamma delta été end."), row(5, "another text under the same id"),
-        row(None, "no id here at all"), row(None, None, None, None), row(7, long), row(8, long + " more"), row(9, "!!! ??? 123"), row(10, "İstanbul ΣΑΣ ²³½ x\x1cy <|endoftext|> 日本語"), row(11, "alpha " * 300),
-        row(12, "line one is here today\nsecond line of twelve words is standing here for all to see", None), row(13, "second line of twelve words is standing here for all to see\nown line", "de"),
+        row(1, None), row(2, ""), row(3, "  \n\t "), row(4, "alpha"), row(5, "alpha beta gamma delta été end."),
+        row(5, "alpha beta gamma delta été end."), row(5, "another text under the same id"),
+        row(None, "no id here at all"), row(None, None, None, None), row(7, long), row(8, long + " more"), row(9, "!!! ??? 123"),
+        row(10, "İstanbul ΣΑΣ ²³½ x\x1cy <|endoftext|> 日本語"), row(11, "alpha " * 300),
+        row(12, "line one is here today\nsecond line of twelve words is standing here for all to see", None),
+        row(13, "second line of twelve words is standing here for all to see\nown line", "de"),
         row(-4, "paid invoice 17 on 2021-01-01 in full\ncafé"), row(14, "paid invoice 99 on 2022-02-02 in full\nunique rest of it"),
     ]
     return spark.createDataFrame(rows, SCHEMA)

@@ -55,14 +55,20 @@ def likeness(a, b):
 @pytest.mark.parametrize("ranges", [1, 7])
 def test_fingerprints(spark, odd, none, docs, ranges):
     for df in (odd, docs):
-        own = sorted(((r.doc_id if r.doc_id is not None else -(2**63), r.text or "", r.doc_id) for r in df.select("doc_id", "text").collect()), key=lambda x: (x[0], x[1].encode()))
+        own = sorted(
+            ((r.doc_id if r.doc_id is not None else -(2**63), r.text or "", r.doc_id) for r in df.select("doc_id", "text").collect()),
+            key=lambda x: (x[0], x[1].encode())
+        )
         want = Counter()
         for n, (_, text, doc) in enumerate(own):
             after = own[(n + 1) % len(own)][1]
             half = len(text) // 2
             edited = text[: len(text) - half] + after[:half]
             a, b, c = sketch(text), sketch(edited), sketch(after)
-            want[doc, len(text), hashlib.sha256(edited.encode()).hexdigest(), "-".join(f"{v:x}" for v in sorted(a)), "-".join(f"{v:x}" for v in sorted(b)), round(likeness(a, b), 9), round(likeness(a, c), 9)] += 1
+            want[
+                doc, len(text), hashlib.sha256(edited.encode()).hexdigest(), "-".join(f"{v:x}" for v in sorted(a)),
+                "-".join(f"{v:x}" for v in sorted(b)), round(likeness(a, b), 9), round(likeness(a, c), 9)
+            ] += 1
         got = fingerprints.digest(fingerprints.fingerprints(df, ranges=ranges)).collect()
         assert Counter((*r[:5], round(r[5], 9), round(r[6], 9)) for r in got) == want
     assert fingerprints.digest(fingerprints.fingerprints(none)).count() == 0
@@ -152,7 +158,9 @@ def test_near_dedup(spark, odd, none, docs):
             assert want == partition(got, got.values())
             assert all(min(k for k in got if got[k] == c) == c for c in set(got.values()))
     out = near_dedup.one_of_each(odd)
-    assert out.columns == odd.columns and out.where("doc_id = 5").count() == 2 and out.where("doc_id in (7, 8)").count() == 1 and out.where("doc_id in (1, 2, 3) or text is null").count() == 1
+    assert out.columns == odd.columns and out.where("doc_id = 5").count() == 2 and out.where("doc_id in (7, 8)").count() == 1 and out.where(
+        "doc_id in (1, 2, 3) or text is null"
+    ).count() == 1
     assert near_dedup.classes(odd).count() == odd.count() and near_dedup.classes(none).count() == 0
     named = odd.withColumn("doc_id", F.concat(F.lit("d"), "doc_id"))
     assert {r.class_id for r in near_dedup.classes(named).where("id in ('d7', 'd8')").collect()} == {"d7"}
@@ -261,7 +269,9 @@ def test_lm_scoring(spark, odd, none, docs, head):
 def test_every_round_sees_all_training_rows(spark, docs, monkeypatch):
     rng = np.random.default_rng(6)
     texts = [rng.integers(0, 12, rng.integers(3, 9)) + 12 * (k % 2) for k in range(1300)]
-    train = spark.createDataFrame([(k, bytearray(np.append(t, 24).astype("<u2").tobytes())) for k, t in enumerate(texts)], "doc_id long, symbols binary")
+    train = spark.createDataFrame(
+        [(k, bytearray(np.append(t, 24).astype("<u2").tobytes())) for k, t in enumerate(texts)], "doc_id long, symbols binary"
+    )
     unigram = np.full(25, 1 / 25)
     leans = {r.doc_id: r.lean for r in train.select("doc_id", F.expr("pmod(xxhash64(symbols, doc_id), 3)").alias("lean")).collect()}
     emit = np.zeros((3, 25))
@@ -274,7 +284,9 @@ def test_every_round_sees_all_training_rows(spark, docs, monkeypatch):
         lm_scoring.expected(model, whole, start, step, emit)
         model = lm_scoring.Hmm.from_counts(start, step, emit.T, unigram)
     got = lm_scoring.fitted(train, unigram, 3, 3, 0.0)
-    assert np.allclose(got.start, model.start, atol=1e-3) and np.allclose(got.step, model.step, atol=1e-3) and np.allclose(got.emit, model.emit, atol=1e-3)
+    assert np.allclose(
+        got.start, model.start, atol=1e-3
+    ) and np.allclose(got.step, model.step, atol=1e-3) and np.allclose(got.emit, model.emit, atol=1e-3)
     driver, real = os.getpid(), lm_scoring.expected
 
     def in_tasks(*own):
@@ -319,7 +331,9 @@ def test_quality_finds_planted_documents(spark, odd, none):
 
 def test_sparse_sites_shrink_to_their_host(spark):
     model = quality.Model({b"good": (3.0, 0.0), b"bad": (-3.0, 0.0)}, (0.0, 0.0))
-    rows = [(k, "good" if k % 10 else "bad", "a", "a/1") for k in range(200)] + [(k, "bad" if k % 10 else "good", "b", "b/1") for k in range(200, 400)] + [(900, "neutral", "a", "a/9"), (901, "neutral", "b", "b/9")]
+    rows = [(k, "good" if k % 10 else "bad", "a", "a/1") for k in range(200)] + [
+        (k, "bad" if k % 10 else "good", "b", "b/1") for k in range(200, 400)
+    ] + [(900, "neutral", "a", "a/9"), (901, "neutral", "b", "b/9")]
     got = {r.doc_id: r for r in quality.judged(spark.createDataFrame(rows, "doc_id long, text string, host string, path string"), model).collect()}
     assert got[900].p_quality == got[901].p_quality == 0.5 and got[900].quality > 0.5 > got[901].quality
 
@@ -331,7 +345,9 @@ def test_posteriors_against_brute_force(spark):
     rows = []
     for k in range(300):
         host = rng.choice(["a", "b", "c"], p=[0.6, 0.3, 0.1])
-        rows.append((k, " ".join(rng.choice(["good", "bad", "ugly", "x"], 3, p=[0.5, 0.2, 0.1, 0.2])), None if k % 29 == 0 else str(host), f"{host}/{k % 4}"))
+        rows.append(
+            (k, " ".join(rng.choice(["good", "bad", "ugly", "x"], 3, p=[0.5, 0.2, 0.1, 0.2])), None if k % 29 == 0 else str(host), f"{host}/{k % 4}")
+        )
     got = {r.doc_id: r for r in quality.judged(spark.createDataFrame(rows, "doc_id long, text string, host string, path string"), model).collect()}
     sigmoid = lambda x: 1 / (1 + math.exp(-x))
     for t, name in enumerate(quality.TARGETS):

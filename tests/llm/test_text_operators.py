@@ -113,7 +113,9 @@ def test_ids_are_the_tokenizers(tokenizer):
         tokens = packing.Tokens(path)
         assert tokens.by_word == (path == WORD)
         for _ in range(2):  # the second time with what was remembered
-            assert [np.frombuffer(x, "<u4").tolist() for x in tokens.encode(pa.array(texts))] == [tokens.full.encode(t or "", add_special_tokens=False).ids for t in texts]
+            assert [
+                np.frombuffer(x, "<u4").tolist() for x in tokens.encode(pa.array(texts))
+            ] == [tokens.full.encode(t or "", add_special_tokens=False).ids for t in texts]
 
 
 def test_small_capacity_merges_up_the_tree(spark, tokenizer):
@@ -140,7 +142,9 @@ def words(text):
 @pytest.mark.parametrize("block", [2_000_000, 30_000])
 def test_decontamination(spark, odd, none, docs, block):
     bench = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
-    extra = spark.createDataFrame([(900, "alpha beta"), (901, None), (902, "?!"), (903, "Été"), (903, "Été"), (None, "gamma delta")], "item_id long, text string")
+    extra = spark.createDataFrame(
+        [(900, "alpha beta"), (901, None), (902, "?!"), (903, "Été"), (903, "Été"), (None, "gamma delta")], "item_id long, text string"
+    )
     items = bench.unionByName(extra)
     windows = defaultdict(set)
     for r in items.collect():
@@ -208,12 +212,16 @@ def test_line_dedup(spark, odd, none, docs):
         got = line_dedup.deduplicated(df)
         assert Counter((r.doc_id, r.text) for r in got.collect()) == kept_lines(own)
     out = line_dedup.without_recurring(odd)
-    assert out.columns == odd.columns and "own line" in [r.text for r in out.where("doc_id = 13").collect()] and [r.text for r in out.where("doc_id = 14").collect()] == ["unique rest of it"]
+    assert out.columns == odd.columns and "own line" in [
+        r.text for r in out.where("doc_id = 13").collect()
+    ] and [r.text for r in out.where("doc_id = 14").collect()] == ["unique rest of it"]
     assert out.where("text is null").count() == 2 and line_dedup.without_recurring(none).count() == 0
     clash = odd.withColumns({"__lines": F.lit("mine"), "doc": F.lit(1), "row": F.lit(2)})
     assert line_dedup.without_recurring(clash).columns == clash.columns and line_dedup.deduplicated(clash).count() == odd.count()
     named = odd.withColumn("doc_id", F.concat(F.lit("d"), "doc_id"))
-    assert {r.text for r in line_dedup.deduplicated(named).where("doc_id = 'd5'").collect()} == {r.text for r in line_dedup.deduplicated(odd).where("doc_id = 5").collect()}
+    assert {
+        r.text for r in line_dedup.deduplicated(named).where("doc_id = 'd5'").collect()
+    } == {r.text for r in line_dedup.deduplicated(odd).where("doc_id = 5").collect()}
 
 
 def test_lines_with_variable_words(spark):
@@ -264,7 +272,10 @@ def test_languages_against_plain_compression(spark, odd, docs):
     content = language_id.dictionaries(docs.where(bucket_of(F.col("doc_id")) != 0))
     rank = {k: n for n, k in enumerate(content)}
     how = {"write_content_size": False, "write_checksum": False, "write_dict_id": False}
-    packers = {k: zstandard.ZstdCompressor(level=7, dict_data=zstandard.ZstdCompressionDict(v, dict_type=zstandard.DICT_TYPE_RAWCONTENT), **how) for k, v in content.items()}
+    packers = {
+        k: zstandard.ZstdCompressor(level=7, dict_data=zstandard.ZstdCompressionDict(v, dict_type=zstandard.DICT_TYPE_RAWCONTENT), **how) for k,
+        v in content.items()
+    }
     for df in (docs.limit(60), odd):
         for r in language_id.languages(df.select(F.col("text").alias("doc_id"), "text"), content).collect():
             if r.doc_id is None or not any(c.isalpha() for c in r.doc_id):
@@ -286,7 +297,15 @@ def test_sizes_are_those_of_plain_compression():
     text = "two three, four! FIVE"
     raw = b"two three four five"
     assert language_id.normal(text) == raw
-    sizes = {k: len(zstandard.ZstdCompressor(level=7, dict_data=zstandard.ZstdCompressionDict(v, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False).compress(raw)) for k, v in content.items()}
+    sizes = {
+        k: len(
+            zstandard.ZstdCompressor(
+                level=7, dict_data=zstandard.ZstdCompressionDict(v, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False,
+                write_checksum=False, write_dict_id=False
+            ).compress(raw)
+        ) for k,
+        v in content.items()
+    }
     assert encoders(text, 0.01)[0] == min(sizes, key=sizes.get) == "a"
 
 
@@ -299,10 +318,18 @@ PAGE = """<!DOCTYPE html><html><head><title>No</title><style>p{}</style><script>
 
 
 def test_html_text(spark, none):
-    pages = spark.createDataFrame([(k, "https://H.example:80/x", PAGE) for k in (1, 2)] + [(3, "https://h.example/y", "<html><body><div>only <i>this</i></div>"), (4, None, None), (5, "x", ""), (6, "https://g.example", "plain & text < 3")], "page_id long, url string, html string")
+    pages = spark.createDataFrame(
+        [(k, "https://H.example:80/x", PAGE) for k in (1, 2)] + [
+            (3, "https://h.example/y", "<html><body><div>only <i>this</i></div>"), (4, None, None), (5, "x", ""),
+            (6, "https://g.example", "plain & text < 3")
+        ],
+        "page_id long, url string, html string"
+    )
     got = {r.page_id: r for r in html_text.extracted(pages.withColumn("path", F.lit("clash")).withColumn("host", F.lit(1))).collect()}
     assert got[1].text == got[2].text == "Title & more\n\nFirst paragraph of the text goes on.\n\nSecond é paragraph, which is longer than all of the menus together.\n\none\n\ntwo"
-    assert (got[3].text, got[4].text, got[5].text, got[6].text) == ("only this", "", "", "plain & text < 3") and got[1].path.endswith(">div>article.post-N")
+    assert (
+        got[3].text, got[4].text, got[5].text, got[6].text
+    ) == ("only this", "", "", "plain & text < 3") and got[1].path.endswith(">div>article.post-N")
     assert html_text.extracted(pages.limit(0)).count() == 0
 
 
@@ -312,7 +339,10 @@ def test_html_articles_in_parts(spark):
     parts = f"<h1>Title</h1><section class='intro'><p>{intro}</p></section><section class='body'><p>{body}</p></section><section class='outro'><p>{end}</p></section>"
     table = f"<h1>Title</h1><p>{intro}</p><table><tr><td>{body}</td><td><math><mi>x</mi><annotation>x</annotation></math></td></tr></table><p>{end}</p>"
     inner = f"<h1>Title</h1><div class='text'><p>{body}</p><p>{body}</p></div>"
-    pages = [f"<article>{parts}</article>", f"<div class='content'>{parts}</div>", f"<article>{table}</article>", f"<div class='content'>{table}</div>", f"<div class='content [&>p]:mt'>{inner}</div>", f"<article><div class='text'><h1>Title</h1><p>{intro}</p></div></article>"]
+    pages = [
+        f"<article>{parts}</article>", f"<div class='content'>{parts}</div>", f"<article>{table}</article>", f"<div class='content'>{table}</div>",
+        f"<div class='content [&>p]:mt'>{inner}</div>", f"<article><div class='text'><h1>Title</h1><p>{intro}</p></div></article>"
+    ]
     want = ["Title", intro, body, end]
     got = {r.page_id: r.text.split("\n\n") for r in html_text.extracted(spark.createDataFrame([(k, f"https://h{k}.example", page.format(p)) for k, p in enumerate(pages)], "page_id long, url string, html string")).collect()}
     assert got[0] == got[1] == want
@@ -357,7 +387,9 @@ def test_html_votes_decide(spark):
     def page(text, extra):
         return f"<html><body><div class='top'>site</div><div class='box-{len(text)}'><p>{text}</p></div><div class='about'><p>{extra}</p></div></body></html>"
 
-    made = [(k, "https://a.example/x", page("word " * (140 + k), "about " * 2)) for k in range(8)] + [(8, "https://a.example/y", page("word " * 30, "about " * 20)), (9, "https://b.example/y", page("word " * 30, "about " * 20))]
+    made = [(k, "https://a.example/x", page("word " * (140 + k), "about " * 2)) for k in range(8)] + [
+        (8, "https://a.example/y", page("word " * 30, "about " * 20)), (9, "https://b.example/y", page("word " * 30, "about " * 20))
+    ]
     pages = spark.createDataFrame(made, "page_id long, url string, html string")
     votes = {}
     for _, url, html in made:

@@ -100,7 +100,10 @@ def _scan(patterns: Broadcast, first: bool):
                 hits.append(sorted(hit))
                 found.append(sorted(items))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("text"), pa.array(n_words, pa.int64()), pa.array(hits, pa.list_(pa.int32())), pa.array(found, pa.list_(pa.string()))],
+                [
+                    batch.column("doc_id"), batch.column("text"), pa.array(n_words, pa.int64()), pa.array(hits, pa.list_(pa.int32())),
+                    pa.array(found, pa.list_(pa.string()))
+                ],
                 ["doc_id", "text", "n_words", "hits", "items"],
             )
 
@@ -150,7 +153,9 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = WINDOW, block_
     windows in it, sorted as strings) and spans (places of the hit words in the text, in code points)."""
     own = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     span = T.StructType().add("start", "integer").add("end", "integer")
-    found = T.StructType([own.schema["doc_id"]]).add("n_words", "long").add("n_hit", "long").add("items", T.ArrayType(T.StringType())).add("spans", T.ArrayType(span))
+    found = T.StructType([own.schema["doc_id"]]).add("n_words", "long").add("n_hit", "long").add(
+        "items", T.ArrayType(T.StringType())
+    ).add("spans", T.ArrayType(span))
     return _scanned(own, items, width, block_chars).mapInArrow(_placed, found)
 
 

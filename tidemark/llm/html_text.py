@@ -69,7 +69,9 @@ LEFT = 0.25
 #: Elements within elements; what opens beyond counts as text of the deepest one, as in browsers.
 DEPTH = 512
 #: Opening one of these ends an open one of the same family.
-CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+CLOSES = {
+    "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}
+}
 
 
 @dataclass(slots=True)
@@ -301,7 +303,10 @@ def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 worth[host, path] += score
         keys = list(votes)
         yield pa.RecordBatch.from_arrays(
-            [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([votes[k] for k in keys], pa.int64()), pa.array([worth[k] for k in keys], pa.float64())],
+            [
+                pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()),
+                pa.array([votes[k] for k in keys], pa.int64()), pa.array([worth[k] for k in keys], pa.float64())
+            ],
             ["host", "path", "votes", "score"],
         )
 
@@ -309,7 +314,9 @@ def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = [text_of(page or "", path) for page, path in zip(batch.column("html").to_pylist(), batch.column("path").to_pylist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), batch.column("path"), pa.array(texts, pa.string())], ["page_id", "url", "path", "text"])
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("page_id"), batch.column("url"), batch.column("path"), pa.array(texts, pa.string())], ["page_id", "url", "path", "text"]
+        )
 
 
 def host_of(url):
@@ -319,14 +326,18 @@ def host_of(url):
 def host_paths(pages: DataFrame) -> DataFrame:
     """The winning path of each host: host, path, votes, score."""
     own = bounded_batches(pages).select(host_of(F.col("url")).alias("host"), F.col("html").cast("string").alias("html"))
-    votes = own.mapInArrow(freeing(_votes), "host string, path string, votes bigint, score double").groupBy("host", "path").agg(F.sum("votes").alias("votes"), F.sum("score").alias("score"))
+    votes = own.mapInArrow(
+        freeing(_votes), "host string, path string, votes bigint, score double"
+    ).groupBy("host", "path").agg(F.sum("votes").alias("votes"), F.sum("score").alias("score"))
     rank = F.struct("votes", F.round("score").alias("worth"), (-F.length("path")).alias("shorter"), "path")
     return votes.groupBy("host").agg(F.max(rank).alias("best")).select("host", "best.path", "best.votes")
 
 
 def extracted(pages: DataFrame) -> DataFrame:
     """For each row of ``pages`` (page_id, url, html): page_id, url, path (its host's winner), text."""
-    own = pages.select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), host_of(F.col("url")).alias("host"))
+    own = pages.select(
+        "page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), host_of(F.col("url")).alias("host")
+    )
     winners = stored(host_paths(pages).select("host", "path"))
     joined = own.join(small_side(winners), "host", "left").select("page_id", "url", "html", "path")
     return joined.mapInArrow(freeing(_extracted), f"page_id {joined.schema['page_id'].dataType.simpleString()}, url string, path string, text string")

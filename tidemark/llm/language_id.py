@@ -51,11 +51,15 @@ def dictionaries(labelled: DataFrame, per_language: int = 96, sample_chars: int
     if not sizes:
         return {}
     # twice the expected share and some more: the lowest hashes are among these
-    counts = labelled.sparkSession.createDataFrame([(r["lang"], min(1.0, (2.0 * per_language + 32) / r["count"])) for r in sizes], "lang string, share double")
+    counts = labelled.sparkSession.createDataFrame(
+        [(r["lang"], min(1.0, (2.0 * per_language + 32) / r["count"])) for r in sizes], "lang string, share double"
+    )
     near = rows.join(F.broadcast(counts), "lang").where((F.col("h") / F.lit(2.0**64) + 0.5) < F.col("share"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
     start = F.pmod(F.xxhash64("h"), F.greatest(F.length("text") - sample_chars, F.lit(0)) + 1).cast("int") + 1
-    best = near.withColumn("place", place).where(F.col("place") <= per_language).select("lang", "place", F.substr("text", start, F.lit(sample_chars)).alias("text")).collect()
+    best = near.withColumn("place", place).where(F.col("place") <= per_language).select(
+        "lang", "place", F.substr("text", start, F.lit(sample_chars)).alias("text")
+    ).collect()
     out: dict[str, list[str]] = {}
     for r in sorted(best, key=lambda r: -r["place"]):
         out.setdefault(r["lang"], []).append(r["text"])
@@ -68,7 +72,9 @@ class Encoders:
         for lang, raw in content.items():
             known = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             known.precompute_compress(level=level)
-            self.by[lang] = zstandard.ZstdCompressor(level=level, dict_data=known, write_content_size=False, write_checksum=False, write_dict_id=False)
+            self.by[lang] = zstandard.ZstdCompressor(
+                level=level, dict_data=known, write_content_size=False, write_checksum=False, write_dict_id=False
+            )
 
     def __call__(self, text: str | None, margin: float) -> tuple[str, float, bool]:
         if text is None or not self.by or not has_letter(text):
@@ -89,7 +95,9 @@ def _predict(content: Broadcast, level: int, block: int, margin: float):
         for batch in batches:
             said = [encoders(t.as_py(), margin) for t in batch.column("text")]
             new = [pa.array([s[k] for s in said], kind) for k, kind in enumerate((pa.string(), pa.float64(), pa.bool_()))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), *new], ["doc_id", "text", "lang_pred", "score", "rejected"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("text"), *new], ["doc_id", "text", "lang_pred", "score", "rejected"]
+            )
 
     return predict
 

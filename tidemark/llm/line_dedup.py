@@ -75,7 +75,10 @@ def _parsed(depth: int, short: int):
                     leaves.append(_signed(leaf))
                     lines.append(at)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(docs, batch.schema.field("doc").type), pa.array(nodes, pa.int64()), pa.array(leaves, pa.int64()), pa.array(sizes, pa.int32()), pa.array(lines, pa.list_(pa.int32())), pa.array(words, pa.binary())],
+                [
+                    pa.array(docs, batch.schema.field("doc").type), pa.array(nodes, pa.int64()), pa.array(leaves, pa.int64()),
+                    pa.array(sizes, pa.int32()), pa.array(lines, pa.list_(pa.int32())), pa.array(words, pa.binary())
+                ],
                 ["doc", "node", "leaf", "n", "lines", "words"],
             )
 
@@ -93,11 +96,18 @@ def _keyed(per_field: int):
     def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, data = [], []
-            for node, n, words in zip(batch.column("node").to_pylist(), batch.column("n").to_pylist(), batch.column("words").to_pylist(), strict=True):
+            for node, n, words in zip(
+                batch.column("node").to_pylist(), batch.column("n").to_pylist(), batch.column("words").to_pylist(), strict=True
+            ):
                 own = np.array([xxhash.xxh32_intdigest(w) for w in words.split()], "<u4")
                 data.append(np.append(n, own).astype("<u4").tobytes())
-                keys.append([_signed(xxhash.xxh3_64_intdigest(b"%d %d %s" % (node, k, p.tobytes()))) for k, p in enumerate(pieces(own, n, per_field))])
-            yield pa.RecordBatch.from_arrays([batch.column("tid"), batch.column("n"), pa.array(data, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["tid", "n", "data", "keys"])
+                keys.append(
+                    [_signed(xxhash.xxh3_64_intdigest(b"%d %d %s" % (node, k, p.tobytes()))) for k, p in enumerate(pieces(own, n, per_field))]
+                )
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("tid"), batch.column("n"), pa.array(data, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+                ["tid", "n", "data", "keys"]
+            )
 
     return key
 
@@ -147,13 +157,19 @@ def merged_leaves(parsed: DataFrame, short: int = SHORT, per_field: int = PER_FI
     leaves = said.groupBy("tid").agg(F.first("node").alias("node"), F.first("n").alias("n"), F.first("words").alias("words"))
     keyed = stored(leaves.mapInArrow(_keyed(per_field), "tid bigint, n int, data binary, keys array<bigint>"))
     members = shared_keys(keyed.select(F.explode("keys").alias("key"), "tid"))
-    starred = stored(members.join(members.groupBy("tid").agg(F.sum("size").alias("central")), "tid").join(keyed.select("tid", "n"), "tid").select("key", "tid", "n", "central"))
+    starred = stored(
+        members.join(
+            members.groupBy("tid").agg(F.sum("size").alias("central")), "tid"
+        ).join(keyed.select("tid", "n"), "tid").select("key", "tid", "n", "central")
+    )
     found = linked(starred, keyed.select("tid", "data"), F.col("n") == F.col("a_n"), _alike(per_field), by_group(_links(per_field)))
     discard(several, keyed, members, starred)
     return found
 
 
-def recurring(docs: DataFrame, min_docs: int = MIN_DOCS, short: int = SHORT, short_docs: int = SHORT_DOCS, depth: int = DEPTH, per_field: int = PER_FIELD) -> DataFrame:
+def recurring(
+    docs: DataFrame, min_docs: int = MIN_DOCS, short: int = SHORT, short_docs: int = SHORT_DOCS, depth: int = DEPTH, per_field: int = PER_FIELD
+) -> DataFrame:
     """The lines to drop: doc (id, or hash of the text) and the array ``drop`` of line numbers from 0. Stored."""
     parsed = parsed_lines(docs, depth, short)
     merged = merged_leaves(parsed, short, per_field)
@@ -162,7 +178,9 @@ def recurring(docs: DataFrame, min_docs: int = MIN_DOCS, short: int = SHORT, sho
 
     def seen(rows: DataFrame, least: int) -> DataFrame:
         if least <= 2:
-            return rows.groupBy("tid").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where(F.lit(least < 2) | (F.col("first") != F.col("last"))).select("tid", "first")
+            return rows.groupBy("tid").agg(
+                F.min("doc").alias("first"), F.max("doc").alias("last")
+            ).where(F.lit(least < 2) | (F.col("first") != F.col("last"))).select("tid", "first")
         once = rows.select("tid", "doc").distinct()
         return once.groupBy("tid").agg(F.min("doc").alias("first"), F.count("*").alias("docs")).where(F.col("docs") >= least).select("tid", "first")
 
@@ -206,6 +224,10 @@ def templates(docs: DataFrame, depth: int = DEPTH, short: int = SHORT, per_field
     merged = merged_leaves(parsed, short, per_field)
     own = parsed.where(F.col("words").isNotNull()).join(small_side(merged.select(F.col("node").alias("tid"), F.col("root"))), "tid")
     each = own.select("root", "tid", "n", F.posexplode(F.split(F.col("words").cast("string"), " ")).alias("at", "word"))
-    places = each.groupBy("root", "at").agg(F.min("word").alias("low"), F.max("word").alias("high"), F.max("n").alias("n"), F.count_distinct("tid").alias("leaves"))
+    places = each.groupBy("root", "at").agg(
+        F.min("word").alias("low"), F.max("word").alias("high"), F.max("n").alias("n"), F.count_distinct("tid").alias("leaves")
+    )
     word = F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(F.lit(FIELD))
-    return places.groupBy("root").agg(F.max("n").alias("n"), F.max("leaves").alias("leaves"), F.array_sort(F.collect_list(F.struct("at", word.alias("word")))).alias("w")).select(F.col("root").alias("tid"), "n", "leaves", F.col("w.word").alias("words"))
+    return places.groupBy("root").agg(
+        F.max("n").alias("n"), F.max("leaves").alias("leaves"), F.array_sort(F.collect_list(F.struct("at", word.alias("word")))).alias("w")
+    ).select(F.col("root").alias("tid"), "n", "leaves", F.col("w.word").alias("words"))

@@ -57,7 +57,10 @@ def _dealt(rooted: DataFrame, things: int, total: int) -> DataFrame:
     A bucket's largest component has its own blocks, which are compared with those of the others only.
     """
     by_root = rooted.groupBy("key", "root").agg(F.count("*").alias("size"), F.sum("n").alias("total"))
-    largest = by_root.groupBy("key").agg(F.max(F.struct("size", "total", "root")).alias("most"), F.sum("size").alias("size"), F.sum("total").alias("total"), F.count("*").alias("roots"))
+    largest = by_root.groupBy("key").agg(
+        F.max(F.struct("size", "total", "root")).alias("most"), F.sum("size").alias("size"), F.sum("total").alias("total"),
+        F.count("*").alias("roots")
+    )
 
     def blocks(count: Column, size: Column) -> Column:
         return F.greatest(F.ceil(count / things), F.ceil(size / total)).cast("int")
@@ -65,7 +68,9 @@ def _dealt(rooted: DataFrame, things: int, total: int) -> DataFrame:
     apart = F.col("most.size") * 4 >= F.col("size")  # else it is one of many, and not worth blocks of its own
     own = F.when(apart, blocks(F.col("most.size"), F.col("most.total"))).otherwise(0)
     rest = [F.col(c) - F.when(apart, F.col(f"most.{c}")).otherwise(0) for c in ("size", "total")]
-    open_ = largest.where("roots > 1 and size > 2").select("key", F.col("most.root").alias("largest"), own.alias("own"), blocks(*rest).alias("others"))
+    open_ = largest.where("roots > 1 and size > 2").select(
+        "key", F.col("most.root").alias("largest"), own.alias("own"), blocks(*rest).alias("others")
+    )
     inside = (F.col("root") == F.col("largest")) & (F.col("own") > 0)
     block = F.when(inside, F.expr("pmod(xxhash64(tid), greatest(own, 1))")).otherwise(F.col("own") + F.pmod(F.xxhash64("tid"), "others")).cast("int")
     to = F.sequence(F.when(inside, F.col("own")).otherwise(F.lit(0)), F.col("own") + F.col("others") - 1)

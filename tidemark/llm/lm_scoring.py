@@ -128,7 +128,10 @@ def _encoded(shared: Broadcast):
                         column.append(value)
                 kinds = (pa.int64(), pa.int64(), pa.float64(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(first, len(texts)), batch.column("held_out").slice(first, len(texts)), *(pa.array(r, k) for r, k in zip(rows, kinds, strict=True))],
+                    [
+                        batch.column("doc_id").slice(first, len(texts)), batch.column("held_out").slice(first, len(texts)),
+                        *(pa.array(r, k) for r, k in zip(rows, kinds, strict=True))
+                    ],
                     ["doc_id", "held_out", "n_tokens", "head_known", "head_log", "symbols", "rare_words", "rare_n"],
                 )
 
@@ -269,7 +272,9 @@ def _rows(start: np.ndarray, step: np.ndarray, emit: np.ndarray, log: float) ->
     last[:2] = log, emit.sum()
     rows = np.concatenate([emit.T[used], step, start[None], last[None]])
     numbers = np.concatenate([used, -1 - np.arange(n), [-1000, -1001]])
-    return pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), *(pa.array(rows[:, k].astype(np.float32)) for k in range(n))], ["symbol", *(f"e{k}" for k in range(n))])
+    return pa.RecordBatch.from_arrays(
+        [pa.array(numbers, pa.int32()), *(pa.array(rows[:, k].astype(np.float32)) for k in range(n))], ["symbol", *(f"e{k}" for k in range(n))]
+    )
 
 
 def _leaned(states: int, size: int):
@@ -391,16 +396,26 @@ def scored(
     top = _most_frequent(counts, head)
     vocabulary = Vocabulary({w: (k, c) for k, (w, c) in enumerate(top)}, rare, (sums["n"] or 0) + n_docs, sums["v"] + (n_docs > 0), n_docs)
     lowest = top[-1] if len(top) == head else None
-    beyond = counts.where((F.col("c") < lowest[1]) | (F.col("c") == lowest[1]) & (F.col("word") > F.lit(bytearray(lowest[0])))) if lowest else counts.where(F.lit(False))
+    beyond = counts.where(
+        (F.col("c") < lowest[1]) | (F.col("c") == lowest[1]) & (F.col("word") > F.lit(bytearray(lowest[0])))
+    ) if lowest else counts.where(F.lit(False))
     in_rare = beyond.groupBy(_symbol_of(F.col("word"), rare).alias("s")).agg(F.sum("c").alias("c"), F.count("*").alias("v")).collect()
 
     shared = spark.sparkContext.broadcast(vocabulary)
-    coded = own.mapInArrow(_encoded(shared), f"doc_id {kind}, held_out boolean, n_tokens bigint, head_known bigint, head_log double, symbols binary, rare_words array<binary>, rare_n array<int>")
+    coded = own.mapInArrow(
+        _encoded(shared),
+        f"doc_id {kind}, held_out boolean, n_tokens bigint, head_known bigint, head_log double, symbols binary, rare_words array<binary>, rare_n array<int>"
+    )
     coded = stored(coded.withColumn("rid", F.monotonically_increasing_id()))
 
-    pairs = coded.select("rid", F.explode(F.arrays_zip("rare_words", "rare_n")).alias("p")).select("rid", F.col("p.rare_words").alias("word"), F.col("p.rare_n").alias("n"))
+    pairs = coded.select("rid", F.explode(F.arrays_zip("rare_words", "rare_n")).alias("p")).select(
+        "rid", F.col("p.rare_words").alias("word"), F.col("p.rare_n").alias("n")
+    )
     met = pairs.join(beyond, "word", "left")
-    of_rare = met.groupBy("rid").agg(F.sum(F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("rare_log"), F.sum(F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("rare_known"), F.sum("n").alias("n_rare"))
+    of_rare = met.groupBy("rid").agg(
+        F.sum(F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("rare_log"),
+        F.sum(F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("rare_known"), F.sum("n").alias("n_rare")
+    )
 
     size = vocabulary.symbols
     unigram = np.full(size, 0.5)
@@ -419,11 +434,13 @@ def scored(
     model = fitted(train, unigram, states, start + rounds if n_docs else 0, gain)
 
     logs = coded.select("rid", "doc_id", "held_out", "n_tokens", "head_known", "head_log", "symbols").mapInArrow(
-        _scored(spark.sparkContext.broadcast(model), spark.sparkContext.broadcast(less)), f"rid bigint, doc_id {kind}, held_out boolean, n_tokens bigint, head_known bigint, head_log double, log double"
+        _scored(spark.sparkContext.broadcast(model), spark.sparkContext.broadcast(less)),
+        f"rid bigint, doc_id {kind}, held_out boolean, n_tokens bigint, head_known bigint, head_log double, log double"
     )
     rare_log = F.coalesce("rare_log", F.lit(0.0))
     return logs.join(of_rare, "rid", "left").select(
-        "doc_id", "held_out", "n_tokens", (F.col("head_known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"), F.lit(vocabulary.total).cast("long").alias("train_tokens"),
+        "doc_id", "held_out", "n_tokens", (F.col("head_known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
+        F.lit(vocabulary.total).cast("long").alias("train_tokens"),
         (F.col("head_log") + rare_log - F.col("n_tokens") * vocabulary.denominator).alias("base_score"), (F.col("log") + rare_log).alias("score"),
     )
 

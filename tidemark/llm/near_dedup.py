@@ -123,7 +123,10 @@ def _sketched(bands: int, rows: int):
                     keys.append(sketcher(h) if len(h) else np.zeros(0, np.int64))
                 own = [batch.column(c).slice(first, len(texts)) for c in ("id", "th")]
                 yield pa.RecordBatch.from_arrays(
-                    [*own, pa.array(np.array(tids, np.uint64).view(np.int64)), pa.array(n, pa.int32()), pa.array(words, pa.binary()), _lists(keys, np.int64)],
+                    [
+                        *own, pa.array(np.array(tids, np.uint64).view(np.int64)), pa.array(n, pa.int32()), pa.array(words, pa.binary()),
+                        _lists(keys, np.int64)
+                    ],
                     ["id", "th", "tid", "n", "words", "keys"],
                 )
 
@@ -198,14 +201,25 @@ def _rows(docs: DataFrame) -> DataFrame:
     return bounded_batches(docs).select(id_of(docs).alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
 
 
-def classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, block_texts: int = BLOCK_THINGS, block_items: int = BLOCK_SIZE) -> DataFrame:
+def classes(
+    docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, block_texts: int = BLOCK_THINGS,
+    block_items: int = BLOCK_SIZE
+) -> DataFrame:
     """For each row of ``docs`` (doc_id, text): id, th (hash of the text), tid (equal for equal words), class_id, and
     the row that stands for its class: rep_id, rep_th."""
-    sketched = stored(_rows(docs).mapInArrow(freeing(_sketched(bands, rows)), f"id {id_type(docs)}, th bigint, tid bigint, n int, words binary, keys array<bigint>"))
+    sketched = stored(
+        _rows(docs).mapInArrow(freeing(_sketched(bands, rows)), f"id {id_type(docs)}, th bigint, tid bigint, n int, words binary, keys array<bigint>")
+    )
     texts = stored(sketched.groupBy("tid").agg(F.min(F.struct("id", "th")).alias("rep")))
     members = shared_keys(sketched.select(F.explode("keys").alias("key"), "tid"))
-    central = stored(members.groupBy("tid").agg(F.sum("size").alias("central")).join(texts, "tid").select("tid", "central", F.col("rep.id").alias("id"), F.col("rep.th").alias("th")))
-    full = stored(sketched.join(small_side(central), ["tid", "id", "th"]).select("tid", "n", F.col("words").alias("data"), "central").dropDuplicates(["tid"]))
+    central = stored(
+        members.groupBy("tid").agg(F.sum("size").alias("central")).join(texts, "tid").select(
+            "tid", "central", F.col("rep.id").alias("id"), F.col("rep.th").alias("th")
+        )
+    )
+    full = stored(
+        sketched.join(small_side(central), ["tid", "id", "th"]).select("tid", "n", F.col("words").alias("data"), "central").dropDuplicates(["tid"])
+    )
     starred = stored(members.join(full.select("tid", "n", "central"), "tid").select("key", "tid", "n", "central"))
     discard(members, central)
 
@@ -213,7 +227,9 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS,
     found = linked(starred, full, near, _verified(similarity), by_group(partial(_joined, similarity=similarity)), block_texts, block_items)
     known = texts.join(found.select(F.col("node").alias("tid"), "root"), "tid", "left").withColumn("root", F.coalesce("root", "tid"))
     by_root = known.groupBy("root").agg(F.min("rep").alias("best"))
-    named = known.join(by_root, "root").select("tid", F.col("best.id").alias("class_id"), F.col("best.id").alias("rep_id"), F.col("best.th").alias("rep_th"))
+    named = known.join(by_root, "root").select(
+        "tid", F.col("best.id").alias("class_id"), F.col("best.id").alias("rep_id"), F.col("best.th").alias("rep_th")
+    )
     out = stored(sketched.select("id", "th", "tid").join(named, "tid").select("id", "th", "tid", "class_id", "rep_id", "rep_th"))
     discard(sketched, texts, full, starred, found)
     return out

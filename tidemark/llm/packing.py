@@ -154,7 +154,10 @@ def _pieces(path: str, capacity: int):
                         length.append(len(own) // 4)
                         crc.append(zlib.crc32(own))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").take(pa.array(took, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))],
+                    [
+                        batch.column("doc_id").take(pa.array(took, pa.int64())), pa.array(piece, pa.int32()),
+                        *(pa.array(x, pa.int64()) for x in (start, length, crc))
+                    ],
                     ["doc_id", "piece", "start", "length", "ids_crc32"],
                 )
 
@@ -236,7 +239,9 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, per_task: int = PIECES_PER_
     tasks = max(1, -(-short.count() // per_task))
     kinds = {f.name: f.dataType.simpleString() for f in parts.schema}
     fields = ", ".join(f"{k} {v}" for k, v in kinds.items())
-    leaves = short.repartition(tasks).mapInPandas(_leaf(capacity), f"{fields}, bin bigint, offset bigint").withColumn("node", F.spark_partition_id().cast("long"))
+    leaves = short.repartition(tasks).mapInPandas(
+        _leaf(capacity), f"{fields}, bin bigint, offset bigint"
+    ).withColumn("node", F.spark_partition_id().cast("long"))
     packed = stored(leaves.withColumn("bin", F.shiftleft("node", 32) + F.col("bin")))  # bins by number are stable from here on
 
     rank = Window.partitionBy("node").orderBy("fill", "bin")
@@ -254,10 +259,14 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, per_task: int = PIECES_PER_
             moves = gone
         else:  # what went earlier into a bin that goes now goes along
             now = gone.select(F.col("bin").alias("into"), F.col("into").alias("__to"), F.col("shift").alias("__shift"))
-            along = moves.join(now, "into", "left").select("bin", F.coalesce("__to", "into").alias("into"), (F.col("shift") + F.coalesce("__shift", F.lit(0))).alias("shift"))
+            along = moves.join(now, "into", "left").select(
+                "bin", F.coalesce("__to", "into").alias("into"), (F.col("shift") + F.coalesce("__shift", F.lit(0))).alias("shift")
+            )
             moves = stored(along.unionByName(gone))
     if moves is not None:
-        packed = packed.join(small_side(moves), "bin", "left").withColumn("offset", F.col("offset") + F.coalesce("shift", F.lit(0))).withColumn("bin", F.coalesce("into", "bin"))
+        packed = packed.join(small_side(moves), "bin", "left").withColumn(
+            "offset", F.col("offset") + F.coalesce("shift", F.lit(0))
+        ).withColumn("bin", F.coalesce("into", "bin"))
     whole = parts.where(F.col("length") == capacity)
     numbered = whole.withColumn("sequence_id", -1 - F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
     return packed.select(*kinds, F.col("bin").alias("sequence_id"), "offset").unionByName(numbered)

@@ -108,14 +108,18 @@ def logistic(rows: list[list[int]], y: np.ndarray, width: int, l2: float = 1.0,
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, features: int = 4096, least: int = 5) -> Model:
     """Fits on at most ``sample`` labelled rows of ``docs`` (doc_id, text), ``labels`` (doc_id, quality, toxic)."""
-    own = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic")).where("quality is not null and toxic is not null")
+    own = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(
+        F.min("quality").alias("quality"), F.max("toxic").alias("toxic")
+    ).where("quality is not null and toxic is not null")
     share = min(1.0, (1.2 * sample + 100) / max(1, own.count()))
     chosen = own.withColumn("h", F.xxhash64("doc_id")).where(F.col("h") / F.lit(2.0**64) + 0.5 < share).orderBy("h").limit(sample).drop("h")
     labelled = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(small_side(stored(chosen)), "doc_id")
     first = labelled.groupBy("doc_id").agg(F.min(F.struct("text", *[F.col(t).cast("int").alias(t) for t in TARGETS])).alias("r"))  # of repeated ids one text
     rows = stored(first.select(*[F.col(f"r.{t}").alias(t) for t in TARGETS], "r.text"))
     labels_schema = T.StructType([T.StructField(t, T.IntegerType()) for t in TARGETS])
-    one = rows.mapInArrow(_found(None), T.StructType([*labels_schema]).add("features", T.ArrayType(T.BinaryType()))).select(*TARGETS, F.explode("features").alias("f"))
+    one = rows.mapInArrow(
+        _found(None), T.StructType([*labels_schema]).add("features", T.ArrayType(T.BinaryType()))
+    ).select(*TARGETS, F.explode("features").alias("f"))
     counts = one.groupBy("f").agg(F.count("*").alias("n"), *[F.sum(t).alias(t) for t in TARGETS]).where(F.col("n") >= least)
     totals = rows.agg(F.count("*").alias("n"), *[F.sum(t).alias(t) for t in TARGETS]).first()
     known: dict[bytes, int] = {}
@@ -135,7 +139,10 @@ def _scored(model: Broadcast):
         own = model.value
         for batch in batches:
             logits = [own.logits(t) for t in batch.column("text").cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "host", "path")), *(pa.array([x[k] for x in logits], pa.float64()) for k in (0, 1))], ["doc_id", "host", "path", *(f"logit_{t}" for t in TARGETS)])
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in ("doc_id", "host", "path")), *(pa.array([x[k] for x in logits], pa.float64()) for k in (0, 1))],
+                ["doc_id", "host", "path", *(f"logit_{t}" for t in TARGETS)]
+            )
 
     return score
 
@@ -163,11 +170,17 @@ def _weight(means: DataFrame, t: str) -> float:
 
 def judged(docs: DataFrame, model: Model, keep_quality: float = 0.5, keep_toxic: float = 0.5) -> DataFrame:
     """For each row of ``docs`` (doc_id, text, host, path): p_quality and p_toxic of the text alone, the posteriors quality and toxic, keep."""
-    own = bounded_batches(docs.select("doc_id", F.col("text").cast("string").alias("text"), *[F.col(c).cast("string").alias(c) for c in ("host", "path")]))
+    own = bounded_batches(
+        docs.select("doc_id", F.col("text").cast("string").alias("text"), *[F.col(c).cast("string").alias(c) for c in ("host", "path")])
+    )
     schema = T.StructType([own.schema[c] for c in ("doc_id", "host", "path")])
     for t in TARGETS:
         schema = schema.add(f"logit_{t}", "double")
-    scored = stored(own.mapInArrow(_scored(docs.sparkSession.sparkContext.broadcast(model)), schema).withColumns({f"p_{t}": _p(F.col(f"logit_{t}")) for t in TARGETS}))
+    scored = stored(
+        own.mapInArrow(
+            _scored(docs.sparkSession.sparkContext.broadcast(model)), schema
+        ).withColumns({f"p_{t}": _p(F.col(f"logit_{t}")) for t in TARGETS})
+    )
     sums = [F.count("*").alias("n"), *[F.sum(f"p_{t}").alias(f"s_{t}") for t in TARGETS]]
     paths = stored(scored.groupBy("host", "path").agg(*sums))
     hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), *[F.sum(f"s_{t}").alias(f"s_{t}") for t in TARGETS])
@@ -178,13 +191,18 @@ def judged(docs: DataFrame, model: Model, keep_quality: float = 0.5, keep_toxic:
     host = hosts.select(F.col("host").alias("h_host"), F.col("n").alias("h_n"), *[F.col(f"s_{t}").alias(f"h_{t}") for t in TARGETS])
     sites = stored(paths.join(host, F.col("host").eqNullSafe(F.col("h_host"))).drop("h_host"))
     k_path = {t: _weight(sites.withColumn(f"prior_{t}", F.col(f"h_{t}") / F.col("h_n")), t) for t in TARGETS}
-    site = sites.select(F.col("host").alias("s_host"), F.col("path").alias("s_path"), F.col("n").alias("s_n"), "h_n", *[c for t in TARGETS for c in (f"s_{t}", f"h_{t}")])
+    site = sites.select(
+        F.col("host").alias("s_host"), F.col("path").alias("s_path"), F.col("n").alias("s_n"), "h_n",
+        *[c for t in TARGETS for c in (f"s_{t}", f"h_{t}")]
+    )
     joined = scored.join(small_side(site), F.col("host").eqNullSafe(F.col("s_host")) & F.col("path").eqNullSafe(F.col("s_path")))
     for t in TARGETS:
         p = F.col(f"p_{t}")
         of_host = (k_host[t] * base[t] + F.col(f"h_{t}") - p) / (k_host[t] + F.col("h_n") - 1)
         of_path = (k_path[t] * of_host + F.col(f"s_{t}") - p) / (k_path[t] + F.col("s_n") - 1)
         bounded = F.greatest(F.lit(1e-4), F.least(F.lit(1 - 1e-4), of_path))
-        joined = joined.withColumn(f"site_{t}", bounded).withColumn(t, _p(F.col(f"logit_{t}") + _logit(bounded) - float(np.log(base[t] / (1 - base[t])))))
+        joined = joined.withColumn(f"site_{t}", bounded).withColumn(
+            t, _p(F.col(f"logit_{t}") + _logit(bounded) - float(np.log(base[t] / (1 - base[t]))))
+        )
     keep = (F.col("quality") >= keep_quality) & (F.col("toxic") < keep_toxic)
     return joined.select("doc_id", "host", "path", "p_quality", "p_toxic", "site_quality", "site_toxic", "quality", "toxic", keep.alias("keep"))

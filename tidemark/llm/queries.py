@@ -68,6 +68,7 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op1_token_counts, op2_quality, op3_packing, op4_lm_scoring, op5_decontamination, op6_line_dedup, op7_language_id, op8_fingerprints, op9_html_text, op10_near_dedup,
+        op1_token_counts, op2_quality, op3_packing, op4_lm_scoring, op5_decontamination, op6_line_dedup, op7_language_id, op8_fingerprints,
+        op9_html_text, op10_near_dedup,
     )
 }

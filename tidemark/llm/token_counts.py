@@ -93,7 +93,8 @@ def _counted(scores: Broadcast, nodes: int):
                     sums = np.concatenate([[0], np.cumsum(each[codes], dtype=np.int64)]) if len(each) else np.zeros(1, np.int64)
                     out.append(np.diff(sums[ends]))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), *(pa.array(np.concatenate(x) if x else np.zeros(0, np.int64)) for x in (words, tokens))], ["doc_id", "n_pretokens", "n_tokens"]
+                [batch.column("doc_id"), *(pa.array(np.concatenate(x) if x else np.zeros(0, np.int64)) for x in (words, tokens))],
+                ["doc_id", "n_pretokens", "n_tokens"]
             )
 
     return count
