@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontamination, fingerprints, html_text, language_id, line_dedup, lm_scoring, near_dedup, packing, quality, token_counts
+from tidemark.llm import chat, decontamination, fingerprints, hard_negatives, html_text, language_id, line_dedup, lm_scoring, near_dedup, packing, quality, token_counts, vector_codes
 from tidemark.llm.common import bucket_of, table
 from tidemark.llm.oracles import ORACLE as ORACLE
 
@@ -65,10 +65,27 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "class_id")
 
 
+def op11_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    control = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-7, 0, "user", control), (-7, 1, "assistant", control)], "conv_id bigint, turn bigint, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return chat.digest(chat.of_turns(rows), chat.Template())
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mined(hard_negatives.usable(rows.withColumn("label", label)), F.col("id") % 100 == 0)
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compressed(table(spark, sf_dir, "embeddings")).select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_token_counts, op2_quality, op3_packing, op4_lm_scoring, op5_decontamination, op6_line_dedup, op7_language_id, op8_fingerprints,
-        op9_html_text, op10_near_dedup,
+        op9_html_text, op10_near_dedup, op11_chat, op12_hard_negatives, op13_vector_codes,
     )
 }
