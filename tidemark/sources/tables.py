@@ -24,10 +24,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """``df`` written once to the shared folder, and read back."""
+    """``df`` written once to the shared folder, and read back: cuts the lineage, and a lost executor costs no earlier stage. The files go by ``discard``, or when the session ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     _files(spark, path)[0].deleteOnExit(_files(spark, path)[1])
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
