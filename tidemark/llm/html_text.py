@@ -33,7 +33,8 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import bounded_batches, freeing, small_side, stored
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+)>", re.S)
+_OPENS = re.compile(r"<(?:(!--)|[!?]|(/?)([a-zA-Z][^\s/>]*))")
+_REST = re.compile(r"(?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+", re.S)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _SPACES = re.compile(r"\s+")
 _DIGITS = re.compile(r"\d+")
@@ -132,6 +133,39 @@ def _out(tag: str, own: dict[str, str], inside_article: bool) -> Out | None:
     return Out(False, not marks.isdisjoint(READERS)) if marks or tag == "form" else None
 
 
+class _Tags:
+    """Begin, end, slash, name and rest of the next tag from a place on; of comments and declarations the name is empty.
+
+    A tag ends at the first > outside of quoted values. Once quotes have hidden all that come, the page's later tags end at any >, and where none comes
+    there are no tags, so no part of a page is read more than a few times.
+    """
+    def __init__(self, page: str):
+        self.page, self.quotes = page, True
+
+    def after(self, at: int) -> tuple[int, int, str, str, str] | None:
+        page = self.page
+        m = _OPENS.search(page, at)
+        if m is None:
+            return None
+        if m[1]:
+            end = page.find("-->", m.end())
+            return m.start(), len(page) if end < 0 else end + 3, "", "", ""
+        close = _REST.match(page, m.end()).end() if self.quotes and m[3] else len(page)
+        if close == len(page):
+            self.quotes = self.quotes and not m[3]
+            close = page.find(">", m.end())
+            if close < 0:
+                return None
+        return m.start(), close + 1, m[2] or "", m[3] or "", page[m.end():close] if m[3] else ""
+
+
+def _raw_end(page: str, tag: str, at: int) -> int:
+    """Where the content of a raw element ends, its end tag included."""
+    end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(page, at)
+    close = page.find(">", end.end()) if end else -1
+    return len(page) if close < 0 else close + 1
+
+
 def parse(page: str) -> tuple[list[str], list[Block]]:
     """Paths of the page's containers, and its blocks of kept text in order."""
     paths: list[str] = [""]
@@ -150,20 +184,22 @@ def parse(page: str) -> tuple[list[str], list[Block]]:
             now.parts.append(text)
             now.linked += len(text) if top.linked else 0
 
-    while m := _TAG.search(page, at):
-        if m.start() > at:
-            add(page[at : m.start()])
-        at = m.end()
-        if not m[2]:
+    tags = _Tags(page)
+    while found := tags.after(at):
+        begin, end, slash, name, rest = found
+        if begin > at:
+            add(page[at:begin])
+        at = end
+        if not name:
             continue
-        tag = m[2].lower()
+        tag = name.lower()
         if tag == "br":
             if now is not None:
                 now.parts.append(" ")
             continue
         if tag in BLOCKS:
             now = None
-        if m[1]:
+        if slash:
             if tag == "p" and not any(e.tag == "p" for e in stack):
                 continue
             for k in range(len(stack) - 1, 0, -1):
@@ -178,9 +214,8 @@ def parse(page: str) -> tuple[list[str], list[Block]]:
         if tag in VOID:
             continue
         if tag in RAW:
-            if not m[3].rstrip().endswith("/"):  # all up to the end tag, whatever stands in it
-                end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, at)
-                at = end.end() if end else len(page)
+            if not rest.rstrip().endswith("/"):  # all up to the end tag, whatever stands in it
+                at = _raw_end(page, tag, at)
             continue
         if tag in BLOCKS:  # an open paragraph ends where a block begins, with what is open in it
             for k in range(len(stack) - 1, 0, -1):
@@ -199,7 +234,7 @@ def parse(page: str) -> tuple[list[str], list[Block]]:
         if len(stack) > DEPTH:
             continue
         top = stack[-1]
-        own = _attributes(m[3])
+        own = _attributes(rest)
         around = top.outs
         if out := _out(tag, own, any(e.tag in ("article", "main") for e in stack)):
             around = (*around, len(outs))
