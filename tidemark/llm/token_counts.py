@@ -8,7 +8,8 @@ number of tokens is read at the node where a pre-token ends. A text's count is t
 Scores follow from the vocabulary's order by Zipf's law: a piece of rank r has ln(1 / (r + 1)). A character that no piece
 covers costs ``UNKNOWN`` more than the rarest piece, and counts as its UTF-8 bytes. Equal scores go to fewer tokens.
 
-Each task keeps a trie of at most ``nodes`` nodes and begins a new one beyond that, which changes no count. Nothing
+Each task keeps a trie of at most ``nodes`` nodes and begins a new one beyond that, which changes no count. A pre-token of more than ``LONG`` characters
+shares little, and is scored by itself, with the scores of its last characters only. Nothing
 is shuffled. Cases: null and blank texts have 0. Repeated rows count each for itself; extra columns are ignored.
 """
 
@@ -30,6 +31,8 @@ from tidemark.llm.packing import slices
 
 MARK = "▁"
 UNKNOWN = 10.0
+#: Characters from which a pre-token goes into no trie.
+LONG = 1000
 
 
 def pieces_of(path: str) -> dict[str, float]:
@@ -55,7 +58,9 @@ class Trie:
 
     def tokens(self, word: str) -> int:
         """Tokens in ``word``; inserts what the trie lacks of it."""
-        if len(self.score) > self.most:
+        if len(word) > min(LONG, self.most // 2):
+            return self._alone(word)
+        if len(self.score) + len(word) > self.most:
             self.clear()
         after, score, count, scores, longest = self.next, self.score, self.count, self.scores, self.longest
         node, path = 0, [0]
@@ -77,6 +82,22 @@ class Trie:
         return count[node]
 
 
+    def _alone(self, word: str) -> int:
+        """As ``tokens``, with a ring of the last scores in place of the trie."""
+        ring = self.longest + 1
+        score, count, scores = [0.0] * ring, [0] * ring, self.scores
+        for k, c in enumerate(word, 1):
+            before = (k - 1) % ring
+            best, n = score[before] + self.unknown, count[before] + len(c.encode("utf-8", "replace"))
+            for j in range(max(0, k - self.longest), k):
+                if (s := scores.get(word[j:k])) is not None:
+                    s, m = s + score[j % ring], count[j % ring] + 1
+                    if s > best or s == best and m < n:
+                        best, n = s, m
+            score[k % ring], count[k % ring] = best, n
+        return count[len(word) % ring]
+
+
 def _counted(scores: Broadcast, nodes: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = Trie(scores.value, nodes)
