@@ -18,6 +18,7 @@ labelled rows and score 0. Rows without a language teach nothing. With nothing t
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -32,7 +33,9 @@ from tidemark.llm.common import apart, bounded_batches, freeing, together
 UND = "und"
 #: Python's letters here include numbers such as ½ and ①; isalpha holds for the categories L alone.
 _LETTER = re.compile(r"[^\W\d_]")
-_REST = re.compile(r"[\W\d_]+")
+#: Marks that belong to the letter before, such as the vowel signs of Devanagari and Thai.
+_MARKS = "".join(c for c in map(chr, range(0x300, 0x10000)) if unicodedata.category(c)[0] == "M")
+_REST = re.compile(rf"(?:[\d_]|[^\w{_MARKS}])+")
 
 
 def normal(text: str) -> bytes:
