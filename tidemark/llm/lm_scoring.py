@@ -385,6 +385,8 @@ def scored(
     docs: DataFrame, held_out: Column, head: int = HEAD, rare: int = RARE, states: int = STATES, start: int = 12, rounds: int = 2, gain: float = GAIN
 ) -> DataFrame:
     """For each row of ``docs`` (doc_id, text): held_out, n_tokens, n_known, train_tokens, base_score, score. Rows that are ``held_out`` don't train."""
+    if head + 1 + rare > 1 << 16:
+        raise ValueError(f"symbols are numbers of 16 bits: head and rare symbols, {head} and {rare}, may be {(1 << 16) - 1} together")
     spark = docs.sparkSession
     own = docs.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col("text").cast("string").alias("text"))
     own = bounded_batches(own)
