@@ -2,58 +2,26 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.sources.tables import discard as discard, shared_dir as shared_dir, stored as stored
+
 #: Rows of a side table up to which it is broadcast; beyond it the join is a shuffled one.
 BROADCAST_ROWS = 100_000
+#: Letters of scripts written without spaces (Thai, Lao, Tibetan; Burmese; Khmer; kana; Han), as ranges of code points. Where words are asked for, each is one.
+UNSPACED = (
+    (0x0E00, 0x0FFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF),
+    (0x20000, 0x323AF),
+)
+UNSPACED_REGEX = "[" + "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in UNSPACED) + "]"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``; a local one of our own only
-    where it is unset and Spark runs in one process, as in tests."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    own = "file://" + tempfile.mkdtemp(prefix="spark-")
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """Write ``df`` once into the shared folder and read it back: cuts the lineage, and a lost
-    executor costs no earlier stage. The files go by ``discard``, or when the session ends."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tidemark-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    _files(spark, path)[0].deleteOnExit(_files(spark, path)[1])
-    out = spark.read.schema(df.schema).parquet(path)
-    out.stored_at = path
-    return out
-
-
-def _files(spark: SparkSession, path: str):
-    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), there
-
-
-def discard(*tables: DataFrame) -> None:
-    """Delete tables that ``stored`` has written, once nothing reads them any more."""
-    for df in tables:
-        files, there = _files(df.sparkSession, df.stored_at)
-        files.delete(there, True)
-
-
 def bounded_batches(df: DataFrame, size: str = "8m") -> DataFrame:
     """``df`` itself; from now on Arrow batches of its session are cut at ``size`` bytes instead of Spark's 64 MB, so that texts
     of any length take bounded memory in a Python worker. A setting of the session's own stays."""
@@ -96,6 +64,19 @@ def freeing(task):
     return run
 
 
+def spaced(texts):
+    """An Arrow array of strings with spaces around the letters of ``UNSPACED``; itself if no byte of it can begin one."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    ends = np.frombuffer(texts.buffers()[1], np.int64 if pa.types.is_large_string(texts.type) else np.int32)[texts.offset:texts.offset + len(texts) + 1] if len(texts) else [0]
+    data = texts.buffers()[2]
+    if data is None or not (np.frombuffer(data, np.uint8)[ends[0]:ends[-1]] >= 0xE0).any():
+        return texts
+    return pc.replace_substring_regex(texts, pattern=f"({UNSPACED_REGEX})", replacement=r" \1 ")
+
+
 def id_of(docs: DataFrame) -> Column:
     """The row's ``doc_id``: a long if it is an integer of any width, else as text; a null id is replaced by a hash of the text."""
     own = F.xxhash64(F.col("text").cast("string"))

@@ -1,6 +1,6 @@
 """Order MinHash fingerprints, in DataFrame functions only.
 
-A text is its words (runs without white space). Each run of ``k`` words is a k-mer (at the end of the text, of fewer), hashed
+A text is its words (runs without white space; each letter of a script without spaces is a word). Each run of ``k`` words is a k-mer (at the end of the text, of fewer), hashed
 together with its occurrence number, so repeats are items of their own. The top bits of a hash deal the items into ``bins``;
 in each bin the ``2`` items of the lowest hash are selected, put in the order of the text, and hashed as a tuple. Two texts
 agree in a bin if the same items come in the same order there, so the likeness falls with edit distance and with moved passages alike.
@@ -8,10 +8,12 @@ agree in a bin if the same items come in the same order there, so the likeness f
 A fingerprint is the sorted array of bin << 32 | 32 bits of the tuple's hash, for bins that have items. The likeness is the share of
 equal bins among those that either text fills; 1 for two texts without words, 0 for one. Equal texts have equal fingerprints.
 
-The next document in ascending id comes from the same partition of id ranges; the rows that begin a range are sent to the
-range before as well, so no window sees all rows. The range bounds are quantiles of the ids: ranges are even however ids are spread.
+The next document in ascending id comes from the same range of ids; the rows that begin a range are sent to the range before as well, so no window sees
+all rows. The bounds are taken from a sample of ``PER_RANGE`` rows a range, by id and then hash of the text: ranges are even however ids are spread, and so
+are many rows without an id, or of one. Only rows equal in id and text stay together.
 
-Cases: null texts are empty. Null ids come first. Rows with equal ids are ordered by text. A single row follows itself.
+Cases: null texts are empty. Null ids come first; ids that are no integers are compared as text. Rows with equal ids are ordered by the hash of their
+text. A single row follows itself.
 Positions of words wrap after 2^24, which affects only the order within a tuple. An empty table gives no rows.
 """
 
@@ -22,6 +24,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import UNSPACED_REGEX, id_type
+
+#: Rows sampled for each range, from which its bounds are taken.
+PER_RANGE = 20
 BINS_LOG2 = 6
 PLACE_BITS = 24
 _SPACE = " \t\n\x0b\f\r"
@@ -45,7 +51,8 @@ def _item(h: Column, place: Column) -> Column:
 
 
 def words(text: Column) -> Column:
-    own = F.btrim(text, F.lit(_SPACE))
+    spaced = F.when(text.rlike(UNSPACED_REGEX), F.regexp_replace(text, f"({UNSPACED_REGEX})", " $1 ")).otherwise(text)
+    own = F.btrim(spaced, F.lit(_SPACE))
     return F.when(own == "", F.array().cast("array<string>")).otherwise(F.split(own, "[ \\t\\n\\x0B\\f\\r]+"))
 
 
@@ -113,18 +120,39 @@ def as_text(fp: Column) -> Column:
     return F.array_join(F.transform(fp, lambda v: F.lower(F.hex(v))), "-")
 
 
+def order_of(rows: DataFrame) -> Column:
+    """A text that sorts as (id, hash of the text) do, null ids first."""
+    ids = F.col("id")
+    if id_type(rows.select(ids.alias("doc_id"))) == "bigint":
+        ids = F.lpad(F.hex(ids.cast("long").bitwiseXOR(F.lit(-(2**63)))), 16, "0")
+    own = F.lpad(F.hex(F.xxhash64("text").bitwiseXOR(F.lit(-(2**63)))), 16, "0")
+    return F.concat(F.when(ids.isNull(), "0").otherwise(F.concat(F.lit("1"), ids, F.lit("\0"))), own)
+
+
+def _range_of(key: Column, starts: list[str]) -> Column:
+    """How many of the sorted ``starts`` are not above ``key``, less one; looked up in runs, so that many ranges take few comparisons a row."""
+    run = max(1, round(len(starts) ** 0.5))
+    runs = [starts[k:k + run] for k in range(0, len(starts), run)]
+
+    def below(of: Column) -> Column:
+        return F.size(F.filter(of, lambda s: s <= key)) - 1
+
+    return let(below(F.lit([r[0] for r in runs])), lambda at: at * run + below(F.get(F.array(*[F.lit(r) for r in runs]), at)))
+
+
 def with_next(rows: DataFrame, columns: list[str], ranges: int) -> DataFrame:
-    """``rows`` (id, text and more) with ``next_<c>`` of the row that follows by (id, text); after the last comes the first."""
-    key = F.coalesce(F.col("id"), F.lit(-(2**63)))
-    asked = [i / ranges for i in range(1, ranges)] or [0.5]
-    at = rows.select(F.min(key).alias("low"), F.percentile_approx(key, asked, 100 * ranges).alias("cuts")).first()
-    starts = sorted({at.low, *at.cuts}) if at.low is not None else [0]
-    own = F.size(F.filter(F.lit(starts), lambda s: s <= key)) - 1
-    before = F.when(F.get(F.lit(starts), F.col("range")) == key, F.pmod(F.col("range") - 1, F.lit(len(starts))))
-    placed = rows.withColumn("range", own).withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1))))
+    """``rows`` (id, text and more) with ``next_<c>`` of the row that follows by id and hash of the text; after the last comes the first."""
+    keyed = rows.withColumn("order", order_of(rows))
+    sample = [r.order for r in keyed.select("order").orderBy(F.rand(20_240_501)).limit(PER_RANGE * ranges).collect()]
+    low = keyed.agg(F.min("order")).first()[0]
+    inner = sorted(sample)[len(sample) // ranges or 1::max(1, len(sample) // ranges)]
+    starts = sorted({low, *inner}) if low is not None else [""]
+    # the least key of all is a range's begin, so a row that begins one is known by its key alone
+    placed = keyed.withColumn("range", _range_of(F.col("order"), starts)).withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1))))
+    before = F.when(F.get(F.lit(starts), F.col("range")) == F.col("order"), F.pmod(F.col("range") - 1, F.lit(len(starts))))
     placed = placed.withColumn("range", F.when(F.col("copy") == 0, F.col("range")).otherwise(before)).where(F.col("range").isNotNull())
-    order = Window.partitionBy("range").orderBy("copy", key, "text")
-    return placed.select("*", *[F.lead(c).over(order).alias(f"next_{c}") for c in columns]).where(F.col("copy") == 0).drop("copy", "range")
+    order = Window.partitionBy("range").orderBy("copy", "order")
+    return placed.select("*", *[F.lead(c).over(order).alias(f"next_{c}") for c in columns]).where(F.col("copy") == 0).drop("copy", "range", "order")
 
 
 def edited(text: Column, following: Column) -> Column:
@@ -136,7 +164,7 @@ def edited(text: Column, following: Column) -> Column:
 def fingerprints(docs: DataFrame, k: int = 3, ranges: int | None = None) -> DataFrame:
     """For each row of ``docs`` (doc_id, text): id, text, next_text, edited, fp, edited_fp, next_fp."""
     ranges = ranges or 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    own = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    own = docs.select(F.col("doc_id").cast(id_type(docs)).alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = with_next(own.withColumn("fp", fingerprint(F.col("text"), k)), ["text", "fp"], ranges)
     return rows.withColumn("edited", edited(F.col("text"), F.col("next_text"))).withColumn("edited_fp", fingerprint(F.col("edited"), k))
 
