@@ -1,6 +1,6 @@
 """MinHash near-dedup with Order MinHash sketches, verified by banded alignment.
 
-1. A text is its words (A-Z in lower case, cut at ASCII white space); texts of equal words are one text, however many
+1. A text is its words (A-Z in lower case, cut at ASCII white space; each letter of a script without spaces is a word); texts of equal words are one text, however many
    documents have it. Its items are the runs of five words, each with its occurrence number. For each of ``bands`` x ``rows``
    random orders the two lowest items are sampled and hashed in the order of the text; ``rows`` such sketches make the key of a band.
 2. Texts that share a key are a bucket; of buckets with the same texts one is enough. In each bucket the most central text,
@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bounded_batches, discard, freeing, id_of, id_type, small_side, stored
+from tidemark.llm.common import bounded_batches, discard, freeing, id_of, id_type, small_side, spaced, stored
 from tidemark.llm.links import BLOCK_SIZE, BLOCK_THINGS, by_group, joining, linked, shared_keys
 from tidemark.llm.packing import slices
 
@@ -105,7 +105,7 @@ def _sketched(bands: int, rows: int):
         sketcher = Sketcher(bands, rows)
         for batch in batches:
             for first, texts in slices(batch.column("text"), 4_000_000):
-                cut = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("")))
+                cut = pc.ascii_split_whitespace(spaced(pc.ascii_lower(texts.fill_null(""))))
                 coded = cut.values.dictionary_encode()
                 distinct = coded.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
                 hashes = np.fromiter((xxhash.xxh32_intdigest(w) for w in distinct), np.uint32, len(distinct))
