@@ -17,6 +17,12 @@ import corpus_pipeline
 from tidemark.llm import fingerprints, lm_scoring, near_dedup, quality
 
 SPACES = "[ \t\n\x0b\f\r]+"
+#: Kana and Han, Thai: what the fixtures have of scripts without spaces.
+UNSPACED = "[\u0e00-\u0eff\u3040-\u30ff\u3400-\u9fff]"
+
+
+def words_of(text):
+    return [w for w in re.split(SPACES, re.sub(f"({UNSPACED})", r" \1 ", text)) if w]
 
 # --- fingerprints -------------------------------------------------------------------------------------------------------------------
 
@@ -33,7 +39,7 @@ def chained(values, kind="<q"):
 
 
 def sketch(text, k=3, bins=6):
-    hashes = [signed(xxhash.xxh64_intdigest(w.encode(), 42)) for w in re.split(SPACES, text) if w]
+    hashes = [signed(xxhash.xxh64_intdigest(w.encode(), 42)) for w in words_of(text)]
     seen, by = Counter(), defaultdict(list)
     for i in range(len(hashes)):
         h = signed(chained(hashes[i : i + k])) >> 24
@@ -57,7 +63,7 @@ def test_fingerprints(spark, odd, none, docs, ranges):
     for df in (odd, docs):
         own = sorted(
             ((r.doc_id if r.doc_id is not None else -(2**63), r.text or "", r.doc_id) for r in df.select("doc_id", "text").collect()),
-            key=lambda x: (x[0], x[1].encode())
+            key=lambda x: (x[0], signed(xxhash.xxh64_intdigest(x[1].encode(), 42)))
         )
         want = Counter()
         for n, (_, text, doc) in enumerate(own):
@@ -74,6 +80,30 @@ def test_fingerprints(spark, odd, none, docs, ranges):
     assert fingerprints.digest(fingerprints.fingerprints(none)).count() == 0
 
 
+def test_fingerprints_of_text_ids_and_many_rows_without_one(spark):
+    rows = [(None, f"text number {k} without an id") for k in range(300)] + [("same", f"another {k}") for k in range(300)] + [("a", "x"), ("b", "日本語の文章です" * 9)]
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    own = sorted(rows, key=lambda x: (x[0] is not None, x[0] or "", signed(xxhash.xxh64_intdigest(x[1].encode(), 42))))
+    want = {t: own[(k + 1) % len(own)][1] for k, (_, t) in enumerate(own)}
+    for ranges in (1, 9, 400):
+        out = fingerprints.fingerprints(df, ranges=ranges)
+        assert {r.text: r.next_text for r in out.collect()} == want
+    sizes = fingerprints.with_next(df.withColumnRenamed("doc_id", "id"), ["text"], 12).select(F.spark_partition_id().alias("p")).groupBy("p").count()
+    assert fingerprints.digest(fingerprints.fingerprints(df)).count() == len(rows) and sizes.agg(F.sum("count")).first()[0] == len(rows)
+
+
+def test_near_copies_without_spaces(spark):
+    rng = np.random.default_rng(4)
+    text = "".join(chr(0x4E00 + k) for k in rng.integers(0, 3000, 520))
+    thai = "".join(chr(0x0E01 + k) for k in rng.integers(0, 46, 520))
+    other = "".join(chr(0x4E00 + k) for k in rng.integers(0, 3000, 520))
+    df = spark.createDataFrame([(0, text), (1, text[:-1] + "終"), (2, thai), (3, thai[:300] + "ก" + thai[300:]), (4, other)], "doc_id long, text string")
+    got = {r.id: r.class_id for r in near_dedup.classes(df).collect()}
+    assert got == {0: 0, 1: 0, 2: 2, 3: 2, 4: 4}
+    near = {r.doc_id: r.near_next for r in fingerprints.digest(fingerprints.fingerprints(df)).collect()}
+    assert near[0] > 0.9 and near[2] > 0.8 and near[1] == 0 and near[3] == 0
+
+
 def test_fingerprints_use_no_python(spark, docs):
     plan = fingerprints.digest(fingerprints.fingerprints(docs))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
@@ -83,7 +113,7 @@ def test_fingerprints_use_no_python(spark, docs):
 
 
 def labelled_shingles(text):
-    own = [w for w in re.split(SPACES, re.sub("[A-Z]", lambda m: m[0].lower(), text or "")) if w]
+    own = words_of(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     seen, out = Counter(), []
     for k in range(max(1, len(own) - 4) if own else 0):
         s = tuple(own[k : k + 5])

@@ -1,13 +1,14 @@
 """Line dedup: a log-template tree over all lines; templates that recur across documents are dropped.
 
-1. A line's tokens are its runs without white space. A token with a digit, or one with ``@`` or ``://``, is a variable field and
+1. A line's tokens are its runs without white space, and each letter of a script without spaces. A token with a digit, or one with ``@`` or ``://``, is a variable field and
    becomes ``<*>``. The tree has a fixed depth: a node is the number of tokens and the first ``depth`` of them, its leaves are the
    different rests of its lines.
 2. Leaves of one node are one template if they differ in at most one of ``per_field`` tokens (a fifth by default); so are leaves joined
    by a row of such pairs. The places in which the lines of a template differ are its variable fields, whatever words stand there.
    Leaves that differ in k places of k + 1 pieces have a piece in common: leaves that share a piece are a bucket, in which they are
    compared as in ``links``, stars first and then blocks, and the components are the templates. Only nodes of several leaves
-   take part.
+   take part. Where very many leaves share a piece and are not linked, of k + 2 pieces two are shared by such leaves: pairs of
+   pieces are their keys, so a piece that many lines have alike does not bring each to all.
 3. A template that at least ``min_docs`` documents have stays in the first of them by id, and is dropped from all others. A line of
    fewer than ``short`` tokens recurs by chance more easily: it has no variable words, and ``short_docs`` documents must have it.
 
@@ -30,17 +31,22 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bounded_batches, discard, freeing, id_of, id_type, small_side, stored
-from tidemark.llm.links import by_group, joining, linked, shared_keys
+from tidemark.llm.common import UNSPACED, bounded_batches, discard, freeing, id_of, id_type, small_side, stored
+from tidemark.llm.links import WIDE, by_group, joining, linked, shared_keys
 
 FIELD = "<*>"
 DEPTH, PER_FIELD = 3, 5
 MIN_DOCS, SHORT, SHORT_DOCS = 2, 5, 10
+#: Tokens of a line up to which pairs of pieces are keys (32 pieces: 496).
+PAIRED = 150
 _VARIABLE = re.compile(rb"[0-9@]|://")
+_UNSPACED = re.compile("([" + "".join(f"{chr(a)}-{chr(b)}" for a, b in UNSPACED) + "])")
 
 
 def template(line: bytes, depth: int = DEPTH) -> tuple[int, list[bytes], list[bytes]]:
     """Number of tokens, the leading ones and the leaf's, fields generalised."""
+    if not line.isascii():
+        line = _UNSPACED.sub(r" \1 ", line.decode()).encode()
     tokens = line.split()
     if _VARIABLE.search(line):
         tokens = [FIELD.encode() if _VARIABLE.search(t) else t for t in tokens]
@@ -90,6 +96,20 @@ def pieces(hashes: np.ndarray, n: int, per_field: int = PER_FIELD) -> list[np.nd
     return np.array_split(hashes, n // per_field + 1)
 
 
+def _paired(per_field: int):
+    """A key for each two of one piece more than ``pieces`` makes; of leaves of up to ``PAIRED`` tokens."""
+
+    def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = []
+            for n, data in zip(batch.column("n").to_pylist(), batch.column("data").to_pylist(), strict=True):
+                own = [b"%d %s" % (k, p.tobytes()) for k, p in enumerate(np.array_split(np.frombuffer(data, "<u4")[1:], n // per_field + 2))]
+                keys.append([_signed(xxhash.xxh3_64_intdigest(b"%d %s|%s" % (n, a, b))) for k, a in enumerate(own) for b in own[k + 1:]])
+            yield pa.RecordBatch.from_arrays([batch.column("tid"), pa.array(keys, pa.list_(pa.int64()))], ["tid", "keys"])
+
+    return key
+
+
 def _keyed(per_field: int):
     """tid, n, the leaf's data (n, then its words as hashes) and a key for each piece."""
 
@@ -149,7 +169,7 @@ def parsed_lines(docs: DataFrame, depth: int = DEPTH, short: int = SHORT) -> Dat
     return stored(rows.mapInArrow(freeing(_parsed(depth, short)), kind).withColumn("tid", F.xxhash64("node", "leaf")))
 
 
-def merged_leaves(parsed: DataFrame, short: int = SHORT, per_field: int = PER_FIELD) -> DataFrame:
+def merged_leaves(parsed: DataFrame, short: int = SHORT, per_field: int = PER_FIELD, wide: int = WIDE) -> DataFrame:
     """The leaves that are of a template with others: node (the leaf's tid), root (the template's). Stored."""
     long = parsed.where((F.col("n") >= short) & (F.col("n") >= per_field))
     several = stored(long.groupBy("node").agg(F.min("leaf").alias("low"), F.max("leaf").alias("high")).where("low <> high").select("node"))
@@ -162,7 +182,10 @@ def merged_leaves(parsed: DataFrame, short: int = SHORT, per_field: int = PER_FI
             members.groupBy("tid").agg(F.sum("size").alias("central")), "tid"
         ).join(keyed.select("tid", "n"), "tid").select("key", "tid", "n", "central")
     )
-    found = linked(starred, keyed.select("tid", "data"), F.col("n") == F.col("a_n"), _alike(per_field), by_group(_links(per_field)))
+    found = linked(
+        starred, keyed.select("tid", "data"), F.col("n") == F.col("a_n"), _alike(per_field), by_group(_links(per_field)), wide=wide,
+        finer=lambda rows: rows.mapInArrow(_paired(per_field), "tid bigint, keys array<bigint>"), may=F.col("n") <= PAIRED
+    )
     discard(several, keyed, members, starred)
     return found
 

@@ -17,6 +17,8 @@ from tidemark.llm.common import discard, small_side, stored
 #: Things of one block, and their size (items, tokens) together; a group of a task has two blocks.
 BLOCK_THINGS = 400
 BLOCK_SIZE = 500_000
+#: Unlinked things of a bucket from which finer keys are tried for it.
+WIDE = 1_000
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -52,14 +54,14 @@ def _stars(members: DataFrame) -> DataFrame:
 
 
 def _dealt(rooted: DataFrame, things: int, total: int) -> DataFrame:
-    """The rows of buckets of several components, once for each pair of blocks that they are in: key, tid, root, block, low, high.
+    """The rows of buckets of several components (of a fine key, whose things no star has compared, also of two), once for each pair of blocks that they are in: key, tid, root, block, low, high.
 
     A bucket's largest component has its own blocks, which are compared with those of the others only.
     """
-    by_root = rooted.groupBy("key", "root").agg(F.count("*").alias("size"), F.sum("n").alias("total"))
+    by_root = rooted.groupBy("key", "root").agg(F.count("*").alias("size"), F.sum("n").alias("total"), F.max("fine").alias("fine"))
     largest = by_root.groupBy("key").agg(
         F.max(F.struct("size", "total", "root")).alias("most"), F.sum("size").alias("size"), F.sum("total").alias("total"),
-        F.count("*").alias("roots")
+        F.count("*").alias("roots"), F.max("fine").alias("fine")
     )
 
     def blocks(count: Column, size: Column) -> Column:
@@ -68,13 +70,13 @@ def _dealt(rooted: DataFrame, things: int, total: int) -> DataFrame:
     apart = F.col("most.size") * 4 >= F.col("size")  # else it is one of many, and not worth blocks of its own
     own = F.when(apart, blocks(F.col("most.size"), F.col("most.total"))).otherwise(0)
     rest = [F.col(c) - F.when(apart, F.col(f"most.{c}")).otherwise(0) for c in ("size", "total")]
-    open_ = largest.where("roots > 1 and size > 2").select(
+    open_ = largest.where("roots > 1 and (size > 2 or fine)").select(
         "key", F.col("most.root").alias("largest"), own.alias("own"), blocks(*rest).alias("others")
     )
     inside = (F.col("root") == F.col("largest")) & (F.col("own") > 0)
     block = F.when(inside, F.expr("pmod(xxhash64(tid), greatest(own, 1))")).otherwise(F.col("own") + F.pmod(F.xxhash64("tid"), "others")).cast("int")
     to = F.sequence(F.when(inside, F.col("own")).otherwise(F.lit(0)), F.col("own") + F.col("others") - 1)
-    sent = rooted.join(open_, "key").withColumn("block", block).withColumn("to", F.explode(to))
+    sent = rooted.drop("fine").join(open_, "key").withColumn("block", block).withColumn("to", F.explode(to))
     return sent.select("key", "tid", "root", "block", F.least("block", "to").alias("low"), F.greatest("block", "to").alias("high"))
 
 
@@ -89,21 +91,38 @@ def shared_keys(each: DataFrame) -> DataFrame:
     return members
 
 
+def _finer(rooted: DataFrame, payload: DataFrame, finer: Callable, may: Column, wide: int) -> DataFrame:
+    """``rooted`` (key, tid, n, root), in which buckets with more than ``wide`` things outside of their largest component are dealt anew by finer keys. Stored."""
+    by_root = rooted.where(may).groupBy("key", "root").agg(F.count("*").alias("size"))
+    open_ = by_root.groupBy("key").agg(F.sum("size").alias("all"), F.max("size").alias("most")).where(F.col("all") - F.col("most") > wide)
+    keys = stored(open_.select("key"))
+    things = stored(rooted.join(small_side(keys), "key").select("tid", "n", "root").distinct())
+    fine = shared_keys(finer(things.select("tid", "n").join(payload, "tid")).select(F.explode("keys").alias("key"), "tid"))
+    rest = rooted.join(small_side(keys), "key", "left_anti").select("key", "tid", "n", "root", "fine")
+    out = stored(rest.unionByName(fine.join(things, "tid").select("key", "tid", "n", "root", F.lit(True).alias("fine"))))
+    discard(rooted, keys, things, fine)
+    return out
+
+
 def linked(
-    members: DataFrame, payload: DataFrame, near: Column, pairs: Callable, groups: Callable, things: int = BLOCK_THINGS, size: int = BLOCK_SIZE
+    members: DataFrame, payload: DataFrame, near: Column, pairs: Callable, groups: Callable, things: int = BLOCK_THINGS, size: int = BLOCK_SIZE,
+    finer: Callable | None = None, may: Column | None = None, wide: int = WIDE
 ) -> DataFrame:
     """The components of two and more things: node, root. Stored.
 
     ``members`` has key, tid, n (size of the thing) and central (the higher, the likelier a star's centre), ``payload`` tid and data. ``near`` says by n and
     a_n which pairs may be linked. ``pairs`` maps batches of a, b, a_data, b_data to the linked a, b; ``groups`` rows in order
-    of their group, with root, block and data, to links (of roots) between different components and, where there are two, blocks.
+    of their group, with root, block and data, to links (of roots) between different components and, where there are two, blocks. ``finer`` maps rows of
+    tid, n, data to tid and the array ``keys``, of which linked things share one as well, and ``may`` says by n where it is worth it.
     """
     candidates = stored(_stars(members).where(near).select("a", "b").distinct())
     right, left = (payload.select(F.col("tid").alias(c), F.col("data").alias(f"{c}_data")) for c in ("b", "a"))
     both = small_side(candidates).join(right, "b").join(left, "a").select("a", "b", "a_data", "b_data")
     edges = stored(both.mapInArrow(pairs, "a bigint, b bigint"))
     found = components(edges)
-    rooted = stored(members.join(found.select(F.col("node").alias("tid"), "root"), "tid", "left").withColumn("root", F.coalesce("root", "tid")))
+    rooted = stored(members.join(found.select(F.col("node").alias("tid"), "root"), "tid", "left").withColumn("root", F.coalesce("root", "tid")).withColumn("fine", F.lit(False)))
+    if finer is not None:
+        rooted = _finer(rooted, payload, finer, F.lit(True) if may is None else may, wide)
     dealt = stored(_dealt(rooted, things, size))
     sent = small_side(dealt).join(payload.select("tid", "data"), "tid").select(F.struct("key", "low", "high").alias("group"), "root", "block", "data")
     more = stored(sent.repartition("group").sortWithinPartitions("group").mapInArrow(groups, "a bigint, b bigint"))

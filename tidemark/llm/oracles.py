@@ -1,5 +1,7 @@
 """DuckDB SQL for the operators whose results SQL can express."""
 
+from tidemark.llm.common import UNSPACED_REGEX
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
@@ -17,7 +19,7 @@ from d left join hits using (rid) left join found using (rid)
 
 LINE_DEDUP = r"""
 with recursive ln as (select doc_id, unnest(string_split(text, chr(10))) line, generate_subscripts(string_split(text, chr(10)), 1) k from documents where text is not null),
-tk as (select doc_id, k, line, list_transform(list_filter(regexp_split_to_array(line, '[ \t\r\x0b\f]+'), lambda x: x <> ''), lambda x: case when regexp_matches(x, '[0-9@]|://') then '<*>' else x end) t from ln),
+tk as (select doc_id, k, line, list_transform(regexp_extract_all(line, '[UNSPACED]|[^ \t\r\x0b\fUNSPACED]+'), lambda x: case when regexp_matches(x, '[0-9@]|://') then '<*>' else x end) t from ln),
 leaf as (select t, len(t) n, t[1:3] head, row_number() over (order by t) id from (select distinct t from tk where len(t) > 0)),
 edge as (select a.id x, b.id y from leaf a join leaf b on a.n = b.n and a.head = b.head and a.id <> b.id where a.n >= 5 and 5 * len(list_filter(list_zip(a.t, b.t), lambda p: p[1] <> p[2])) <= a.n),
 reach as (select x, x y from edge union select r.x, e.y from reach r join edge e on e.x = r.y),
@@ -27,7 +29,7 @@ first_ as (select id, min(doc_id) f from own where id is not null group by 1 hav
 kept as (select own.*, f is null or f = doc_id keep from own left join first_ using (id))
 select doc_id, coalesce(string_agg(line, chr(10) order by k) filter (where keep), '') "text", count(*) n_lines, count(case when not keep then 1 end) n_dropped from kept group by 1
 union all select doc_id, null, null, 0 from documents where text is null
-"""
+""".replace("UNSPACED", UNSPACED_REGEX[1:-1])
 
 CHAT = r"""
 with m as (select conv_id, turn, coalesce(role, '') r, coalesce(text, '') t from conversations
