@@ -1,51 +1,62 @@
 """Claims into positions: one value by person, axis and month end, with its evidence.
 
 A claim row has person_id, axis, claim_id, doc_id, d, score, strength, confidence, tier. All operators are groupings
-on those keys; a claim visits the 37 month ends it can reach, no month scans all claims.
+on those keys; windows are differences of running sums by month, no month scans all claims.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from decimal import Decimal, localcontext
+from functools import lru_cache
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.dates import lookback, month_ends, months_between
-from tidemark.functions.scores import decay_rate, evidence_status, tier_weight
+from tidemark.functions.dates import MONTH_DAYS, lookback, month_ends, months_between
+from tidemark.functions.scores import DECAY, EARLY_UNTIL, decay_rate, evidence_status, tier_weight
 
 WINDOWS = (6, 12, 24, 36)
 REACH = WINDOWS[-1]
 #: A document weighs at most as much as so many of its claims.
 DOC_CAP = 3.0
 KEY = ["person_id", "axis"]
+#: Decay a month, from ``EARLY_UNTIL`` on and before.
+RATES = (DECAY, DECAY / 2)
+#: Sums of a month's documents, see ``_monthly``.
+SUMS = 8
+
+
+def _month(d: Column) -> Column:
+    return F.year(d) * 12 + F.month(d) - 1
 
 
-def _reach(rows: DataFrame, ends: tuple[str, str] | None = None, at: str | None = None) -> DataFrame:
-    """Each row at every month end at which it is 0 to 36 months old; only those from ``ends``' first month to its last, or just the day ``at``."""
+def _reach(rows: DataFrame, at: str | None = None) -> DataFrame:
+    """Each row at every month end at which it is 0 to 36 months old, or just the day ``at``."""
     if at:
         rows = rows.withColumn("month_end", F.lit(at).cast("date"))
     else:
-        first, last = F.col("d"), F.add_months("d", REACH)
-        if ends:  # rows that reach none of the months go before they are expanded
-            since, until = (F.lit(x).cast("date") for x in ends)
-            rows = rows.where(F.col("d").between(F.add_months(F.trunc(since, "MM"), -REACH - 1), F.last_day(until)))
-            first, last = F.greatest(first, since), F.least(last, until)
-        rows = rows.withColumn("month_end", F.explode(F.when(F.trunc(first, "MM") <= F.trunc(last, "MM"), month_ends(first, last))))
+        rows = rows.withColumn("month_end", F.explode(month_ends(F.col("d"), F.add_months("d", REACH))))
     return rows.withColumn("age", months_between(F.col("d"), F.col("month_end"))).where(F.col("age").between(0, REACH))
 
 
-def _chosen(docs_in: dict[int, Column], base: Column) -> Column:
-    """The first window from the base on that holds two documents, else the widest."""
+def _chosen(second: Column, base: Column) -> Column:
+    """The first window from the base on that holds two documents, of which the second last is ``second`` months old, else the widest."""
     out = F.lit(REACH)
     for w in reversed(WINDOWS[:-1]):
-        out = F.when((base <= w) & (docs_in[w] >= 2), F.lit(w)).otherwise(out)
+        out = F.when((base <= w) & (second <= w), F.lit(w)).otherwise(out)
     return out
 
 
+def _enough(docs_in: dict[int, Column]) -> Column:
+    """The narrowest window with two documents, null if none has."""
+    return F.coalesce(*[F.when(docs_in[w] >= 2, F.lit(w)) for w in WINDOWS])
+
+
 #: Decimals of value, mass, dispersion and age.
 DIGITS = (3, 4, 3, 1)
 
 
-def _result(sums: DataFrame, digits: tuple[int, int, int, int] = DIGITS) -> DataFrame:
+def _result(sums: DataFrame, digits: tuple[int, int, int, int] = DIGITS, *more: Column) -> DataFrame:
     """Position from sums over the chosen window: n, docs, m0, m1, m2 (weights, weighted scores and squares), newest, window."""
     mass, mean = F.col("m0"), F.try_divide("m1", "m0")
     spread = F.sqrt(F.greatest(F.lit(0.0), F.try_divide("m2", "m0") - mean * mean))
@@ -59,44 +70,167 @@ def _result(sums: DataFrame, digits: tuple[int, int, int, int] = DIGITS) -> Data
         F.when(some & (F.col("n") > 1), F.bround(spread, digits[2])).otherwise(0.0).alias("dispersion"),
         F.when(some, status).otherwise("insufficient").alias("status"),
         F.col("window").cast("int").alias("window_months"),
-        F.when(some, F.bround("newest", digits[3])).otherwise(0.0).alias("newest_age_months"),
+        F.when(some, F.bround("newest", digits[3])).otherwise(0.0).alias("newest_age_months"), *more,
     )
 
 
-def positions(claims: DataFrame, digits: tuple[int, int, int, int] = DIGITS, ends: tuple[str, str] | None = None, at: str | None = None) -> DataFrame:
-    """Positions at all month ends, or those from ``ends``' first to its last, or just on the day ``at``; where every document has one date and tier for each person and axis, as claims written from documents have.
-
-    Claims are collapsed to documents first, then documents are expanded to months, and one grouping adds up all four windows: age
-    decay relative to the newest claim is a common factor, so it is applied to the sums. Both groupings combine map-side, so
-    a key with many claims is no hot task.
-    """
+def _documents(claims: DataFrame) -> DataFrame:
+    """Claims collapsed to documents: n, w0, w1, w2 (weights, weighted scores and squares), capped."""
     w = F.col("strength") * F.col("confidence") * tier_weight(F.col("tier"))
     docs = claims.groupBy(*KEY, "doc_id", "d").agg(
         F.count("*").alias("n"), F.sum(w).alias("w0"), F.sum(F.col("score") * w).alias("w1"), F.sum(F.col("score") * F.col("score") * w).alias("w2")
     )
     # the cap is the same as at most three mean weights: 3 / n of the document's total
-    docs = docs.withColumn("cap", F.least(F.lit(1.0), DOC_CAP / F.col("n")))
-    rows = _reach(docs, ends, at).withColumn("rate", decay_rate(F.year("month_end"))).withColumn(
-        "f", F.exp(-F.col("rate") * F.col("age")) * F.col("cap")
+    return docs.withColumns({f"w{k}": F.col(f"w{k}") * F.least(F.lit(1.0), DOC_CAP / F.col("n")) for k in range(3)})
+
+
+@lru_cache
+def _falls(rate: float) -> list[float]:
+    """exp(-rate * k) for the months k that a window has, each to the last digit."""
+    with localcontext() as exact:
+        exact.prec = 40
+        return [float((-Decimal(repr(rate)) * k).exp()) for k in range(REACH + 1)]
+
+
+def _monthly(docs: DataFrame) -> DataFrame:
+    """One row a key and month m that has documents: ``total``, the sums of its documents, ``edges``, those from the 28th, 29th, 30th and 31st on (null if there
+    are none so late), the dates of the ``last`` and ``second`` last document until then, and ``so_far``, how many claims that weigh the key has until then.
+
+    The sums: documents and claims that weigh, then for either rate the three weights times the decay from the month's beginning.
+    """
+    day, weighs = F.dayofmonth("d"), F.col("w0") > 0
+    each = [F.when(weighs, 1.0).otherwise(0.0), F.when(weighs, F.col("n")).otherwise(0).cast("double")]
+    each += [F.when(weighs, F.col(f"w{k}") * F.exp(rate * day / F.lit(MONTH_DAYS))).otherwise(0.0) for rate in RATES for k in range(3)]
+    days = docs.where(F.col("d").isNotNull()).groupBy(*KEY, "d").agg(F.count("*").alias("docs"), *[F.sum(x).alias(f"x{i}") for i, x in enumerate(each)])
+    late = [F.sum(F.when(day >= e, F.col(f"x{i}")).otherwise(0.0)) for e in range(28, 32) for i in range(SUMS)]
+    twice = F.when(F.col("docs") > 1, F.array("d", "d")).otherwise(F.array("d"))
+    by = days.repartition(*KEY).groupBy(*KEY, _month(F.col("d")).alias("m")).agg(
+        F.sort_array(F.flatten(F.collect_list(twice)), False).alias("dates"), F.array(*[F.sum(f"x{i}") for i in range(SUMS)]).alias("total"),
+        F.when(F.max(day) >= 28, F.array(*late)).alias("edges"),
+    )
+    until = Window.partitionBy(*KEY).orderBy("m")
+    last, second = F.get("dates", 0), F.get("dates", 1)
+    return by.select(
+        *KEY, "m", "total", "edges", last.alias("last"), F.coalesce(second, F.lag(last).over(until)).alias("second"),
+        F.sum(F.col("total")[1]).over(until).cast("long").alias("so_far"),
+    )
+
+
+def _decayed(x: Column, months: Column) -> Column:
+    """Sums of a month, so many months before, by the decay until the newest document."""
+    rate = [F.get(F.lit(_falls(r)), months) * F.exp(-r * F.dayofmonth("last") / F.lit(MONTH_DAYS)) for r in RATES]
+    return F.transform(x, lambda v, i: v * F.when(i % SUMS < 2, 1.0).when(i % SUMS < 5, rate[0]).otherwise(rate[1]))
+
+
+def _windowed(by: DataFrame, ends: tuple[str, str] | None) -> DataFrame:
+    """The sums over its window for every month end from a month with documents to the ``REACH``-th after it.
+
+    A month carries those before it that its cells can reach, 36 at most, added up from each to the newest (``since``); a cell takes the sum from where its window begins.
+    """
+    order = Window.partitionBy(*KEY).orderBy("m")
+    rows = by.withColumn("e", F.collect_list(F.struct("m", "total", "edges")).over(order.rangeBetween(-REACH, 0))).withColumn("next", F.lead("m").over(order))
+    first, until = F.col("m"), F.least(F.col("m") + REACH, F.coalesce(F.col("next") - 1, F.col("m") + REACH))
+    if ends:
+        first, until = F.greatest(first, _month(F.lit(ends[0]).cast("date"))), F.least(until, _month(F.lit(ends[1]).cast("date")))
+    rows = rows.withColumn("first", first).withColumn("until", until).where(F.col("first") <= F.col("until"))
+    rows = rows.withColumn("own", F.transform("e", lambda e: _decayed(e["total"], F.col("m") - e["m"])))
+
+    def summed(i: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.lit(SUMS - 1)), lambda c: F.aggregate(F.slice("own", i + 1, F.size("own")), F.lit(0.0), lambda a, v: a + F.get(v, c)))
+
+    rows = rows.select(
+        *KEY, "m", "last", "second", "so_far", F.transform(F.sequence(F.lit(0), F.size("own")), summed).alias("since"), F.transform("e", lambda e: e["m"]).alias("months"),
+        F.transform("e", lambda e: _decayed(e["edges"], F.col("m") - e["m"])).alias("edges"),
+        F.transform(F.sequence(F.lit(0), F.lit(REACH)), lambda k: F.size(F.filter("e", lambda e: e["m"] <= F.col("m") - REACH + k))).alias("begins"),
+        "first", "until",
+    ).withColumn("at", F.explode(F.sequence("first", "until"))).drop("first", "until")
+    rows = rows.withColumn("month_end", F.last_day(F.make_date((F.col("at") / 12).cast("int"), F.col("at") % 12 + 1, F.lit(1))))
+    newest, enough = (months_between(F.col(c), F.col("month_end")) for c in ("last", "second"))
+    rows = rows.withColumn("newest", newest).where(F.col("newest") <= REACH).withColumn("window", _chosen(enough, lookback(F.col("month_end"))))
+    start = F.col("at") - F.col("window")
+    rows = rows.withColumn("i", F.get("begins", F.least(start, F.col("m")) - F.col("m") + REACH))  # how many of the months are before
+    rows = rows.withColumn("day", F.when(F.get("months", F.col("i") - 1) == start, (F.dayofmonth("month_end") - 28) * SUMS))
+
+    def inside(c: Column | int) -> Column:
+        return F.get(F.get("since", F.col("i")), c) + F.coalesce(F.get(F.get("edges", F.col("i") - 1), F.col("day") + c), F.lit(0.0))
+
+    of_rate = F.when(F.year("month_end") < EARLY_UNTIL, 5).otherwise(2)
+    return rows.select(
+        *KEY, "month_end", "window", "newest", "so_far", inside(F.lit(0)).alias("docs"), inside(F.lit(1)).alias("n"), *[inside(of_rate + k).alias(f"m{k}") for k in range(3)]
     )
-    weighs = F.col("w0") > 0
-    sums: list[Column] = [F.min("age").alias("newest"), F.min("rate").alias("rate")]
-    for win in WINDOWS:
-        inside = F.col("age") <= win
-        sums.append(F.count(F.when(inside, 1)).alias(f"all_{win}"))
-        sums.append(F.count(F.when(inside & weighs, 1)).alias(f"docs_{win}"))
-        sums.append(F.sum(F.when(inside & weighs, F.col("n")).otherwise(0)).alias(f"n_{win}"))
-        sums += [F.sum(F.when(inside & weighs, F.col(f"w{k}") * F.col("f")).otherwise(0.0)).alias(f"m{k}_{win}") for k in (0, 1, 2)]
-    by = rows.groupBy(*KEY, "month_end").agg(*sums)
-    by = by.withColumn("window", _chosen({w: F.col(f"all_{w}") for w in WINDOWS}, lookback(F.col("month_end"))))
-    rebase = F.exp(F.col("rate") * F.col("newest"))
-    picked = {}
-    for name in ("docs", "n", "m0", "m1", "m2"):
-        one = F.col(f"{name}_{REACH}")
-        for win in WINDOWS[:-1]:
-            one = F.when(F.col("window") == win, F.col(f"{name}_{win}")).otherwise(one)
-        picked[name] = one * rebase if name[0] == "m" else one
-    return _result(by.withColumns(picked), digits)
+
+
+def positions(
+    claims: DataFrame, digits: tuple[int, int, int, int] = DIGITS, ends: tuple[str, str] | None = None, at: str | None = None, evidence: bool = False
+) -> DataFrame:
+    """Positions at all month ends, or those from ``ends``' first to its last, or just on the day ``at``; where every document has one date and tier for each person and axis, as claims written from documents have.
+
+    Decay is a product, exp(-rate * age) = exp(-rate * month end) * exp(rate * date), so documents are added up by month first, whatever their number, and no document is
+    expanded to the months it reaches. What is shuffled is the documents, then their days, then at most a row a day. A window ends inside a
+    month, at the day that the month end has; the sums from the 28th, 29th, 30th and 31st on are kept for that. The two rates are kept apart. How far a window is widened
+    depends on the second last document alone.
+
+    ``evidence`` adds ``first_claim`` and ``last_claim``: the ordinals of the claims behind the cell among those of ``claims_in_order``.
+    """
+    docs = _documents(claims)
+    if at:
+        rows = _reach(docs, at).withColumn("f", F.exp(-decay_rate(F.year("month_end")) * F.col("age")))
+        weighs, sums = F.col("w0") > 0, [F.min("age").alias("newest")]
+        for win in WINDOWS:
+            inside = F.col("age") <= win
+            sums += [F.count(F.when(inside, 1)).alias(f"all_{win}"), F.count(F.when(inside & weighs, 1)).alias(f"docs_{win}"), F.sum(F.when(inside & weighs, F.col("n")).otherwise(0)).alias(f"n_{win}")]
+            sums += [F.sum(F.when(inside & weighs, F.col(f"w{k}") * F.col("f")).otherwise(0.0)).alias(f"m{k}_{win}") for k in range(3)]
+        by = rows.groupBy(*KEY, "month_end").agg(*sums)
+        by = by.withColumn("window", _chosen(_enough({w: F.col(f"all_{w}") for w in WINDOWS}), lookback(F.col("month_end"))))
+        rebase, picked = F.exp(decay_rate(F.year("month_end")) * F.col("newest")), {}
+        for name in ("docs", "n", "m0", "m1", "m2"):
+            one = F.col(f"{name}_{REACH}")
+            for win in WINDOWS[:-1]:
+                one = F.when(F.col("window") == win, F.col(f"{name}_{win}")).otherwise(one)
+            picked[name] = one * rebase if name[0] == "m" else one
+        return _result(by.withColumns(picked), digits)
+    if ends:  # documents that reach none of the months go at once
+        since, until = (F.lit(x).cast("date") for x in ends)
+        docs = docs.where(F.col("d").between(F.add_months(F.trunc(since, "MM"), -REACH), F.last_day(until)))
+    sums = _windowed(_monthly(docs), ends)
+    if not evidence:
+        return _result(sums, digits)
+    if ends:
+        raise ValueError("ordinals count all claims before, so evidence goes with all months")
+    some = F.col("m0") > 0
+    last, first = F.when(some, F.col("so_far")), F.when(some, F.col("so_far") - F.col("n").cast("long") + 1)
+    return _result(sums, digits, first.alias("first_claim"), last.alias("last_claim"))
+
+
+def claims_in_order(claims: DataFrame) -> DataFrame:
+    """The claims that weigh, numbered from 1 by date and then claim id for each person and axis: person_id, axis, ordinal, claim_id.
+
+    A number is how many claims the days before have, and the place in the day, so a key with many claims is split by days.
+    """
+    weighs = _documents(claims).where((F.col("w0") > 0) & F.col("d").isNotNull()).select(*KEY, "doc_id", "d", "n")
+    days = weighs.groupBy(*KEY, "d").agg(F.sum("n").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy(*KEY).orderBy("d").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    days = days.select(*[F.col(c).alias(f"of_{c}") for c in (*KEY, "d")], before.alias("before"))
+    own = claims.join(weighs.select(*[F.col(c).alias(f"of_{c}") for c in (*KEY, "doc_id", "d")]), _same(*KEY, "doc_id", "d"), "left_semi").select(*KEY, "d", "claim_id")
+    placed = own.withColumn("place", F.row_number().over(Window.partitionBy(*KEY, "d").orderBy("claim_id")))
+    return placed.join(days, _same(*KEY, "d")).select(*KEY, (F.col("before") + F.col("place")).alias("ordinal"), "claim_id")
+
+
+def _same(*columns: str) -> Column:
+    out = F.lit(True)
+    for c in columns:
+        out = out & F.col(c).eqNullSafe(F.col(f"of_{c}"))
+    return out
+
+
+def contributing(cells: DataFrame, claims: DataFrame) -> DataFrame:
+    """The claims behind each of the ``cells`` asked for (positions with evidence): their columns and ``claim_ids`` in order of date; empty without evidence."""
+    rest = [c for c in cells.columns if c not in ("first_claim", "last_claim")]
+    wanted = cells.select(F.struct(*rest).alias("cell"), *KEY, F.explode_outer(F.when(F.col("last_claim").isNotNull(), F.sequence("first_claim", "last_claim"))).alias("ordinal"))
+    order = claims_in_order(claims).select(*[F.col(c).alias(f"of_{c}") for c in (*KEY, "ordinal")], "claim_id")
+    met = wanted.join(order, _same(*KEY, "ordinal") & F.col("ordinal").isNotNull(), "left")
+    ids = F.transform(F.array_sort(F.collect_list(F.when(F.col("claim_id").isNotNull(), F.struct("ordinal", "claim_id")))), lambda x: x["claim_id"])
+    return met.groupBy("cell").agg(ids.alias("claim_ids")).select("cell.*", "claim_ids")
 
 
 def positions_of_claims(claims: DataFrame, digits: tuple[int, int, int, int] = DIGITS) -> DataFrame:
@@ -107,7 +241,7 @@ def positions_of_claims(claims: DataFrame, digits: tuple[int, int, int, int] = D
     win = doc.groupBy(*KEY, "month_end").agg(
         F.min("age").alias("newest"), *[F.count(F.when(F.col("age") <= x, 1)).alias(f"all_{x}") for x in WINDOWS]
     )
-    win = win.select(*KEY, "month_end", "newest", _chosen({x: F.col(f"all_{x}") for x in WINDOWS}, lookback(F.col("month_end"))).alias("window"))
+    win = win.select(*KEY, "month_end", "newest", _chosen(_enough({x: F.col(f"all_{x}") for x in WINDOWS}), lookback(F.col("month_end"))).alias("window"))
     inside = at.join(win, [*KEY, "month_end"]).where(F.col("age") <= F.col("window"))
     wt = F.col("w0") * F.exp(-decay_rate(F.year("month_end")) * (F.col("age") - F.col("newest")))
     by_doc = inside.withColumn("wt", wt).groupBy(*KEY, "month_end", "doc_id").agg(
@@ -161,12 +295,29 @@ def contradictions(claims: DataFrame, span_days: int = 90, min_gap: int = 3) ->
     )
 
 
-def contradiction_counts(pairs: DataFrame, people: DataFrame) -> DataFrame:
-    """How many contradictions each person has on the axes they may have; 0 where none."""
+def contradiction_numbers(claims: DataFrame, span_days: int = 90, min_gap: int = 3, scores: range = range(-3, 4)) -> DataFrame:
+    """How many pairs ``contradictions`` has by person and axis: person_id, axis, count; without making them.
+
+    Claims are counted by day and score. A claim disagrees with those of the ``span_days`` before whose score is far enough away, so a day's number is the
+    sum over scores of its count by the counts of a sliding histogram. A key has a row a day, however many claims it has. Scores are those of ``scores``.
+    """
+    if min_gap < 1:
+        raise ValueError("equal scores don't disagree")
+    days = claims.where(F.col("d").isNotNull()).groupBy(*KEY, F.datediff("d", F.lit("1970-01-01").cast("date")).alias("day")).agg(
+        *[F.count(F.when(F.col("score") == s, 1)).alias(f"s{k}") for k, s in enumerate(scores)]
+    )
+    before = Window.partitionBy(*KEY).orderBy("day").rangeBetween(-span_days, -1)
+    rows = days.withColumns({f"h{k}": F.coalesce(F.sum(f"s{k}").over(before), F.lit(0)) for k in range(len(scores))})
+    far = [(a, b) for a in range(len(scores)) for b in range(len(scores)) if abs(scores[a] - scores[b]) >= min_gap]
+    number = sum((F.col(f"s{a}") * F.col(f"h{b}") for a, b in far), F.lit(0)) + sum((F.col(f"s{a}") * F.col(f"s{b}") for a, b in far if a < b), F.lit(0))
+    return rows.groupBy(*KEY).agg(F.sum(number).alias("count"))
+
+
+def contradiction_counts(numbers: DataFrame, people: DataFrame) -> DataFrame:
+    """How many contradictions (``numbers`` by person and axis) each person has on the axes they may have; 0 where none."""
     axes = F.coalesce("axes_allowed", F.array(*[F.lit(a) for a in "XYZWS"]))
     allowed = people.select("person_id", F.explode(axes).alias("axis"))
-    n = pairs.groupBy(*KEY).count()
-    return allowed.join(n, KEY, "left").groupBy("person_id").agg(F.coalesce(F.sum("count"), F.lit(0)).alias("contradictions"))
+    return allowed.join(numbers, KEY, "left").groupBy("person_id").agg(F.coalesce(F.sum("count"), F.lit(0)).alias("contradictions"))
 
 
 def axis_variance(latest: DataFrame) -> DataFrame:
@@ -240,7 +391,7 @@ def people_export(people: DataFrame, claims: DataFrame, first: str, last: str, d
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("axis", F.transform("s", lambda x: x["cell"]))))).alias("axes"),
         F.min(F.get(F.filter("s", lambda x: x["cell"].isNotNull()), 0)["month_end"]).alias("entry")
     )
-    n = contradiction_counts(contradictions(claims), people)
+    n = contradiction_counts(contradiction_numbers(claims), people)
     who = people.select(
         F.col("person_id").alias("id"), F.col("display_name").alias("name"), F.coalesce("role", F.lit("")).alias("role"),
         F.coalesce("entity_kind", F.lit("person")).alias("kind"), F.coalesce("headline", F.lit(False)).alias("headline"),

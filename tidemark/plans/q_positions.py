@@ -36,6 +36,16 @@ def latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.dense(people(spark, sf_dir), P.positions(claims(spark, sf_dir), FINE, ends=(LAST, LAST)), LAST, LAST)
 
 
+def contributing_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every cell the interval of claims behind it: how many, the oldest and the newest."""
+    at = P.positions(claims(spark, sf_dir), FINE, evidence=True).select("person_id", "axis", "month_end", "n_claims", "first_claim", "last_claim")
+    order = P.claims_in_order(claims(spark, sf_dir))
+    for end in ("first", "last"):
+        own = order.select("person_id", "axis", F.col("ordinal").alias(f"{end}_claim"), F.col("claim_id").alias(end))
+        at = at.join(own, ["person_id", "axis", f"{end}_claim"], "left")
+    return at.select("person_id", "axis", "month_end", "n_claims", "first_claim", "last_claim", F.col("first").alias("oldest_claim"), F.col("last").alias("newest_claim"))
+
+
 NESTED = "map<string,array<struct<value:double,dispersion:double,n_claims:bigint,status:string,age:int>>>"
 
 
@@ -96,6 +106,12 @@ def _on_grid(body: str) -> str:
     return with_sql(body, "t_claims", "t_people", more=GRID)
 
 
+BEHIND = POSITIONS + """,
+own as (select i.person_id, i.axis, i.month_end, i.claim_id, i.d from i join dc using (person_id, axis, month_end, doc_id) where dc.t0 > 0),
+ranked as (select person_id, axis, claim_id, row_number() over (partition by person_id, axis order by d, claim_id) k from (select *, sum(w0) over (partition by person_id, axis, doc_id, d) dw from x) where dw > 0),
+behind as (select own.*, k from own join ranked using (person_id, axis, claim_id))
+"""
+
 PAIRS = """
 pairs as (select a.person_id, a.axis, a.claim_id first_claim, b.claim_id second_claim, a.d first_date, b.d second_date, abs(a.score - b.score) gap from t_claims a join t_claims b on a.person_id = b.person_id and a.axis = b.axis
  and date_diff('day', a.d, b.d) between 0 and 90 and (a.d < b.d or a.claim_id < b.claim_id) and abs(a.score - b.score) >= 3)
@@ -104,9 +120,13 @@ pairs as (select a.person_id, a.axis, a.claim_id first_claim, b.claim_id second_
 QUERIES = {
     "agg1_positions": lambda s, d: P.positions(claims(s, d), FINE),
     "agg1_positions_of_claims": lambda s, d: P.positions_of_claims(claims(s, d), FINE),
+    "agg1_contributing_ends": contributing_ends,
+    "agg1_contributing_claims": lambda s, d: P.contributing(
+        P.positions(claims(s, d), FINE, evidence=True).where(F.col("month_end") == F.lit(LAST).cast("date")), claims(s, d)
+    ).select("person_id", "axis", "status", F.array_join("claim_ids", ",").alias("claim_ids")),
     "j4_dense_grid": dense,
     "j6_contradictions": lambda s, d: P.contradictions(claims(s, d)),
-    "agg6_contradiction_counts": lambda s, d: P.contradiction_counts(P.contradictions(claims(s, d)), people(s, d)),
+    "agg6_contradiction_counts": lambda s, d: P.contradiction_counts(P.contradiction_numbers(claims(s, d)), people(s, d)),
     "agg4_axis_variance": lambda s, d: P.axis_variance(latest(s, d)),
     "agg5_axis_correlation": lambda s, d: P.axis_correlation(latest(s, d)),
     "agg7_entry_months": lambda s, d: P.entry_months(dense(s, d)),
@@ -172,6 +192,10 @@ def _half(x: str) -> str:
 ORACLE = {
     "agg1_positions": with_sql("select * from pos", "t_claims", more=POSITIONS),
     "agg1_positions_of_claims": with_sql("select * from pos", "t_claims", more=POSITIONS),
+    "agg1_contributing_ends": with_sql("""select person_id, axis, month_end, n_claims, min(k) first_claim, max(k) last_claim, arg_min(claim_id, k) oldest_claim, arg_max(claim_id, k) newest_claim
+        from pos left join behind using (person_id, axis, month_end) group by all""", "t_claims", more=BEHIND),
+    "agg1_contributing_claims": with_sql("""select person_id, axis, status, coalesce(string_agg(claim_id, ',' order by k), '') claim_ids
+        from pos left join behind using (person_id, axis, month_end) where month_end = date '2024-08-31' group by all""", "t_claims", more=BEHIND),
     "j4_dense_grid": _on_grid("select * from full_"),
     "j6_contradictions": with_sql("select * from pairs", "t_claims", more=PAIRS),
     "agg6_contradiction_counts": with_sql(
