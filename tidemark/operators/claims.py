@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scores import clamp
@@ -15,25 +15,34 @@ ITEM = "supporting_text string, normalized_claim string, topics array<string>, a
 
 
 def claim_id(doc_id: Column, quote: Column) -> Column:
-    return F.substring(F.sha1(F.concat_ws("|", doc_id.cast("string"), normalized(quote))), 1, 24)
+    return _id(doc_id, normalized(quote))
 
 
-def checked(rows: DataFrame, norm: str | None = None) -> DataFrame:
-    """``rows`` (quote, document_text) with reject_reason: unverbatim before shape, null if neither.
+def _id(doc_id: Column, norm: Column) -> Column:
+    """The id by a quote that is normalized already."""
+    return F.substring(F.sha1(F.concat_ws("|", doc_id.cast("string"), norm)), 1, 24)
+
+
+def _reason(verbatim: Column) -> Column:
+    return F.when(~F.coalesce((F.col("quote") != "") & verbatim, F.lit(False)), "unverbatim").when(quote_too_long(F.col("quote")), "shape")
 
-    ``norm`` names a column that has the document's text normalized already.
-    """
-    quote = squeezed_ends(F.col("quote"))
-    text = F.col(norm) if norm else normalized(F.col("document_text"))
-    verbatim = (quote != "") & F.contains(text, normalized(quote))
-    reason = F.when(~F.coalesce(verbatim, F.lit(False)), "unverbatim").when(quote_too_long(quote), "shape")
-    return rows.withColumn("quote", quote).withColumn("reject_reason", reason)
+
+def checked(rows: DataFrame) -> DataFrame:
+    """``rows`` (quote, document_text) with reject_reason: unverbatim before shape, null if neither."""
+    verbatim = F.contains(normalized(F.col("document_text")), normalized(F.col("quote")))
+    return rows.withColumn("quote", squeezed_ends(F.col("quote"))).withColumn("reject_reason", _reason(verbatim))
 
 
 def with_documents(rows: DataFrame, docs: DataFrame, how: str = "inner") -> DataFrame:
-    """``rows`` joined with ``docs`` (doc_id, document_text, source_tier), whose text is normalized once for each document, before the join, as __norm."""
+    """``rows`` (doc_id, quote) checked against ``docs`` (doc_id, document_text, source_tier): with __quote, the quote normalized, known, whether the document
+    is there, and reject_reason.
+
+    Texts and quotes are normalized once each, before they meet, so the exchange has one row a text and what comes out of the join holds no text.
+    """
+    own = rows.withColumn("quote", squeezed_ends(F.col("quote"))).withColumn("__quote", normalized(F.col("quote")))
     once = docs.withColumn("__norm", normalized(F.col("document_text"))).drop("document_text")
-    return rows.join(once, "doc_id", how)
+    both = own.join(once, "doc_id", how).withColumn("reject_reason", _reason(F.contains("__norm", F.col("__quote"))))
+    return both.withColumn("known", F.col("__norm").isNotNull()).drop("__norm")
 
 
 def _scores(rounded: bool, default: float, zero_too: bool):
@@ -69,14 +78,14 @@ def responses(answers: DataFrame) -> DataFrame:
 
 def validated(answers: DataFrame, docs: DataFrame) -> DataFrame:
     """Claims of model answers (doc_id, response) over ``docs`` (doc_id, document_text, source_tier): every item with its reject_reason, null if kept."""
-    rows = with_documents(responses(answers), docs).withColumn("quote", F.coalesce("item.supporting_text", F.lit("")))
+    rows = with_documents(responses(answers).withColumn("quote", F.coalesce("item.supporting_text", F.lit(""))), docs)
     hedged = F.coalesce("item.hedged", F.lit(False))
-    rows = checked(rows, "__norm").withColumn("hedged", hedged).withColumn(
+    rows = rows.withColumn("hedged", hedged).withColumn(
         "scores", _scores(True, 0.7, True)(F.col("item.axis_scores"), F.col("source_tier"), hedged)
     )
     reason = F.when(F.col("item").isNull(), "shape").otherwise(F.coalesce("reject_reason", F.when(F.size("scores") == 0, "shape")))
     return rows.select(
-        "doc_id", F.when(reason.isNull(), claim_id(F.col("doc_id"), F.col("quote"))).alias("claim_id"), "quote",
+        "doc_id", F.when(reason.isNull(), _id(F.col("doc_id"), F.col("__quote"))).alias("claim_id"), "quote",
         F.substring(F.coalesce("item.normalized_claim", F.lit("")), 1, CLAIM_CHARS).alias("normalized_claim"),
         F.coalesce("item.topics", F.array().cast("array<string>")).alias("topics"), "scores", "hedged",
         F.col("item.timeline_years").alias("timeline_years"), reason.alias("reject_reason"),
@@ -85,7 +94,7 @@ def validated(answers: DataFrame, docs: DataFrame) -> DataFrame:
 
 def ingested(records: DataFrame, docs: DataFrame) -> DataFrame:
     """Claims of hand-made records (doc_id, quote, axis_scores, hedged): unknown documents and bad axes are rejected with a reason, no score is no reason."""
-    rows = checked(with_documents(records, docs, "left").withColumn("known", F.col("__norm").isNotNull()), "__norm")
+    rows = with_documents(records, docs, "left")
     hedged = F.coalesce("hedged", F.lit(False))
     clean = _scores(False, 0.8, False)(F.col("axis_scores"), F.col("source_tier"), hedged)
     bad = F.size(clean) < F.size(
@@ -93,7 +102,7 @@ def ingested(records: DataFrame, docs: DataFrame) -> DataFrame:
     )
     reason = F.when(~F.col("known"), "unknown document").otherwise(F.coalesce("reject_reason", F.when(bad, "bad score")))
     return rows.select(
-        "doc_id", F.when(reason.isNull(), claim_id(F.col("doc_id"), F.col("quote"))).alias("claim_id"), "quote", clean.alias("scores"),
+        "doc_id", F.when(reason.isNull(), _id(F.col("doc_id"), F.col("__quote"))).alias("claim_id"), "quote", clean.alias("scores"),
         hedged.alias("hedged"), reason.alias("reject_reason")
     )
 
@@ -174,16 +183,29 @@ SOURCE_FIELDS = {
 }
 
 
-def exported(claims: DataFrame, docs: DataFrame) -> DataFrame:
-    """Each person's claims of trusted documents, newest first, as they are shown: person_id and the array ``claims`` of JSON texts with their source."""
+#: Claims of one part of a person's export.
+PER_PART = 1000
+
+
+def exported(claims: DataFrame, docs: DataFrame, per_part: int = PER_PART) -> DataFrame:
+    """Each person's claims of trusted documents, newest first, as they are shown: person_id, the number of the part, and the array ``claims`` of at most ``per_part`` JSON texts
+    with their source.
+
+    A claim's place is how many the later days have, and its place in the day, so a person with very many claims is split by days and written in parts by several tasks.
+    """
     rows = of_trusted_documents(claims, docs).withColumn("date", F.date_format("d", "yyyy-MM-dd"))
     source = F.struct(*[F.col(c).alias(k) for k, c in SOURCE_FIELDS.items()]).alias("source")
     one = F.struct(
         *[F.coalesce(F.col(c), F.lit(False)).alias(k) if k in ("hedged", "reviewed") else F.col(c).alias(k) for k, c in CLAIM_FIELDS.items()], source
     )
-    place = F.struct((-F.datediff("d", F.lit("1970-01-01").cast("date"))).alias("newest"), F.col("claim_id"))
-    nested = rows.groupBy("person_id").agg(F.array_sort(F.collect_list(F.struct(place.alias("at"), F.to_json(one).alias("json")))).alias("c"))
-    return nested.select("person_id", F.transform("c", lambda x: x["json"]).alias("claims"))
+    later = Window.partitionBy("person_id").orderBy(F.desc_nulls_last("d")).rowsBetween(Window.unboundedPreceding, -1)
+    days = rows.groupBy("person_id", "d").agg(F.count("*").alias("n")).select(
+        F.col("person_id").alias("of"), F.col("d").alias("day"), F.coalesce(F.sum("n").over(later), F.lit(0)).alias("before")
+    )
+    own = rows.select("person_id", "d", F.row_number().over(Window.partitionBy("person_id", "d").orderBy("claim_id")).alias("k"), F.to_json(one).alias("json"))
+    placed = own.join(days, F.col("person_id").eqNullSafe(F.col("of")) & F.col("d").eqNullSafe(F.col("day"))).withColumn("at", F.col("before") + F.col("k") - 1)
+    parts = placed.groupBy("person_id", F.floor(F.col("at") / per_part).cast("int").alias("part")).agg(F.array_sort(F.collect_list(F.struct("at", "json"))).alias("c"))
+    return parts.select("person_id", "part", F.transform("c", lambda x: x["json"]).alias("claims"))
 
 
 def nested_positions(dense: DataFrame) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.text import long_enough, visible_text
+from tidemark.functions.dates import year_fallback
+from tidemark.functions.text import long_enough, visible_text, word_count
 from tidemark.functions.urls import article_links, canonical, host
 
 
@@ -51,12 +52,29 @@ def documents(pages: DataFrame, seeds: DataFrame, words: int = 120) -> DataFrame
     return _made(pages.withColumn("host", host(F.col("url"))).join(of, "host"), words)
 
 
-def _made(found: DataFrame, words: int) -> DataFrame:
+def blog_posts(pages: DataFrame, seeds: DataFrame, per_page: int = 40, words: int = 120) -> DataFrame:
+    """The articles that blogs' index pages (``seeds``: url, kind, person_id, ...) link to, as documents: essays of at least ``words`` words in English, the date from the page (``date``, if ``pages``
+    has it), else 1 July of the first year in its first 400 characters."""
+    own = pages.withColumn("__url", canonical(F.col("url")))
+    index = own.join(seeds.select(canonical(F.col("url")).alias("__url"), "ord"), "__url").select(F.col("ord").alias("page_id"), "url", "html")
+    linked = articles(index, per_page).select(F.col("url").alias("__url"), F.col("page_id").alias("ord"))
+    rest = seeds.select("ord", "person_id", "tier", "authored_by_subject", F.lit("en").alias("language"), F.lit("essay").alias("source_type"))
+    date = F.col("date") if "date" in pages.columns else F.lit(None).cast("date")
+    found = own.withColumn("seed_date", date).join(linked, "__url").join(rest, "ord").drop("__url", "ord").withColumn("host", host(F.col("url")))
+    made = _made(found, words, blog=True)
+    day = year_fallback(F.col("publication_date"), F.col("text"))
+    return made.withColumns({
+        "publication_date": day, "date_source": F.when(F.col("publication_date").isNotNull(), "meta").when(day.isNotNull(), "year").otherwise(""),
+        "date_precision": F.when(F.col("publication_date").isNotNull(), "day").otherwise("quarter"),
+    }).drop("date_confidence")
+
+
+def _made(found: DataFrame, words: int, blog: bool = False) -> DataFrame:
     from tidemark.operators.dedupe import first_by_two_keys
 
     if "source_type" not in found.columns:
         found = found.withColumn("source_type", F.lit("essay"))
-    rows = found.withColumn("text", visible_text(F.col("html"))).where(long_enough(F.col("text"), words))
+    rows = found.withColumn("text", visible_text(F.col("html"))).where(word_count(F.col("text")) >= words if blog else long_enough(F.col("text"), words))
     own = rows.select(
         F.sha2(F.col("html").cast("binary"), 256).alias("doc_id"), "person_id",
         F.substring(F.trim(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1)), 1, TITLE_CHARS).alias("title"), "source_type",

@@ -98,22 +98,24 @@ def frontier_intervals(front: DataFrame, cutoff: str, start: str = "2019-06-01")
 def records(rows: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
     """Rows whose value beats all earlier ones, in order of date.
 
-    Without a key the running maximum first goes over each year, then adds the best of the years before, so no single task sees all rows.
+    Prefix maxima in blocks: the days' maxima, of which there are as many as days, make what each day has to beat; only rows that do are compared within their day.
     """
     keys = by or []
-    year = F.year("d")
-    inside = Window.partitionBy(*keys, year).orderBy("d", "ord").rowsBetween(Window.unboundedPreceding, -1)
-    best = rows.groupBy(*keys, year.alias("__year")).agg(F.max(value).alias("__top"))
-    earlier = Window.partitionBy(*keys).orderBy("__year").rowsBetween(Window.unboundedPreceding, -1)
-    past = best.withColumn("__past", F.max("__top").over(earlier)).drop("__top")
-    marked = rows.withColumn("__year", year).withColumn("__own", F.max(value).over(inside)).join(past, [*keys, "__year"])
-    before = F.greatest("__own", "__past")
-    return marked.where(before.isNull() | (F.col(value) > before)).drop("__year", "__own", "__past")
+    days = rows.groupBy(*keys, "d").agg(F.max(value).alias("__top"))
+    earlier = Window.partitionBy(*keys).orderBy("d").rowsBetween(Window.unboundedPreceding, -1)
+    past = days.select(*keys, F.col("d").alias("__d"), F.max("__top").over(earlier).alias("__past"))
+    same = F.col("d").eqNullSafe(F.col("__d"))
+    for k in keys:
+        past, same = past.withColumnRenamed(k, f"__{k}"), same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    left = rows.join(past, same).where(F.col("__past").isNull() | (F.col(value) > F.col("__past")))
+    inside = Window.partitionBy(*keys, "d").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
+    marked = left.withColumn("__own", F.max(value).over(inside))
+    return marked.where(F.col("__own").isNull() | (F.col(value) > F.col("__own"))).select(rows.columns)
 
 
 def releases(rows: DataFrame, labs: DataFrame) -> DataFrame:
     """Notable models with their domains as an array, flags as booleans and links that are links."""
-    own = rows.where(F.col("d") >= F.lit(START).cast("date")).withColumnRenamed("organization", "organization")
+    own = rows.where(F.col("d") >= F.lit(START).cast("date"))
     return with_lab(own, labs, "ord").select(
         "ord", "model", "lab", "org", "d", listed(F.col("domain")).alias("domains"), "params", flag(F.col("frontier")).alias("frontier"),
         web_link(F.col("link")).alias("link")
@@ -151,12 +153,12 @@ def domain_matrix(rows: DataFrame, cutoff: str, domains: tuple[str, ...] = DOMAI
     """By domain and year how many models there are up to ``cutoff``, and the latest ``last`` of them, newest first."""
     own = rows.where(F.col("d") <= F.lit(cutoff).cast("date"))
     own = (own.where(F.col("lab") == focus) if focus else own).withColumn("domain", F.explode("domains")).where(F.col("domain").isin(*domains))
-    cell = Window.partitionBy("domain", F.year("d")).orderBy(F.desc("d"), F.desc("ord"))
-    late = own.withColumn("at", F.row_number().over(cell))
-    return late.groupBy("domain", F.year("d").alias("year")).agg(
-        F.count("*").alias("n"),
-        F.transform(F.array_sort(F.collect_list(F.when(F.col("at") <= last, F.struct("at", "model")))), lambda x: x["model"]).alias("latest")
-    )
+    own = own.select("domain", F.year("d").alias("year"), F.struct("d", "ord", "model").alias("x"))
+    n = own.groupBy("domain", "year").agg(F.count("*").alias("n"))
+    # the ranks are limited in each task before the shuffle, so a cell sends at most ``last`` rows a task
+    late = own.withColumn("at", F.row_number().over(Window.partitionBy("domain", "year").orderBy(F.desc("x")))).where(F.col("at") <= last)
+    latest = late.groupBy("domain", "year").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "x.model"))), lambda x: x["model"]).alias("latest"))
+    return n.join(latest, ["domain", "year"]).select("domain", "year", "n", "latest")
 
 
 def headline(index: DataFrame, front: DataFrame, horizon: DataFrame, rows: DataFrame, cutoff: str) -> DataFrame:

@@ -74,26 +74,45 @@ def first_usable(candidates: DataFrame, least_words: int = 400) -> DataFrame:
     ).select("episode", "c.*")
 
 
+# Fixed value: an episode's number before its title.
+EPISODE_NUMBER = r"^#?\d+\s*[-–—:]?\s*"
+
+
+def _without_number(title: Column) -> Column:
+    return F.lower(F.trim(F.regexp_replace(title, EPISODE_NUMBER, "")))
+
+
 def is_guest(title: Column, name: Column) -> Column:
     """The whole name stands at the beginning, or right after an episode number."""
-    head = F.lower(F.trim(F.regexp_replace(title, r"^#?\d+\s*[-–—:]?\s*", "")))
-    return F.startswith(head, F.lower(name))
+    return F.startswith(_without_number(title), F.lower(name))
 
 
 def episode_guests(episodes: DataFrame, people: DataFrame) -> DataFrame:
     """Episodes (episode, title) with the first person (person_id, display_name, ord) who is their guest.
 
-    A guest's name begins the title: titles and people meet by a beginning as long as the name, not each with each. A title has one such
-    beginning for each length that any name has.
+    A guest's name begins the title. A trie of the names by words, in rounds: a title follows it by one word more a round, as long as some name goes on that
+    way, so it is one row; the last word of a name may end inside a word of the title, so a node also has its names' rests, which are few, to compare.
     """
-    head = F.lower(F.trim(F.regexp_replace("title", r"^#?\d+\s*[-–—:]?\s*", "")))
-    names = people.select("person_id", "ord", F.lower("display_name").alias("__start")).where("__start <> ''")
-    sizes = sorted(r[0] for r in names.select(F.length("__start")).distinct().collect())  # a few dozen: of a name, not of the people
-    starts = F.transform(
-        F.filter(F.array(*[F.lit(n) for n in sizes]).cast("array<int>"), lambda n: n <= F.length(head)), lambda n: F.substring(head, F.lit(1), n)
-    )
-    both = episodes.withColumn("__start", F.explode(starts)).join(names, "__start")
-    return both.groupBy("episode").agg(F.min_by("person_id", "ord").alias("person_id"))
+    from tidemark.sources.tables import discard, stored
+
+    head = _without_number(F.col("title"))
+    names = people.select("person_id", "ord", F.lower("display_name").alias("name")).where("name <> ''").withColumn("path", F.split("name", " "))
+    titles = episodes.select("episode", head.alias("head")).withColumn("words", F.split("head", " "))
+    depth, kept, found = 0, [], None
+    while titles is not None:  # as often as a name has words
+        way = lambda words: F.array_join(F.slice(words, 1, depth), " ")  # noqa: E731, B023
+        ends = names.where(F.size("path") == depth + 1).select("person_id", "ord", "name", way("path").alias("way"))
+        met = titles.withColumn("way", way("words")).join(ends, "way").where(F.startswith("head", F.col("name"))).select("episode", "person_id", "ord")
+        found = met if found is None else found.unionByName(met)
+        further = names.where(F.size("path") > depth + 1).select(F.array_join(F.slice("path", 1, depth + 1), " ").alias("on")).distinct()
+        if further.isEmpty():
+            break
+        titles = stored(titles.where(F.size("words") > depth).withColumn("on", F.array_join(F.slice("words", 1, depth + 1), " ")).join(further, "on").drop("on"))
+        kept.append(titles)
+        depth += 1
+    out = stored(found.groupBy("episode").agg(F.min_by("person_id", "ord").alias("person_id")))
+    discard(*kept)
+    return out
 
 
 def podcast_documents(entries: DataFrame, people: DataFrame, texts: DataFrame, least: int = 4, least_words: int = 400, most: int = 8) -> DataFrame:

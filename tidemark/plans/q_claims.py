@@ -113,9 +113,9 @@ def exported(s: SparkSession, d: str) -> DataFrame:
     )
     path = f"{tables.shared_dir(s)}/claims-{uuid.uuid4().hex}"
     tables.write_nested(C.exported(own, about), path)
-    rows = s.read.schema("person_id string, claims array<string>").json(path).select(
-        "person_id", F.posexplode("claims").alias("place", "c")
-    ).withColumn("c", F.from_json("c", CLAIM))
+    rows = s.read.schema("person_id string, part int, claims array<string>").json(path).select(
+        "person_id", "part", F.posexplode("claims").alias("at", "c")
+    ).withColumn("place", F.col("part") * C.PER_PART + F.col("at")).withColumn("c", F.from_json("c", CLAIM))
     return rows.select(
         "person_id", "place", "c.id", "c.date", "c.precision", "c.quote", "c.claim", F.col("c.topics")[0].alias("topic"),
         F.col("c.scores")[0]["score"].alias("score"), F.bround(F.col("c.scores")[0]["strength"], 4).alias("strength"), "c.hedged", "c.timeline_years",
@@ -159,8 +159,8 @@ QUERIES = {
         "doc_id", "claim_id", "reject_reason", F.get("scores", 0)["score"].alias("score"), F.get("scores", 0)["strength"].alias("strength"),
         F.get("scores", 0)["confidence"].alias("confidence")
     ),
-    "j14_verbatim": lambda s, d: C.checked(
-        C.with_documents(view(s, d, "t_quotes").select("doc_id", "item_id", "quote"), source(s, d)), "__norm"
+    "j14_verbatim": lambda s, d: C.with_documents(
+        view(s, d, "t_quotes").select("doc_id", "item_id", "quote"), source(s, d)
     ).select("doc_id", "item_id", "reject_reason"),
     "prj3_refused_rows": lambda s, d: _rules(s, d).groupBy("reject_reason").agg(F.count("*").alias("n")),
     "str4_windows": lambda s, d: view(s, d, "documents").select("doc_id", F.explode(windows(F.col("text"))).alias("w")).select(

@@ -16,6 +16,7 @@ from tidemark.operators import dedupe, page_dates, passages, transcripts, views
 from tidemark.plans import sql_pages as Q
 from tidemark.plans.derived import view, with_sql
 from tidemark.sources import tables
+from tidemark.streaming import logs
 
 AS_OF = "2024-08-15"
 #: Terms that the test documents' words have; the default terms are English.
@@ -128,6 +129,41 @@ def crawled(s: SparkSession, d: str) -> DataFrame:
     return D.crawled(pages.select("page_id", "url", "html").unionByName(index), seeds)
 
 
+def _streamed(rows: DataFrame, by: str, batches: int) -> tuple[DataFrame, str]:
+    """``rows`` written as so many files, in the order of ``by``, and read as a stream of one file a batch; and a folder for what becomes of it."""
+    s = rows.sparkSession
+    path = f"{tables.shared_dir(s)}/stream-{uuid.uuid4().hex}"
+    rows.repartitionByRange(batches, by).write.parquet(f"{path}/in")
+    return s.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in"), path
+
+
+def streamed_log(s: SparkSession, d: str) -> DataFrame:
+    """The fetch log as a stream of batches, replayed to the last record of each URL."""
+    log, path = _streamed(view(s, d, "t_fetchlog"), "seq", 12)
+    logs.replay(log, f"{path}/table", f"{path}/checkpoint").awaitTermination()
+    return logs.latest(s, f"{path}/table").drop("shard")
+
+
+def streamed_inserts(s: SparkSession, d: str) -> DataFrame:
+    """Documents as a stream of batches: of each URL the first stays."""
+    rows, path = _streamed(view(s, d, "t_docs").select("doc_id", "canonical_url", "person_id", "title"), "doc_id", 12)
+    logs.insert_or_ignore(rows, "canonical_url", "doc_id", f"{path}/table", f"{path}/checkpoint").awaitTermination()
+    return logs.held(s, f"{path}/table").drop("shard")
+
+
+def blogs(s: SparkSession, d: str) -> DataFrame:
+    """Each host's index page links to its pages; every seventh page says in Chinese what it says, every third has a date, and every fifth begins with a year."""
+    pages = view(s, d, "t_blogpages")
+    own = pages.withColumn("h", U.host(F.col("url"))).groupBy("h", F.floor(F.col("page_id") / 500).alias("part")).agg(F.min("page_id").alias("ord"), F.collect_list("url").alias("all"))
+    # an index page for each 500 ids, so that none is as long as the host is large
+    links = F.array_join(F.transform("all", lambda x: F.concat(F.lit('<a href="'), x, F.lit('">x</a>'))), "")
+    index = own.select((-1 - F.col("ord")).alias("page_id"), F.concat(F.lit("https://"), "h", F.lit("/index/"), F.col("part").cast("string")).alias("url"), links.alias("html"), F.lit(None).cast("date").alias("date"))
+    seeds = own.select(
+        F.concat(F.lit("https://"), "h", F.lit("/index/"), F.col("part").cast("string")).alias("url"), F.lit("p").alias("person_id"), F.lit(1).alias("tier"), F.lit(True).alias("authored_by_subject"), "ord"
+    )
+    return D.blog_posts(pages.select("page_id", "url", "html", "date").unionByName(index), seeds, per_page=1_000_000)
+
+
 def log(s: SparkSession, d: str) -> DataFrame:
     return tables.replayed(
         view(s, d, "t_fetchlog").withColumn("ok", F.col("status") == 200).withColumn("error", F.when(F.col("seq") % 11 == 0, "robots.txt"))
@@ -235,6 +271,9 @@ QUERIES = {
     "job4_documents": lambda s, d: seeded(s, d).select(
         "person_id", "canonical_url", "date_source", "publication_date", F.md5("title").alias("title"), F.md5("text").alias("text")
     ),
+    "stm1_replayed_stream": streamed_log,
+    "stm2_inserted_stream": streamed_inserts,
+    "job4_blog_posts": lambda s, d: blogs(s, d).select("page_id", "source_url", "publication_date", "date_precision", "date_source", "source_type"),
     "job4_crawled": lambda s, d: crawled(s, d).select(
         "person_id", "canonical_url", "source_type", "date_source", "publication_date", F.md5("title").alias("title"), F.md5("text").alias("text")
     ),
@@ -372,5 +411,11 @@ ORACLE = {
     "src5_feed_items": "select concat('p', page_id) title, url link, concat('https://a.example/', page_id, '.mp3') audio, date '2021-01-01' + cast(page_id as int) + case when page_id % 4 = 0 then 1 else 0 end d from pages",
     "k2_pages_by_two_keys": f"with recursive {Q.by_two_keys('select page_id, ' + Q.HOST + chr(32) + 'a, ' + 'string_split(url, chr(47))[5] b from pages')} select a h, b n, page_id from kept",
     "job4_documents": Q.documents(VISIBLE, Q.SEEDED),
+    "stm1_replayed_stream": with_sql("select canonical_url, arg_max(seq, seq) seq, arg_max(status, seq) status, arg_max(fetched_at, seq) fetched_at, arg_max(bytes, seq) bytes from t_fetchlog group by 1", "t_fetchlog"),
+    "stm2_inserted_stream": with_sql("select min(doc_id) doc_id, canonical_url, arg_min(person_id, doc_id) person_id, arg_min(title, doc_id) title from t_docs group by 2", "t_docs"),
+    "job4_blog_posts": with_sql("""select page_id, url source_url, coalesce("date", make_date(y, 7, 1)) publication_date, case when "date" is null then 'quarter' else 'day' end date_precision,
+        case when "date" is not null then 'meta' when y is not null then 'year' else '' end date_source, 'essay' source_type
+        from (select *, try_cast(nullif(regexp_extract(substr(body, 1, 400), '\\b(20[0-2][0-9])\\b', 1), '') as bigint) y from (select distinct on (url) * from t_blogpages order by url, page_id))
+        where len(regexp_split_to_array(trim(regexp_replace(body, '\\s+', ' ', 'g')), ' ')) >= 120""", "t_blogpages"),
     "job4_crawled": Q.documents(VISIBLE, Q.CRAWLED, ", source_type"),
 }
