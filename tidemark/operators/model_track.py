@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scores import flag, number, open_weights, rescaled, web_link
@@ -189,6 +189,44 @@ def in_order(rows: DataFrame) -> DataFrame:
     return rows.orderBy("d", "ord")
 
 
+#: The parts of the export beside the benchmarks: their columns, JSON name by column, in order of date.
+TRACK_PARTS = {
+    "index": {"model": "m", "lab": "lab", "org": "org", "d": "d", "v": "v"},
+    "horizon": {"model": "m", "lab": "lab", "org": "org", "d": "d", "minutes": "min"},
+    "releases": {"model": "m", "lab": "lab", "org": "org", "d": "d", "domains": "domains", "params": "params", "frontier": "frontier", "link": "link"},
+    "cadence": {"lab": "lab", "org": "org", "d": "d", "names": "names"},
+}
+TRACK_SCHEMA = {
+    "index": "m string, lab string, org string, d string, v double", "horizon": "m string, lab string, org string, d string, min double",
+    "releases": "m string, lab string, org string, d string, domains array<string>, params double, frontier boolean, link string",
+    "cadence": "lab string, org string, d string, names array<string>", "labs": "id string, name string",
+}
+
+
+def track_parts(index: DataFrame, horizon: DataFrame, rows: DataFrame, days: DataFrame, labs: DataFrame) -> dict[str, DataFrame]:
+    """The index, the horizons, the releases, the cadence (``days``) and the labs (lab, name) as they are exported: a row each, by date; each lab once, and ``other`` last."""
+    out = {}
+    for part, own in (("index", index), ("horizon", horizon), ("releases", rows), ("cadence", days)):
+        order = ["d", "ord"] if "ord" in own.columns else ["d", "org"]
+        fields = [F.date_format(c, "yyyy-MM-dd").alias(n) if c == "d" else F.col(c).alias(n) for c, n in TRACK_PARTS[part].items()]
+        out[part] = own.orderBy(*order).select(*fields)
+    each = labs.groupBy(F.col("lab").alias("id")).agg(F.min("name").alias("name"))
+    other = labs.sparkSession.createDataFrame([("other", "Other", 1)], "id string, name string, last int")
+    out["labs"] = each.withColumn("last", F.lit(0)).unionByName(other).orderBy("last", "id").drop("last")
+    return out
+
+
+def write_track(parts: dict[str, DataFrame], path: str) -> None:
+    from tidemark.sources.tables import write_nested
+
+    for name, rows in parts.items():
+        write_nested(rows, f"{path}/{name}")
+
+
+def read_track(spark: SparkSession, path: str, part: str) -> DataFrame:
+    return spark.read.schema(TRACK_SCHEMA[part]).json(f"{path}/{part}")
+
+
 def benchmarks_export(rows: DataFrame, specs: DataFrame) -> DataFrame:
     """A row for each benchmark of ``points``: its id, name, baseline and ceiling, its points in order of date and score, and its frontier."""
     point = F.struct(F.col("model").alias("m"), "lab", "org", F.date_format("d", "yyyy-MM-dd").alias("d"), "s", "n", "open")

@@ -54,9 +54,9 @@ SQL: dict[str, str] = {
     "t_eventsrc": """
         select r.event_id timeline_id, concat('https://h', cast(r.user_id % 20 as string), '.example/', cast((r.event_id + s.i * 7) % 500 as string)) source
         from events r cross join (select 0 i union all select 1 union all select 2) s where r.event_type = 'purchase'""",
-    # blog pages of one paragraph, each with a title of its own: every seventh in Chinese, every third with a date, every fifth beginning with a year
+    # blog pages of one paragraph, none like another: every seventh in Chinese, every third with a date, every fifth beginning with a year
     "t_blogpages": """
-        select page_id, url, body, concat('<html><title>t', cast(page_id as string), '</title><p>', body, '</p></html>') html, case when page_id % 3 = 0 then cast('2021-05-01' as date) end date
+        select page_id, url, body, concat('<html><p id="', cast(page_id as string), '">', body, '</p></html>') html, case when page_id % 3 = 0 then cast('2021-05-01' as date) end date
         from (select doc_id page_id, concat('https://blog', cast(doc_id % 20 as string), '.example/posts/', cast(doc_id as string)) url,
               case when doc_id % 7 = 0 then repeat('\u6587\u7ae0', 300) else concat(case when doc_id % 5 = 0 then concat('in ', cast(2010 + doc_id % 12 as string), ' ') else '' end, translate(text, '<>&', '   ')) end body
               from documents where text is not null) d""",

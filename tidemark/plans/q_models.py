@@ -79,6 +79,22 @@ def exported(s: SparkSession, d: str) -> DataFrame:
     ).select("id", "name", "baseline", "ceiling", "n_frontier", "place", "p.*")
 
 
+def track(part: str):
+    """A part of the model track's export, written as JSON lines with the others that it belongs to, and read back."""
+
+    def query(s: SparkSession, d: str) -> DataFrame:
+        rows = releases(s, d)
+        longest = horizon(s, d).join(rows.select("ord", "lab", "org"), "ord")
+        labs = view(s, d, "t_labs").select("lab", F.initcap("lab").alias("name"))
+        parts = M.track_parts(index(s, d), longest, rows, cadence(s, d), labs)
+        path = f"{tables.shared_dir(s)}/track-{uuid.uuid4().hex}"
+        M.write_track({part: parts[part]}, path)
+        out = M.read_track(s, path, part)
+        return out.select(*[F.array_join(c, "|").alias(c) if kind.startswith("array") else F.col(c) for c, kind in out.dtypes])
+
+    return query
+
+
 POINTS = """
 top_ as (select benchmark, max(raw) most from t_scores group by 1),
 sp as (select s.*, case when has_file and most > 1.5 then 0.01 else 1.0 end scale from t_specs s join top_ using (benchmark)),
@@ -129,6 +145,7 @@ QUERIES = {
     ).groupBy("benchmark").agg(F.count("*").alias("n")),
     "fil14_lab_focus": lambda s, d: releases(s, d).where("lab = 'lab2'").groupBy("lab", "frontier").agg(F.count("*").alias("n")),
     "snk3_model_track": lambda s, d: exported(s, d),
+    **{f"snk3_{part}": track(part) for part in M.TRACK_SCHEMA},
     "job10_from_csv": lambda s, d: from_csv(s, d).select("benchmark", "model", "lab", "org", "d", "s", "n", "open"),
     "fil12_dated_rows": lambda s, d: M.typed(_loose(s, d), ("params",)).select("ord", "d", "params"),
     "srt4_releases_in_order": lambda s, d: M.in_order(releases(s, d)).select("ord", "model", "d"),
@@ -187,6 +204,11 @@ ORACLE = {
     "mth1_numbers": with_sql("select ord, case when ord % 3 = 2 then params end x from t_releases", "t_releases"),
     "snk3_model_track": with_sql("""select trim(regexp_replace(lower(benchmark), '[^a-z0-9]+', '-', 'g'), '-') id, benchmark "name", cast(baseline as double) baseline, cast(ceiling as double) ceiling, cast((select count(*) from fr where fr.benchmark = pts.benchmark) as integer) n_frontier, cast(row_number() over (partition by benchmark order by d, s, ord) - 1 as integer) place,
         model m, lab, org, strftime(d, '%Y-%m-%d') d, s, n, "open" from pts join (select benchmark, baseline, ceiling from t_specs) using (benchmark)""", *P_, more=POINTS),
+    "snk3_index": with_sql("select model m, lab, org, strftime(d, '%Y-%m-%d') d, cast(params as double) v from rel", *R_, more=RELEASES),
+    "snk3_horizon": with_sql("select hz.model m, lab, org, strftime(hz.d, '%Y-%m-%d') d, cast(minutes as double) as \"min\" from hz join rel using (ord)", *R_, more=RELEASES),
+    "snk3_releases": with_sql("select model m, lab, org, strftime(d, '%Y-%m-%d') d, array_to_string(domains, '|') domains, cast(params as double) params, frontier, link from rel", *R_, more=RELEASES),
+    "snk3_cadence": with_sql("select lab, org, strftime(d, '%Y-%m-%d') d, array_to_string(list_filter(names, lambda x, i: list_position(names, x) = i), '|') names from cad", *R_, more=RELEASES),
+    "snk3_labs": with_sql("select distinct lab id, concat(upper(lab[1]), lab[2:]) \"name\" from t_labs union all select 'other', 'Other'", "t_labs"),
     "job10_from_csv": with_sql('select benchmark, model, lab, org, d, s, n, "open" from pts', *P_, more=POINTS),
     "fil12_dated_rows": with_sql(
         "select ord, d, case when ord % 3 <> 0 then params end params from t_releases where ord % 5 > 1 and d >= date '2017-01-01'", "t_releases"

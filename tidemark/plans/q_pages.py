@@ -139,14 +139,14 @@ def _streamed(rows: DataFrame, by: str, batches: int) -> tuple[DataFrame, str]:
 
 def streamed_log(s: SparkSession, d: str) -> DataFrame:
     """The fetch log as a stream of batches, replayed to the last record of each URL."""
-    log, path = _streamed(view(s, d, "t_fetchlog"), "seq", 12)
+    log, path = _streamed(view(s, d, "t_fetchlog"), "seq", 6)
     logs.replay(log, f"{path}/table", f"{path}/checkpoint").awaitTermination()
     return logs.latest(s, f"{path}/table").drop("shard")
 
 
 def streamed_inserts(s: SparkSession, d: str) -> DataFrame:
     """Documents as a stream of batches: of each URL the first stays."""
-    rows, path = _streamed(view(s, d, "t_docs").select("doc_id", "canonical_url", "person_id", "title"), "doc_id", 12)
+    rows, path = _streamed(view(s, d, "t_docs").select("doc_id", "canonical_url", "person_id", "title"), "doc_id", 6)
     logs.insert_or_ignore(rows, "canonical_url", "doc_id", f"{path}/table", f"{path}/checkpoint").awaitTermination()
     return logs.held(s, f"{path}/table").drop("shard")
 
@@ -233,6 +233,14 @@ SENTENCES = r"list_filter(list_transform(string_split(regexp_replace(text, '([.!
 LOG = "lg as (select canonical_url, arg_max(status, seq) status, arg_max(seq, seq) seq, arg_max(bytes, seq) bytes from t_fetchlog group by 1), ok as (select *, status = 200 live, seq % 11 = 0 robots from lg)"
 OUTCOME = "case when status = 200 then 'live' when status = 403 or robots then 'blocked' when status = 404 then 'dead' else 'unreachable' end"
 
+def _cjk(text: str) -> str:
+    return f"length(regexp_replace({text}, '[^一-鿿぀-ヿ]', '', 'g'))"
+
+
+def _words(text: str) -> str:
+    return f"len(list_filter(regexp_split_to_array({text}, '[\\s\\x{{00a0}}]+'), lambda w: w <> ''))"
+
+
 QUERIES = {
     "dat4_page_dates": lambda s, d: dated(s, d).select("page_id", "d", "precision", "date_source", "date_confidence", "date_note"),
     "j3_feed_dates": lambda s, d: fed(s, d).select("page_id", "feed_date"),
@@ -271,6 +279,10 @@ QUERIES = {
     "job4_documents": lambda s, d: seeded(s, d).select(
         "person_id", "canonical_url", "date_source", "publication_date", F.md5("title").alias("title"), F.md5("text").alias("text")
     ),
+    "str3_chinese_and_other": lambda s, d: view(s, d, "t_blogpages").select(
+        "page_id", X.cjk_count(F.col("body")).alias("cjk"), X.long_enough(F.col("body")).alias("long_enough"),
+        *[X.quote_too_long(F.substring("body", 1, n)).alias(f"too_long_{n}") for n in (60, 120, 121, 400)],
+    ),
     "stm1_replayed_stream": streamed_log,
     "stm2_inserted_stream": streamed_inserts,
     "job4_blog_posts": lambda s, d: blogs(s, d).select("page_id", "source_url", "publication_date", "date_precision", "date_source", "source_type"),
@@ -411,6 +423,8 @@ ORACLE = {
     "src5_feed_items": "select concat('p', page_id) title, url link, concat('https://a.example/', page_id, '.mp3') audio, date '2021-01-01' + cast(page_id as int) + case when page_id % 4 = 0 then 1 else 0 end d from pages",
     "k2_pages_by_two_keys": f"with recursive {Q.by_two_keys('select page_id, ' + Q.HOST + chr(32) + 'a, ' + 'string_split(url, chr(47))[5] b from pages')} select a h, b n, page_id from kept",
     "job4_documents": Q.documents(VISIBLE, Q.SEEDED),
+    "str3_chinese_and_other": with_sql(f"""select page_id, cast({_cjk('body')} as integer) cjk, {_words('body')} >= 120 or length(regexp_replace(body, '[^一-鿿]', '', 'g')) >= 400 long_enough,
+        """ + ", ".join(f"case when {_cjk(f'substr(body, 1, {n})')} > 0 then {_cjk(f'substr(body, 1, {n})')} > 120 else {_words(f'substr(body, 1, {n})')} > 50 end too_long_{n}" for n in (60, 120, 121, 400)) + " from t_blogpages", "t_blogpages"),
     "stm1_replayed_stream": with_sql("select canonical_url, arg_max(seq, seq) seq, arg_max(status, seq) status, arg_max(fetched_at, seq) fetched_at, arg_max(bytes, seq) bytes from t_fetchlog group by 1", "t_fetchlog"),
     "stm2_inserted_stream": with_sql("select min(doc_id) doc_id, canonical_url, arg_min(person_id, doc_id) person_id, arg_min(title, doc_id) title from t_docs group by 2", "t_docs"),
     "job4_blog_posts": with_sql("""select page_id, url source_url, coalesce("date", make_date(y, 7, 1)) publication_date, case when "date" is null then 'quarter' else 'day' end date_precision,
