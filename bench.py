@@ -1,4 +1,4 @@
-"""Times the headline queries on one machine: prints one JSON line."""
+"""Times the headline queries on one machine, the best of up to three runs each: prints one JSON line."""
 
 from __future__ import annotations
 
@@ -30,9 +30,12 @@ def main() -> None:
     spark.range(1000).selectExpr("sum(id)").collect()
     took = {}
     for name in HEADLINE:
-        began = time.time()
-        QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
-        took[name] = round(time.time() - began, 3)
+        runs: list[float] = []
+        while len(runs) < 3 and sum(runs) < 40:  # the best of three; of the longest ones, of fewer
+            began = time.time()
+            QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+            runs.append(time.time() - began)
+        took[name] = round(min(runs), 3)
     print(json.dumps({"metric": "headline queries, total", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took, "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf")}))
     spark.stop()
 
