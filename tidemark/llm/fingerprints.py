@@ -9,7 +9,7 @@ A fingerprint is the sorted array of bin << 32 | 32 bits of the tuple's hash, fo
 equal bins among those that either text fills; 1 for two texts without words, 0 for one. Equal texts have equal fingerprints.
 
 The next document in ascending id comes from the same range of ids; the rows that begin a range are sent to the range before as well, so no window sees
-all rows. The bounds are taken from a sample of ``PER_RANGE`` rows a range, by id and then hash of the text: ranges are even however ids are spread, and so
+all rows. The bounds are taken from a sample of about ``PER_RANGE`` rows a range, by id and then hash of the text: ranges are even however ids are spread, and so
 are many rows without an id, or of one. Only rows equal in id and text stay together.
 
 Cases: null texts are empty. Null ids come first; ids that are no integers are compared as text. Rows with equal ids are ordered by the hash of their
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import UNSPACED_REGEX, id_type
 
 #: Rows sampled for each range, from which its bounds are taken.
-PER_RANGE = 20
+PER_RANGE = 10
 BINS_LOG2 = 6
 PLACE_BITS = 24
 _SPACE = " \t\n\x0b\f\r"
@@ -143,8 +143,8 @@ def _range_of(key: Column, starts: list[str]) -> Column:
 def with_next(rows: DataFrame, columns: list[str], ranges: int) -> DataFrame:
     """``rows`` (id, text and more) with ``next_<c>`` of the row that follows by id and hash of the text; after the last comes the first."""
     keyed = rows.withColumn("order", order_of(rows))
-    sample = [r.order for r in keyed.select("order").orderBy(F.rand(20_240_501)).limit(PER_RANGE * ranges).collect()]
-    low = keyed.agg(F.min("order")).first()[0]
+    low, n = keyed.agg(F.min("order"), F.count("*")).first()
+    sample = [r.order for r in keyed.select("order").sample(min(1.0, PER_RANGE * ranges / max(1, n)), 20_240_501).collect()]
     inner = sorted(sample)[len(sample) // ranges or 1::max(1, len(sample) // ranges)]
     starts = sorted({low, *inner}) if low is not None else [""]
     # the least key of all is a range's begin, so a row that begins one is known by its key alone
