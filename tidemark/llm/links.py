@@ -96,6 +96,9 @@ def _finer(rooted: DataFrame, payload: DataFrame, finer: Callable, may: Column,
     by_root = rooted.where(may).groupBy("key", "root").agg(F.count("*").alias("size"))
     open_ = by_root.groupBy("key").agg(F.sum("size").alias("all"), F.max("size").alias("most")).where(F.col("all") - F.col("most") > wide)
     keys = stored(open_.select("key"))
+    if keys.isEmpty():
+        discard(keys)
+        return rooted
     things = stored(rooted.join(small_side(keys), "key").select("tid", "n", "root").distinct())
     fine = shared_keys(finer(things.select("tid", "n").join(payload, "tid")).select(F.explode("keys").alias("key"), "tid"))
     rest = rooted.join(small_side(keys), "key", "left_anti").select("key", "tid", "n", "root", "fine")
