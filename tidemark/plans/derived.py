@@ -71,6 +71,13 @@ SQL: dict[str, str] = {
                                          when 2 then concat('<p>Posted ', {_MONTH.format("interval '300' month")}, ' 3, ', cast(year(o.o_orderdate) + 25 as string), '</p>')
                                          when 3 then concat('<p>', {_MONTH.format("interval '276' month")}, ' ', cast(year(o.o_orderdate) + 23 as string), '</p>') else '' end, p.html) html
         from pages p join orders o on p.page_id = o.o_orderkey""",
+    # pages that say their date as structured data: every third in JSON-LD (of these each fourth one that can't be read), every second in a time tag
+    "t_markedpages": """
+        select p.page_id, p.url, o.o_orderdate odate, concat(
+                 case when p.page_id % 12 = 0 then '<script type="application/ld+json">{"@type": "Article", "datePublished": "soon after"}</script>'
+                      when p.page_id % 3 = 0 then concat('<script type="application/ld+json">{"datePublished": "', cast(cast(o.o_orderdate + interval '276' month as date) as string), 'T08:00:00Z"}</script>') else '' end,
+                 case when p.page_id % 2 = 0 then concat('<time class="t" datetime="', cast(cast(o.o_orderdate + interval '288' month as date) as string), ' 10:30">then</time>') else '' end, p.html) html
+        from pages p join orders o on p.page_id = o.o_orderkey""",
     # transcript lines: a label line before each turn's lines
     "t_transcript": "select conv_id, turn, concat(upper(substr(role, 1, 1)), substr(role, 2), case when turn % 2 = 0 then ' 00:01:07' else '' end, chr(10), text) body from conversations where text is not null and role is not null",
 }

@@ -279,6 +279,9 @@ QUERIES = {
     "job4_documents": lambda s, d: seeded(s, d).select(
         "person_id", "canonical_url", "date_source", "publication_date", F.md5("title").alias("title"), F.md5("text").alias("text")
     ),
+    "dat4_structured_dates": lambda s, d: page_dates.resolved(view(s, d, "t_markedpages").withColumn("feed_date", F.lit(None).cast("date")), AS_OF).select(
+        "page_id", "d", "precision", "date_source", "date_confidence"
+    ),
     "str3_chinese_and_other": lambda s, d: view(s, d, "t_blogpages").select(
         "page_id", X.cjk_count(F.col("body")).alias("cjk"), X.long_enough(F.col("body")).alias("long_enough"),
         *[X.quote_too_long(F.substring("body", 1, n)).alias(f"too_long_{n}") for n in (60, 120, 121, 400)],
@@ -423,6 +426,8 @@ ORACLE = {
     "src5_feed_items": "select concat('p', page_id) title, url link, concat('https://a.example/', page_id, '.mp3') audio, date '2021-01-01' + cast(page_id as int) + case when page_id % 4 = 0 then 1 else 0 end d from pages",
     "k2_pages_by_two_keys": f"with recursive {Q.by_two_keys('select page_id, ' + Q.HOST + chr(32) + 'a, ' + 'string_split(url, chr(47))[5] b from pages')} select a h, b n, page_id from kept",
     "job4_documents": Q.documents(VISIBLE, Q.SEEDED),
+    "dat4_structured_dates": with_sql("""select page_id, case k when 'jsonld' then cast(odate + interval 276 month as date) when 'time_tag' then cast(odate + interval 288 month as date) end d, case when k is not null then 'day' else 'quarter' end "precision",
+        coalesce(k, 'none') date_source, case when k is null then 'none' else 'medium' end date_confidence from (select *, case when page_id % 3 = 0 and page_id % 12 <> 0 then 'jsonld' when page_id % 2 = 0 then 'time_tag' end k from t_markedpages)""", "t_markedpages"),
     "str3_chinese_and_other": with_sql(f"""select page_id, cast({_cjk('body')} as integer) cjk, {_words('body')} >= 120 or length(regexp_replace(body, '[^一-鿿]', '', 'g')) >= 400 long_enough,
         """ + ", ".join(f"case when {_cjk(f'substr(body, 1, {n})')} > 0 then {_cjk(f'substr(body, 1, {n})')} > 120 else {_words(f'substr(body, 1, {n})')} > 50 end too_long_{n}" for n in (60, 120, 121, 400)) + " from t_blogpages", "t_blogpages"),
     "stm1_replayed_stream": with_sql("select canonical_url, arg_max(seq, seq) seq, arg_max(status, seq) status, arg_max(fetched_at, seq) fetched_at, arg_max(bytes, seq) bytes from t_fetchlog group by 1", "t_fetchlog"),
