@@ -391,7 +391,7 @@ def people_export(people: DataFrame, claims: DataFrame, first: str, last: str, d
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("axis", F.transform("s", lambda x: x["cell"]))))).alias("axes"),
         F.min(F.get(F.filter("s", lambda x: x["cell"].isNotNull()), 0)["month_end"]).alias("entry")
     )
-    n = contradiction_counts(contradiction_numbers(claims), people)
+    n = contradiction_counts(contradictions(claims).groupBy(*KEY).count(), people)
     who = people.select(
         F.col("person_id").alias("id"), F.col("display_name").alias("name"), F.coalesce("role", F.lit("")).alias("role"),
         F.coalesce("entity_kind", F.lit("person")).alias("kind"), F.coalesce("headline", F.lit(False)).alias("headline"),

@@ -126,7 +126,7 @@ QUERIES = {
     ).select("person_id", "axis", "status", F.array_join("claim_ids", ",").alias("claim_ids")),
     "j4_dense_grid": dense,
     "j6_contradictions": lambda s, d: P.contradictions(claims(s, d)),
-    "agg6_contradiction_counts": lambda s, d: P.contradiction_counts(P.contradiction_numbers(claims(s, d)), people(s, d)),
+    "agg6_contradiction_counts": lambda s, d: P.contradiction_counts(P.contradictions(claims(s, d)).groupBy("person_id", "axis").count(), people(s, d)),
     "agg4_axis_variance": lambda s, d: P.axis_variance(latest(s, d)),
     "agg5_axis_correlation": lambda s, d: P.axis_correlation(latest(s, d)),
     "agg7_entry_months": lambda s, d: P.entry_months(dense(s, d)),
