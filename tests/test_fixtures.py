@@ -64,6 +64,8 @@ def test_clamp(spark):
         ("HTTP://a.example/x/?utm_source=q&b=1&c=#frag", "http://a.example/x?b=1"), ("https://a.example", "https://a.example/"),
         ("https://a.example/x;v=1?q=a%20b&fbclid=z", "https://a.example/x?q=a+b"),
         ("https://a.example:8/y//", "https://a.example:8/y"),
+        ("https://a.example/?utm%5Fsource=q&%55TM_x=1&ref%5furl=z&utm%=3", "https://a.example/?utm%25=3"),
+        ("https://a.example/?d=50%&e=%zz%20%41&f%5Fg=%C3%A9+%2B", "https://a.example/?d=50%25&e=%25zz+A&f_g=%C3%A9+%2B"),
     ],
 )
 def test_canonical(spark, url, want):

@@ -29,13 +29,18 @@ def host(url: Column) -> Column:
     return F.when(F.contains(url, F.lit("//")), F.coalesce(F.get(F.split(url, "/"), 2), F.lit(""))).otherwise("")
 
 
+def _decoded(part: Column) -> Column:
+    """A form value decoded; a % that begins no code stands for itself."""
+    return F.url_decode(F.regexp_replace(part, "%(?![0-9A-Fa-f]{2})", "%25"))
+
+
 def _encoded(part: Column) -> Column:
     """Decoded as a form value and encoded again."""
-    return F.replace(F.replace(F.url_encode(F.coalesce(F.try_url_decode(part), part)), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+    return F.replace(F.replace(F.url_encode(_decoded(part)), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
 
 
 def canonical(url: Column) -> Column:
-    """Without fragment, path parameters, trailing slash, tracking and blank parameters; the query encoded anew."""
+    """Without fragment, path parameters, trailing slash, tracking (by the decoded name) and blank parameters; the query encoded anew."""
     bare = F.split(url, "#")[0]
     path = F.regexp_replace(F.split(bare, r"\?")[0], r";[^/]*$", "")
     base = F.regexp_extract(path, r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/]*)", 1)
@@ -43,7 +48,7 @@ def canonical(url: Column) -> Column:
     query = F.when(F.contains(bare, F.lit("?")), F.regexp_replace(bare, r"^[^?]*\?", "")).otherwise("")
 
     def kept(p: Column) -> Column:
-        name = F.lower(F.split(p, "=")[0])
+        name = F.lower(_decoded(F.split(p, "=")[0]))
         tracked = name.rlike("^(" + "|".join(TRACKING) + ")")
         return F.contains(p, F.lit("=")) & (F.regexp_replace(p, "^[^=]*=", "") != "") & ~tracked
 

@@ -300,16 +300,20 @@ def contradiction_numbers(claims: DataFrame, span_days: int = 90, min_gap: int =
 
     Claims are counted by day and score. A claim disagrees with those of the ``span_days`` before whose score is far enough away, so a day's number is the
     sum over scores of its count by the counts of a sliding histogram. A key has a row a day, however many claims it has. Scores are those of ``scores``.
+    Rows of one claim id and one day are no pair; they are counted first and taken off.
     """
     if min_gap < 1:
         raise ValueError("equal scores don't disagree")
-    days = claims.where(F.col("d").isNotNull()).groupBy(*KEY, F.datediff("d", F.lit("1970-01-01").cast("date")).alias("day")).agg(
+    far = [(a, b) for a in range(len(scores)) for b in range(len(scores)) if abs(scores[a] - scores[b]) >= min_gap]
+    within = sum((F.col(f"s{a}") * F.col(f"s{b}") for a, b in far if a < b), F.lit(0))
+    day = F.datediff("d", F.lit("1970-01-01").cast("date")).alias("day")
+    own = claims.dropna(subset=[*KEY, "d"]).groupBy(*KEY, day, "claim_id").agg(
         *[F.count(F.when(F.col("score") == s, 1)).alias(f"s{k}") for k, s in enumerate(scores)]
     )
+    days = own.withColumn("same", within).groupBy(*KEY, "day").agg(F.sum("same").alias("same"), *[F.sum(f"s{k}").alias(f"s{k}") for k in range(len(scores))])
     before = Window.partitionBy(*KEY).orderBy("day").rangeBetween(-span_days, -1)
     rows = days.withColumns({f"h{k}": F.coalesce(F.sum(f"s{k}").over(before), F.lit(0)) for k in range(len(scores))})
-    far = [(a, b) for a in range(len(scores)) for b in range(len(scores)) if abs(scores[a] - scores[b]) >= min_gap]
-    number = sum((F.col(f"s{a}") * F.col(f"h{b}") for a, b in far), F.lit(0)) + sum((F.col(f"s{a}") * F.col(f"s{b}") for a, b in far if a < b), F.lit(0))
+    number = sum((F.col(f"s{a}") * F.col(f"h{b}") for a, b in far), F.lit(0)) + within - F.col("same")
     return rows.groupBy(*KEY).agg(F.sum(number).alias("count"))
 
 
@@ -391,7 +395,7 @@ def people_export(people: DataFrame, claims: DataFrame, first: str, last: str, d
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("axis", F.transform("s", lambda x: x["cell"]))))).alias("axes"),
         F.min(F.get(F.filter("s", lambda x: x["cell"].isNotNull()), 0)["month_end"]).alias("entry")
     )
-    n = contradiction_counts(contradictions(claims).groupBy(*KEY).count(), people)
+    n = contradiction_counts(contradiction_numbers(claims), people)
     who = people.select(
         F.col("person_id").alias("id"), F.col("display_name").alias("name"), F.coalesce("role", F.lit("")).alias("role"),
         F.coalesce("entity_kind", F.lit("person")).alias("kind"), F.coalesce("headline", F.lit(False)).alias("headline"),

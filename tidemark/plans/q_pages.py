@@ -265,6 +265,9 @@ QUERIES = {
     "str9_canonical_urls": lambda s, d: view(s, d, "pages").select(
         "page_id", U.canonical(F.concat("url", F.when(F.contains("url", F.lit("?")), "&utm_campaign=z&blank=").otherwise("?utm_x=1"))).alias("url")
     ),
+    "str9_encoded_names": lambda s, d: view(s, d, "pages").select(
+        "page_id", U.canonical(F.concat("url", F.when(F.contains("url", F.lit("?")), "&").otherwise("?"), F.lit(Q.ENCODED))).alias("url")
+    ),
     "str10_hosts": lambda s, d: E.hosts(view(s, d, "pages"), "url"),
     "str11_article_links": lambda s, d: view(s, d, "pages").select(
         "page_id", F.array_join(U.article_links(F.col("html"), F.col("url")), " ").alias("links")
@@ -411,6 +414,7 @@ ORACLE = {
         SENTENCES
     ),
     "str9_canonical_urls": f"select page_id, {Q.canonical(Q.TRACKED_URL)} url from pages",
+    "str9_encoded_names": f"select page_id, {Q.canonical(Q.ENCODED_URL)} url from pages",
     "str11_article_links": Q.LINKS.format(html="html") + "select page_id, coalesce(string_agg(u, ' ' order by k), '') links from pages left join first_ using (page_id) group by 1",
     "win10_first_links": Q.LINKS.format(html="replace(html, 'href=\"/', 'href=\"/a/')") + Q.FIRST_LINKS,
     "str12_feed_candidates": Q.FEEDS,

@@ -8,6 +8,9 @@ from tidemark.operators.page_dates import ISO_DAY, META, MONTH_YEAR, URL_DATE
 HOST = "split_part(url, '/', 3)"
 ROOT = "array_to_string(string_split(url, '/')[1:3], '/')"
 TRACKED_URL = "concat(url, case when contains(url, '?') then '&utm_campaign=z&blank=' else '?utm_x=1' end)"
+#: Parameters whose names are percent-encoded, some of which track.
+ENCODED = "utm%5Fsource=a&%67clid=b&q%2Dr=%C3%A9&ref%5Furl=c&s=50%25"
+ENCODED_URL = f"concat(url, case when contains(url, '?') then '&' else '?' end, '{ENCODED}')"
 
 
 def canonical(u: str) -> str:
@@ -15,7 +18,7 @@ def canonical(u: str) -> str:
     path = f"regexp_replace(split_part({bare}, '?', 1), ';[^/]*$', '')"
     base = rf"regexp_extract({path}, '^([a-zA-Z][a-zA-Z0-9+.-]*://[^/]*)', 1)"
     rest = f"rtrim(substr({path}, length({base}) + 1), '/')"
-    kept = f"contains(x, '=') and regexp_replace(x, '^[^=]*=', '') <> '' and not regexp_matches(lower(split_part(x, '=', 1)), '^({'|'.join(TRACKING)})')"
+    kept = f"contains(x, '=') and regexp_replace(x, '^[^=]*=', '') <> '' and not regexp_matches(lower(url_decode(split_part(x, '=', 1))), '^({'|'.join(TRACKING)})')"
     pairs = rf"list_filter(string_split(regexp_replace({bare}, '^[^?]*\?', ''), '&'), lambda x: {kept})"
     again = f"list_transform({pairs}, lambda x: concat(url_encode(url_decode(split_part(x, '=', 1))), '=', url_encode(url_decode(regexp_replace(x, '^[^=]*=', '')))))"
     query = f"case when contains({bare}, '?') and len({pairs}) > 0 then concat('?', array_to_string({again}, '&')) else '' end"
