@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -111,7 +109,7 @@ def exported(s: SparkSession, d: str) -> DataFrame:
         "doc_id", "canonical_url", "title", F.lit("h").alias("publisher"), F.col("collector").alias("source_type"), "source_tier",
         F.lit("en").alias("language"), "date_confidence"
     )
-    path = f"{tables.shared_dir(s)}/claims-{uuid.uuid4().hex}"
+    path = tables.scratch(s, "claims")
     tables.write_nested(C.exported(own, about), path)
     rows = s.read.schema("person_id string, part int, claims array<string>").json(path).select(
         "person_id", "part", F.posexplode("claims").alias("at", "c")

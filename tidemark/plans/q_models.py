@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,7 +45,7 @@ def from_csv(s: SparkSession, d: str) -> DataFrame:
     """Points of score tables that are written as CSV, all strings, and read back."""
 
     def there(name: str) -> DataFrame:
-        path = f"{tables.shared_dir(s)}/{name}-{uuid.uuid4().hex}"
+        path = tables.scratch(s, name)
         view(s, d, name).write.option("header", True).option("escape", '"').csv(path)
         return tables.csv(s, path)
 
@@ -69,7 +67,7 @@ def _loose(s: SparkSession, d: str) -> DataFrame:
 
 def exported(s: SparkSession, d: str) -> DataFrame:
     """The benchmarks' export, written as JSON lines, read back and laid flat."""
-    path = f"{tables.shared_dir(s)}/track-{uuid.uuid4().hex}"
+    path = tables.scratch(s, "track")
     specs = view(s, d, "t_specs").withColumns({c: F.col(c).cast("double") for c in ("baseline", "ceiling")})
     tables.write_nested(M.benchmarks_export(points(s, d), specs), path)
     point = "array<struct<m:string,lab:string,org:string,d:string,s:double,n:double,open:boolean>>"
@@ -87,7 +85,7 @@ def track(part: str):
         longest = horizon(s, d).join(rows.select("ord", "lab", "org"), "ord")
         labs = view(s, d, "t_labs").select("lab", F.initcap("lab").alias("name"))
         parts = M.track_parts(index(s, d), longest, rows, cadence(s, d), labs)
-        path = f"{tables.shared_dir(s)}/track-{uuid.uuid4().hex}"
+        path = tables.scratch(s, "track")
         M.write_track({part: parts[part]}, path)
         out = M.read_track(s, path, part)
         return out.select(*[F.array_join(c, "|").alias(c) if kind.startswith("array") else F.col(c) for c, kind in out.dtypes])

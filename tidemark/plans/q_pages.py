@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,7 +60,7 @@ def dated_links(s: SparkSession, d: str, later: int) -> DataFrame:
 
 
 def feed_items(s: SparkSession, d: str) -> DataFrame:
-    """Pages written as RSS and as Atom, and read back."""
+    """Pages written as RSS and as Atom, and read back; a host has a file for each 1,000 page ids, so no host is one row."""
     url = F.replace(F.col("url"), F.lit("&"), F.lit("&amp;"))
     day = F.date_add(F.lit("2021-01-01").cast("date"), F.col("page_id").cast("int"))
     mail = F.concat(F.lit("Tue, "), F.date_format(day, "dd MMM yyyy"), F.lit(" 10:00:00 GMT"))
@@ -78,11 +76,11 @@ def feed_items(s: SparkSession, d: str) -> DataFrame:
     )
     out = None
     for k, (text, tag) in enumerate(((atom, "entry"), (rss, "item"))):
-        path = f"{tables.shared_dir(s)}/feed-{uuid.uuid4().hex}"
-        own = view(s, d, "pages").where(F.col("page_id") % 2 == k).groupBy(U.host(F.col("url")).alias("h")).agg(
+        path = tables.scratch(s, "feed")
+        own = view(s, d, "pages").where(F.col("page_id") % 2 == k).groupBy(U.host(F.col("url")).alias("h"), F.floor(F.col("page_id") / 1000).alias("part")).agg(
             F.array_join(F.array_sort(F.collect_list(text)), "").alias("items")
         )
-        own.select(F.concat(F.lit("<feed>"), "items", F.lit("</feed>")).alias("value"), F.md5("h").alias("feed")).write.partitionBy("feed").text(path)  # a file for each feed
+        own.select(F.concat(F.lit("<feed>"), "items", F.lit("</feed>")).alias("value"), F.md5(F.concat_ws(" ", "part", "h")).alias("feed")).write.partitionBy("feed").text(path)
         own = tables.feed_items(s, path, tag)
         out = own if out is None else out.unionByName(own)
     return out
@@ -132,7 +130,7 @@ def crawled(s: SparkSession, d: str) -> DataFrame:
 def _streamed(rows: DataFrame, by: str, batches: int) -> tuple[DataFrame, str]:
     """``rows`` written as so many files, in the order of ``by``, and read as a stream of one file a batch; and a folder for what becomes of it."""
     s = rows.sparkSession
-    path = f"{tables.shared_dir(s)}/stream-{uuid.uuid4().hex}"
+    path = tables.scratch(s, "stream")
     rows.repartitionByRange(batches, by).write.parquet(f"{path}/in")
     return s.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in"), path
 

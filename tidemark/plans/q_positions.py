@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,7 +56,7 @@ def _cells(rows: DataFrame, *keys: str) -> DataFrame:
 def exported(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole build, written as JSON lines, read back, and its cells summed up by axis."""
     who = people(spark, sf_dir).withColumn("notes", F.lit(""))
-    path = f"{tables.shared_dir(spark)}/people-{uuid.uuid4().hex}"
+    path = tables.scratch(spark, "people")
     tables.write_nested(P.people_export(who, claims(spark, sf_dir), FIRST, LAST, FINE), path)
     kind = f"id string, name string, role string, kind string, headline boolean, axes_allowed array<string>, axes {NESTED}, enters_at string, contradictions bigint"
     rows = spark.read.schema(kind).json(path).withColumn("axis", F.explode("axes_allowed")).withColumn(

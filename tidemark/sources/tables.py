@@ -34,6 +34,15 @@ def stored(df: DataFrame) -> DataFrame:
     return out
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, for files that go when the session ends."""
+    folder = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    files, there = _files(spark, folder)
+    files.mkdirs(there)
+    files.deleteOnExit(there)
+    return f"{folder}/files"
+
+
 def _files(spark: SparkSession, path: str):
     there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), there
