@@ -167,3 +167,12 @@ def test_a_killed_batch_runs_again(spark, tmp_path, monkeypatch):
         want.setdefault(u, seq)
     assert {r.canonical_url: r.seq for r in logs.held(spark, target).collect()} == want and logs.held(spark, target).count() == len(want)
     assert max(read) <= logs.RUNS * logs.SHARDS and len(logs._Manifests(spark, target).numbers()) == logs._Manifests.KEPT
+
+
+def test_two_keys_give_whole_rows(spark):
+    """Columns that are no keys come along in their order; rows without a key clash with none."""
+    from tidemark.operators.dedupe import first_by_two_keys
+
+    rows = [("t0", 1, "a", "u"), ("t1", 2, "a", "v"), (None, 3, None, "v"), ("t3", 4, None, None), ("t4", 5, "b", "v"), ("t5", 6, None, None)]
+    got = first_by_two_keys(spark.createDataFrame(rows, "text string, n int, x string, y string"), "x", "y", "n")
+    assert got.columns == ["text", "n", "x", "y"] and sorted(map(tuple, got.collect()), key=lambda r: r[1]) == [rows[k] for k in (0, 2, 3, 5)]

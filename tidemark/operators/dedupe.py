@@ -52,24 +52,32 @@ def first_by_two_keys(rows: DataFrame, a: str, b: str, order: str, rounds: int =
     In rounds: a row that is first of both its keys among the undecided is kept, and all that share a key with it go. A chain, in which each row clashes with the
     next, loses two rows a round, so after ``rounds`` what is left is put together to connected sets of keys, and each set's rows are inserted in order by one task, which sees the order
     and two hashes of 128 bits of each, as a stream, and holds the keys that are taken. Each step is written to the checkpoint folder. Firsts come from groupings, which combine map-side.
+    All steps see the order and the keys only; whole rows are written once, and meet what is kept at the end.
     """
     from tidemark.sources.tables import discard, stored
 
-    left, kept = stored(rows), None
+    whole = stored(rows)
+    slim = list(dict.fromkeys((order, a, b)))
+    left, kept = stored(whole.select(slim)), None
+
+    def rows_of(kept: DataFrame) -> DataFrame:
+        return whole.join(kept.select(order), order, "left_semi").select(rows.columns)
+
     for _ in range(rounds):
         first_a, first_b = (left.where(F.col(k).isNotNull()).groupBy(k).agg(F.min(order).alias(f"__{n}")) for k, n in ((a, "a"), (b, "b")))
         firsts = left.join(first_a, a, "left").join(first_b, b, "left")
         is_first = (F.col(a).isNull() | (F.col(order) == F.col("__a"))) & (F.col(b).isNull() | (F.col(order) == F.col("__b")))
-        won = stored(firsts.where(is_first).select(rows.columns))
+        won = stored(firsts.where(is_first).select(slim))
         kept = won if kept is None else kept.unionByName(won)
         before, left = left, stored(
             left.join(
                 won.select(a).distinct(), a, "left_anti"
-            ).join(won.select(b).distinct(), b, "left_anti").join(won.select(order), order, "left_anti").select(rows.columns)
+            ).join(won.select(b).distinct(), b, "left_anti").join(won.select(order), order, "left_anti").select(slim)
         )
         discard(before)
         if left.isEmpty():
-            return kept
+            discard(left)
+            return rows_of(kept)
     key = {n: F.when(F.col(k).isNotNull(), F.md5(F.concat(F.lit(n), F.col(k).cast("string")))) for n, k in (("x", a), ("y", b))}
     keyed = stored(left.select(F.col(order).alias("at"), key["x"].alias("x"), key["y"].alias("y")))
     nodes = keyed.select("at", "x", "y", F.xxhash64(F.coalesce("x", "y")).alias("u"), F.xxhash64(F.coalesce("y", "x")).alias("v"))
@@ -78,8 +86,8 @@ def first_by_two_keys(rows: DataFrame, a: str, b: str, order: str, rounds: int =
     kind = left.schema[order].dataType.simpleString()
     won = placed.repartition("part").sortWithinPartitions("part", "at").select("part", "at", "x", "y").mapInArrow(_inserted, f"at {kind}")
     out = stored(left.join(won, F.col(order) == F.col("at"), "left_semi"))
-    discard(keyed, parts)
-    return kept.unionByName(out)
+    discard(keyed, parts, left)
+    return rows_of(kept.unionByName(out))
 
 
 def first_links(pages: DataFrame, per_page: int) -> DataFrame:
