@@ -17,7 +17,11 @@ def months_between(earlier: Column, later: Column) -> Column:
 
 def lookback(at: Column) -> Column:
     """Months that a position looks back: wider in the sparse years."""
-    return F.when(F.year(at) <= 2020, 24).when(F.year(at) <= 2023, 12).otherwise(6)
+    return lookback_of(F.year(at))
+
+
+def lookback_of(year: Column) -> Column:
+    return F.when(year <= 2020, 24).when(year <= 2023, 12).otherwise(6)
 
 
 def month_ends(first: Column, last: Column) -> Column:

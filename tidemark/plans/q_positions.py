@@ -26,12 +26,12 @@ def people(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dense(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.dense(people(spark, sf_dir), P.positions(claims(spark, sf_dir), FINE), FIRST, LAST)
+    return P.dense_positions(people(spark, sf_dir), claims(spark, sf_dir), FIRST, LAST, FINE)
 
 
 def latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last month only: claims that can't reach it are left out before they are expanded."""
-    return P.dense(people(spark, sf_dir), P.positions(claims(spark, sf_dir), FINE, ends=(LAST, LAST)), LAST, LAST)
+    return P.dense_positions(people(spark, sf_dir), claims(spark, sf_dir), LAST, LAST, FINE)
 
 
 def contributing_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
