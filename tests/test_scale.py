@@ -176,3 +176,18 @@ def test_two_keys_give_whole_rows(spark):
     rows = [("t0", 1, "a", "u"), ("t1", 2, "a", "v"), (None, 3, None, "v"), ("t3", 4, None, None), ("t4", 5, "b", "v"), ("t5", 6, None, None)]
     got = first_by_two_keys(spark.createDataFrame(rows, "text string, n int, x string, y string"), "x", "y", "n")
     assert got.columns == ["text", "n", "x", "y"] and sorted(map(tuple, got.collect()), key=lambda r: r[1]) == [rows[k] for k in (0, 2, 3, 5)]
+
+
+def test_guests_meet_names_by_equality(spark):
+    """Names of one word each: titles meet them by their beginnings of a name's length, not all by all."""
+    from pyspark.sql import functions as F
+
+    from tidemark.operators.transcripts import episode_guests
+
+    people = spark.range(500).select(F.concat(F.lit("p"), "id").alias("person_id"), F.concat(F.lit("Name#"), "id").alias("display_name"), F.col("id").alias("ord"))
+    titles = spark.range(500).select(F.col("id").alias("episode"), F.concat(F.lit("#7 - Name#"), "id", F.lit(": more")).alias("title"))
+    got = episode_guests(titles, people)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Join" in plan and "StartsWith" not in plan  # one plan from titles to guests, no rounds in between
+    # the person with the lowest number whose name begins the title: one of its digits' beginnings
+    assert {r.episode: r.person_id for r in got.collect()} == {k: f"p{min(int(str(k)[:n]) for n in range(1, len(str(k)) + 1))}" for k in range(500)}

@@ -90,29 +90,15 @@ def is_guest(title: Column, name: Column) -> Column:
 def episode_guests(episodes: DataFrame, people: DataFrame) -> DataFrame:
     """Episodes (episode, title) with the first person (person_id, display_name, ord) who is their guest.
 
-    A guest's name begins the title. A trie of the names by words, in rounds: a title follows it by one word more a round, as long as some name goes on that
-    way, so it is one row; the last word of a name may end inside a word of the title, so a node also has its names' rests, which are few, to compare.
+    A guest's name begins the title, so it equals the title's beginning of its length: a title meets names by its beginnings of the lengths that names have,
+    which are as many rows a title as there are different lengths up to its own, however many names share a word or a length.
     """
-    from tidemark.sources.tables import discard, stored
-
     head = _without_number(F.col("title"))
-    names = people.select("person_id", "ord", F.lower("display_name").alias("name")).where("name <> ''").withColumn("path", F.split("name", " "))
-    titles = episodes.select("episode", head.alias("head")).withColumn("words", F.split("head", " "))
-    depth, kept, found = 0, [], None
-    while titles is not None:  # as often as a name has words
-        way = lambda words: F.array_join(F.slice(words, 1, depth), " ")  # noqa: E731, B023
-        ends = names.where(F.size("path") == depth + 1).select("person_id", "ord", "name", way("path").alias("way"))
-        met = titles.withColumn("way", way("words")).join(ends, "way").where(F.startswith("head", F.col("name"))).select("episode", "person_id", "ord")
-        found = met if found is None else found.unionByName(met)
-        further = names.where(F.size("path") > depth + 1).select(F.array_join(F.slice("path", 1, depth + 1), " ").alias("on")).distinct()
-        if further.isEmpty():
-            break
-        titles = stored(titles.where(F.size("words") > depth).withColumn("on", F.array_join(F.slice("words", 1, depth + 1), " ")).join(further, "on").drop("on"))
-        kept.append(titles)
-        depth += 1
-    out = stored(found.groupBy("episode").agg(F.min_by("person_id", "ord").alias("person_id")))
-    discard(*kept)
-    return out
+    names = people.select("person_id", "ord", F.lower("display_name").alias("name")).where("name <> ''")
+    lengths = names.select(F.length("name").alias("n")).distinct().agg(F.array_sort(F.collect_list("n")).alias("lengths"))
+    titles = episodes.select("episode", head.alias("head")).crossJoin(F.broadcast(lengths))
+    begins = titles.withColumn("n", F.explode(F.filter("lengths", lambda n: n <= F.length("head")))).select("episode", F.expr("substring(head, 1, n)").alias("name"))
+    return begins.join(names, "name").groupBy("episode").agg(F.min_by("person_id", "ord").alias("person_id"))
 
 
 def podcast_documents(entries: DataFrame, people: DataFrame, texts: DataFrame, least: int = 4, least_words: int = 400, most: int = 8) -> DataFrame:
