@@ -191,3 +191,19 @@ def test_guests_meet_names_by_equality(spark):
     assert "Join" in plan and "StartsWith" not in plan  # one plan from titles to guests, no rounds in between
     # the person with the lowest number whose name begins the title: one of its digits' beginnings
     assert {r.episode: r.person_id for r in got.collect()} == {k: f"p{min(int(str(k)[:n]) for n in range(1, len(str(k)) + 1))}" for k in range(500)}
+
+
+def test_streamed_files_come_in_order(spark):
+    """A stream takes files by the time that they were written, so the files of later ranges must be later."""
+    import glob
+    import os
+
+    import duckdb
+
+    from tidemark.plans.q_pages import _streamed
+
+    _, path = _streamed(spark.range(0, 60000, 1, 8).selectExpr("59999 - id k", "repeat('x', int(50 - id / 1200)) t"), "k", 6)
+    files = sorted(glob.glob(f"{path.removeprefix('file://')}/in/*.parquet"), key=lambda f: os.stat(f).st_mtime_ns)
+    ranges = [duckdb.execute(f"select min(k), max(k), count(*) from '{f}'").fetchone() for f in files]
+    assert len(ranges) == 6 and ranges == sorted(ranges) and sum(r[2] for r in ranges) == 60000
+    assert all(a[1] < b[0] for a, b in zip(ranges, ranges[1:]))
