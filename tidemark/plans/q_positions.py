@@ -128,7 +128,7 @@ QUERIES = {
     "agg4_axis_variance": lambda s, d: P.axis_variance(latest(s, d)),
     "agg5_axis_correlation": lambda s, d: P.axis_correlation(latest(s, d)),
     "agg7_entry_months": lambda s, d: P.entry_months(dense(s, d)),
-    "agg25_drawable": lambda s, d: P.drawable(dense(s, d), LAST),
+    "agg25_drawable": lambda s, d: P.drawable(latest(s, d), LAST),
     "job8_explained": lambda s, d: P.explained_means(P.explained(claims(s, d), "2022-06-15")),
     "job8_explained_claims": lambda s, d: P.explained(claims(s, d), "2022-06-15").select(
         "claim_id", "inside", F.bround("age", 3).alias("age"), F.bround("weight", 4).alias("weight")
