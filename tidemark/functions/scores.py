@@ -46,6 +46,14 @@ def number(text: Column) -> Column:
     return F.when(~F.isnan(x), x)
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """``bround`` of a double. By whole numbers, as decimals are slow; only what is close to a tie, or very large, goes through decimals."""
+    scaled = x * float(10**digits)
+    whole = F.rint(scaled)
+    clear = F.abs(F.abs(scaled - whole) - 0.5) > F.abs(scaled) * 1e-14 + 1e-3
+    return F.when(clear, whole / float(10**digits) + 0.0).otherwise(F.bround(x, digits))  # + 0.0: no negative zero
+
+
 def rescaled(raw: Column, baseline: Column, ceiling: Column) -> Column:
     """Where a raw score stands between chance and the ceiling, 0 to 1."""
     share = F.try_divide(raw - baseline, ceiling - baseline)
