@@ -252,6 +252,19 @@ def test_forward_and_counts_against_all_paths():
     assert np.allclose(start, w_start) and np.allclose(step, w_step) and np.allclose(emit, w_emit)
 
 
+def test_counts_with_arrays_used_again():
+    """Groups of any size in one task's arrays, the larger ones before smaller ones too."""
+    rng = np.random.default_rng(8)
+    model = lm_scoring.Hmm(rng.dirichlet(np.ones(3)), rng.dirichlet(np.ones(3), 3), rng.dirichlet(np.ones(5), 3).T)
+    room = lm_scoring.Room()
+    for lengths in ([9, 9, 4, 1], [30], [1, 1], [40, 3, 3, 2, 1], [5, 4]):
+        group = [rng.integers(0, 5, n) for n in lengths]
+        own, each = ([np.zeros(3), np.zeros((3, 3)), np.zeros((3, 5))] for _ in range(2))
+        log = lm_scoring.expected(model, group, *own, room)
+        assert log == pytest.approx(sum(lm_scoring.expected_in_blocks(model, s, *each, 7) for s in group)) == pytest.approx(lm_scoring.forward(model, group).sum())
+        assert all(np.allclose(a, b) for a, b in zip(own, each))
+
+
 def test_long_sequences_in_blocks():
     rng = np.random.default_rng(5)
     model = lm_scoring.Hmm(rng.dirichlet(np.ones(3)), rng.dirichlet(np.ones(3), 3), rng.dirichlet(np.ones(5), 3).T)

@@ -181,43 +181,61 @@ def forward(model: Hmm, sequences: list[np.ndarray]) -> np.ndarray:
     """Natural-log likelihood of each sequence, longest first."""
     flat, starts = _lockstep(sequences)
     out = np.zeros(len(sequences))
-    alpha = None
+    ahead, alpha = model.step.T.copy(), model.start[:, None]
     for t in range(len(starts) - 1):
-        own = model.emit[flat[starts[t] : starts[t + 1]]]
-        alpha = own * (model.start if t == 0 else alpha[: len(own)] @ model.step)
-        scale = alpha.sum(1)
-        alpha /= scale[:, None]
-        out[: len(own)] += np.log(scale)
+        own = model.emit[flat[starts[t] : starts[t + 1]]].T
+        alpha = own * (alpha if t == 0 else ahead @ alpha[:, : own.shape[1]])
+        scale = alpha.sum(0)
+        alpha /= scale
+        out[: len(scale)] += np.log(scale)
     return out
 
 
-def expected(model: Hmm, sequences: list[np.ndarray], start: np.ndarray, step: np.ndarray, emit: np.ndarray) -> float:
-    """Adds the expected counts of the sequences (longest first) to ``start``, ``step`` and ``emit`` (states x symbols); their natural-log likelihood."""
+class Room:
+    """Arrays of states x places that a task uses again for each group of texts: fresh ones cost more in page faults than the sums in them."""
+
+    def __init__(self) -> None:
+        self.held = np.empty((3, 0))
+
+    def of(self, states: int, places: int, dtype: np.dtype) -> list[np.ndarray]:
+        if self.held.shape[1] < states * places or self.held.dtype != dtype:
+            self.held = np.empty((3, states * places), dtype)
+        return [x[: states * places].reshape(states, places) for x in self.held]
+
+
+def expected(model: Hmm, sequences: list[np.ndarray], start: np.ndarray, step: np.ndarray, emit: np.ndarray, room: Room | None = None) -> float:
+    """Adds the expected counts of the sequences (longest first) to ``start``, ``step`` and ``emit`` (states x symbols); their natural-log likelihood.
+
+    Arrays are states x places, so that each operation runs along the places of one time, or of all.
+    """
     flat, starts = _lockstep(sequences)
-    n, times = len(model.start), len(starts) - 1
-    b = model.emit[flat]
-    alpha, scales = np.empty((len(flat), n), b.dtype), np.empty(len(flat), b.dtype)
-    for t in range(times):
-        lo, hi = starts[t], starts[t + 1]
-        now = b[lo:hi] * (model.start if t == 0 else alpha[starts[t - 1] : starts[t - 1] + hi - lo] @ model.step)
-        scales[lo:hi] = now.sum(1)
-        alpha[lo:hi] = now / scales[lo:hi, None]
-    gamma = alpha
-    beta = np.zeros((0, n), b.dtype)
-    back = model.step.T.copy()
-    for t in range(times - 1, -1, -1):
-        lo, hi = starts[t], starts[t + 1]
-        ones = np.ones((hi - lo, n), b.dtype)
-        if len(beta):
-            m = len(beta)
-            weighed = b[starts[t + 1] : starts[t + 2]] * beta / scales[starts[t + 1] : starts[t + 2], None]
-            step += model.step * (alpha[lo : lo + m].T @ weighed)
-            ones[:m] = weighed @ back
-        beta = ones
-        gamma[lo:hi] = alpha[lo:hi] * beta
-    start += gamma[: starts[1]].sum(0)
+    n, cuts, dtype = len(model.start), starts.tolist(), model.emit.dtype
+    b, alpha, beta = (room or Room()).of(n, len(flat), dtype)
+    for k in range(n):
+        np.take(np.ascontiguousarray(model.emit[:, k]), flat, out=b[k], mode="clip")
+    scales = np.empty(len(flat), dtype)
+    ahead, now = model.step.T.copy(), alpha
+    for t in range(len(cuts) - 1):
+        lo, hi = cuts[t], cuts[t + 1]
+        out = alpha[:, lo:hi]
+        np.multiply(b[:, lo:hi], model.start[:, None] if t == 0 else ahead @ now[:, : hi - lo], out=out)
+        np.divide(out, np.add.reduce(out, 0, out=scales[lo:hi]), out=out)
+        now = out
+    b /= scales
+    beta.fill(1)
+    for t in range(len(cuts) - 2, 0, -1):
+        lo, hi = cuts[t], cuts[t + 1]
+        weighed = b[:, lo:hi]  # from here on what a place adds to the one before
+        np.multiply(weighed, beta[:, lo:hi], out=weighed)
+        np.matmul(model.step, weighed, out=beta[:, cuts[t - 1] : cuts[t - 1] + hi - lo])
+    before = np.arange(cuts[1], cuts[-1]) - np.repeat(np.diff(starts)[:-1], np.diff(starts)[1:])
+    for k in range(0, len(before), 16_384):
+        own = before[k : k + 16_384]
+        step += model.step * (np.take(alpha, own, axis=1) @ b[:, cuts[1] + k : cuts[1] + k + len(own)].T)
+    alpha *= beta
+    start += alpha[:, : cuts[1]].sum(1)
     for k in range(n):
-        emit[k] += np.bincount(flat, gamma[:, k], emit.shape[1])
+        emit[k] += np.bincount(flat, alpha[k], emit.shape[1])
     return float(np.log(scales).sum(dtype=float))
 
 
@@ -298,14 +316,14 @@ def _expected(shared: Broadcast, size: int):
         own: Hmm = shared.value
         model = Hmm(own.start.astype(np.float32), own.step.astype(np.float32), own.emit.astype(np.float32))
         n = len(model.start)
-        start, step, emit, log = np.zeros(n), np.zeros((n, n)), np.zeros((n, size)), 0.0
+        start, step, emit, log, room = np.zeros(n), np.zeros((n, n)), np.zeros((n, size)), 0.0, Room()
         for batch in batches:
             texts = _sequences(batch.column("symbols"))
             for group in _groups(texts):
                 if len(texts[group[0]]) > LONG:  # such a text is a group of its own
                     log += expected_in_blocks(model, texts[group[0]], start, step, emit, LONG // 4)
                 else:
-                    log += expected(model, [texts[k] for k in group], start, step, emit)
+                    log += expected(model, [texts[k] for k in group], start, step, emit, room)
         yield _rows(start, step, emit, log)
 
     return count
