@@ -207,3 +207,25 @@ def test_streamed_files_come_in_order(spark):
     ranges = [duckdb.execute(f"select min(k), max(k), count(*) from '{f}'").fetchone() for f in files]
     assert len(ranges) == 6 and ranges == sorted(ranges) and sum(r[2] for r in ranges) == 60000
     assert all(a[1] < b[0] for a, b in zip(ranges, ranges[1:]))
+
+
+def test_points_shuffle_no_scores_by_benchmark(spark):
+    """Scores collapse to a row for each version and benchmark before they meet anything: what is joined or sorted by benchmark is as long as the versions are many."""
+    from tidemark.operators import model_track as M
+
+    scores = spark.range(60000).selectExpr(
+        "concat('b', id % 2) benchmark", "concat('v', id % 6, if(id % 4 < 2, '_high', '_low')) model_version", "'Org, Other' organization",
+        "date_add(date'2016-12-01', int(id % 300)) d", "if(id % 11 = 0, null, (id % 997) / 9970d * if(id % 2 = 0, 100, 1)) raw", "lpad(id * 7919 % 60000, 5, '0') ord"
+    )
+    specs = spark.createDataFrame([("b0", True, 0.0, 1.0), ("b1", True, 0.0, 1.0)], "benchmark string, has_file boolean, baseline double, ceiling double")
+    models = spark.createDataFrame([("v1_high", "", "Open weights", 1)], "model_version string, model_group string, accessibility string, ord long")
+    labs = spark.createDataFrame([("other", "lab")], "match string, lab string")
+    got = M.points(scores, specs, models, labs)
+    assert "Range" not in got._jdf.queryExecution().executedPlan().toString()  # the scores are read once, for the rows that are left of them
+    want = {}
+    for r in scores.where("raw is not null and d >= '2017-01-01'").collect():
+        s = round(r.raw * (0.01 if r.benchmark == "b0" else 1.0), 4)
+        key, order = (r.benchmark, r.model_version.split("_")[0]), (-s, r.ord)
+        want[key] = min(want.get(key, order), order)
+    assert {(r.benchmark, r.model): (-r.s, r.ord) for r in got.collect()} == want
+    assert got.where("lab <> 'lab'").count() == 0

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.scores import flag, number, open_weights, rescaled, web_link
 from tidemark.functions.text import display_name, listed, slug
+from tidemark.sources.tables import stored
 
 START = "2017-01-01"
 # The domains that make a model a foundation model, and those that the matrix shows.
@@ -55,21 +56,33 @@ def with_lab(rows: DataFrame, labs: DataFrame, order: str) -> DataFrame:
     return out.join(found, order, "left").withColumn("lab", F.coalesce("lab", F.lit("other")))
 
 
+# What scores in percent and others are multiplied by.
+SCALES = {"plain": 1.0, "percent": 0.01}
+
+
 def points(scores: DataFrame, specs: DataFrame, models: DataFrame, labs: DataFrame, least: int = 3) -> DataFrame:
     """The best score of each model on each benchmark, by display name; benchmarks of fewer than ``least`` points go.
 
     Scores (benchmark, model_version, organization, d, raw, ord); specs (benchmark, has_file, baseline, ceiling). A score column whose values go beyond
     1.5 is in percent if the spec names its own file. Of equal scores the first row counts.
+
+    Scores collapse first to the best row of each version on each benchmark, on either scale, and their top, so that no shuffle by benchmark sees all scores.
     """
-    top = scores.groupBy("benchmark").agg(F.max("raw").alias("most")).join(specs, "benchmark")
-    scaled = top.withColumn("scale", F.when(F.col("has_file") & (F.col("most") > 1.5), 0.01).otherwise(1.0)).drop("most")
+    counts = F.col("raw").isNotNull() & (F.col("d") >= F.lit(START).cast("date"))
+    row = F.struct("organization", "d", "raw", "ord")
+    firsts = [
+        F.min_by(row, F.when(counts, F.struct(-F.bround(F.col("raw") * scale, 4), F.col("ord")))).alias(name) for name, scale in SCALES.items()
+    ]
+    each = stored(scores.groupBy("benchmark", "model_version").agg(F.max("raw").alias("most"), *firsts))
+    top = each.groupBy("benchmark").agg(F.max("most").alias("most")).join(specs, "benchmark")
+    percent = F.col("has_file") & (F.col("most") > 1.5)
+    scaled = top.withColumn("in", F.when(percent, "percent").otherwise("plain")).drop("most")
     own = last_of_each(models, "model_version", "ord").select("model_version", "model_group", "accessibility")
-    rows = scores.where(
-        F.col("raw").isNotNull() & (F.col("d") >= F.lit(START).cast("date"))
-    ).join(scaled, "benchmark").join(own, "model_version", "left")
-    raw = F.col("raw") * F.col("scale")
+    rows = each.drop("most").join(scaled, "benchmark").withColumn("r", F.when(F.col("in") == "percent", F.col("percent")).otherwise(F.col("plain")))
+    rows = rows.where(F.col("r").isNotNull()).join(own, "model_version", "left")
+    raw = F.col("r.raw") * F.when(F.col("in") == "percent", SCALES["percent"]).otherwise(SCALES["plain"])
     rows = rows.select(
-        "benchmark", display_name(F.col("model_version"), F.col("model_group"), F.lit("")).alias("model"), "organization", "d", "ord",
+        "benchmark", display_name(F.col("model_version"), F.col("model_group"), F.lit("")).alias("model"), "r.organization", "r.d", "r.ord",
         F.bround(raw, 4).alias("s"), rescaled(raw, F.col("baseline"), F.col("ceiling")).alias("n"), open_weights(F.col("accessibility")).alias("open")
     )
     best = rows.groupBy("benchmark", "model").agg(
