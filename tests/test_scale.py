@@ -229,3 +229,13 @@ def test_points_shuffle_no_scores_by_benchmark(spark):
         want[key] = min(want.get(key, order), order)
     assert {(r.benchmark, r.model): (-r.s, r.ord) for r in got.collect()} == want
     assert got.where("lab <> 'lab'").count() == 0
+
+
+def test_passages_tag_each_sentence_once(spark):
+    """What a sentence's terms cost is paid once, and documents without a hit, empty or null still leave no row."""
+    from tidemark.operators import passages as P
+
+    docs = spark.createDataFrame([(1, "Zebra one. Two. Three zebra."), (2, "None."), (3, ""), (4, None)], "doc_id long, text string")
+    got = P.passages(docs, {"X": "zebra"})
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("RLIKE") + got._jdf.queryExecution().optimizedPlan().toString().count("rlike") == 1
+    assert [tuple(r) for r in got.collect()] == [(1, 0, "X", "Zebra one. Two."), (1, 1, "X", "Two. Three zebra.")]

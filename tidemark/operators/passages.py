@@ -24,7 +24,9 @@ def passages(docs: DataFrame, terms: dict[str, str] = AXIS_TERMS, context: int =
     rows = docs.select("doc_id", sentences(F.col("text")).alias("s"))
     tagged = F.transform("s", lambda s, i: F.struct(i.alias("idx"), axis_tags(s, terms).alias("axes")))
     rows = rows.withColumn("hits", F.filter(tagged, lambda h: h["axes"] != ""))
-    rows = rows.withColumn("taken", _taken(F.col("hits"), context, most)).select("doc_id", "s", F.posexplode("taken").alias("place", "h"))
+    # outer, as Spark would filter by the size of ``taken`` first, and find all of it twice
+    rows = rows.withColumn("taken", _taken(F.col("hits"), context, most)).select("doc_id", "s", F.posexplode_outer("taken").alias("place", "h"))
+    rows = rows.where(F.col("place").isNotNull())
     first = F.greatest(F.lit(0), F.col("h.idx") - context)
     return rows.select(
         "doc_id", "place", F.col("h.axes").alias("axes"),
