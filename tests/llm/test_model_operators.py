@@ -265,6 +265,28 @@ def test_counts_with_arrays_used_again():
         assert all(np.allclose(a, b) for a, b in zip(own, each))
 
 
+@pytest.mark.parametrize("dtype", [float, np.float32])
+def test_stretches_side_by_side(monkeypatch, dtype):
+    """Cut into stretches, dealt to lanes, in pieces of any size: the counts of the whole. No more steps in a row than a lane has."""
+    rng = np.random.default_rng(9)
+    model = lm_scoring.Hmm(rng.dirichlet(np.ones(3)), rng.dirichlet(np.ones(3), 3), rng.dirichlet(np.ones(50), 3).T)
+    model = lm_scoring.Hmm(*(x.astype(dtype) for x in (model.start, model.step, model.emit)))
+    group = [rng.integers(0, 50, n) for n in (300, 97, 64, 64, 33, 32, 31, 5, 2, 1, 1)]
+    want = [np.zeros(3), np.zeros((3, 3)), np.zeros((3, 50))]
+    log = sum(lm_scoring.expected_in_blocks(model, s, *want, 50) for s in group)
+    for cut, lanes, piece in ((4096, 512, 32_768), (32, 4, 20), (32, 512, 1), (7, 3, 9), (1, 5, 50)):
+        for name, value in (("WHOLE", cut), ("CUT", cut), ("LANES", lanes), ("PIECE", piece)):
+            monkeypatch.setattr(lm_scoring, name, value)
+        own = [np.zeros(3), np.zeros((3, 3)), np.zeros((3, 50))]
+        assert lm_scoring.expected(model, group, *own) == pytest.approx(log, rel=1e-5)
+        assert all(np.allclose(a, b, rtol=1e-4, atol=1e-4) for a, b in zip(own, want))
+    for name, value in (("WHOLE", 64), ("CUT", 32), ("LANES", 512)):
+        monkeypatch.setattr(lm_scoring, name, value)
+    assert lm_scoring.expected(model, group, *([np.zeros(3), np.zeros((3, 3)), np.zeros((3, 50))])) == pytest.approx(log, rel=1e-5)
+    stretches = lm_scoring._stretches(model, np.concatenate([model.emit, model.emit[:1]]), group)[0]
+    assert sum(map(len, stretches)) == 630 and lm_scoring._lanes(stretches, 50)[0].shape[0] < 128  # of one text alone 300
+
+
 def test_long_sequences_in_blocks():
     rng = np.random.default_rng(5)
     model = lm_scoring.Hmm(rng.dirichlet(np.ones(3)), rng.dirichlet(np.ones(3), 3), rng.dirichlet(np.ones(5), 3).T)

@@ -19,6 +19,7 @@ rows N and V are 0: every token's base is log10(1), and the model is even over i
 
 from __future__ import annotations
 
+import heapq
 import math
 import zlib
 from collections.abc import Iterator
@@ -42,7 +43,11 @@ PRIOR = 200.0
 #: Natural-log likelihood a token that a round must gain for another one to follow, after ``LEAST`` rounds.
 GAIN = 0.001
 #: Symbols of one group of texts; longer texts go in blocks of a quarter.
-LONG = 400_000
+LONG = 1_200_000
+#: Lanes in which a group's texts lie end to end, at most; in how many times their sums are scaled once; and places whose emissions are held at once.
+LANES, SCALED, PIECE = 512, 4, 32_768
+#: Symbols from which on a text is cut into stretches that run side by side; and those of a stretch.
+WHOLE, CUT = 4096, 512
 LEAST = 5
 
 
@@ -192,51 +197,146 @@ def forward(model: Hmm, sequences: list[np.ndarray]) -> np.ndarray:
 
 
 class Room:
-    """Arrays of states x places that a task uses again for each group of texts: fresh ones cost more in page faults than the sums in them."""
+    """The largest array that a task needs, used again for each group of texts: fresh ones cost more in page faults than the sums in them."""
 
     def __init__(self) -> None:
-        self.held = np.empty((3, 0))
-
-    def of(self, states: int, places: int, dtype: np.dtype) -> list[np.ndarray]:
-        if self.held.shape[1] < states * places or self.held.dtype != dtype:
-            self.held = np.empty((3, states * places), dtype)
-        return [x[: states * places].reshape(states, places) for x in self.held]
+        self.held = np.empty(0)
+
+    def of(self, shape: tuple[int, int, int], dtype: np.dtype) -> np.ndarray:
+        size = math.prod(shape)
+        if len(self.held) < size or self.held.dtype != dtype:
+            self.held = np.empty(size, dtype)
+        return self.held[:size].reshape(shape)
+
+
+def _lanes(sequences: list[np.ndarray], empty: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sequences (longest first) end to end in lanes of about one length: symbols (time x lane, ``empty`` beyond a lane's end), the places where each sequence begins and
+    then those where a lane's empty end does, and the places where each sequence ends."""
+    total = sum(map(len, sequences))
+    n = min(LANES, max(1, total // len(sequences[0])))
+    loads, where = [(0, k) for k in range(n)], []
+    for s in sequences:
+        at, lane = loads[0]
+        heapq.heapreplace(loads, (at + len(s), lane))
+        where.append((at, lane))
+    by_lane = np.full((n, max(loads)[0]), empty, np.uint16)
+    for s, (at, lane) in zip(sequences, where, strict=True):
+        by_lane[lane, at : at + len(s)] = s
+    flat = by_lane.T.astype(np.intp, order="C")
+    begin = np.array([at * n + lane for at, lane in where])
+    beyond = [at * n + lane for at, lane in loads if at < len(flat)]
+    return flat, np.append(begin, np.array(beyond, begin.dtype)), begin + (np.array([len(s) for s in sequences]) - 1) * n
+
+
+def _by_time(places: np.ndarray, times: int, lanes: int) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """The order of ``places`` by time, their lanes in it, and where each time begins."""
+    order = np.argsort(places)
+    return order, places[order] % lanes, np.searchsorted(places[order], np.arange(times + 1) * lanes).tolist()
+
+
+def _transfers(step: np.ndarray, shares: np.ndarray, stretches: list[np.ndarray]) -> np.ndarray:
+    """For each stretch (longest first) the forward sums at its end by the state in which it begins, up to a factor."""
+    flat, starts = _lockstep(stretches)
+    out = np.eye(len(step), dtype=shares.dtype) * shares[flat[: starts[1]], None]
+    for t in range(1, len(starts) - 1):
+        own = out[: starts[t + 1] - starts[t]]
+        own[:] = (own.reshape(-1, len(step)) @ step).reshape(own.shape) * shares[flat[starts[t] : starts[t + 1]], None]
+        if t % SCALED == 0:
+            own /= own.sum((1, 2), keepdims=True)
+    return out / out.sum((1, 2), keepdims=True)
+
+
+def _stretches(model: Hmm, shares: np.ndarray, sequences: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """Sequences of more than ``WHOLE`` symbols cut into stretches of ``CUT``, longest first: how likely each state is to be entered, how likely what follows each state is (up to a factor),
+    and which stretch each one follows (-1: none)."""
+    cut = []
+    for k, s in enumerate(sequences):
+        cut += [(s[at : at + CUT], k, at) for at in range(0, len(s), CUT)] if len(s) > WHOLE else [(s, k, 0)]
+    cut.sort(key=lambda c: -len(c[0]))
+    own, place = [c[0] for c in cut], {c[1:]: j for j, c in enumerate(cut)}
+    enter, after = np.tile(model.start.astype(float), (len(cut), 1)), np.ones((len(cut), len(model.start)))
+    follows = np.array([place.get((k, at - CUT), -1) for _, k, at in cut])
+    of_long = [j for j, (_, k, _) in enumerate(cut) if len(sequences[k]) > WHOLE]
+    if of_long:
+        passed = dict(zip(of_long, _transfers(model.step, shares, [own[j] for j in of_long]).astype(float), strict=True))
+        for j in sorted((j for j in of_long if follows[j] >= 0), key=lambda j: cut[j][2]):
+            x = enter[follows[j]] @ passed[follows[j]] @ model.step
+            enter[j] = x / x.sum()
+        for j in sorted((j for j in of_long if follows[j] >= 0), key=lambda j: -cut[j][2]):
+            x = model.step @ (passed[j] @ after[j])
+            after[follows[j]] = x / x.mean()
+    return own, enter.astype(shares.dtype), after.astype(shares.dtype), follows
 
 
 def expected(model: Hmm, sequences: list[np.ndarray], start: np.ndarray, step: np.ndarray, emit: np.ndarray, room: Room | None = None) -> float:
     """Adds the expected counts of the sequences (longest first) to ``start``, ``step`` and ``emit`` (states x symbols); their natural-log likelihood.
 
-    Arrays are states x places, so that each operation runs along the places of one time, or of all.
+    Stretches of sequences lie end to end in lanes, so that each operation runs over as many places at any time. A symbol's emissions are taken as shares of their mean, and
+    forward sums are scaled every ``SCALED``-th time and once more where a stretch ends. What the way back needs but these sums is held for a few times at once.
     """
-    flat, starts = _lockstep(sequences)
-    n, cuts, dtype = len(model.start), starts.tolist(), model.emit.dtype
-    b, alpha, beta = (room or Room()).of(n, len(flat), dtype)
-    for k in range(n):
-        np.take(np.ascontiguousarray(model.emit[:, k]), flat, out=b[k], mode="clip")
-    scales = np.empty(len(flat), dtype)
-    ahead, now = model.step.T.copy(), alpha
-    for t in range(len(cuts) - 1):
-        lo, hi = cuts[t], cuts[t + 1]
-        out = alpha[:, lo:hi]
-        np.multiply(b[:, lo:hi], model.start[:, None] if t == 0 else ahead @ now[:, : hi - lo], out=out)
-        np.divide(out, np.add.reduce(out, 0, out=scales[lo:hi]), out=out)
-        now = out
-    b /= scales
-    beta.fill(1)
-    for t in range(len(cuts) - 2, 0, -1):
-        lo, hi = cuts[t], cuts[t + 1]
-        weighed = b[:, lo:hi]  # from here on what a place adds to the one before
-        np.multiply(weighed, beta[:, lo:hi], out=weighed)
-        np.matmul(model.step, weighed, out=beta[:, cuts[t - 1] : cuts[t - 1] + hi - lo])
-    before = np.arange(cuts[1], cuts[-1]) - np.repeat(np.diff(starts)[:-1], np.diff(starts)[1:])
-    for k in range(0, len(before), 16_384):
-        own = before[k : k + 16_384]
-        step += model.step * (np.take(alpha, own, axis=1) @ b[:, cuts[1] + k : cuts[1] + k + len(own)].T)
-    alpha *= beta
-    start += alpha[:, : cuts[1]].sum(1)
-    for k in range(n):
-        emit[k] += np.bincount(flat, alpha[k], emit.shape[1])
-    return float(np.log(scales).sum(dtype=float))
+    n, size, dtype = len(model.start), len(model.emit), model.emit.dtype
+    mean = model.emit.mean(1)
+    shares = np.concatenate([model.emit / mean[:, None], np.ones((1, n), dtype)])
+    stretches, enter, after, follows = _stretches(model, shares, sequences)
+    flat, begin, end = _lanes(stretches, size)
+    times, lanes = flat.shape
+    alpha = (room or Room()).of((times, lanes, n), dtype)
+    scales = np.ones((times // SCALED, lanes, 1), dtype)
+    by_begin, begins, begins_at = _by_time(begin, times, lanes)
+    by_end, ends, ends_at = _by_time(end, times, lanes)
+    entered = np.concatenate([enter, np.tile(model.start, (len(begin) - len(enter), 1))])[by_begin]
+    ones, now, across = np.ones((n, 1), dtype), np.empty((lanes, n), dtype), max(1, PIECE // lanes)
+    pieces = [(k, min(k + across, times)) for k in range(0, times, across)]
+
+    def emissions(first: int, until: int) -> np.ndarray:
+        return np.take(shares, flat[first:until], axis=0, mode="clip")
+
+    for first, until in pieces:
+        b = emissions(first, until)
+        for t in range(first, until):
+            if t:
+                np.matmul(alpha[t - 1], model.step, out=now)
+            lo, hi = begins_at[t], begins_at[t + 1]
+            if lo < hi:
+                now[begins[lo:hi]] = entered[lo:hi]
+            own = np.multiply(now, b[t - first], out=alpha[t])
+            if t % SCALED == SCALED - 1:
+                own /= np.matmul(own, ones, out=scales[t // SCALED])
+    at_end = alpha.reshape(-1, n)[end]
+    rest, back = (after / (at_end * after).sum(1, keepdims=True))[by_end], np.ascontiguousarray(model.step.T)
+    counts, ahead = np.zeros((n, n)), np.zeros((lanes, n), dtype)  # ahead: what a place adds to the one before; nothing where a stretch begins
+    for first, until in reversed(pieces):
+        b = emissions(first, until)
+        scaled = scales[first // SCALED : until // SCALED]
+        b[SCALED - 1 - first % SCALED :: SCALED] /= scaled
+        beta = np.empty_like(b)
+        for t in range(until - 1, first - 1, -1):
+            here = np.matmul(ahead, back, out=beta[t - first])
+            lo, hi = ends_at[t], ends_at[t + 1]
+            if lo < hi:
+                here[ends[lo:hi]] = rest[lo:hi]
+            if t == until - 1:
+                counts += alpha[t].T @ ahead
+            ahead = np.multiply(b[t - first], here, out=b[t - first])
+            lo, hi = begins_at[t], begins_at[t + 1]
+            if lo < hi:
+                ahead[begins[lo:hi]] = 0
+        own = alpha[first:until]
+        counts += own[:-1].reshape(-1, n).T @ b[1:].reshape(-1, n)
+        own *= beta
+    step += model.step * counts
+    shared, symbols = alpha.reshape(-1, n), flat.ravel()
+    at_begin = shared[begin[: len(stretches)]]
+    start += at_begin[follows < 0].sum(0)
+    if len(later := np.flatnonzero(follows >= 0)):  # steps from one stretch to the next
+        over = at_end[follows[later], :, None].astype(float) * model.step * (at_begin[later] / enter[later])[:, None]
+        step += (over / over.sum((1, 2), keepdims=True)).sum(0)
+    often = np.bincount(symbols, minlength=size + 1)[:size]
+    for at in range(0, len(symbols), 8 * PIECE):
+        own, of = np.ascontiguousarray(shared[at : at + 8 * PIECE].T), symbols[at : at + 8 * PIECE]
+        for k in range(n):
+            emit[k] += np.bincount(of, own[k], size + 1)[:size]
+    return float(np.log(scales, dtype=float).sum() + np.log(at_end.sum(1), dtype=float).sum() + often @ np.log(mean, dtype=float))
 
 
 def expected_in_blocks(model: Hmm, sequence: np.ndarray, start: np.ndarray, step: np.ndarray, emit: np.ndarray, block: int) -> float:
