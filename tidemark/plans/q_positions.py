@@ -34,16 +34,6 @@ def latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.dense_positions(people(spark, sf_dir), claims(spark, sf_dir), LAST, LAST, FINE)
 
 
-def contributing_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For every cell the interval of claims behind it: how many, the oldest and the newest."""
-    at = P.positions(claims(spark, sf_dir), FINE, evidence=True).select("person_id", "axis", "month_end", "n_claims", "first_claim", "last_claim")
-    order = P.claims_in_order(claims(spark, sf_dir))
-    for end in ("first", "last"):
-        own = order.select("person_id", "axis", F.col("ordinal").alias(f"{end}_claim"), F.col("claim_id").alias(end))
-        at = at.join(own, ["person_id", "axis", f"{end}_claim"], "left")
-    return at.select("person_id", "axis", "month_end", "n_claims", "first_claim", "last_claim", F.col("first").alias("oldest_claim"), F.col("last").alias("newest_claim"))
-
-
 NESTED = "map<string,array<struct<value:double,dispersion:double,n_claims:bigint,status:string,age:int>>>"
 
 
@@ -118,7 +108,7 @@ pairs as (select a.person_id, a.axis, a.claim_id first_claim, b.claim_id second_
 QUERIES = {
     "agg1_positions": lambda s, d: P.positions(claims(s, d), FINE),
     "agg1_positions_of_claims": lambda s, d: P.positions_of_claims(claims(s, d), FINE),
-    "agg1_contributing_ends": contributing_ends,
+    "agg1_contributing_ends": lambda s, d: P.contributing_ends(claims(s, d)),
     "agg1_contributing_claims": lambda s, d: P.contributing(
         P.positions(claims(s, d), FINE, evidence=True).where(F.col("month_end") == F.lit(LAST).cast("date")), claims(s, d)
     ).select("person_id", "axis", "status", F.array_join("claim_ids", ",").alias("claim_ids")),
