@@ -50,7 +50,7 @@ def rounded(x: Column, digits: int) -> Column:
     """``bround`` of a double. By whole numbers, as decimals are slow; only what is close to a tie, or very large, goes through decimals."""
     scaled = x * float(10**digits)
     whole = F.rint(scaled)
-    clear = F.abs(F.abs(scaled - whole) - 0.5) > F.abs(scaled) * 1e-14 + 1e-3
+    clear = F.abs(scaled - whole) + F.abs(scaled) * 1e-14 < 0.499  # false where scaling gives infinity, as the difference is no number then
     return F.when(clear, whole / float(10**digits) + 0.0).otherwise(F.bround(x, digits))  # + 0.0: no negative zero
 
 
